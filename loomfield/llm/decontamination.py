@@ -142,6 +142,8 @@ class _Segment:
         huge = np.int64(1) << 60
         rarity = np.where(windows >= 0, self.count[windows], huge)
         live = np.flatnonzero(rarity.min(axis=1) > 0)
+        if not live.size:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         order = np.argsort(rarity[live], axis=1, kind="stable")
         least = np.take_along_axis(rarity[live], order[:, :1], 1)[:, 0]
         ends = np.cumsum(least)
