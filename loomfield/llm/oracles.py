@@ -29,3 +29,28 @@ SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
   sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
+
+SQL["op2_secrets"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), m AS (
+  SELECT r, 'assign' AS kind, 0 AS rank, 6 AS least, string_split_regex(t, '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+') AS gaps,
+    regexp_extract_all(t, '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0) AS ms,
+    regexp_extract_all(t, '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) AS gs FROM d
+  UNION ALL
+  SELECT r, 'access', 1, 20, string_split_regex(t, 'AKIA[A-Z0-9]{16,}'), regexp_extract_all(t, 'AKIA[A-Z0-9]{16,}'), regexp_extract_all(t, 'AKIA[A-Z0-9]{16,}') FROM d
+  UNION ALL
+  SELECT r, 'hex', 2, 24, string_split_regex(t, '[0-9a-f]{24,}'), regexp_extract_all(t, '[0-9a-f]{24,}'), regexp_extract_all(t, '[0-9a-f]{24,}') FROM d
+), x AS (
+  SELECT r, kind, rank, least, unnest(range(1, len(ms) + 1)) AS i, gaps, ms, gs FROM m WHERE len(ms) > 0
+), y AS (
+  SELECT r, kind, rank, length(gs[i]) >= least AS ok, length(ms[i]) AS size,
+    sum(length(gaps[i]) + length(ms[i])) OVER (PARTITION BY r, kind ORDER BY i) AS e FROM x
+), z AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS k, count(*) FILTER (kind = 'hex') AS h,
+    string_agg(kind || ':' || CAST(e - size AS VARCHAR) || ':' || CAST(e AS VARCHAR), ',' ORDER BY e - size, rank) AS s
+  FROM y WHERE ok GROUP BY r
+)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex,
+  coalesce(s, '') AS spans, sha256(coalesce(s, '')) AS base_sha256
+FROM d LEFT JOIN z USING (r)
+"""

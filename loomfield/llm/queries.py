@@ -28,6 +28,16 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomfield.llm.secrets import BlobLedger
+
+    found = BlobLedger(spark).scan(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    told = found.select(F.col("id").alias("doc_id"), of("assign"), of("access"), of("hex"), spans.alias("spans"))
+    return told.withColumn("base_sha256", F.sha2("spans", 256))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomfield.llm.simhash import simhash_groups
 
