@@ -142,6 +142,10 @@ def _run_links(run: np.ndarray, role: np.ndarray, fp: np.ndarray, radius: int) -
     return np.concatenate(out, axis=1) if out else np.empty((2, 0), np.uint64)
 
 
+def _each(flips, own, tagged):
+    return F.transform(flips, lambda x: tagged(own.bitwiseXOR(x), 2))
+
+
 def links(points: DataFrame, radius: int = 4, max_fragment: int = 2048, n: int | None = None) -> DataFrame:
     """(a, b): edges that connect every two of the distinct fingerprints in points(fp) which a path
     of links connects; every edge is a link or a short path of links."""
@@ -161,7 +165,7 @@ def links(points: DataFrame, radius: int = 4, max_fragment: int = 2048, n: int |
         table = F.array(tagged(own, 3))
         if ball:
             flips = F.array(*[F.lit(x).cast("long") for x in ball])
-            table = F.concat(table, F.transform(flips, lambda x, own=own, tagged=tagged: tagged(own.bitwiseXOR(x), 2)))
+            table = F.concat(table, _each(flips, own, tagged))
         filed.append(table)
     probes = points.select("fp", F.explode(F.concat(*filed)).alias("p")).select("fp", "p.seg", "p.key", "p.role")
     # Keys with more rows than a fragment holds, by rows to look up and rows filed.
