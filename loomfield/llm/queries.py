@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomfield.llm.decontamination import contamination
 
@@ -38,6 +44,19 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.withColumn("base_sha256", F.sha2("spans", 256))
 
 
+def packed_digests(packed: DataFrame) -> DataFrame:
+    """The pieces of packed_documents() with a checksum in place of their ids."""
+    return packed.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
+    )
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomfield.llm.packing import packed_documents
+
+    return packed_digests(packed_documents(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomfield.llm.simhash import simhash_groups
 
