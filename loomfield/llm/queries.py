@@ -51,6 +51,13 @@ def packed_digests(packed: DataFrame) -> DataFrame:
     )
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomfield.llm.topk import exact_topk
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_topk(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomfield.llm.packing import packed_documents
 
@@ -63,6 +70,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomfield.llm.sharding import shard_groups
+
+    placed = shard_groups(table(spark, sf_dir, "documents"), shards=40)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomfield.llm.language import fit, held_out, predict
 
