@@ -66,3 +66,57 @@ WITH v AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
+
+
+def _canonical_sql(c: str) -> str:
+    from loomfield.llm.licenses import COPYRIGHT_LINE, SPELLINGS
+
+    out = f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    out = f"regexp_replace({out}, '{COPYRIGHT_LINE}', '', 'g')"
+    out = rf"regexp_replace({out}, '[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]+', ' ', 'g')"
+    for other, ours in SPELLINGS:
+        out = f"replace({out}, '{other}', '{ours}')"
+    return out
+
+
+def _licenses_sql() -> str:
+    from loomfield.llm.licenses import KNOWN
+
+    values = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in KNOWN)
+    return rf"""
+WITH kn AS (
+  SELECT sha256(f) AS digest, string_agg(DISTINCT license, ',' ORDER BY license) AS license
+  FROM (SELECT license, trim(regexp_replace({_canonical_sql("t")}, '[ \n]+', ' ', 'g')) AS f FROM (VALUES {values}) k(license, t)) WHERE f <> '' GROUP BY 1
+), d AS (SELECT row_number() OVER () AS r, doc_id, {_canonical_sql("text")} AS l FROM documents
+), li AS (
+  SELECT r, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS s
+  FROM (SELECT r, trim(unnest(string_split(l, chr(10)))) AS x FROM d) JOIN kn ON kn.digest = sha256(x) GROUP BY r
+), w AS (SELECT r, doc_id, sha256(trim(regexp_replace(l, '[ \n]+', ' ', 'g'))) AS digest FROM d)
+SELECT w.doc_id, w.digest, kn.license, coalesce(li.s, '') AS line_licenses, coalesce(li.n, 0) AS n_lines
+FROM w LEFT JOIN kn USING (digest) LEFT JOIN li USING (r)
+"""
+
+
+SQL["op3_licenses"] = _licenses_sql()
+
+SQL["op6_preferences"] = r"""
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role,
+    regexp_replace(coalesce(text, ''), '<\|im_(start|end)\|>', '<|im_\1 |>', 'g') AS text FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS l FROM t GROUP BY conv_id
+), p AS (SELECT DISTINCT conv_id // 2 AS pair_id FROM t
+), b AS (
+  SELECT pair_id, a.l AS a, r.l AS r FROM p LEFT JOIN c a ON a.conv_id = 2 * pair_id LEFT JOIN c r ON r.conv_id = 2 * pair_id + 1
+), n AS (
+  SELECT *, CASE WHEN a IS NULL OR r IS NULL THEN 0 ELSE
+    coalesce(list_position(list_transform(range(1, greatest(len(a), len(r)) + 1), lambda i: a[i] IS NOT DISTINCT FROM r[i]), false) - 1, len(a)) END AS n FROM b
+)
+SELECT pair_id, CAST(n AS BIGINT) AS n_prompt_turns,
+  coalesce(array_to_string(list_transform(a[1:n], lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), ''), '') AS prompt,
+  array_to_string(list_transform(a[n + 1:], lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), '') AS chosen,
+  array_to_string(list_transform(a[n + 1:], lambda x: length('<|im_start|>' || x.role || chr(10)) || ':0,' || length(x.text || '<|im_end|>' || chr(10)) || ':' || CAST(x.role = 'assistant' AS INT)), ',') AS chosen_mask,
+  array_to_string(list_transform(r[n + 1:], lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), '') AS rejected,
+  array_to_string(list_transform(r[n + 1:], lambda x: length('<|im_start|>' || x.role || chr(10)) || ':0,' || length(x.text || '<|im_end|>' || chr(10)) || ':' || CAST(x.role = 'assistant' AS INT)), ',') AS rejected_mask
+FROM n
+"""

@@ -51,6 +51,12 @@ def packed_digests(packed: DataFrame) -> DataFrame:
     )
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomfield.llm.licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomfield.llm.topk import exact_topk
 
@@ -64,6 +70,30 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digests(packed_documents(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op6_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2n (chosen) and 2n + 1 (rejected) are pair n."""
+    from loomfield.llm.chat import mask_runs, preference_pairs, rendered
+
+    turns = table(spark, sf_dir, "conversations")
+    pair = F.floor(F.col("conv_id") / 2).cast("long")
+    pairs = (
+        turns.filter("conv_id IS NOT NULL")
+        .select(pair.alias("pair_id"))
+        .distinct()
+        .select("pair_id", (2 * F.col("pair_id")).alias("chosen_id"), (2 * F.col("pair_id") + 1).alias("rejected_id"))
+    )
+    found = preference_pairs(turns, pairs)
+    return found.select(
+        "pair_id",
+        F.col("n_prompt_turns").cast("long").alias("n_prompt_turns"),
+        "prompt",
+        rendered(F.col("chosen")).alias("chosen"),
+        mask_runs(F.col("chosen")).alias("chosen_mask"),
+        rendered(F.col("rejected")).alias("rejected"),
+        mask_runs(F.col("rejected")).alias("rejected_mask"),
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomfield.llm.simhash import simhash_groups
 
