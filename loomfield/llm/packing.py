@@ -33,7 +33,7 @@ def token_pieces(
     text_col: str = "text",
     capacity: int = 4096,
     end_id: int = 1,
-    texts_at_once: int = 256,
+    texts_at_once: int = 1024,
 ) -> DataFrame:
     """Stored pieces (key, id, piece, start, length, ids): ids are little-endian unsigned 32-bit."""
     schema = T.StructType(
@@ -48,10 +48,10 @@ def token_pieces(
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from loomfield.llm.tokens import WordTokenizer
+        from loomfield.llm.tokens import held
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        form, tokenizer = to_arrow_schema(schema), WordTokenizer(tokenizer_path)
+        form, tokenizer = to_arrow_schema(schema), held(tokenizer_path)
         for batch in batches:
             for at in range(0, batch.num_rows, texts_at_once):
                 part = batch.slice(at, texts_at_once)
@@ -171,14 +171,15 @@ def pack(pieces: DataFrame, capacity: int = 4096, partition_pieces: int = 20_000
     return out.select("key", "sequence_id", "offset")
 
 
+def placed(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
+    """pieces(key, length, ...) with sequence_id and offset in place of the key; the other columns
+    are carried through the join, so leave out what is not wanted."""
+    return pieces.join(pack(pieces, capacity), "key").drop("key")
+
+
 def packed_documents(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096
 ) -> DataFrame:
-    """Every piece of every row with its ids and its place: id_col, piece, start, length, ids,
+    """Every piece of every row with its ids and its place: id, piece, start, length, ids,
     sequence_id, offset. Sorting a sequence's pieces by offset gives the sequence without gaps."""
-    pieces = token_pieces(docs, tokenizer_path, id_col, text_col, capacity)
-    return (
-        pieces.join(pack(pieces, capacity), "key")
-        .select("id", "piece", "start", "length", "ids", "sequence_id", "offset")
-        .withColumnRenamed("id", id_col)
-    )
+    return placed(token_pieces(docs, tokenizer_path, id_col, text_col, capacity), capacity)

@@ -44,13 +44,6 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.withColumn("base_sha256", F.sha2("spans", 256))
 
 
-def packed_digests(packed: DataFrame) -> DataFrame:
-    """The pieces of packed_documents() with a checksum in place of their ids."""
-    return packed.select(
-        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
-    )
-
-
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomfield.llm.licenses import license_scan
 
@@ -64,10 +57,18 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
 
 
-def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from loomfield.llm.packing import packed_documents
+def packing_digests(docs: DataFrame) -> DataFrame:
+    """Packed pieces with a checksum in place of their ids."""
+    from loomfield.llm.packing import placed, token_pieces
 
-    return packed_digests(packed_documents(table(spark, sf_dir, "documents"), tokenizer_path()))
+    pieces = token_pieces(docs, tokenizer_path()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return placed(pieces).select(
+        F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_digests(table(spark, sf_dir, "documents"))
 
 
 def op6_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
