@@ -110,6 +110,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomfield.llm.suffix_dedup import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomfield.llm.language import fit, held_out, predict
 
