@@ -1,16 +1,86 @@
-"""The corpus pipeline: language ID, near-duplicates, decontamination, secrets, packing."""
+"""The corpus pipeline: language ID, near-duplicates, decontamination, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns what it keeps; all but the last return the columns
+of documents. Decisions of the stages depend on a row's text (and, for near-duplicates, its id), so
+rows that are equal are decided alike.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomfield.llm.common import has_repeats, shared_dir
+from loomfield.llm.decontamination import contamination
+from loomfield.llm.language import fit, predict
+from loomfield.llm.queries import packing_digests
+from loomfield.llm.secrets import BlobLedger, redacted
+from loomfield.llm.simhash import simhash_groups
+
+#: A document whose likeliest language has less than this mean marginal probability has none.
+MIN_LANGUAGE_SCORE = 0.35
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no language that the model knows go: those without a letter, or with a low score."""
+    found = predict(docs.withColumn("_row", F.struct(*docs.columns)), fit(docs), id_col="_row")
+    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    return kept.select("_row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each SimHash group the document with the least id stays; of rows that repeat that id, one.
+    Documents without an id count as one group member after all others."""
+    groups = simhash_groups(docs)
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first"))
+    repeats = has_repeats(docs, "doc_id")
+    kept = docs.join(first.distinct() if repeats else first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    return kept.dropDuplicates(["doc_id"]) if repeats else kept
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = contamination(docs.select(F.sha2("text", 256).alias("digest"), "text"), benchmark, id_col="digest")
+    bad = found.filter("contaminated").select(F.col("digest").alias("_bad")).distinct()
+    return docs.join(bad, F.sha2("text", 256) == F.col("_bad"), "left_anti")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; no document goes."""
+    found = BlobLedger(spark).scan(docs).filter(F.size("spans") > 0)
+    marks = found.select(F.col("blob").alias("_blob"), "spans").dropDuplicates(["_blob"])
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("spans")))
+    joined = docs.join(marks, F.sha2("text", 256) == F.col("_blob"), "left").withColumn("text", text)
+    return joined.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as token pieces with their places in sequences."""
+    return packing_digests(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", language_id),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secrets),
+    ("best-fit packing", packing),
+]
 
+#: The language model and the packing have no SQL form; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn, each one's result written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+            docs.write.parquet(path)
+            docs = spark.read.schema(docs.schema).parquet(path)
     return docs
