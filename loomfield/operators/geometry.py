@@ -47,6 +47,7 @@ def matched(predicted: DataFrame, truth: DataFrame, threshold: float, by_confide
                         out.append((i[k], j[k]))
         return pd.DataFrame([(p.image[i], p.id[i], t.id[j], float(iou[i, j])) for i, j in out], columns=["image", "predicted", "truth", "iou"])
 
+    truth = truth.select(*[F.col(c).alias(c) for c in truth.columns])  # apart from predicted, should both come from one table
     return predicted.groupBy("image").cogroup(truth.groupBy("image")).applyInPandas(pick, "image long, predicted long, truth long, iou double")
 
 

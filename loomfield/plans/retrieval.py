@@ -13,7 +13,7 @@ from loomfield.operators import metrics as M
 from loomfield.operators import search as X
 from loomfield.plans.registering import query, rounded
 
-IS_QUERY = F.col("vec_id") % 5 == 0
+IS_QUERY = "vec_id % 5 = 0"
 
 _SCORES = """
 WITH s AS (
@@ -37,7 +37,7 @@ def _sides(t):
         (F.col("vec_id") % 7).alias("group"),
         F.lit(None).cast("array<long>").alias("excluded"),
     )
-    return side(e.filter(IS_QUERY)), side(e.filter(~IS_QUERY))
+    return side(e.filter(IS_QUERY)), side(e.filter(f"NOT ({IS_QUERY})"))
 
 
 def _best(t):
@@ -48,7 +48,7 @@ def _pairs(t):
     """Every score of the query set with its label: whether both have one identity."""
     e = t("embeddings")
     side = lambda df: df.select(F.col("vec_id").alias("id"), as_double("embedding").alias("vector"))
-    scores = X.pair_scores(side(e.filter(IS_QUERY)), side(e.filter(~IS_QUERY)))
+    scores = X.pair_scores(side(e.filter(IS_QUERY)), side(e.filter(f"NOT ({IS_QUERY})")))
     own = e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
     other = e.select(F.col("vec_id").alias("template_id"), F.col("label").alias("identity"))
     return scores.join(own, "query_id").join(other, "template_id")
@@ -113,7 +113,7 @@ def search_channels(t):
         F.lit(None).cast("array<long>").alias("excluded"),
     )
     e = t("embeddings")
-    found = X.best_templates(side(e.filter(IS_QUERY)), side(e.filter(~IS_QUERY)), weights=[0.4, 0.3, 0.2, 0.1])
+    found = X.best_templates(side(e.filter(IS_QUERY)), side(e.filter(f"NOT ({IS_QUERY})")), weights=[0.4, 0.3, 0.2, 0.1])
     return X.top_identities(found, 5).select("query_id", "rank", "identity", "template_id", "score")
 
 

@@ -1,0 +1,74 @@
+"""Streaming forms of coverage and timestamp audits, equal to the batch forms on the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+#: Output of coverage_updates and timestamp_updates.
+COVERAGE = "stream string, observed long, unobserved long, usable long, runs long"
+AUDIT = "stream string, frames long, inversions long, duplicates long, missing long, max_gap long"
+
+
+def coverage_updates(rows: DataFrame, max_hold: int, least: int) -> DataFrame:
+    """rows(stream, at, usable, run_key) in order of time within a stream -> running totals of held
+    time, gaps, usable held time and runs, up to each stream's last observation. State is the last
+    observation and the open run of a stream. A row that is not later than the one before fails."""
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, usable, run, held, observed, gaps, good, runs = state.get if state.exists else (None, False, None, 0, 0, 0, 0, 0)
+        for row in sorted((r for b in batches for r in b.itertuples(index=False)), key=lambda r: r.at):
+            if last is not None:
+                step = int(row.at) - last
+                if step <= 0:
+                    raise ValueError(f"stream {key[0]}: observation at {row.at} is not later than {last}")
+                stands = min(step, max_hold)
+                observed, gaps = observed + stands, gaps + step - stands
+                if usable:
+                    good, held = good + stands, held + stands
+                same = usable and step <= max_hold and bool(row.usable) and row.run_key == run
+                if usable and not same:
+                    runs, held = runs + (held >= least), 0
+            last, usable = int(row.at), bool(row.usable) and row.run_key is not None
+            run = row.run_key if usable else None
+        state.update((last, usable, run, held, observed, gaps, good, runs))
+        yield pd.DataFrame([(key[0], observed, gaps, good, runs)], columns=["stream", "observed", "unobserved", "usable", "runs"])
+
+    kept = "last long, usable boolean, run string, held long, observed long, unobserved long, good long, runs long"
+    return rows.groupBy("stream").applyInPandasWithState(fold, COVERAGE, kept, "update", GroupStateTimeout.NoTimeout)
+
+
+def timestamp_updates(rows: DataFrame, period: int) -> DataFrame:
+    """rows(stream, seq, at) -> running audit of each stream in order of arrival (seq); rows out of
+    time order are counted, not refused."""
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, frames, inversions, duplicates, missing, widest = state.get if state.exists else (None, 0, 0, 0, 0, None)
+        for row in sorted((r for b in batches for r in b.itertuples(index=False)), key=lambda r: r.seq):
+            if last is not None:
+                step = int(row.at) - last
+                inversions, duplicates = inversions + (step < 0), duplicates + (step == 0)
+                if step > 0:
+                    missing += max(0, (step + period // 2) // period - 1)
+                    widest = step if widest is None else max(widest, step)
+            last, frames = int(row.at), frames + 1
+        state.update((last, frames, inversions, duplicates, missing, widest))
+        yield pd.DataFrame([(key[0], frames, inversions, duplicates, missing, widest)], columns=["stream", "frames", "inversions", "duplicates", "missing", "max_gap"])
+
+    kept = "last long, frames long, inversions long, duplicates long, missing long, widest long"
+    return rows.groupBy("stream").applyInPandasWithState(fold, AUDIT, kept, "update", GroupStateTimeout.NoTimeout)
+
+
+def sessions(rows: DataFrame, stream: str, time: str, gap: str, late: str) -> DataFrame:
+    """(stream, start, end, rows): stretches without a pause of gap, closed once the watermark passes;
+    works on batches and on streams. Rows later than `late` are dropped on streams."""
+    windowed = rows.withWatermark(time, late) if rows.isStreaming else rows
+    return (
+        windowed.groupBy(stream, F.session_window(time, gap).alias("w"))
+        .agg(F.count("*").alias("rows"))
+        .select(stream, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "rows")
+    )
