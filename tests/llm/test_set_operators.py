@@ -1,0 +1,184 @@
+"""Top-k, packing, chat, SimHash, sharding and the pipeline: against plain Python."""
+
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from loomfield.llm import chat, packing, sharding, simhash, topk
+from loomfield.llm.components import connected_components
+from loomfield.llm.queries import packing_digests, tokenizer_path
+
+
+def plain_topk(rows, k):
+    fine = [(i, [int(np.floor(256 * np.float64(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = set()
+    for q, a in {i: v for i, v in sorted(fine, reverse=True) if i % 50 == 0}.items():
+        scores = sorted(((-sum(x * y for x, y in zip(a, b)), i) for i, b in fine if i != q and len(a) == len(b)))
+        out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])}
+    return out
+
+
+@pytest.mark.parametrize("bins", [4, 1024])
+def test_topk_matches_brute_force(spark, bins):
+    rng = np.random.default_rng(0)
+    rows = [(int(k), [float(x) for x in np.round(rng.normal(size=4), 1)]) for k in range(160)]
+    rows += [(300, None), (350, [float("nan"), 0.0, 0.0, 0.0]), (400, [None, 0.0, 0.0, 0.0]), (None, [0.0] * 4), (450, [0.5, 0.5]), (500, [1.0, 1.0]), (161, [0.5, 0.5])]
+    rows += [(162, rows[3][1]), (163, rows[3][1]), (164, rows[3][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).withColumn("ids", F.lit("x"))
+    got = topk.exact_topk(df, df.filter("vec_id % 50 = 0"), bins=bins, query_block=3, candidate_block=17).collect()
+    assert {tuple(r) for r in got} == plain_topk(rows, 5) and len(got) == len(plain_topk(rows, 5))
+    assert topk.exact_topk(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_packing_round_trip(spark, odd, sample, nothing):
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for docs in (odd, sample):
+        rows = packing_digests(docs).collect()
+        want = Counter()
+        for r in docs.collect():
+            ids = np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+            for k in range(-(-len(ids) // 4096)):
+                part = ids[4096 * k : 4096 * (k + 1)]
+                want[(r.doc_id, k, 4096 * k, len(part), zlib.crc32(part.tobytes()))] += 1
+        assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+        used = Counter()
+        for r in sorted(rows, key=lambda r: r.offset):
+            assert used[r.sequence_id] == r.offset
+            used[r.sequence_id] += r.length
+        assert max(used.values()) <= 4096
+        assert len(used) <= -(-sum(used.values()) // 4096) + 1
+    assert packing_digests(nothing).count() == 0
+
+
+def test_exchange_closes_gaps(spark):
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 700, 3000)
+    pieces = spark.createDataFrame([(k, int(x)) for k, x in enumerate(sizes)], "key long, length long")
+    got = packing.pack(pieces, 1000, partition_pieces=700).join(pieces, "key").collect()
+    used = Counter()
+    for r in sorted(got, key=lambda r: r.offset):
+        assert used[r.sequence_id] == r.offset
+        used[r.sequence_id] += r.length
+    bound = packing.lower_bound(sizes, 1000)
+    assert max(used.values()) <= 1000 and len(got) == 3000 and bound <= len(used) <= bound + 5
+
+
+def test_bounds_are_bounds():
+    rng = np.random.default_rng(6)
+    for top in (30, 60, 100):
+        sizes = rng.integers(1, top, 40)
+        assert packing.lower_bound(sizes, 100) <= packing.best_fit_decreasing(sizes, 100)[2]
+    assert packing.lower_bound(np.array([51] * 10), 100) == 10 and packing.lower_bound(np.array([34] * 10), 100) == 5
+
+
+def test_preferences(spark):
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "a"), (1, 2, "user", "more"), (2, 0, "user", "hi"), (2, 1, "assistant", "b<|im_end|>"), (3, 0, None, None)]
+    df = spark.createDataFrame([*turns, turns[0], (None, 0, "user", "x")], "conv_id long, turn int, role string, text string").withColumn("prompt", F.lit(1))
+    pairs = spark.createDataFrame([(7, 1, 2), (8, 3, 9), (9, 1, 1)], "pair_id long, chosen_id long, rejected_id long")
+    got = {r.pair_id: r for r in chat.preference_pairs(df, pairs).collect()}
+    assert got[7].n_prompt_turns == 1 and got[7].prompt == "<|im_start|>user\nhi<|im_end|>\n"
+    assert [(s.text, s.trained) for s in got[7].rejected] == [("<|im_start|>assistant\n", False), ("b<|im_end |><|im_end|>\n", True)]
+    assert [s.trained for s in got[7].chosen] == [False, True, False, False]
+    assert got[8].n_prompt_turns == 0 and got[8].rejected is None and got[8].chosen[0].text == "<|im_start|>unknown\n"
+    assert got[9].n_prompt_turns == 3 and got[9].chosen == []
+    assert chat.preference_pairs(df.limit(0), pairs.limit(0)).count() == 0
+
+
+def plain_groups(rows):
+    prints = []
+    for _, text in rows:
+        w = (text or "").translate({i: i + 32 for i in range(65, 91)}).replace("\v", " ").replace("\f", " ")
+        w = [x for x in w.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if x]
+        h = [xxhash.xxh64_intdigest(" ".join(w[k : k + 4]).encode(), 42) for k in range(max(1, len(w) - 3))] if w else []
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    own = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4 and own[i] != own[j]:
+                a, b = own[i], own[j]
+                own = [b if x == a else x for x in own]
+    least = {g: min((rows[k][0] for k in range(len(rows)) if own[k] == g and rows[k][0] is not None), default=None) for g in set(own)}
+    return Counter((rows[k][0], f"{prints[k]:016x}", least[own[k]]) for k in range(len(rows)))
+
+
+def test_simhash_matches_brute_force(odd, sample, nothing):
+    for docs in (odd, sample):
+        got = Counter(tuple(r) for r in simhash.simhash_groups(docs).collect())
+        assert got == plain_groups([(r.doc_id, r.text) for r in docs.collect()])
+    assert simhash.simhash_groups(nothing).count() == 0
+
+
+@pytest.mark.parametrize(("n", "fragment"), [(10**5, 2048), (10**5, 3), (10**9, 4), (10**6, 2048), (100, 2048)])
+def test_links_at_every_size(spark, n, fragment):
+    rng = np.random.default_rng(8)
+    seeds = [int(x) for x in rng.integers(0, 2**63, 30)]
+    points = set(seeds)
+    for s in seeds:
+        for _ in range(20):
+            points.add(s ^ sum(1 << int(b) for b in set(rng.integers(0, 64, int(rng.integers(1, 9))))))
+    signed = sorted(p - (1 << 64) if p >> 63 else p for p in points)
+    found = connected_components(simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), 4, fragment, n))
+    got = {r.node: r.root for r in found.collect()}
+    own = {p: p for p in signed}
+    unsigned = np.array(signed, np.int64).view(np.uint64)
+    for i in range(len(signed)):
+        for j in np.flatnonzero(np.bitwise_count(unsigned ^ unsigned[i]) <= 4):
+            a, b = sorted((own[signed[i]], own[signed[int(j)]]))
+            if a != b:
+                own = {p: a if x == b else x for p, x in own.items()}
+    sizes = Counter(own.values())
+    assert got == {p: r for p, r in own.items() if sizes[r] > 1}
+
+
+def test_sharding(spark, odd, sample, nothing):
+    for docs in (odd, sample):
+        rows = docs.select("doc_id", "text").collect()
+        got = sharding.shard_groups(docs, shards=7, chunk_rows=10).collect()
+        want = Counter((r.doc_id, 16 + len((r.text or "").encode()), zlib.crc32((r.text or "").encode())) for r in rows)
+        assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
+        slots: dict = {}
+        for r in got:
+            slots.setdefault(r.shard, []).append(r.slot)
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        together: dict = {}
+        for r in got:
+            together.setdefault((r.size, r.text_crc32), set()).add(r.shard)
+        assert all(len(s) == 1 for k, s in together.items() if k[0] > 16)
+    assert sharding.shard_groups(nothing).count() == 0
+
+
+def test_longest_first():
+    assert sharding.longest_first([(7, "a"), (5, "b"), (4, "c"), (3, "d")], 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
+
+
+def test_pipeline_stages(spark, odd, nothing):
+    for docs in (odd, nothing):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, "/root/testdata/sf0.001")
+            assert k == 4 or out.columns == docs.columns
+            docs = spark.createDataFrame(out.collect(), out.schema)
+    assert tokenizer_path().endswith(".json")
+
+
+def test_pipeline_against_its_parts(spark):
+    """Every stage's decision again, from its operator's rows, on the smallest tables."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    kept = stages[0](spark, docs, sf)
+    assert kept.count() == docs.count()
+    groups = plain_groups([(r.doc_id, r.text) for r in kept.collect()])
+    second = stages[1](spark, kept, sf)
+    assert sorted(r.doc_id for r in second.collect()) == sorted({c for _, _, c in groups})
+    third = stages[2](spark, second, sf)
+    fourth = stages[3](spark, third, sf)
+    assert fourth.count() == third.count()
+    last = {(r.doc_id, r.piece, r.ids_crc32) for r in stages[4](spark, fourth, sf).collect()}
+    assert {(r.doc_id, r.piece, r.ids_crc32) for r in corpus_pipeline.run(spark, sf).collect()} == last
