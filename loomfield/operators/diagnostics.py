@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomfield.functions.vectors import as_double, dot, norm, unit
+from loomfield.operators.ranking import running_sums
 
 
 def finite_summary(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -82,8 +83,9 @@ def average_ranks(rows: DataFrame, value: str, out: str) -> DataFrame:
     """rows with the mid-rank of value: ties share the mean of their places. Ranks come from counts of
     the distinct values."""
     counts = rows.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    below = F.coalesce(F.sum("_c").over(W.orderBy("_v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(counts.withColumn(out, below + (F.col("_c") + 1) / 2), F.col(value) == F.col("_v")).drop("_v", "_c")
+    upto = running_sums(counts, [F.col("_v")], {"_upto": F.col("_c")})
+    ranks = upto.select("_v", (F.col("_upto") - (F.col("_c") - 1) / 2).alias(out))
+    return rows.join(ranks, F.col(value) == F.col("_v")).drop("_v")
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -94,21 +96,23 @@ def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 def hubness(neighbours: DataFrame, items: DataFrame, item: str) -> DataFrame:
     """neighbours(item) counts how often each of items is among the nearest of another: skewness of
-    the in-degree, part that never is, part of all links held by the top tenth, and concentration."""
-    degree = items.select(item).join(neighbours.groupBy(item).agg(F.count("*").alias("d")), item, "left").select(item, F.coalesce("d", F.lit(0)).alias("d"))
+    the in-degree, part that never is, part of all links held by the top tenth, and concentration.
+    All follow from the counts of items by degree, a short table."""
+    linked = neighbours.groupBy(item).agg(F.count("*").alias("d"))
+    counts = items.select(item).join(linked, item, "left").groupBy(F.coalesce("d", F.lit(0)).alias("d")).agg(F.count("*").alias("c"))
     whole = W.partitionBy(F.lit(0))
-    order = degree.withColumn("r", F.row_number().over(W.orderBy(F.col("d").desc(), item))).withColumn("n", F.count("*").over(whole))
-    top = F.col("r") <= F.ceil(F.col("n") * 0.1)
-    m = lambda k: F.avg(F.pow(F.col("d") - F.col("mu"), F.lit(k)))
-    return (
-        order.withColumn("mu", F.avg("d").over(whole))
-        .agg(
-            F.count("*").alias("items"),
-            F.when(m(2) > 0, m(3) / F.pow(m(2), F.lit(1.5))).alias("skewness"),
-            F.avg((F.col("d") == 0).cast("double")).alias("never"),
-            (F.sum(F.when(top, F.col("d"))) / F.sum("d")).alias("top_tenth"),
-            (F.sum(F.col("d") * F.col("d")) / (F.sum("d") * F.sum("d"))).alias("concentration"),
-        )
+    n, links = F.sum("c").over(whole), F.sum(F.col("c") * F.col("d")).over(whole)
+    above = F.coalesce(F.sum("c").over(W.orderBy(F.col("d").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = counts.withColumns({"n": n, "mu": links / n, "above": above})
+    top = F.greatest(F.lit(0), F.least("c", F.ceil(F.col("n") * 0.1) - F.col("above")))
+    m = lambda k: F.sum(F.col("c") * F.pow(F.col("d") - F.col("mu"), F.lit(k))) / F.sum("c")
+    all_links = F.sum(F.col("c") * F.col("d"))
+    return rows.agg(
+        F.sum("c").alias("items"),
+        F.when(m(2) > 0, m(3) / F.pow(m(2), F.lit(1.5))).alias("skewness"),
+        (F.sum(F.when(F.col("d") == 0, F.col("c")).otherwise(0)) / F.sum("c")).alias("never"),
+        F.try_divide(F.sum(top * F.col("d")), all_links).alias("top_tenth"),
+        F.try_divide(F.sum(F.col("c") * F.col("d") * F.col("d")), all_links * all_links).alias("concentration"),
     )
 
 

@@ -7,7 +7,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from loomfield.operators.ranking import running_sums
 
 BOX = ["x1", "y1", "x2", "y2"]
 
@@ -80,8 +81,8 @@ def detection_summary(pairs: DataFrame, predicted: int, truth: int, thresholds:
 def average_precision_101(predicted: DataFrame, pairs: DataFrame, truth: int) -> DataFrame:
     """Mean over the recalls 0, 0.01, ..., 1 of the best precision at that recall or more."""
     rows = predicted.join(pairs.select("image", F.col("predicted").alias("id"), F.lit(1).alias("hit")), ["image", "id"], "left")
-    order = W.orderBy(F.col("confidence").desc(), "image", "id").rowsBetween(W.unboundedPreceding, 0)
-    curve = rows.withColumn("tp", F.sum(F.coalesce("hit", F.lit(0))).over(order)).withColumn("k", F.count("*").over(order))
+    order = [F.col("confidence").desc(), F.col("image"), F.col("id")]
+    curve = running_sums(rows, order, {"tp": F.coalesce("hit", F.lit(0)), "k": F.lit(1)})
     # Precision at each count of hits is best where that count is first reached.
     steps = curve.groupBy("tp").agg(F.max(F.col("tp") / F.col("k")).alias("precision")).withColumn("recall", F.col("tp") / truth)
     grid = predicted.sparkSession.range(101).select((F.col("id") / 100).alias("at"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from loomfield.operators.ranking import numbered
+
 
 def relevance_ranks(scores: DataFrame) -> DataFrame:
     """scores(query_id, template_id, score, relevant) with rank and hits so far, best first, ties to
@@ -58,7 +60,7 @@ def score_counts(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def verification_curve(counts: DataFrame) -> DataFrame:
     """Accepts at every threshold (score >= threshold): threshold, tp, fp, tar, far; an infinite
-    threshold accepts nothing."""
+    threshold accepts nothing. Scores carry six digits, so there are at most two million counts."""
     falling = W.orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
     everything = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     top = counts.agg(F.lit(float("inf")).alias("score"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"))
@@ -263,13 +265,13 @@ def cluster_bootstrap(clusters: DataFrame, resamples: int = 200, confidence: flo
     the rate. Bounds are order statistics, or interpolated quantiles. Each resample draws as many
     clusters as there are, numbered by order of cluster; draws are joined to their clusters' sums."""
     spark = clusters.sparkSession
-    numbered = clusters.withColumn("k", F.row_number().over(W.orderBy("cluster")) - 1)
-    n = numbered.count()
+    sums = numbered(clusters, [F.col("cluster")], "k").withColumn("k", F.col("k") - 1)
+    n = sums.count()
     draws = (
         spark.range(resamples).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))).alias("d"))
         .withColumn("k", hash_draw(seed, F.col("r"), F.col("d"), F.lit(n)))
     )
-    rates = draws.join(numbered, "k").groupBy("r").agg((F.sum("events") / F.sum("trials")).alias("rate"))
+    rates = draws.join(sums, "k").groupBy("r").agg((F.sum("events") / F.sum("trials")).alias("rate"))
     tail = (1 - confidence) / 2
     if interpolate:
         bounds = rates.agg(F.expr(f"percentile(rate, {tail})").alias("lo"), F.expr(f"percentile(rate, {1 - tail})").alias("hi"))

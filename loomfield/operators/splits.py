@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomfield.functions.scalars import stable_rank
+from loomfield.operators.ranking import numbered
 
 
 def hash_folds(groups: DataFrame, key: str, folds: int, seed: str, by: list[str] | None = None) -> DataFrame:
     """groups (one row for each key) with fold: hash rank within `by`, modulo folds."""
-    order = W.partitionBy(*(by or [F.lit(0)])).orderBy(stable_rank(F.lit(seed), F.col(key).cast("string")), key)
-    return groups.withColumn("fold", (F.row_number().over(order) - 1) % folds)
+    order = [stable_rank(F.lit(seed), F.col(key).cast("string")), F.col(key)]
+    return numbered(groups, order, "_k", by).withColumn("fold", ((F.col("_k") - 1) % folds).cast("int")).drop("_k")
 
 
 def fold_roles(rows: DataFrame, test: int, folds: int, dev_offset: int = 1) -> DataFrame:
@@ -37,13 +38,12 @@ def hierarchical_weights(rows: DataFrame, dataset: str, identity: str) -> DataFr
 
 def dev_identities(rows: DataFrame, key: str, fraction: float, seed: str) -> DataFrame:
     """Distinct keys with role DEV for the first round(n * fraction) in hash order, at least one and
-    at most all but one, TRAIN for the rest. The cut is an order statistic of the hashes."""
-    keys = rows.select(key).distinct().withColumn("h", stable_rank(F.lit(seed), F.col(key).cast("string")))
+    at most all but one, TRAIN for the rest."""
+    keys = rows.select(key).distinct()
     n = keys.count()
     take = max(1, min(n - 1, int(n * fraction + 0.5)))
-    cut = keys.orderBy("h", key).limit(take).agg(F.max(F.struct("h", key)).alias("cut"))
-    dev = F.struct("h", key) <= F.col("cut")
-    return keys.crossJoin(F.broadcast(cut)).select(key, F.when(dev, "DEV").otherwise("TRAIN").alias("role"))  # cut is one row
+    placed = numbered(keys, [stable_rank(F.lit(seed), F.col(key).cast("string")), F.col(key)], "_k")
+    return placed.select(key, F.when(F.col("_k") <= take, "DEV").otherwise("TRAIN").alias("role"))
 
 
 def gallery_and_queries(rows: DataFrame, identity: str, unit: str, seed: str) -> DataFrame:
