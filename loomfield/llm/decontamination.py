@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomfield.llm.common import materialize
+from loomfield.llm.common import bounded_batches, materialize
 
 #: Upper-case ASCII to lower case, every other ASCII byte but digits and letters to a blank. Bytes
 #: of 0x80 and more belong to words.
@@ -67,6 +67,7 @@ def _segment(ids: list, lengths: list[int], coded: list[np.ndarray], terms: _Int
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_words: int = 1 << 19) -> DataFrame:
     """Index segments of all words of all rows, stored in the shared folder."""
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     schema = T.StructType(
         [

@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomfield.llm.common import bounded_batches
+
 _RUNS = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Words in a block of the forward-backward recursion.
@@ -101,7 +103,7 @@ class Crf:
         out[known >= 0] += self.lexical[known[known >= 0]]
         return out
 
-    def unary(self, texts: list[list[str]], max_words: int = 300_000) -> np.ndarray:
+    def unary(self, texts: list[list[str]], max_words: int = 150_000) -> np.ndarray:
         """Scores of all words of all texts. Distinct words are scored once while they are held."""
         if len(self._index) > max_words or self._scores is None:
             self._index, self._scores = {}, np.empty((0, len(self.labels)))
@@ -300,10 +302,20 @@ def _held(sent) -> Crf:
     return _MODELS[sent.value[0]]
 
 
-def predict(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text", texts_at_once: int = 128) -> DataFrame:
-    """(id_col, lang_pred, score) for every row of docs."""
+def tagged(
+    docs: DataFrame,
+    model: Crf,
+    text_col: str = "text",
+    keep: list[str] | None = None,
+    added: tuple[str, str] = ("lang_pred", "score"),
+    texts_at_once: int = 128,
+) -> DataFrame:
+    """Every row of docs with its columns (or those in keep), its predicted language and its score
+    under the added names, which docs must not have."""
+    bounded_batches(docs.sparkSession)
+    names = list(docs.columns if keep is None else keep)
     schema = T.StructType(
-        [T.StructField("id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+        [docs.schema[c] for c in names] + [T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())]
     )
     sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model))
 
@@ -312,17 +324,23 @@ def predict(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for at in range(0, batch.num_rows, texts_at_once):
                 part = batch.slice(at, texts_at_once)
-                own = [letter_words(x.as_py()) for x in part.column(1)] if crf.labels else [[]] * part.num_rows
+                texts = part.column(part.num_columns - 1 if text_col not in names else names.index(text_col))
+                own = [letter_words(x.as_py()) for x in texts] if crf.labels else [[]] * part.num_rows
                 some = [k for k, x in enumerate(own) if x]
                 pred, score = ["und"] * len(own), [0.0] * len(own)
                 for k, p in zip(some, crf.marginals([own[k] for k in some]) if some else [], strict=True):
                     mean = p.mean(axis=0)
                     best = int(mean.argmax())
                     pred[k], score[k] = crf.labels[best], min(1.0, float(mean[best]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=schema.names)
+                columns = [*part.columns[: len(names)], pa.array(pred, pa.string()), pa.array(score, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(*names, *([] if text_col in names else [text_col])).mapInArrow(run, schema)
+
+
+def predict(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, lang_pred, score) for every row of docs."""
+    return tagged(docs, model, text_col, keep=[id_col])
 
 
 def label_words(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

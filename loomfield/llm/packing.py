@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomfield.llm.common import materialize
+from loomfield.llm.common import bounded_batches, materialize
 
 
 def token_pieces(
@@ -33,9 +33,10 @@ def token_pieces(
     text_col: str = "text",
     capacity: int = 4096,
     end_id: int = 1,
-    texts_at_once: int = 1024,
+    texts_at_once: int = 256,
 ) -> DataFrame:
     """Stored pieces (key, id, piece, start, length, ids): ids are little-endian unsigned 32-bit."""
+    bounded_batches(docs.sparkSession)
     schema = T.StructType(
         [
             T.StructField("id", docs.schema[id_col].dataType),

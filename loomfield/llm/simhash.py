@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomfield.llm.common import materialize
+from loomfield.llm.common import bounded_batches, materialize
 from loomfield.llm.components import connected_components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -67,6 +67,7 @@ def fingerprint(text: bytes | None, size: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
     """(id, fp): the fingerprint of every row as a signed 64-bit integer."""
+    bounded_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

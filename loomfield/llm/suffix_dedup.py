@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomfield.llm.common import has_repeats, materialize
+from loomfield.llm.common import bounded_batches, has_repeats, materialize
 from loomfield.llm.hashing import prefix_hashes, substring_hashes
 
 _LOW = np.uint64((1 << 24) - 1)
@@ -184,6 +184,7 @@ def remove_repeats(
     remaining bytes as kept (null unless texts is set)."""
     if keep not in ("none", "first"):
         raise ValueError(f"keep is {keep!r}; it may be 'none' or 'first'")
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     if isinstance(id_type, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)) and not has_repeats(rows, "id"):
