@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomfield.llm.common import has_repeats, shared_dir
 from loomfield.llm.decontamination import contamination
-from loomfield.llm.language import fit, predict
+from loomfield.llm.language import fit, tagged
 from loomfield.llm.queries import packing_digests
 from loomfield.llm.secrets import BlobLedger, redacted
 from loomfield.llm.simhash import simhash_groups
@@ -25,9 +25,8 @@ MIN_LANGUAGE_SCORE = 0.35
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no language that the model knows go: those without a letter, or with a low score."""
-    found = predict(docs.withColumn("_row", F.struct(*docs.columns)), fit(docs), id_col="_row")
-    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return kept.select("_row.*")
+    found = tagged(docs, fit(docs), added=("_language", "_probability"))
+    return found.filter((F.col("_language") != "und") & (F.col("_probability") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +50,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; no document goes."""
     found = BlobLedger(spark).scan(docs).filter(F.size("spans") > 0)
-    marks = found.select(F.col("blob").alias("_blob"), "spans").dropDuplicates(["_blob"])
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("spans")))
-    joined = docs.join(marks, F.sha2("text", 256) == F.col("_blob"), "left").withColumn("text", text)
+    marks = found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_blob"])
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("_spans")))
+    # Hashed, not sorted: whole texts are not held for a sort.
+    joined = docs.join(marks.hint("shuffle_hash"), F.sha2("text", 256) == F.col("_blob"), "left").withColumn("text", text)
     return joined.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
