@@ -1,37 +1,14 @@
-"""Shared storage for tables that cut lineage, and small column helpers."""
+"""Stored tables that cut lineage, and small column helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset, local sessions get one of their own;
-    any other session is refused, since its executors could not see the driver's folder."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="loomfield-shared-")
-    return _OWN[app]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: later jobs start from
-    files that every executor sees, whatever executors are lost meanwhile."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from loomfield.storage import shared_dir
+from loomfield.storage import stored as materialize
+
+__all__ = ["ascii_lower", "bounded_batches", "has_repeats", "materialize", "shared_dir"]
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:

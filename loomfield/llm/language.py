@@ -103,7 +103,7 @@ class Crf:
         out[known >= 0] += self.lexical[known[known >= 0]]
         return out
 
-    def unary(self, texts: list[list[str]], max_words: int = 150_000) -> np.ndarray:
+    def unary(self, texts: list[list[str]], max_words: int = 250_000) -> np.ndarray:
         """Scores of all words of all texts. Distinct words are scored once while they are held."""
         if len(self._index) > max_words or self._scores is None:
             self._index, self._scores = {}, np.empty((0, len(self.labels)))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomfield.llm.common import bounded_batches, materialize
-from loomfield.llm.components import connected_components
+from loomfield.operators.graph import connected_components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BLANKS = b" \t\n\x0b\x0c\r"

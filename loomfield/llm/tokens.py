@@ -47,7 +47,7 @@ class WordTokenizer:
     """Encodes batches of texts to little-endian unsigned 32-bit ids. A word's ids do not depend on
     its neighbours, so each is encoded once while the cache (at most max_words words) holds it."""
 
-    def __init__(self, path: str, max_words: int = 300_000):
+    def __init__(self, path: str, max_words: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from loomfield.llm import chat, packing, sharding, simhash, topk
-from loomfield.llm.components import connected_components
+from loomfield.operators.graph import connected_components
 from loomfield.llm.queries import packing_digests, tokenizer_path
 
 
