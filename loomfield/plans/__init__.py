@@ -6,7 +6,7 @@ from loomfield.plans.registering import ORACLES, QUERIES
 
 
 def _load() -> None:
-    from loomfield.plans import evidence, panels, retrieval, series  # noqa: F401
+    from loomfield.plans import evidence, panels, retrieval, rules, series  # noqa: F401
 
 
 def queries() -> dict:

@@ -182,3 +182,35 @@ def test_matching_and_suppression(spark):
     assert {(r.predicted, r.truth) for r in Z.matched(p, t, 0.5, by_confidence=True).collect()} == {(1, 2), (3, 3)}
     assert {r.id for r in Z.suppressed(p).collect()} == {1, 3}
     assert [(r.tp, r.precision) for r in Z.detection_summary(Z.matched(p, t, 0.5), 3, 2, (0.5,)).collect()] == [(2, 2 / 3)]
+
+
+def test_consensus_matches_numpy(spark):
+    from loomfield.operators.decisions import consensus
+
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(30, 4)) * 0.2 + np.array([1.0, 0, 0, 0])
+    v[[3, 17]] = [[-1, 0, 0, 0.1], [0, -1, 0.2, 0]]
+    q = np.round(rng.random(30), 3)
+    df = spark.createDataFrame([(0, k, [float(x) for x in v[k]], float(q[k])) for k in range(30)], "g int, i int, v array<double>, q double")
+    r = consensus(df, "v", "q", "g", "i").first()
+    u, w = v / np.linalg.norm(v, axis=1)[:, None], np.maximum(q, 1e-6)
+    m = (u * w[:, None]).sum(0)
+    c = u @ (m / np.linalg.norm(m))
+    mad = np.median(abs(c - np.median(c)))
+    ok = c >= np.median(c) - 2.5 * max(mad, 0.02)
+    m = (u[ok] * w[ok, None]).sum(0)
+    m /= np.linalg.norm(m)
+    assert r.accepted == ok.sum() < 30 and np.allclose(r["mean"], m)
+    assert np.isclose(r.dispersion, (w[ok] * (1 - u[ok] @ m)).sum() / w[ok].sum())
+
+
+def test_places_over_many_partitions(spark):
+    from loomfield.operators.ranking import numbered, running_sums
+
+    rows = spark.range(500).select((F.col("id") * 7919 % 503).alias("k"), (F.col("id") % 3).alias("g"), (F.col("id") % 5).alias("x"))
+    got = sorted(running_sums(rows, [F.col("k")], {"s": F.col("x")}).collect(), key=lambda r: r.k)
+    assert [r.s for r in got] == list(np.cumsum([r.x for r in got]))
+    by = numbered(rows, [F.col("k").desc()], "n", ["g"]).collect()
+    for g in range(3):
+        own = sorted((r for r in by if r.g == g), key=lambda r: -r.k)
+        assert [r.n for r in own] == list(range(1, len(own) + 1))
