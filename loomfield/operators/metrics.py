@@ -230,12 +230,12 @@ def fused(scores: Column, weights: Column, available: Column | None = None, qual
 
 def fit_simplex(rows: DataFrame, channels: int, resolution: int = 10, l2: float = 1e-3) -> DataFrame:
     """rows(scores, label) -> (weights, loss): the grid point with the least mean squared error plus
-    l2 times its squared length; ties to the first in order of weights. The grid is fixed by its
-    resolution, so it is broadcast; the table is read once."""
-    grid = rows.sparkSession.createDataFrame([(w,) for w in simplex_grid(channels, resolution)], "weights array<double>")
+    l2 times its squared length; ties to the first in order of weights. Rows are evaluated at every
+    point of the grid, whose size is fixed by its resolution, and summed before the shuffle."""
+    grid = F.array(*[F.array(*map(F.lit, w)) for w in simplex_grid(channels, resolution)])
     error = F.pow(fused(F.col("scores"), F.col("weights")) - F.col("label"), F.lit(2))
     length = F.aggregate("weights", F.lit(0.0), lambda s, x: s + x * x)
-    loss = rows.crossJoin(F.broadcast(grid)).groupBy("weights").agg(F.avg(error).alias("mse"))
+    loss = rows.withColumn("weights", F.explode(grid)).groupBy("weights").agg(F.avg(error).alias("mse"))
     return loss.withColumn("loss", F.round(F.col("mse") + l2 * length, 9)).orderBy("loss", "weights").limit(1).select("weights", "loss")
 
 

@@ -2,8 +2,8 @@
 
 A fingerprint is cut into equal blocks. Within a radius r over m blocks, two fingerprints differ by
 at most r // m bits in some block, so probing every block value within that distance of a block finds
-all pairs. Fingerprints with equal bits are joined once, by representative; pairs of copies follow by
-membership.
+all pairs. representatives() takes copies out first: pairs are then sought between kinds, and copies
+follow by membership.
 """
 
 from __future__ import annotations
@@ -38,6 +38,14 @@ def _keys(k: int, masks: Column) -> Column:
     return F.transform(masks, lambda m: F.struct(F.lit(k).alias("block"), own.bitwiseXOR(m).alias("value")))
 
 
+def representatives(fingerprints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """fingerprints(id, orientations) of each kind once, under its least id, and (representative,
+    member) of all."""
+    kinds = fingerprints.groupBy("orientations").agg(F.min("id").alias("representative"))
+    members = fingerprints.join(kinds, "orientations").select("representative", F.col("id").alias("member"))
+    return kinds.select(F.col("representative").alias("id"), "orientations"), members
+
+
 def near_pairs(fingerprints: DataFrame, words: int, radius: int, width: int = 16) -> DataFrame:
     """fingerprints(id, orientations array<struct<o, words array<long>>>): `words` blocks of `width`
     bits in each orientation. Returns (left_id, right_id, distance, left_o, right_o), left_id <

@@ -100,6 +100,15 @@ def test_spread_bits_are_found_up_to_the_radius(spark, flips, found):
     assert got == ([("a", "b", flips)] if found else [])
 
 
+def test_copies_are_joined_once(spark):
+    rows = [(k, [(0, [5])]) for k in range(9)] + [(20, [(0, [4])]), (21, [(0, [4])])]
+    df = spark.createDataFrame(rows, "id int, orientations array<struct<o: int, words: array<long>>>")
+    kinds, members = N.representatives(df)
+    pairs = N.near_pairs(kinds, words=1, radius=1)
+    assert [(r.left_id, r.right_id) for r in pairs.collect()] == [(0, 20)] and members.count() == 11
+    assert N.expanded_pairs(pairs.select("left_id", "right_id", "distance"), members).count() == 18
+
+
 def test_wide_fingerprints_with_orientations(spark):
     rng = np.random.default_rng(3)
     rows, prints = [], {}
