@@ -19,8 +19,9 @@ from loomfield.llm.queries import packing_digests
 from loomfield.llm.secrets import BlobLedger, redacted
 from loomfield.llm.simhash import simhash_groups
 
-#: A document whose likeliest language has less than this mean marginal probability has none.
-MIN_LANGUAGE_SCORE = 0.35
+#: A document whose likeliest language has less than this mean marginal probability is in none; texts that
+#: mix three known languages evenly stay above it.
+MIN_LANGUAGE_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
