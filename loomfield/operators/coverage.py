@@ -1,5 +1,8 @@
-"""Time series: sample-and-hold coverage, runs, gap audits, integration and interval unions. Each
-works on the sorted rows of one stream (a camera, a device), which is a window partition."""
+"""Time series: sample-and-hold coverage, runs, gap audits, integration and interval unions.
+
+What a row needs of its neighbours in a stream (a camera, a device) comes by place, not by a window
+over the stream, so one stream may hold most of the rows. Rows without a stream take no part.
+"""
 
 from __future__ import annotations
 
@@ -7,18 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from loomfield.operators.ranking import beside, running_sums
+
 
 def held(rows: DataFrame, stream: str, time: str, max_hold: int, period: int) -> DataFrame:
     """rows with `held` (how long each observation stands: to the next one, max_hold at most; the last
     one a period) and `gap` (time to the next beyond that). Times are integers, alike in unit."""
-    to_next = F.coalesce(F.lead(time).over(W.partitionBy(stream).orderBy(time)) - F.col(time), F.lit(period))
-    return rows.withColumn("_to", to_next).withColumn("held", F.least("_to", F.lit(max_hold))).withColumn("gap", F.col("_to") - F.col("held")).drop("_to")
+    paired = beside(rows, [stream], [F.col(time)], 1, {"_next": time})
+    to_next = F.coalesce(F.col("_next") - F.col(time), F.lit(period))
+    return paired.withColumn("_to", to_next).drop("_next").withColumn("held", F.least("_to", F.lit(max_hold))).withColumn("gap", F.col("_to") - F.col("held")).drop("_to")
 
 
 def order_breaches(rows: DataFrame, stream: str, arrival: str, time: str) -> DataFrame:
     """Rows that arrive no later in time than the row before them in their stream."""
-    before = F.lag(time).over(W.partitionBy(stream).orderBy(arrival))
-    return rows.withColumn("before", before).filter(F.col(time) <= F.col("before"))
+    return beside(rows, [stream], [F.col(arrival)], -1, {"before": time}).filter(F.col(time) <= F.col("before"))
 
 
 def three_valued(conditions: list[Column], inputs: list[Column]) -> Column:
@@ -44,13 +49,14 @@ def runs(rows: DataFrame, stream: str, time: str, usable: Column, key: Column, l
     """Runs of usable rows of one key: (stream, key, start, rows, duration) of those whose held time is
     at least `least`. A run ends at a row that is not usable or has no key, at another key, and after
     a row with a gap beyond its hold."""
-    order = W.partitionBy(stream).orderBy(time)
-    ok = usable & key.isNotNull()
-    marked = rows.withColumn("_ok", F.coalesce(ok, F.lit(False))).withColumn("_k", key)
-    starts = ~(F.coalesce(F.lag("_ok").over(order), F.lit(False)) & F.lag("_k").over(order).eqNullSafe(F.col("_k")) & (F.lag("gap").over(order) == 0))
-    numbered = marked.withColumn("_new", starts).withColumn("_run", F.sum(F.col("_new").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    marked = rows.withColumn("_ok", F.coalesce(usable & key.isNotNull(), F.lit(False))).withColumn("_k", key)
+    paired = beside(marked, [stream], [F.col(time)], -1, {"_was_ok": "_ok", "_was_k": "_k", "_was_gap": "gap"})
+    goes_on = F.coalesce(F.col("_was_ok"), F.lit(False)) & F.col("_was_k").eqNullSafe(F.col("_k")) & (F.col("_was_gap") == 0)
+    # Every stream begins with a new run, so one count over all streams tells runs apart.
+    order = [F.col(stream), F.col(time)]
+    counted = running_sums(paired, order, {"_run": F.when(goes_on, 0).otherwise(1)})
     return (
-        numbered.filter("_ok")
+        counted.filter("_ok")
         .groupBy(stream, "_run", F.col("_k").alias("key"))
         .agg(F.min(time).alias("start"), F.count("*").alias("rows"), F.sum("held").alias("duration"))
         .filter(F.col("duration") >= least)
@@ -61,9 +67,8 @@ def runs(rows: DataFrame, stream: str, time: str, usable: Column, key: Column, l
 def gap_audit(rows: DataFrame, stream: str, arrival: str, time: str, period: int) -> DataFrame:
     """Per stream, in order of arrival: frames, nulls, inversions, duplicates, missing frames (each
     positive gap, rounded to whole periods, less one), largest gap. A null time is skipped."""
-    timed = rows.filter(F.col(time).isNotNull())
-    gap = F.col(time) - F.lag(time).over(W.partitionBy(stream).orderBy(arrival))
-    g = timed.withColumn("g", gap)
+    timed = rows.select(stream, arrival, time).filter(F.col(time).isNotNull())
+    g = beside(timed, [stream], [F.col(arrival)], -1, {"_before": time}).withColumn("g", F.col(time) - F.col("_before"))
     missed = F.greatest(F.lit(0), F.floor((F.col("g") + period // 2) / period) - 1)
     audit = g.groupBy(stream).agg(
         F.count("*").alias("frames"),
@@ -79,9 +84,9 @@ def gap_audit(rows: DataFrame, stream: str, arrival: str, time: str, period: int
 def integral(rows: DataFrame, stream: str, time: str, value: str) -> DataFrame:
     """Mean, maximum and trapezoid integral of value over time per stream; a step counts only if both
     its ends have a value."""
-    order = W.partitionBy(stream).orderBy(time)
-    step = (F.col(value) + F.lag(value).over(order)) / 2 * (F.col(time) - F.lag(time).over(order))
-    return rows.withColumn("_s", step).groupBy(stream).agg(
+    paired = beside(rows.select(stream, time, value), [stream], [F.col(time)], -1, {"_t": time, "_v": value})
+    step = (F.col(value) + F.col("_v")) / 2 * (F.col(time) - F.col("_t"))
+    return paired.withColumn("_s", step).groupBy(stream).agg(
         F.avg(value).alias("mean"), F.max(value).alias("max"), F.coalesce(F.sum("_s"), F.lit(0.0)).alias("integral")
     )
 

@@ -37,3 +37,12 @@ def numbered(rows: DataFrame, order: list[Column], name: str, by: list[str] | No
     placed = running_sums(rows, [F.col(c) for c in by] + order, {"_n": F.lit(1)})
     first = placed.groupBy(*by).agg(F.min("_n").alias("_first"))
     return placed.join(first, by).withColumn(name, F.col("_n") - F.col("_first") + 1).drop("_n", "_first")
+
+
+def beside(rows: DataFrame, by: list[str], order: list[Column], step: int, columns: dict[str, str]) -> DataFrame:
+    """rows with, for each new name in columns, that column of the row `step` places on in its group's
+    order (-1: the one before; null at the ends). Rows meet by group and place, which is a key of one
+    row, so a group may hold most of the table. Rows without a group are left out."""
+    placed = stored(numbered(rows.dropna(subset=by), order, "_place", by), "placed")
+    other = placed.select(*by, (F.col("_place") - step).alias("_place"), *[F.col(c).alias(n) for n, c in columns.items()])
+    return placed.join(other, [*by, "_place"], "left").drop("_place")
