@@ -64,14 +64,14 @@ def registry_binding(t):
 
 
 @query("""WITH s AS (SELECT l_shipdate::DATE AS d, l_orderkey AS pair, CASE l_linenumber WHEN 1 THEN 'ORIGINAL' WHEN 2 THEN 'BLUR' ELSE 'CROP' END AS kind, l_linenumber AS n, l_orderkey % 2 AS label, l_orderkey % 5 AS panel, l_extendedprice AS score FROM lineitem WHERE l_linenumber <= 3)
-SELECT a.panel, a.kind, a.label, count(*) AS pairs, round(avg(a.score - o.score), 4) AS delta FROM s a JOIN s o ON a.panel = o.panel AND a.pair = o.pair AND a.kind <> 'ORIGINAL' AND o.kind = 'ORIGINAL' GROUP BY 1, 2, 3""")
+SELECT a.panel, a.kind, a.label, count(*) AS pairs, round(avg(a.score - o.score), 7) AS delta FROM s a JOIN s o ON a.panel = o.panel AND a.pair = o.pair AND a.kind <> 'ORIGINAL' AND o.kind = 'ORIGINAL' GROUP BY 1, 2, 3""")
 def control_deltas(t):
     n = F.col("l_linenumber")
     rows = t("lineitem").filter(n <= 3).select(
         (F.col("l_orderkey") % 5).alias("panel"), F.col("l_orderkey").alias("pair"), F.when(n == 1, "ORIGINAL").when(n == 2, "BLUR").otherwise("CROP").alias("kind"),
         (F.col("l_orderkey") % 2).alias("label"), F.col("l_extendedprice").alias("score"),
     )
-    return rounded(E.control_deltas(rows), "delta", digits=4)
+    return rounded(E.control_deltas(rows), "delta", digits=7)
 
 
 @query("""WITH o AS (SELECT o_custkey, o_orderpriority AS c, min((sha256('panel' || chr(31) || o_orderkey), o_orderkey)) AS b FROM orders GROUP BY 1, 2
