@@ -84,7 +84,8 @@ def _found(rule: Rule, matches: Column) -> Column:
 
 
 def scan_texts(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, rule, kind, start, end) for blobs(blob, text, todo): todo lists the rules to run."""
+    """(blob, rule, kind, start, end) for blobs(blob, text, todo): todo lists the rules to run. Rows of
+    one blob are alike and count once."""
     todo = lambda r: F.array_contains("todo", r.key)
     hits = blobs.select(
         "blob",
@@ -97,6 +98,8 @@ def scan_texts(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     each = F.flatten(F.array_compact(F.array(*[_found(r, F.col(f"m{k}")) for k, r in enumerate(rules)])))
     # The outer form keeps the optimizer from testing the matches, and so finding them, twice.
     rows = hits.select("blob", F.posexplode_outer(each).alias("n", "f")).select("blob", "n", "f.*").filter("size IS NOT NULL")
+    # A blob that came in several rows has each match as often; ends are sums over one row a match.
+    rows = rows.dropDuplicates(["blob", "rule", "n"])
     end = F.sum((F.col("gap") + F.col("size")).cast("long")).over(
         W.partitionBy("blob", "rule").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
     )
@@ -155,7 +158,7 @@ class BlobLedger:
         if todo.take(1):
             one = todo.withColumnRenamed("id", "at").withColumnRenamed("blob", "want").hint("shuffle_hash")
             unseen = texts.join(one, (F.col("blob") == F.col("want")) & F.col("id").eqNullSafe(F.col("at")))
-            found = scan_texts(unseen.select("blob", "text", "todo"), rules).distinct()
+            found = scan_texts(unseen.select("blob", "text", "todo"), rules)
             found.select(F.lit(batch).alias("batch"), *_FINDINGS.names[1:]).write.mode("append").parquet(f"{self.path}/findings")
             pairs = todo.select(F.lit(batch).alias("batch"), "blob", F.explode("todo").alias("rule"))
             pairs.write.mode("append").parquet(f"{self.path}/scans")
