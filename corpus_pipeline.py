@@ -1,8 +1,8 @@
 """The corpus pipeline: language ID, near-duplicates, decontamination, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; all but the last return the columns
-of documents. Decisions of the stages depend on a row's text (and, for near-duplicates, its id), so
-rows that are equal are decided alike.
+of documents. Decisions of the stages depend on a row's text, so rows that are equal are decided alike;
+near-duplicates also depend on its id, and of equal rows one stays.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.llm.common import has_repeats, shared_dir
+from loomfield.llm.common import has_repeats, materialize, shared_dir
 from loomfield.llm.decontamination import contamination
 from loomfield.llm.language import fit, tagged
 from loomfield.llm.queries import packing_digests
@@ -31,13 +31,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document with the least id stays; of rows that repeat that id, one.
-    Documents without an id count as one group member after all others."""
-    groups = simhash_groups(docs)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first"))
-    repeats = has_repeats(docs, "doc_id")
-    kept = docs.join(first.distinct() if repeats else first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if repeats else kept
+    """Of each SimHash group the document with the least id stays, one without an id only where none has
+    one. Where ids are null or repeat, rows are told apart by a stored number of their own."""
+    if not has_repeats(docs, "doc_id"):
+        first = simhash_groups(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_first"))
+        return docs.join(first, F.col("doc_id") == F.col("_first"), "left_semi")
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = simhash_groups(rows.select("_row", "text"), id_col="_row").select("_row", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_row")
+    first = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_first"))
+    return rows.join(first, F.col("_row") == F.col("_first"), "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -167,6 +167,17 @@ def test_pipeline_stages(spark, odd, nothing):
     assert tokenizer_path().endswith(".json")
 
 
+def test_near_duplicates_keep_one_of_each_group_whatever_the_ids(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(60)) for _ in range(8)]
+    ids = [None, None, None, 7, 7, 7, 8, None]
+    copies = [(None, texts[0]), (9, texts[1]), (7, texts[2]), (1, texts[3]), (7, texts[4]), (2, texts[7]), (8, texts[7])]
+    docs = spark.createDataFrame([*zip(ids, texts, strict=True), *copies], "doc_id long, text string").repartition(5)
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    least = [None, 9, 7, 1, 7, 7, 8, 2]
+    assert kept == Counter(zip(least, texts, strict=True))
+
+
 def test_pipeline_against_its_parts(spark):
     """Every stage's decision again, from its operator's rows, on the smallest tables."""
     sf = "/root/testdata/sf0.001"
