@@ -19,15 +19,13 @@ from loomfield.llm.queries import packing_digests
 from loomfield.llm.secrets import BlobLedger, redacted
 from loomfield.llm.simhash import simhash_groups
 
-#: A document whose likeliest language has less than this mean marginal probability is in none; texts that
-#: mix three known languages evenly stay above it.
-MIN_LANGUAGE_SCORE = 0.3
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language that the model knows go: those without a letter, or with a low score."""
-    found = tagged(docs, fit(docs), added=("_language", "_probability"))
-    return found.filter((F.col("_language") != "und") & (F.col("_probability") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    """Documents in no language that the model knows go: those without a letter, or with less support by the
+    words of training texts than texts in their languages have. Mixtures of known languages stay."""
+    model = fit(docs, support=True)
+    found = tagged(docs, model, added=("_language", "_score", "_support"))
+    return found.filter((F.col("_language") != "und") & (F.col("_support") >= model.least_support)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

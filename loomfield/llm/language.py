@@ -11,6 +11,10 @@ language, the least by a hash of the id. Every other document of the sample buil
 rest train the weights, also in mixed sequences whose language switches, so that transitions are
 learned from code-switched text.
 
+Marginals sum to one over the known labels, whatever the text. Whether it is in any of them is told by
+its support: the share of its words' pieces (four letters, word ends among them) that training texts
+have. least_support is half of what all but 2 in 100 training texts reach on the pieces of the others.
+
 Nulls, empties: a text that is null or has no letter is `und` with score 0, and so is every text if
 no labelled row exists. Labels that are null are not learned from. Repeated rows are returned each.
 Empty tables give empty results. Extra columns are ignored.
@@ -37,6 +41,8 @@ _RUNS = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Words in a block of the forward-backward recursion.
 _BLOCK = 64
+#: Letters in a piece of a word, and pieces that each text is granted, so that a word or two decide nothing.
+_PIECE, _GRANTED = 4, 4
 
 
 def letter_words(text: str | None) -> list[str]:
@@ -49,6 +55,35 @@ def letter_words(text: str | None) -> list[str]:
     return own
 
 
+def word_pieces(word: str) -> set[str]:
+    w = f"^{word}$"
+    return {w[k : k + _PIECE] for k in range(max(1, len(w) - _PIECE + 1))}
+
+
+def text_support(words: list[str], pieces: frozenset[str], held: dict[str, tuple[int, int]], max_words: int = 250_000) -> float:
+    """Share of the words' pieces that are in pieces; held keeps (known, all) of words between texts."""
+    if len(held) > max_words:
+        held.clear()
+    known = total = _GRANTED
+    for w, n in Counter(words).items():
+        if (x := held.get(w)) is None:
+            own = word_pieces(w)
+            x = held[w] = (len(own & pieces), len(own))
+        known += n * x[0]
+        total += n * x[1]
+    return known / total
+
+
+def training_support(texts: list[list[str]]) -> tuple[frozenset[str], float]:
+    """The pieces of texts, and the least support of a text in their languages."""
+    halves = texts[::2], texts[1::2]
+    seen = [frozenset(x for w in {w for own in half for w in own} for x in word_pieces(w)) for half in halves]
+    if not all(halves):
+        return seen[0] | seen[1], 0.0
+    cross = [text_support(own, other, held) for half, other, held in zip(halves, seen[::-1], ({}, {}), strict=True) for own in half]
+    return seen[0] | seen[1], 0.5 * float(np.quantile(cross, 0.02))
+
+
 def _hash(codes: np.ndarray, at: np.ndarray, size: int, salt: int) -> np.ndarray:
     h = np.full(len(at), salt, np.uint64)
     for k in range(size):
@@ -88,11 +123,17 @@ class Crf:
     transitions: np.ndarray
     lexical: np.ndarray
     lexicon: dict[str, int]
+    pieces: frozenset[str] = field(default=frozenset(), repr=False)
+    least_support: float = 0.0
     _index: dict = field(default_factory=dict, repr=False)
+    _held: dict = field(default_factory=dict, repr=False)
     _scores: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return {**self.__dict__, "_index": {}, "_scores": None}
+        return {**self.__dict__, "_index": {}, "_held": {}, "_scores": None}
+
+    def support(self, words: list[str]) -> float:
+        return text_support(words, self.pieces, self._held)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         feature, row = word_features(words, len(self.weights))
@@ -206,8 +247,9 @@ def _mixed(texts: list[list[int]], labels: list[int], rng: np.random.Generator,
     return rows, tags
 
 
-def train(sample: list[tuple[str, str]], buckets: int = 1 << 17, rounds: int = 25, rate: float = 0.5, decay: float = 1e-6) -> Crf:
-    """A model from (text, label) pairs, by Adagrad on the conditional likelihood."""
+def train(sample: list[tuple[str, str]], buckets: int = 1 << 17, rounds: int = 25, rate: float = 0.5, decay: float = 1e-6, support: bool = False) -> Crf:
+    """A model from (text, label) pairs, by Adagrad on the conditional likelihood; with support, also the
+    pieces of the training texts and least_support."""
     labels = sorted({label for _, label in sample})
     m, number = len(labels), {x: k for k, x in enumerate(labels)}
     texts = [(own, number[label]) for text, label in sample if (own := letter_words(text))]
@@ -217,6 +259,8 @@ def train(sample: list[tuple[str, str]], buckets: int = 1 << 17, rounds: int = 2
             seen.setdefault(w, Counter())[label] += 1
     lexicon = {w: c.most_common(1)[0][0] for w, c in seen.items() if len(c) == 1 and c.total() >= 3}
     model = Crf(labels, np.zeros((buckets, m), np.float32), np.zeros((m, m)), np.zeros((m, m)), lexicon)
+    if support:
+        model.pieces, model.least_support = training_support([own for own, _ in texts])
     learn = texts[1::2] or texts
     if not learn or m < 2:
         return model
@@ -266,6 +310,7 @@ def fit(
     label_col: str = "lang",
     per_language: int = 120,
     max_chars: int = 4_000_000,
+    support: bool = False,
 ) -> Crf:
     """A model from the labelled rows of docs that are not held out: per_language whole documents of
     each label, of max_chars in all (whole documents beyond that are left out of the sample)."""
@@ -288,7 +333,7 @@ def fit(
             taken[r.label] += 1
             chars -= len(r.text)
             sample.append((r.text, r.label))
-    return train(sample)
+    return train(sample, support=support)
 
 
 _MODELS: dict[str, Crf] = {}
@@ -307,15 +352,15 @@ def tagged(
     model: Crf,
     text_col: str = "text",
     keep: list[str] | None = None,
-    added: tuple[str, str] = ("lang_pred", "score"),
+    added: tuple[str, ...] = ("lang_pred", "score"),
     texts_at_once: int = 128,
 ) -> DataFrame:
     """Every row of docs with its columns (or those in keep), its predicted language and its score
-    under the added names, which docs must not have."""
+    under the added names, which docs must not have; a third name gets its support."""
     bounded_batches(docs.sparkSession)
     names = list(docs.columns if keep is None else keep)
     schema = T.StructType(
-        [docs.schema[c] for c in names] + [T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())]
+        [docs.schema[c] for c in names] + [T.StructField(added[0], T.StringType())] + [T.StructField(c, T.DoubleType()) for c in added[1:]]
     )
     sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model))
 
@@ -333,6 +378,8 @@ def tagged(
                     best = int(mean.argmax())
                     pred[k], score[k] = crf.labels[best], min(1.0, float(mean[best]))
                 columns = [*part.columns[: len(names)], pa.array(pred, pa.string()), pa.array(score, pa.float64())]
+                if len(added) > 2:
+                    columns.append(pa.array([crf.support(x) if x else 0.0 for x in own], pa.float64()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select(*names, *([] if text_col in names else [text_col])).mapInArrow(run, schema)

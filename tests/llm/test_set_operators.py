@@ -167,6 +167,31 @@ def test_pipeline_stages(spark, odd, nothing):
     assert tokenizer_path().endswith(".json")
 
 
+def test_language_id_tells_unknown_languages_and_gibberish_from_mixtures(spark, sample):
+    rng = np.random.default_rng(6)
+    rows = [(r.doc_id, r.text, r.lang) for r in sample.collect()]
+    by: dict = {}
+    for _, text, lang in rows:
+        if len(text) > 2000:
+            by.setdefault(lang, text.split())
+    mixed = " ".join(w for k in range(0, 200, 5) for own in by.values() for w in own[k : k + 5])
+    unknown = [
+        "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem",
+        "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto",
+        "watu wote wamezaliwa huru hadhi na haki zao ni sawa wote wamejaliwa akili na dhamiri hivyo yapasa watendeane kindugu",
+        "все люди рождаются свободными и равными в своем достоинстве и правах",
+        " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(40)),
+        '<div class="row"><span style="color:#fff;width:12px"><a href="http://x.com/q?id=12&utm=tw">click</a></span></div>' * 3,
+    ]
+    planted = [(-1, mixed, None), *((-10 - k, x, None) for k, x in enumerate(unknown))]
+    for langs in (None, {"en", "de"}):
+        # With two languages learned, those that were not are unknown: only what is learned is asserted.
+        own = [r for r in rows if langs is None or r[2] in langs]
+        docs = spark.createDataFrame([*own, *(planted if langs is None else planted[1:])], "doc_id long, text string, lang string")
+        kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+        assert kept == {r[0] for r in own} | ({-1} if langs is None else set())
+
+
 def test_near_duplicates_keep_one_of_each_group_whatever_the_ids(spark):
     rng = np.random.default_rng(4)
     texts = [" ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(60)) for _ in range(8)]
