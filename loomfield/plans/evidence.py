@@ -94,8 +94,8 @@ WITH RECURSIVE o AS (SELECT o_orderkey AS node, CAST(o_custkey * 100 + year(o_or
 """
 
 
-def _blocks(t):
-    o = t("orders").filter("o_orderkey % 20 = 0").select(
+def _blocks(t, condition="o_orderkey % 20 = 0"):
+    o = t("orders").filter(condition).select(
         F.col("o_orderkey").alias("node"), (F.col("o_custkey") * 100 + F.year("o_orderdate") % 100).alias("k1"), F.col("o_totalprice").alias("k2")
     )
     return G.closed(o.select("node"), G.shared_key_edges(o, "node", ["k1", "k2"]))
@@ -122,6 +122,28 @@ def component_quarantine(t):
     return G.quarantined(_blocks(t), bad)
 
 
+# The same over all orders. Held against brute force in the tests.
+@query()
+def shared_key_blocks_all(t):
+    return _blocks(t, "true")
+
+
+@query()
+def component_ids_all(t):
+    return G.component_ids(_blocks(t, "true"))
+
+
+@query()
+def component_capacity_all(t):
+    return G.component_ids(_blocks(t, "true")).groupBy("size").agg(F.count("*").alias("components"))
+
+
+@query()
+def component_quarantine_all(t):
+    bad = t("orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("node"))
+    return G.quarantined(_blocks(t, "true"), bad)
+
+
 @query("""WITH g AS (SELECT DISTINCT o_orderstatus AS dataset, o_custkey AS identity FROM orders), one AS (SELECT min(dataset) AS dataset, identity FROM g GROUP BY identity)
 SELECT identity, dataset, CAST((row_number() OVER (PARTITION BY dataset ORDER BY sha256('s1' || chr(31) || identity), identity) - 1) % 5 AS INTEGER) AS fold,
   CASE (row_number() OVER (PARTITION BY dataset ORDER BY sha256('s1' || chr(31) || identity), identity) - 1) % 5 WHEN 2 THEN 'TEST' WHEN 3 THEN 'DEV' ELSE 'TRAIN' END AS role FROM one""")

@@ -223,3 +223,30 @@ def test_places_over_many_partitions(spark):
     for g in range(3):
         own = sorted((r for r in by if r.g == g), key=lambda r: -r.k)
         assert [r.n for r in own] == list(range(1, len(own) + 1))
+
+
+def test_blocks_of_all_orders_match_brute_force(spark):
+    from loomfield import plans
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderkey AS n", "o_custkey * 100 + year(o_orderdate) % 100 AS a", "o_totalprice AS b", "o_orderstatus AS s").collect()
+    own, first = {r.n: r.n for r in rows}, {}
+
+    def root(x):
+        while own[x] != x:
+            x = own[x]
+        return x
+
+    for r in rows:
+        for key in (("a", r.a), ("b", r.b)):
+            x, y = root(r.n), root(first.setdefault(key, r.n))
+            own[max(x, y)] = min(x, y)
+    want = {r.n: root(r.n) for r in rows}
+    sizes, bad = {}, {want[r.n] for r in rows if r.s == "P"}
+    for x in want.values():
+        sizes[x] = sizes.get(x, 0) + 1
+    run = lambda name: plans.queries()[name](spark, sf).collect()
+    assert {r.node: r.root for r in run("shared_key_blocks_all")} == want
+    assert {r.root: r["size"] for r in run("component_ids_all")} == sizes
+    assert {r["size"]: r.components for r in run("component_capacity_all")} == {n: list(sizes.values()).count(n) for n in sizes.values()}
+    assert {r.node: r.quarantined for r in run("component_quarantine_all")} == {n: x in bad for n, x in want.items()}
