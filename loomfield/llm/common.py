@@ -12,8 +12,9 @@ __all__ = ["ascii_lower", "bounded_batches", "has_repeats", "materialize", "shar
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hold Arrow batches of whole texts to this many rows in the session (they are 10,000 by
-    default, which Java and Python each hold several times over)."""
+    """Hold Arrow batches to this many rows in the session (they are 10,000 by default, which Java and
+    Python each hold several times over). For an application to call on its own session before it runs
+    operators on whole texts; operators leave the session as it is."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))

@@ -4,8 +4,8 @@ Documents are tokenized once into a stored table of pieces. Pieces are dealt int
 bounded size by a hash of their key, and each partition is packed best-fit decreasing. Dual-feasible
 functions bound the bins that a partition needs from below; a partition that meets its bound is done.
 The others release the pieces of their bins that are not full, exchange them across partitions by a
-new hash, and pack again; a repacking is kept if it takes fewer bins. Rounds end when all gaps are
-closed or a round saves nothing.
+new hash, and pack again; a repacking is kept if it takes fewer bins. Rounds go on, however many, until
+all gaps are closed or a round saves nothing; each saves a sequence at least, so they end.
 
 Nulls, empties: a null text is an empty one, which is its end-of-document id alone. Null ids and
 repeated rows are kept, each row packed by itself. An empty table gives an empty result. Extra
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomfield.llm.common import bounded_batches, materialize
+from loomfield.llm.common import materialize
 
 
 def token_pieces(
@@ -36,7 +36,6 @@ def token_pieces(
     texts_at_once: int = 256,
 ) -> DataFrame:
     """Stored pieces (key, id, piece, start, length, ids): ids are little-endian unsigned 32-bit."""
-    bounded_batches(docs.sparkSession)
     schema = T.StructType(
         [
             T.StructField("id", docs.schema[id_col].dataType),
@@ -127,7 +126,7 @@ def _packer(capacity: int, level: int, again: bool):
         bins, offsets, n = best_fit_decreasing(lengths, capacity)
         before = rows["sequence_id"].nunique() if again else n + 1
         if n < before:
-            sequence = (level << 58) + (int(key[0]) << 24) + bins
+            sequence = (level << 44) + (int(key[0]) << 20) + bins
         else:
             sequence, offsets, n = rows["sequence_id"].to_numpy(), rows["offset"].to_numpy(), before
         bound = lower_bound(lengths, capacity)
@@ -147,7 +146,7 @@ def _packer(capacity: int, level: int, again: bool):
     return pack
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, partition_pieces: int = 20_000, max_rounds: int = 6) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, partition_pieces: int = 20_000) -> DataFrame:
     """(key, sequence_id, offset) for pieces(key, length), lengths from 1 to capacity."""
     own = pieces.select("key", "length")
     n = own.count()
@@ -156,16 +155,18 @@ def pack(pieces: DataFrame, capacity: int = 4096, partition_pieces: int = 20_000
     )
     first = dealt(own, n, 0).groupBy("part").applyInPandas(_packer(capacity, 0, False), _ASSIGNED)
     now = materialize(first, "packed")
-    settled, saved = [], True
-    for level in range(1, max_rounds + 1):
+    settled, level = [], 0
+    while True:
         loose = now.filter("open")
         n_loose, bins = loose.agg(F.count("*"), F.count_distinct("sequence_id")).first()
-        if not n_loose or not saved:
+        if not n_loose:
             break
+        level += 1
         settled.append(now.filter("NOT open"))
         repack = dealt(loose.select("key", "length", "sequence_id", "offset"), n_loose, level)
         now = materialize(repack.groupBy("part").applyInPandas(_packer(capacity, level, True), _ASSIGNED), "packed")
-        saved = now.agg(F.count_distinct("sequence_id")).first()[0] < bins
+        if now.agg(F.count_distinct("sequence_id")).first()[0] >= bins:
+            break
     out = now
     for done in settled:
         out = out.unionByName(done)

@@ -7,8 +7,6 @@ import re
 
 import numpy as np
 
-from loomfield.llm.hashing import prefix_hashes, substring_hashes
-
 #: Texts of these characters only are unchanged by NFC, and are split and lower-cased alike by
 #: Python and by the tokenizer; any other text is encoded by the tokenizer as a whole.
 _PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-įı-ňŊ-ž]*")
@@ -51,8 +49,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
-        #: Of each known word, by the hash of its bytes: its number; and the place and count of its ids in the pool.
-        self.words: dict[int, int] = {}
+        #: Of each known word, by its bytes: its number; and the place and count of its ids in the pool.
+        self.words: dict[bytes, int] = {}
         self.pool, self.first, self.count = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
         # Words are plain, lower-cased and split already: for them the model alone is enough.
         form = json.loads(self.tokenizer.to_str())
@@ -77,19 +75,17 @@ class WordTokenizer:
         whole = b"\n".join(raw)
         data = np.frombuffer(whole, np.uint8)
         begin, end = split_words(data)
-        names, first, word = np.unique(substring_hashes(prefix_hashes(data), begin, end), return_index=True, return_inverse=True)
+        own = [whole[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
         if len(self.words) > self.max_words:
             self.words, self.pool, self.first, self.count = {}, self.pool[:0], self.first[:0], self.count[:0]
-        known = np.fromiter((self.words.get(x, -1) for x in names.tolist()), np.int64, len(names))
-        new = np.flatnonzero(known < 0)
-        if new.size:
-            ids, n = self._learn([whole[a:b] for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
-            known[new] = len(self.count) + np.arange(len(new))
-            self.words.update(zip(names[new].tolist(), known[new].tolist(), strict=True))
+        new = list(dict.fromkeys(w for w in own if w not in self.words))
+        if new:
+            ids, n = self._learn(new)
+            self.words.update(zip(new, range(len(self.count), len(self.count) + len(new)), strict=True))
             self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(n) - n])
             self.count = np.concatenate([self.count, n])
             self.pool = np.concatenate([self.pool, ids])
-        at = known[word]
+        at = np.fromiter(map(self.words.__getitem__, own), np.int64, len(own))
         n = self.count[at]
         done = np.cumsum(n)
         ids = self.pool[np.repeat(self.first[at] - (done - n), n) + np.arange(done[-1] if len(done) else 0)]
