@@ -1,18 +1,22 @@
-"""Removal of repeated byte strings by longest-previous-factor tests in anchored suffix order.
+"""Removal of repeated byte strings by longest-previous-factor arrays of anchored suffix orders.
 
-A position repeats if the `length` bytes that start there also start elsewhere, that is, if its
-longest previous factor, or the longest factor shared with a later position, is at least that long.
-Suffix order puts equal starts side by side; the previous and next smaller positions beside an entry
-tell whether an earlier or a later copy exists.
+A position repeats if the `length` bytes that start there also start elsewhere, that is, if its longest
+previous factor, or the longest factor that it shares with a later position, is at least that long.
+Both follow from suffix order: the previous and next smaller positions around an entry give the longest
+match that starts earlier, the previous and next larger ones the longest that starts later.
 
 Suffixes are never sorted all together. Each window of `length` bytes has an anchor: the gram with
 the least hash in it, so equal windows have equal anchors, at equal distances. The windows that share
-an anchor position are consecutive and form a context. Contexts are compared by anchor hash:
+an anchor position are consecutive and form a context. Contexts meet by the hash of their anchor:
 - anchors that occur once cannot hold a repeat; they drop out after one pre-aggregated count;
-- contexts that are equal as a whole repeat in all their windows, however many copies there are;
-- only anchors with differing contexts need suffix order. One context of each kind is fetched, and
-  the windows of each anchor are put in suffix order, cut off at `length` bytes, in bounded groups.
-  An anchor with more contexts than a group holds is taken apart into single windows instead.
+- contexts of equal bytes (by a 128-bit digest) repeat in all their windows, however many copies there are;
+- the distinct contexts of an anchor go to one group, where their windows are put in suffix order (by
+  doubling, cut off at `length` bytes) and get their factor lengths from common prefixes.
+
+A group of more than max_contexts distinct contexts is split by the distance of a window from its
+anchor: half of the distances share `gram` bytes and half of the rest, so each half of a context goes to
+a smaller group, named by the digest of the bytes that all windows at these distances hold there. Groups
+are halved until they are small enough, or a window is its group's name and nothing is left to compare.
 
 keep="none" removes all copies of a repeat, keep="first" all but the first in order of key and
 position. Matches never cross texts and are judged on the input; removed bytes are all bytes of all
@@ -34,25 +38,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomfield.llm.common import bounded_batches, has_repeats, materialize
+from loomfield.llm.common import has_repeats, materialize
 from loomfield.llm.hashing import prefix_hashes, substring_hashes
 
 _LOW = np.uint64((1 << 24) - 1)
-_MARKS = "key long, lo long, hi long, gram long, whole long"
+_MARKS = "key long, lo long, hi long, gram long"
+_PIECES = "grp binary, near int, far int, key long, lo long, target boolean, text binary"
+
+
+def digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def _ranked(own: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the grams of own, and these with their lower 24 bits replaced by the place."""
+    place = np.arange(len(own) - gram + 1)
+    h = substring_hashes(prefix_hashes(own), place, place + gram)
+    return h, (h & ~_LOW) | place.astype(np.uint64)
 
 
-def anchored(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """The contexts of data: first and last window start, hash of the anchor gram, hash of all bytes
-    of these windows. The anchor of a window is its gram with the least hash, ties (of the upper 40
-    bits) to the first."""
+def anchored(data: np.ndarray, length: int, gram: int, part: int = 1 << 23) -> tuple[np.ndarray, ...]:
+    """The contexts of data: first and last window start, hash of the anchor gram. The anchor of a
+    window is its gram with the least hash, ties (of the upper 40 bits) to the first. Windows are taken
+    `part` at a time; a context that goes on beyond is two, of one anchor."""
     found = []
-    part = 1 << 23
     for at in range(0, max(0, len(data) - length + 1), part):
-        own = data[at : at + part + length - 1]
-        prefix = prefix_hashes(own)
-        place = np.arange(len(own) - gram + 1)
-        h = substring_hashes(prefix, place, place + gram)
-        ranked = (h & ~_LOW) | place.astype(np.uint64)
+        h, ranked = _ranked(data[at : at + part + length - 1], gram)
         # Sliding minima: the end of one block of grams and the beginning of the next.
         width = length - gram + 1
         n = len(h) - width + 1
@@ -62,12 +73,25 @@ def anchored(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]
         anchor = (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & _LOW).astype(np.int64)
         lo = np.flatnonzero(np.diff(anchor, prepend=-1))
         hi = np.append(lo[1:], n) - 1
-        found.append((at + lo, at + hi, h[anchor[lo]], substring_hashes(prefix, lo, hi + length)))
+        found.append((at + lo, at + hi, h[anchor[lo]]))
     if not found:
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.uint64))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def halves(text: bytes, near: int, far: int, length: int, gram: int) -> Iterator[tuple[bytes, int, int, int, int]]:
+    """The two parts of a context (of windows between `near` and `far` bytes before their anchor): name of
+    the group, its distances, first and last window."""
+    data, last = np.frombuffer(text, np.uint8), len(text) - length
+    anchor = last + int(np.argmin(_ranked(data[last:length], gram)[1]))
+    middle = (near + far) // 2
+    for a, b in ((near, middle), (middle + 1, far)):
+        lo, hi = max(0, anchor - b), min(last, anchor - a)
+        if a <= b and lo <= hi:
+            shared = text[anchor - a : anchor - b + length]
+            yield digest(a.to_bytes(4, "little") + b.to_bytes(4, "little") + shared), a, b, lo, hi
+
+
 def merged(spans: np.ndarray) -> np.ndarray:
     """Union of [start, end) rows as maximal disjoint rows, touching ones joined."""
     if not len(spans):
@@ -79,22 +103,70 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[at, 0], reach[np.append(at[1:], len(spans)) - 1]], axis=1)
 
 
-def repeats_in_order(group: np.ndarray, name: np.ndarray, data: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For windows in order of position: has an earlier, has a later copy within its group. name is
-    the hash of the window; neighbours in suffix order are compared byte by byte."""
-    order = np.lexsort((np.arange(len(name)), name, group))
-    a, b = order[:-1], order[1:]
-    same = (group[a] == group[b]) & (name[a] == name[b])
-    at = np.flatnonzero(same)
-    for k in range(0, len(at), 1 << 14):
-        part = at[k : k + (1 << 14)]
-        view = np.lib.stride_tricks.sliding_window_view(data, length)
-        same[part] = (view[start[a[part]]] == view[start[b[part]]]).all(axis=1)
-    # Within a run of equal starts positions rise, so the previous smaller position is the entry
-    # before, and the longest previous factor is long enough for all entries but the first.
-    earlier, later = np.zeros(len(name), bool), np.zeros(len(name), bool)
-    earlier[b[same]] = True
-    later[a[same]] = True
+def prefix_ranks(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(size, rank of the size bytes from each position on) for sizes that double up to length, in
+    lexicographic order; beyond the end of data bytes are zero. The last size is length."""
+    n, size = len(data), min(8, length)
+    padded = np.concatenate([data, np.zeros(size, np.uint8)]).astype(np.uint64)
+    word = np.zeros(n, np.uint64)
+    for k in range(size):
+        word = (word << np.uint64(8)) | padded[k : k + n]
+    out = [(size, np.unique(word, return_inverse=True)[1].astype(np.int64))]
+    while size < length:
+        step = min(size, length - size)
+        rank = out[-1][1]
+        second = np.concatenate([rank[step:], np.zeros(min(step, n), np.int64)])
+        size += step
+        out.append((size, np.unique(rank * (n + 1) + second, return_inverse=True)[1].astype(np.int64)))
+    return out
+
+
+def common_prefixes(ranks: list[tuple[int, np.ndarray]], data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Length of the common prefix of the windows at a and at b, element by element."""
+    got, end = np.zeros(len(a), np.int64), len(data) - 1
+    for size, rank in reversed(ranks):
+        same = rank[np.minimum(a + got, end)] == rank[np.minimum(b + got, end)]
+        got[same] += size
+    for _ in range(ranks[0][0]):
+        same = (got < length) & (data[np.minimum(a + got, end)] == data[np.minimum(b + got, end)])
+        if not same.any():
+            break
+        got[same] += 1
+    return np.minimum(got, length)
+
+
+def previous_factors(position: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """Longest previous factor of each entry of a suffix order: position of each entry, and common prefix
+    with the entry before. The nearest entries with a smaller position on both sides are found by
+    following pointers over entries that are larger, which carry the least common prefix on the way."""
+
+    def side(position: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        at, reach = np.arange(-1, len(position) - 1), reach.copy()
+        todo = np.flatnonzero((at >= 0) & (position[at] > position))
+        while todo.size:
+            over = at[todo]
+            reach[todo], at[todo] = np.minimum(reach[todo], reach[over]), at[over]
+            now = at[todo]
+            todo = todo[(now >= 0) & (reach[todo] > 0) & (position[now] > position[todo])]
+        reach[(at < 0) | (position[at] > position)] = 0
+        return reach
+
+    before = side(position, lcp)
+    after = side(position[::-1], np.append(lcp[1:], 0)[::-1])[::-1]
+    return np.maximum(before, after)
+
+
+def repeats_in_order(group: np.ndarray, data: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For windows in order of position: has an earlier, has a later copy within its group."""
+    ranks = prefix_ranks(data, length)
+    order = np.lexsort((ranks[-1][1][start], group))
+    lcp = np.zeros(len(order), np.int64)
+    if len(order):
+        inner = np.flatnonzero(group[order[1:]] == group[order[:-1]]) + 1
+        lcp[inner] = common_prefixes(ranks, data, start[order[inner - 1]], start[order[inner]], length)
+    earlier, later = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    earlier[order] = previous_factors(order, lcp) >= length
+    later[order] = previous_factors(-order, lcp) >= length
     return earlier, later
 
 
@@ -114,7 +186,7 @@ def longest_previous_factors(data: bytes) -> np.ndarray:
         if new[-1] == n - 1:
             break
         size *= 2
-    lcp, k = [0] * n, 0
+    lcp, k = np.zeros(n, np.int64), 0
     for i in range(n):
         if rank[i]:
             j = int(order[rank[i] - 1])
@@ -125,41 +197,44 @@ def longest_previous_factors(data: bytes) -> np.ndarray:
         else:
             k = 0
     out = np.zeros(n, np.int64)
-    stack: list[tuple[int, int]] = []  # (position, its match with the smaller position before it)
-    for r in range(n):
-        position, match = int(order[r]), lcp[r]
-        while stack and stack[-1][0] > position:
-            above, before = stack.pop()
-            out[above] = max(before, match)
-            match = min(match, before)
-        stack.append((position, match))
-    for position, before in stack:
-        out[position] = before
+    out[order] = previous_factors(order, lcp)
     return out
 
 
-def _marks(rows: DataFrame, length: int, gram: int) -> DataFrame:
+def _marks(rows: DataFrame, length: int, gram: int, part: int, whole: bool) -> DataFrame:
+    """The contexts of all rows; with whole, also the digest of each one's bytes."""
+    names = ["key", "lo", "hi", "gram", "whole"][: 5 if whole else 4]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, parts = [], []
+            keys, parts, digests = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = np.frombuffer(text.as_py() or b"", np.uint8)
-                part = anchored(data, length, gram)
-                keys.append(np.full(len(part[0]), key))
-                parts.append(part)
+                data = text.as_py() or b""
+                found = anchored(np.frombuffer(data, np.uint8), length, gram, part)
+                keys.append(np.full(len(found[0]), key))
+                parts.append(found)
+                if whole:
+                    digests += [digest(data[a:b]) for a, b in zip(found[0].tolist(), (found[1] + length).tolist(), strict=True)]
             if parts:
-                lo, hi, h, whole = (np.concatenate(x) for x in zip(*parts, strict=True))
-                columns = [np.concatenate(keys).astype(np.int64), lo, hi, h.view(np.int64), whole.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "lo", "hi", "gram", "whole"])
+                lo, hi, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+                columns = [pa.array(c) for c in (np.concatenate(keys).astype(np.int64), lo, hi, h.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(digests, pa.binary())] if whole else [])], names=names)
+
+    return rows.select("key", "text").mapInArrow(run, _MARKS + (", whole binary" if whole else ""))
 
-    return rows.select("key", "text").mapInArrow(run, _MARKS)
 
+def _kinds(marks: DataFrame, grp: str) -> DataFrame:
+    """(grp, whole, copies, first, contexts, lone): each distinct context, with the count of its copies and
+    the first of them; and the distinct contexts of its group, all and those without a copy."""
+    kinds = materialize(marks.groupBy(grp, "whole").agg(F.count("*").alias("copies"), F.min(F.struct("key", "lo")).alias("first")), "kinds")
+    groups = kinds.groupBy(grp).agg(F.count("*").alias("contexts"), F.count(F.when(F.col("copies") == 1, 1)).alias("lone"))
+    return kinds.join(groups, grp)
 
-def _counted(marks: DataFrame) -> DataFrame:
-    """marks with the copies of their context, and whether they are its first."""
-    kinds = marks.groupBy("gram", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("key", "lo")).alias("first"))
+
+def _counted(marks: DataFrame, grp: str) -> DataFrame:
+    """marks with copies, contexts, lone, and whether they are the first of their kind."""
     first = (F.col("key") == F.col("first.key")) & (F.col("lo") == F.col("first.lo"))
-    return marks.join(kinds, ["gram", "whole"]).withColumn("is_first", first).drop("first")
+    return marks.join(_kinds(marks, grp), [grp, "whole"]).withColumn("is_first", first).drop("first")
 
 
 def _finish(data: bytes, spans: np.ndarray, texts: bool) -> tuple:
@@ -179,12 +254,13 @@ def remove_repeats(
     keep: str = "none",
     texts: bool = True,
     max_contexts: int = 4096,
+    part: int = 1 << 23,
 ) -> DataFrame:
     """Every row: id_col, n_bytes, n_removed, spans (removed byte ranges), kept_sha256, and the
-    remaining bytes as kept (null unless texts is set)."""
+    remaining bytes as kept (null unless texts is set). Windows are anchored `part` at a time, and groups
+    hold at most max_contexts contexts; neither changes the result."""
     if keep not in ("none", "first"):
         raise ValueError(f"keep is {keep!r}; it may be 'none' or 'first'")
-    bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     if isinstance(id_type, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)) and not has_repeats(rows, "id"):
@@ -192,23 +268,17 @@ def remove_repeats(
     else:
         rows = materialize(rows.withColumn("key", F.monotonically_increasing_id()), "snapshot")
 
-    marks = _marks(rows, length, gram)
-    repeated = marks.groupBy("gram").count().filter("count > 1").select("gram")
-    repeated = materialize(marks.join(repeated, "gram").select("key", "lo", "hi", "gram", "whole"), "repeated")
-    counted = _counted(repeated)
-    kinds = (
-        counted.filter("is_first")
-        .groupBy("gram")
-        .agg(F.count("*").alias("contexts"), F.count(F.when(F.col("copies") == 1, 1)).alias("lone"))
-    )
-    counted = materialize(counted.join(kinds, "gram"), "counted")
+    repeated = _marks(rows, length, gram, part, False).groupBy("gram").count().filter("count > 1").select("gram")
+    repeated = materialize(_marks(rows, length, gram, part, True).join(repeated, "gram"), "repeated")
+    counted = materialize(_counted(repeated, "gram"), "counted")
     spans = lambda df: df.select("key", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
-    known = spans(counted.filter("copies > 1" if keep == "none" else "NOT is_first"))
-    asked = counted.filter("is_first AND contexts > 1" + (" AND lone > 0" if keep == "none" else ""))
+    copied = "copies > 1" if keep == "none" else "NOT is_first"
+    unlike = "is_first AND contexts > 1" + (" AND lone > 0" if keep == "none" else "")
+    known, asked = spans(counted.filter(copied)), counted.filter(unlike)
 
     # One join of the texts with what is known of them and what is asked of them.
     span_type = "array<struct<start: bigint, end: bigint>>"
-    ask_type = "array<struct<lo: bigint, hi: bigint, gram: bigint, target: boolean, hot: boolean>>"
+    ask_type = "array<struct<lo: bigint, hi: bigint, gram: bigint, target: boolean, contexts: bigint>>"
     target = (F.col("copies") == 1) | F.lit(keep == "first")
     notes = (
         known.select("key", F.struct("start", "end").alias("span"), F.lit(None).cast(ask_type[6:-1]).alias("ask"))
@@ -216,7 +286,7 @@ def remove_repeats(
             asked.select(
                 "key",
                 F.lit(None).cast(span_type[6:-1]),
-                F.struct("lo", "hi", "gram", target.alias("target"), (F.col("contexts") > max_contexts).alias("hot")),
+                F.struct("lo", "hi", "gram", target.alias("target"), "contexts"),
             )
         )
         .groupBy("key")
@@ -230,16 +300,17 @@ def remove_repeats(
             T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
             T.StructField("kept_sha256", T.StringType()),
             T.StructField("kept", T.BinaryType()),
-            T.StructField("gram", T.LongType()),
+            T.StructField("grp", T.BinaryType()),
             T.StructField("lo", T.LongType()),
             T.StructField("target", T.BooleanType()),
+            T.StructField("contexts", T.LongType()),
             T.StructField("kind", T.StringType()),
         ]
     )
 
     def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """done: a row that nothing is asked of, finished; open: one that waits for answers; context:
-        the bytes of a context; window: a window of an anchor with very many contexts."""
+        the bytes of a context."""
         from pyspark.sql.pandas.types import to_arrow_schema
 
         form = to_arrow_schema(result)
@@ -255,14 +326,8 @@ def remove_repeats(
                 else:
                     out.append({"key": row["key"], "id": row["id"], "text": data, "spans": own, "kind": "open"})
                 for x in row["asks"] or []:
-                    told = {"key": row["key"], "gram": x["gram"], "target": x["target"]}
-                    if not x["hot"]:
-                        out.append(told | {"lo": x["lo"], "text": data[x["lo"] : x["hi"] + length], "kind": "context"})
-                        continue
-                    piece = np.frombuffer(data[x["lo"] : x["hi"] + length], np.uint8)
-                    at = np.arange(x["hi"] - x["lo"] + 1)
-                    for k, h in enumerate(substring_hashes(prefix_hashes(piece), at, at + length).view(np.int64).tolist()):
-                        out.append(told | {"lo": x["lo"] + k, "n_bytes": h, "kind": "window"})
+                    piece = {"lo": x["lo"], "text": data[x["lo"] : x["hi"] + length], "target": x["target"], "contexts": x["contexts"]}
+                    out.append(piece | {"key": row["key"], "grp": x["gram"].to_bytes(8, "little", signed=True), "kind": "context"})
                 if len(out) >= 4096:
                     yield pa.RecordBatch.from_pylist(out, schema=form)
                     out = []
@@ -277,12 +342,12 @@ def remove_repeats(
             size = np.array([len(x) for x in pieces])
             n = size - length + 1
             first = np.cumsum(size) - size
+            name = np.cumsum([0, *(a != b for a, b in zip(groups[1:], groups[:-1], strict=True))])
             of = np.repeat(np.arange(len(pieces)), n)
             step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
             start = first[of] + step
-            name = substring_hashes(prefix_hashes(data), start, start + length)
-            # Rows come in order of anchor, key and position.
-            earlier, later = repeats_in_order(np.array(groups)[of], name, data, start, length)
+            # Rows come in order of group, key and position.
+            earlier, later = repeats_in_order(name[of], data, start, length)
             gone = np.array(targets)[of] & (earlier if keep == "first" else earlier | later)
             begins = gone & ~np.append(False, gone[:-1] & (of[1:] == of[:-1]))
             ends = gone & ~np.append(gone[1:] & (of[1:] == of[:-1]), False)
@@ -304,16 +369,43 @@ def remove_repeats(
         if held[0]:
             yield solve(*held)
 
+    def halve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x in batch.to_pylist():
+                for grp, a, b, lo, hi in halves(x["text"], x["near"], x["far"], length, gram):
+                    text = x["text"][lo : hi + length]
+                    out.append({"grp": grp, "near": a, "far": b, "key": x["key"], "lo": x["lo"] + lo, "hi": x["lo"] + hi, "target": x["target"], "text": text, "whole": digest(text)})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=halved)
+
+    halved = pa.schema(
+        [(n, t) for n, t in zip(("grp", "near", "far", "key", "lo"), (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
+        + [("target", pa.bool_()), ("text", pa.binary()), ("hi", pa.int64()), ("whole", pa.binary())]
+    )
+    distances = [F.lit(0).alias("near"), F.lit(length - gram).alias("far")]
+    pieces = looked.filter("kind = 'context'").select("grp", *distances, "key", "lo", "target", "text", "contexts")
+    small, found, rounds = [], [], asked.filter(F.col("contexts") > max_contexts).limit(1)
+    while rounds.take(1):
+        small.append(pieces.filter(F.col("contexts") <= max_contexts))
+        large = pieces.filter(F.col("contexts") > max_contexts).drop("contexts")
+        parts = materialize(large.mapInArrow(halve, _PIECES + ", hi long, whole binary"), "halved")
+        parts = materialize(_counted(parts, "grp"), "halved")
+        found.append(spans(parts.filter("target").filter(copied)))
+        alone = F.col("target") & ((F.col("copies") == 1) | F.lit(keep == "first"))
+        pieces = parts.filter(unlike).withColumn("target", alone).select(*pieces.columns)
+        rounds = pieces.filter(F.col("contexts") > max_contexts).limit(1)
+    for x in small:
+        pieces = pieces.unionByName(x)
     answers = (
-        looked.filter("kind = 'context'")
-        .select("gram", "key", "lo", "target", "text")
-        .repartition("gram")
-        .sortWithinPartitions("gram", "key", "lo")
+        pieces.select("grp", "key", "lo", "target", "text")
+        .repartition("grp")
+        .sortWithinPartitions("grp", "key", "lo")
         .mapInArrow(resolve, "key long, start long, end long")
     )
-    windows = looked.filter("kind = 'window'").select("key", "lo", F.col("lo").alias("hi"), "gram", F.col("n_bytes").alias("whole"), "target")
-    windows = _counted(windows).filter("target").filter("copies > 1" if keep == "none" else "NOT is_first")
-    answers = answers.union(spans(windows)).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("answers"))
+    for x in found:
+        answers = answers.union(x)
+    answers = answers.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("answers"))
 
     def close(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema

@@ -1,5 +1,6 @@
 """Decontamination, secrets, licenses, repeats, language: against plain Python."""
 
+import hashlib
 import itertools
 import re
 from collections import Counter, defaultdict
@@ -154,28 +155,72 @@ def plain_repeats(texts, size, keep):
             w = t[i : i + size]
             if seen[w] > 1 and (keep == "none" or first[w] != (k, i)):
                 gone[i : i + size] = True
-        out[k] = (int(gone.sum()), bytes(np.frombuffer(t, np.uint8)[~gone]))
+        out[k] = (gone, bytes(np.frombuffer(t, np.uint8)[~gone]))
     return out
 
 
-@pytest.mark.parametrize(("keep", "contexts"), [("none", 4096), ("none", 1), ("first", 4096), ("first", 1)])
-def test_repeats_match_brute_force(spark, sample, keep, contexts):
+def plain_spans(gone):
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
+    return [(int(a), int(b)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+
+
+@pytest.mark.parametrize(("keep", "contexts", "part"), [("none", 4096, 1 << 23), ("none", 1, 1 << 23), ("none", 3, 97), ("first", 4096, 211), ("first", 1, 1 << 23)])
+def test_repeats_match_brute_force(spark, sample, keep, contexts, part):
     rng = np.random.default_rng(5)
     made = ["".join(rng.choice(list("ab"), int(rng.integers(0, 500)), p=[0.95, 0.05])) + "qwertyuiop" * int(rng.integers(0, 40)) for _ in range(40)]
-    small = spark.createDataFrame([*enumerate(made), (90, None), (91, "")], "doc_id long, text string")
+    core = "".join(rng.choice(list("abcdefgh"), 120))
+    made += ["".join(rng.choice(list("xy"), 5)) + core + "".join(rng.choice(list("xyz"), 3)) + core[:90] for _ in range(60)]
+    small = spark.createDataFrame([*enumerate(made), (190, None), (191, "")], "doc_id long, text string")
     for docs in (small, sample.select("doc_id", "text").limit(60)):
         rows = docs.collect()
         docs = spark.createDataFrame(rows, "doc_id long, text string")
         want = plain_repeats({r.doc_id: (r.text or "").encode() for r in rows}, 200, keep)
-        got = {r.doc_id: (r.n_removed, bytes(r.kept)) for r in R.remove_repeats(docs, keep=keep, max_contexts=contexts).collect()}
-        assert got == want
+        found = R.remove_repeats(docs, keep=keep, max_contexts=contexts, part=part).collect()
+        assert {r.doc_id: (r.n_removed, bytes(r.kept)) for r in found} == {k: (int(g.sum()), t) for k, (g, t) in want.items()}
+        assert {r.doc_id: [(x.start, x.end) for x in r.spans] for r in found} == {k: plain_spans(g) for k, (g, _) in want.items()}
+        assert {r.doc_id: r.kept_sha256 for r in found} == {k: hashlib.sha256(t).hexdigest() for k, (_, t) in want.items()}
+
+
+def test_contexts_with_equal_polynomial_hashes_stay_apart(spark):
+    """The Thue-Morse word and its complement meet in every polynomial hash modulo 2**64, as grams and whole."""
+    word = "".join("ab"[k.bit_count() % 2] for k in range(2048))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), "c" + word]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = plain_repeats({k: t.encode() for k, t in enumerate(texts)}, 200, "none")
+    for contexts in (4096, 1):
+        got = {r.doc_id: (r.n_removed, bytes(r.kept)) for r in R.remove_repeats(docs, max_contexts=contexts).collect()}
+        assert got == {k: (int(g.sum()), t) for k, (g, t) in want.items()}
+
+
+def test_windows_of_a_very_long_text(spark):
+    """A text over the cut of the anchors, with a repeat across it and one in another text."""
+    rng = np.random.default_rng(9)
+    long = rng.integers(33, 126, 9 << 20).astype(np.uint8)
+    cut = 1 << 23
+    long[100:700] = long[cut - 300 : cut + 300]
+    texts = [long.tobytes().decode(), long[cut + 5000 : cut + 5250].tobytes().decode()]
+    found = {r.doc_id: [(x.start, x.end) for x in r.spans] for r in R.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), texts=False).collect()}
+    assert found == {0: [(100, 700), (cut - 300, cut + 300), (cut + 5000, cut + 5250)], 1: [(0, 250)]}
+
+
+def test_factors_of_a_suffix_order():
+    rng = np.random.default_rng(12)
+    for n, signs in ((1, 2), (300, 2), (300, 1), (500, 4)):
+        data = rng.integers(97, 97 + signs, n + 12).astype(np.uint8)
+        start, group = np.arange(n), np.zeros(n, np.int64)
+        earlier, later = R.repeats_in_order(group, data, start, 13 if n > 1 else 12)
+        size = 13 if n > 1 else 12
+        w = [data[k : k + size].tobytes() for k in range(n)]
+        assert earlier.tolist() == [w[k] in w[:k] for k in range(n)] and later.tolist() == [w[k] in w[k + 1 :] for k in range(n)]
 
 
 def test_repeats_of_odd_rows(odd, nothing):
     got = R.remove_repeats(odd).collect()
-    assert len(got) == odd.count() and R.remove_repeats(nothing).count() == 0
-    long = next(r for r in got if r.doc_id == 10)
-    assert long.n_removed == 5000
+    assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in odd.collect()) and R.remove_repeats(nothing).count() == 0
+    rows = [(k, (r.text or "").encode()) for k, r in enumerate(odd.collect())]
+    want = plain_repeats(dict(rows), 200, "none")
+    ids = [r.doc_id for r in odd.collect()]
+    assert Counter((r.doc_id, r.n_removed, r.kept_sha256) for r in got) == Counter((ids[k], int(g.sum()), hashlib.sha256(t).hexdigest()) for k, (g, t) in want.items())
 
 
 def test_longest_previous_factors():
