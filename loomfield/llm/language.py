@@ -35,8 +35,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomfield.llm.common import bounded_batches
-
 _RUNS = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Words in a block of the forward-backward recursion.
@@ -357,7 +355,6 @@ def tagged(
 ) -> DataFrame:
     """Every row of docs with its columns (or those in keep), its predicted language and its score
     under the added names, which docs must not have; a third name gets its support."""
-    bounded_batches(docs.sparkSession)
     names = list(docs.columns if keep is None else keep)
     schema = T.StructType(
         [docs.schema[c] for c in names] + [T.StructField(added[0], T.StringType())] + [T.StructField(c, T.DoubleType()) for c in added[1:]]
