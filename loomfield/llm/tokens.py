@@ -7,6 +7,8 @@ import re
 
 import numpy as np
 
+from loomfield.llm.hashing import prefix_hashes, substring_hashes
+
 #: Texts of these characters only are unchanged by NFC, and are split and lower-cased alike by
 #: Python and by the tokenizer; any other text is encoded by the tokenizer as a whole.
 _PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-įı-ňŊ-ž]*")
@@ -43,15 +45,17 @@ def split_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 class WordTokenizer:
     """Encodes batches of texts to little-endian unsigned 32-bit ids. A word's ids do not depend on
-    its neighbours, so each is encoded once while the cache (at most max_words words) holds it."""
+    its neighbours, so each is encoded once while the cache (at most max_words words) holds it. Texts in
+    which a word has the hash but not the bytes of another are encoded by the tokenizer as a whole."""
 
     def __init__(self, path: str, max_words: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
-        #: Of each known word, by its bytes: its number; and the place and count of its ids in the pool.
-        self.words: dict[bytes, int] = {}
-        self.pool, self.first, self.count = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
+        #: Of each known word, by the hash of its bytes: its number; its place and length in the letters; and
+        #: the place and count of its ids in the pool.
+        self.words: dict[int, int] = {}
+        self._forget()
         # Words are plain, lower-cased and split already: for them the model alone is enough.
         form = json.loads(self.tokenizer.to_str())
         blank = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
@@ -70,22 +74,48 @@ class WordTokenizer:
             return np.array([x for ids in own for x in ids], "<u4"), np.array([len(x) for x in own])
         return np.array(got.ids, "<u4"), np.diff(np.append(begin, len(got.ids)))
 
+    def _forget(self) -> None:
+        self.words.clear()
+        self.letters, self.pool = np.empty(0, np.uint8), np.empty(0, "<u4")
+        self.start, self.size, self.first, self.count = (np.empty(0, np.int64) for _ in range(4))
+
+    def _found(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray | None:
+        """Numbers of the words, learning those that are new; None if two words meet in a hash."""
+        names, first, word = np.unique(substring_hashes(prefix_hashes(data), begin, end), return_index=True, return_inverse=True)
+        if len(self.words) > self.max_words:
+            self._forget()
+        known = np.fromiter((self.words.get(x, -1) for x in names.tolist()), np.int64, len(names))
+        new = np.flatnonzero(known < 0)
+        if new.size:
+            own = [data[a:b].tobytes() for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
+            ids, n = self._learn(own)
+            size = np.fromiter(map(len, own), np.int64, len(own))
+            known[new] = len(self.count) + np.arange(len(new))
+            self.words.update(zip(names[new].tolist(), known[new].tolist(), strict=True))
+            self.start = np.concatenate([self.start, len(self.letters) + np.cumsum(size) - size])
+            self.letters = np.concatenate([self.letters, np.frombuffer(b"".join(own), np.uint8)])
+            self.size = np.concatenate([self.size, size])
+            self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(n) - n])
+            self.count = np.concatenate([self.count, n])
+            self.pool = np.concatenate([self.pool, ids])
+        at, size = known[word], end - begin
+        if not np.array_equal(self.size[at], size):
+            return None
+        # Hashes only propose: every word is compared with the known one, byte by byte.
+        done = np.cumsum(size)
+        short = np.int32 if max(len(data), len(self.letters)) < 1 << 31 else np.int64
+        flat = np.arange(done[-1] if len(done) else 0, dtype=short)
+        here, there = (np.repeat((x - (done - size)).astype(short), size) for x in (begin, self.start[at]))
+        return at if np.array_equal(data[here + flat], self.letters[there + flat]) else None
+
     def _plain(self, texts: list[str]) -> list[bytes]:
         raw = [t.lower().encode() for t in texts]
         whole = b"\n".join(raw)
         data = np.frombuffer(whole, np.uint8)
         begin, end = split_words(data)
-        own = [whole[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-        if len(self.words) > self.max_words:
-            self.words, self.pool, self.first, self.count = {}, self.pool[:0], self.first[:0], self.count[:0]
-        new = list(dict.fromkeys(w for w in own if w not in self.words))
-        if new:
-            ids, n = self._learn(new)
-            self.words.update(zip(new, range(len(self.count), len(self.count) + len(new)), strict=True))
-            self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(n) - n])
-            self.count = np.concatenate([self.count, n])
-            self.pool = np.concatenate([self.pool, ids])
-        at = np.fromiter(map(self.words.__getitem__, own), np.int64, len(own))
+        at = self._found(data, begin, end)
+        if at is None:
+            return [self._whole(t) for t in texts]
         n = self.count[at]
         done = np.cumsum(n)
         ids = self.pool[np.repeat(self.first[at] - (done - n), n) + np.arange(done[-1] if len(done) else 0)]
