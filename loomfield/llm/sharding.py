@@ -1,13 +1,14 @@
 """Sharding by longest-processing-time scheduling of groups that must stay together.
 
-Rows with equal texts form a group, whose size is that of its rows. Groups of at least a
-1/resolution of a shard's mean load are few by arithmetic (at most shards * resolution); the others
-are bundled by a hash of their text into shards * resolution bundles. Groups and bundles, a bounded
-list whatever the input, are sorted by size and go to the least-loaded shard through a heap. Rows
-find their shard by two lookups of that bounded list, so rows are not shuffled to be assigned.
+Rows with equal texts form a group, whose size is that of its rows. Groups of one size are alike, so the
+schedule needs how many groups there are of each size, and nothing else: from the largest size down, the
+groups of a size go one by one to the least-loaded shard, by a heap once each shard has what it gets in
+any case. The counts are one row a size on the driver, and sizes are few by arithmetic (their sum is at
+most that of all groups, so n distinct ones take n * n / 2 bytes at least). Which groups of a size go
+where is by their place in the order of digests, which is counted over ranges of the whole table.
 
 Slots number the rows of a shard without gaps: rows are dealt into bounded chunks within their
-shard by a hash, numbered there, and moved up by the rows of earlier chunks.
+shard by a stored row number, numbered there, and moved up by the rows of earlier chunks.
 
 Nulls, empties: a null text has no bytes and forms a group with other null texts, apart from empty
 texts. Null ids and repeated rows are kept. An empty table gives an empty result. Extra columns are
@@ -18,76 +19,77 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from loomfield.llm.common import materialize
+from loomfield.operators.ranking import numbered
 
 
-def longest_first(sizes: list[tuple[int, object]], shards: int) -> dict:
-    """Item -> shard: items by falling size (ties: in the order of their names), each to the shard
-    with the least load (ties: the lower shard)."""
-    heap = [(0, s) for s in range(shards)]
-    out = {}
-    for size, item in sorted(sizes, key=lambda x: (-x[0], str(x[1]))):
-        load, shard = heap[0]
-        heapq.heapreplace(heap, (load + size, shard))
-        out[item] = shard
+def certain(loads: np.ndarray, size: int, count: int) -> np.ndarray:
+    """Items of one size that each shard gets in any case when count of them go to the least-loaded shard
+    one by one: those that leave it two sizes under the level to which count items fill the shards."""
+    order = np.sort(loads)
+    level = (np.cumsum(order) + count * size) // np.arange(1, len(order) + 1)
+    over = np.flatnonzero(level[:-1] <= order[1:])
+    level = int(level[over[0]] if over.size else level[-1])
+    return np.maximum(0, (level - loads) // size - 1)
+
+
+def longest_first(sizes: list[tuple[int, int]], shards: int) -> np.ndarray:
+    """counts[k, shard] for sizes (size, count): items by falling size, each to the shard with the least
+    load (ties: the lower shard). Sizes are positive and come in falling order."""
+    loads = np.zeros(shards, np.int64)
+    out = np.zeros((len(sizes), shards), np.int64)
+    for k, (size, count) in enumerate(sizes):
+        if count > 4 * shards:
+            out[k] = certain(loads, size, count)
+            loads += size * out[k]
+            count -= int(out[k].sum())
+        heap = [(x, s) for s, x in enumerate(loads.tolist())]
+        heapq.heapify(heap)
+        for _ in range(count):
+            load, shard = heap[0]
+            heapq.heapreplace(heap, (load + size, shard))
+            out[k, shard] += 1
+            loads[shard] += size
     return out
 
 
 def shard_groups(
-    docs: DataFrame,
-    shards: int = 40,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    overhead: int = 16,
-    resolution: int = 1000,
-    chunk_rows: int = 20_000,
+    docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, chunk_rows: int = 20_000
 ) -> DataFrame:
-    """(id_col, size, text_crc32, shard, slot) for every row; equal texts share a shard and loads
-    are within about a 1/resolution of a shard of each other, groups larger than a shard aside."""
+    """(id_col, size, text_crc32, shard, slot) for every row; equal texts share a shard, and two shards'
+    loads differ by at most the last group that the fuller one got."""
+    if overhead < 1:
+        raise ValueError(f"overhead is {overhead}; rows need a positive size")
     spark = docs.sparkSession
     text = F.col(text_col)
     rows = docs.select(
         F.col(id_col).alias("id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + overhead).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc"),
-        F.coalesce(F.sha2(text, 256), F.lit("")).alias("digest"),
-    )
-    rows = materialize(rows, "sizes")
-    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    n_bundles = shards * resolution
-    large_from = max(1, total // n_bundles)
-    groups = rows.groupBy("digest").agg(F.sum("size").alias("load"))
-    bundle = F.pmod(F.xxhash64("digest"), F.lit(n_bundles)).cast("int")
-    items = groups.groupBy(
-        F.when(F.col("load") <= large_from, bundle).alias("bundle"),
-        F.when(F.col("load") > large_from, F.col("digest")).alias("digest"),
-    ).agg(F.sum("load").alias("load"))
-    # At most 2 * shards * resolution rows: as many bundles, and fewer groups of over total / n_bundles.
-    listed = items.collect()
-    shard_of = longest_first([(r.load, r.bundle if r.digest is None else r.digest) for r in listed], shards)
-    large = spark.createDataFrame(
-        [(k, s) for k, s in shard_of.items() if isinstance(k, str)],
-        T.StructType([T.StructField("digest", T.StringType()), T.StructField("large_shard", T.IntegerType())]),
-    )
-    small = spark.createDataFrame(
-        [(k, s) for k, s in shard_of.items() if isinstance(k, int)],
-        T.StructType([T.StructField("bundle", T.IntegerType()), T.StructField("small_shard", T.IntegerType())]),
+        F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b"")).alias("digest"),
     )
-    # Both lists have at most shards * resolution rows, so they may always be broadcast.
-    placed = (
-        rows.join(F.broadcast(large), "digest", "left")
-        .withColumn("bundle", bundle)
-        .join(F.broadcast(small), "bundle", "left")
-        .withColumn("shard", F.coalesce("large_shard", "small_shard"))
-        .withColumn("chunk", F.pmod(F.xxhash64("id", "digest"), F.lit(max(1, -(-n // chunk_rows)))))
-        .select("id", "size", "crc", "shard", "chunk")
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    groups = materialize(rows.groupBy("digest").agg(F.sum("size").alias("load"), F.count("*").alias("n")), "groups")
+    listed = groups.groupBy("load").agg(F.count("*").alias("groups"), F.sum("n").alias("n")).toArrow()
+    listed = listed.sort_by([("load", "descending")])
+    n = sum(listed["n"].to_pylist())
+    upto = np.cumsum(longest_first(list(zip(listed["load"].to_pylist(), listed["groups"].to_pylist(), strict=True)), shards), axis=1)
+    upto = pa.ListArray.from_arrays(np.arange(0, upto.size + 1, shards, dtype=np.int32), upto.ravel())
+    plan = spark.createDataFrame(pa.table({"load": listed["load"].combine_chunks().cast(pa.int64()), "upto": upto}), "load long, upto array<long>")
+    # Ranges of places in the order of digests, shard by shard.
+    shard = F.size(F.filter("upto", lambda x: x < F.col("place"))).alias("shard")
+    named = numbered(groups.select("digest", "load"), [F.col("digest")], "place", ["load"]).join(plan, "load").select("digest", shard)
+    placed = rows.join(named, "digest").select(
+        "row", "id", "size", "crc", "shard", F.pmod(F.xxhash64("row"), F.lit(max(1, -(-n // chunk_rows)))).alias("chunk")
     )
-    within = F.row_number().over(W.partitionBy("shard", "chunk").orderBy("id", "crc", "size")) - 1
+    placed = materialize(placed, "placed")
+    within = F.row_number().over(W.partitionBy("shard", "chunk").orderBy("row")) - 1
     counts = placed.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
     base = counts.select(
         "shard",
