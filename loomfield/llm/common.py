@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomfield.storage import shared_dir
 from loomfield.storage import stored as materialize
 
-__all__ = ["ascii_lower", "bounded_batches", "has_repeats", "materialize", "shared_dir"]
+__all__ = ["ascii_lower", "bounded_batches", "fresh", "has_repeats", "materialize", "shared_dir"]
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -28,3 +28,14 @@ def ascii_lower(c: Column) -> Column:
 def has_repeats(df: DataFrame, col: str) -> bool:
     """Whether col holds a null or a value twice; one pre-aggregated pass over that column."""
     return bool(df.groupBy(col).count().filter(F.col(col).isNull() | (F.col("count") > 1)).take(1))
+
+
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each behind as many underscores as it takes for df to have no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 _RUNS = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -301,6 +302,29 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def training_rows(
+    docs: DataFrame, id_col: str, text_col: str, label_col: str, per_language: int, max_chars: int, max_labels: int
+) -> list[tuple[str, str]]:
+    """(text, label) of the sample that fit() describes; all bounds hold before anything is collected."""
+    rows = docs.filter(~held_out(id_col) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"), F.xxhash64(id_col).alias("h")
+    )
+    most = rows.groupBy("label").count().orderBy(F.col("count").desc(), "label").limit(max_labels)
+    counts = {r.label: r["count"] for r in most.collect()}
+    if not counts:
+        return []
+    unit, chars = 1 << 20, max_chars // len(counts)
+    share = F.create_map(
+        *[x for k, c in counts.items() for x in (F.lit(k), F.lit(min(unit, 2 + int(unit * (per_language + 4 * per_language**0.5) / c))))]
+    )
+    first = [F.pmod("h", F.lit(unit)), F.col("h"), F.col("text")]
+    near = rows.filter((F.length("text") <= chars) & (F.pmod("h", F.lit(unit)) < share[F.col("label")]))
+    upto = W.partitionBy("label").orderBy(*first).rowsBetween(W.unboundedPreceding, 0)
+    near = near.withColumn("n", F.count("*").over(upto)).withColumn("chars", F.sum(F.length("text").cast("long")).over(upto))
+    taken = near.filter((F.col("n") <= per_language) & (F.col("chars") <= chars)).select("text", "label", "h").collect()
+    return [(r.text, r.label) for r in sorted(taken, key=lambda r: (r.h % unit, r.label, r.text))]
+
+
 def fit(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -308,29 +332,15 @@ def fit(
     label_col: str = "lang",
     per_language: int = 120,
     max_chars: int = 4_000_000,
+    max_labels: int = 200,
     support: bool = False,
 ) -> Crf:
-    """A model from the labelled rows of docs that are not held out: per_language whole documents of
-    each label, of max_chars in all (whole documents beyond that are left out of the sample)."""
-    rows = docs.filter(~held_out(id_col) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"), F.xxhash64(id_col).alias("h")
-    )
-    counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
-    if not counts:
+    """A model from the labelled rows of docs that are not held out: of each of the max_labels labels that
+    have most rows (ties: alphabetically), up to per_language whole documents, the least by a hash of the
+    id, while they fit in the label's even share of max_chars; longer documents are left out of the sample."""
+    sample = training_rows(docs, id_col, text_col, label_col, per_language, max_chars, max_labels)
+    if not sample:
         return Crf([], np.zeros((1, 0), np.float32), np.zeros((0, 0)), np.zeros((0, 0)), {})
-    unit = 1 << 20
-    share = F.create_map(
-        *[x for k, c in counts.items() for x in (F.lit(k), F.lit(min(unit, 2 + int(unit * (per_language + 4 * per_language**0.5) / c))))]
-    )
-    near = rows.filter(F.pmod("h", F.lit(unit)) < share[F.col("label")]).collect()
-    near.sort(key=lambda r: (r.h % unit, r.label, r.text))
-    taken: Counter = Counter()
-    chars, sample = max_chars, []
-    for r in near:
-        if taken[r.label] < per_language and (chars >= len(r.text) or not taken[r.label]):
-            taken[r.label] += 1
-            chars -= len(r.text)
-            sample.append((r.text, r.label))
     return train(sample, support=support)
 
 
@@ -354,7 +364,7 @@ def tagged(
     texts_at_once: int = 128,
 ) -> DataFrame:
     """Every row of docs with its columns (or those in keep), its predicted language and its score
-    under the added names, which docs must not have; a third name gets its support."""
+    under the added names (see common.fresh() where docs may have them); a third name gets its support."""
     names = list(docs.columns if keep is None else keep)
     schema = T.StructType(
         [docs.schema[c] for c in names] + [T.StructField(added[0], T.StringType())] + [T.StructField(c, T.DoubleType()) for c in added[1:]]
