@@ -7,9 +7,13 @@ turns of others are not.
 
 Turns are ordered by number, ties by role and text; exact repeats of a row count once. A null turn
 number comes first, a null role is `unknown`, a null text is empty; rows whose conversation id is
-null take no part. Marks inside a text are broken by a blank, so a text cannot open a turn. A pair
-that lacks one side keeps the other, with no prompt and a null completion. Empty tables give empty
-results. Extra columns are ignored. One conversation is one example, held in one row.
+null take no part. Marks inside a text or a role are broken by a blank, and line ends inside a role are
+blanks, so neither can open a turn. A pair that lacks one side keeps the other, with no prompt and a null
+completion. Empty tables give empty results. Extra columns are ignored. One conversation is one example,
+held in one row.
+
+swapped_replies() makes preferences where a table has none: one reply of a conversation against one from
+another conversation.
 """
 
 from __future__ import annotations
@@ -22,8 +26,10 @@ START, END = "<|im_start|>", "<|im_end|>"
 
 def conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv, turns): the conversations of a table of turns, each an array of (role, text)."""
-    clean = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"<\|im_(start|end)\|>", r"<|im_$1 |>")
-    one = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"), clean.alias("text"))
+    broken = lambda c: F.regexp_replace(c, r"<\|im_(start|end)\|>", r"<|im_$1 |>")
+    role = broken(F.regexp_replace(F.coalesce(F.col(role_col), F.lit("unknown")), r"[\r\n]+", " "))
+    text = broken(F.coalesce(F.col(text_col), F.lit("")))
+    one = F.struct(F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
     return (
         turns.filter(F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("conv"))
@@ -56,6 +62,19 @@ def rendered(parts: Column) -> Column:
     return F.array_join(F.transform(parts, lambda s: s["text"]), "")
 
 
+def formatted(both: DataFrame) -> DataFrame:
+    """both(pair_id, chosen, rejected), arrays of turns -> (pair_id, n_prompt_turns, prompt, chosen, rejected)."""
+    both = both.withColumn("n", common_turns(F.col("chosen"), F.col("rejected")))
+    rest = lambda name: F.slice(name, F.col("n") + 1, F.greatest(F.size(name) - F.col("n"), F.lit(0)))
+    return both.select(
+        "pair_id",
+        F.col("n").alias("n_prompt_turns"),
+        F.coalesce(rendered(segments(F.slice("chosen", F.lit(1), F.col("n")))), F.lit("")).alias("prompt"),
+        segments(rest("chosen")).alias("chosen"),
+        segments(rest("rejected")).alias("rejected"),
+    )
+
+
 def preference_pairs(
     turns: DataFrame,
     pairs: DataFrame,
@@ -68,19 +87,24 @@ def preference_pairs(
     prompt is text, chosen and rejected are arrays of (text, trained)."""
     whole = conversations(turns, id_col, turn_col, role_col, text_col)
     side = lambda name: whole.select(F.col("conv").alias(f"{name}_id"), F.col("turns").alias(name))
-    both = (
-        pairs.select("pair_id", "chosen_id", "rejected_id")
-        .join(side("chosen"), "chosen_id", "left")
-        .join(side("rejected"), "rejected_id", "left")
-        .withColumn("n", common_turns(F.col("chosen"), F.col("rejected")))
-    )
-    rest = lambda name: F.slice(name, F.col("n") + 1, F.greatest(F.size(name) - F.col("n"), F.lit(0)))
-    return both.select(
-        "pair_id",
-        F.col("n").alias("n_prompt_turns"),
-        F.coalesce(rendered(segments(F.slice("chosen", F.lit(1), F.col("n")))), F.lit("")).alias("prompt"),
-        segments(rest("chosen")).alias("chosen"),
-        segments(rest("rejected")).alias("rejected"),
+    both = pairs.select("pair_id", "chosen_id", "rejected_id").join(side("chosen"), "chosen_id", "left").join(side("rejected"), "rejected_id", "left")
+    return formatted(both)
+
+
+def swapped_replies(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """(pair_id, chosen, rejected) for each conversation with a reply (a turn of the assistant); ids are whole
+    numbers. Chosen is the conversation to its last reply. Rejected has the same turns before reply number id
+    modulo the count of replies, and there the first reply of conversation id + 1 (empty if it has none)."""
+    whole = conversations(turns, id_col, turn_col, role_col, text_col)
+    spots = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1)), lambda i: i.isNotNull())
+    whole = whole.withColumn("spots", spots).filter(F.size("spots") > 0)
+    others = whole.select((F.col("conv") - 1).alias("conv"), F.col("turns")[F.col("spots")[0] - 1]["text"].alias("other"))
+    place = F.col("spots")[F.pmod("conv", F.size("spots")).cast("int")]
+    reply = F.array(F.struct(F.lit("assistant").alias("role"), F.coalesce("other", F.lit("")).alias("text")))
+    return whole.join(others, "conv", "left").select(
+        F.col("conv").alias("pair_id"),
+        F.slice("turns", F.lit(1), F.element_at("spots", -1)).alias("chosen"),
+        F.concat(F.slice("turns", F.lit(1), place - 1), reply).alias("rejected"),
     )
 
 

@@ -40,6 +40,12 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FRO
   SELECT r, 'access', 1, 20, string_split_regex(t, 'AKIA[A-Z0-9]{16,}'), regexp_extract_all(t, 'AKIA[A-Z0-9]{16,}'), regexp_extract_all(t, 'AKIA[A-Z0-9]{16,}') FROM d
   UNION ALL
   SELECT r, 'hex', 2, 24, string_split_regex(t, '[0-9a-f]{24,}'), regexp_extract_all(t, '[0-9a-f]{24,}'), regexp_extract_all(t, '[0-9a-f]{24,}') FROM d
+  UNION ALL
+  SELECT r, kind, rank, 1, string_split_regex(t, p), regexp_extract_all(t, p), regexp_extract_all(t, p) FROM d, (VALUES
+    ('pem', 3, '-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----'),
+    ('jwt', 4, 'eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}'),
+    ('vendor', 5, '(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35,}|sk_live_[0-9a-zA-Z]{24,})'),
+    ('url', 6, '(?:https?|ftps?|ssh|git|mysql|postgres(?:ql)?|mongodb|redis|amqps?)://[^\x00-\x20/:@]+:[^\x00-\x20/@]+@')) k(kind, rank, p)
 ), x AS (
   SELECT r, kind, rank, least, unnest(range(1, len(ms) + 1)) AS i, gaps, ms, gs FROM m WHERE len(ms) > 0
 ), y AS (
@@ -47,11 +53,12 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FRO
     sum(length(gaps[i]) + length(ms[i])) OVER (PARTITION BY r, kind ORDER BY i) AS e FROM x
 ), z AS (
   SELECT r, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS k, count(*) FILTER (kind = 'hex') AS h,
-    string_agg(kind || ':' || CAST(e - size AS VARCHAR) || ':' || CAST(e AS VARCHAR), ',' ORDER BY e - size, rank) AS s
+    string_agg(kind || ':' || CAST(e - size AS VARCHAR) || ':' || CAST(e AS VARCHAR), ',' ORDER BY e - size, rank) AS s,
+    string_agg(kind || ':' || CAST(e - size AS VARCHAR) || ':' || CAST(e AS VARCHAR), ',' ORDER BY e - size, rank) FILTER (rank < 3) AS base
   FROM y WHERE ok GROUP BY r
 )
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex,
-  coalesce(s, '') AS spans, sha256(coalesce(s, '')) AS base_sha256
+  coalesce(s, '') AS spans, sha256(coalesce(base, '')) AS base_sha256
 FROM d LEFT JOIN z USING (r)
 """
 
@@ -68,11 +75,15 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 """
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
 def _canonical_sql(c: str) -> str:
-    from loomfield.llm.licenses import COPYRIGHT_LINE, SPELLINGS
+    from loomfield.llm.licenses import COPYRIGHT_LINE, LIST_MARK, MARKS, SPELLINGS
 
-    out = f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    out = f"regexp_replace({out}, '{COPYRIGHT_LINE}', '', 'g')"
+    out = f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ{MARKS}', 'abcdefghijklmnopqrstuvwxyz{' ' * len(MARKS)}')"
+    out = f"regexp_replace(regexp_replace({out}, '{COPYRIGHT_LINE}', '', 'g'), '{LIST_MARK}', '', 'g')"
     out = rf"regexp_replace({out}, '[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]+', ' ', 'g')"
     for other, ours in SPELLINGS:
         out = f"replace({out}, '{other}', '{ours}')"
@@ -80,20 +91,26 @@ def _canonical_sql(c: str) -> str:
 
 
 def _licenses_sql() -> str:
-    from loomfield.llm.licenses import KNOWN
+    from loomfield.llm.licenses import KNOWN, KNOWN_DIGESTS, OPENING
 
-    values = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in KNOWN)
+    texts = ", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in KNOWN)
+    digests = ", ".join(f"({_quoted(k)}, {_quoted(d)})" for k, d in KNOWN_DIGESTS)
+    whole = rf"trim(regexp_replace(regexp_replace(l, '{OPENING}', '', 'g'), '[ \n]+', ' ', 'g'))"
     return rf"""
-WITH kn AS (
-  SELECT sha256(f) AS digest, string_agg(DISTINCT license, ',' ORDER BY license) AS license
-  FROM (SELECT license, trim(regexp_replace({_canonical_sql("t")}, '[ \n]+', ' ', 'g')) AS f FROM (VALUES {values}) k(license, t)) WHERE f <> '' GROUP BY 1
+WITH kf AS (SELECT license, {_canonical_sql("t")} AS l FROM (VALUES {texts}) k(license, t)
+), kw AS (
+  SELECT digest, string_agg(DISTINCT license, ',' ORDER BY license) AS license FROM (
+    SELECT license, sha256({whole}) AS digest FROM kf WHERE {whole} <> '' UNION ALL SELECT * FROM (VALUES {digests}) k(license, digest)) GROUP BY 1
+), kl AS (
+  SELECT x, string_agg(DISTINCT license, ',' ORDER BY license) AS license
+  FROM (SELECT license, trim(regexp_replace(l, '[ \n]+', ' ', 'g')) AS x FROM kf) WHERE x <> '' GROUP BY 1
 ), d AS (SELECT row_number() OVER () AS r, doc_id, {_canonical_sql("text")} AS l FROM documents
 ), li AS (
   SELECT r, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS s
-  FROM (SELECT r, trim(unnest(string_split(l, chr(10)))) AS x FROM d) JOIN kn ON kn.digest = sha256(x) GROUP BY r
-), w AS (SELECT r, doc_id, sha256(trim(regexp_replace(l, '[ \n]+', ' ', 'g'))) AS digest FROM d)
-SELECT w.doc_id, w.digest, kn.license, coalesce(li.s, '') AS line_licenses, coalesce(li.n, 0) AS n_lines
-FROM w LEFT JOIN kn USING (digest) LEFT JOIN li USING (r)
+  FROM (SELECT r, trim(regexp_replace(unnest(string_split(l, chr(10))), ' +', ' ', 'g')) AS x FROM d) JOIN kl USING (x) GROUP BY r
+), w AS (SELECT r, doc_id, sha256({whole}) AS digest FROM d)
+SELECT w.doc_id, w.digest, kw.license, coalesce(li.s, '') AS line_licenses, coalesce(li.n, 0) AS n_lines
+FROM w LEFT JOIN kw USING (digest) LEFT JOIN li USING (r)
 """
 
 
@@ -101,19 +118,22 @@ SQL["op3_licenses"] = _licenses_sql()
 
 SQL["op6_preferences"] = r"""
 WITH t AS (
-  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role,
+  SELECT DISTINCT conv_id, turn,
+    regexp_replace(regexp_replace(coalesce(role, 'unknown'), '[\r\n]+', ' ', 'g'), '<\|im_(start|end)\|>', '<|im_\1 |>', 'g') AS role,
     regexp_replace(coalesce(text, ''), '<\|im_(start|end)\|>', '<|im_\1 |>', 'g') AS text FROM conversations WHERE conv_id IS NOT NULL
 ), c AS (
   SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS l FROM t GROUP BY conv_id
-), p AS (SELECT DISTINCT conv_id // 2 AS pair_id FROM t
+), s AS (
+  SELECT * FROM (SELECT conv_id, l, list_filter(range(1, len(l) + 1), lambda i: l[i].role = 'assistant') AS spots FROM c) WHERE len(spots) > 0
 ), b AS (
-  SELECT pair_id, a.l AS a, r.l AS r FROM p LEFT JOIN c a ON a.conv_id = 2 * pair_id LEFT JOIN c r ON r.conv_id = 2 * pair_id + 1
+  SELECT s.conv_id AS pair_id, s.l[1:s.spots[-1]] AS a,
+    list_concat(s.l[1:s.spots[s.conv_id % len(s.spots) + 1] - 1], [{'role': 'assistant', 'text': coalesce(o.l[o.spots[1]].text, '')}]) AS r
+  FROM s LEFT JOIN s o ON o.conv_id = s.conv_id + 1
 ), n AS (
-  SELECT *, CASE WHEN a IS NULL OR r IS NULL THEN 0 ELSE
-    coalesce(list_position(list_transform(range(1, greatest(len(a), len(r)) + 1), lambda i: a[i] IS NOT DISTINCT FROM r[i]), false) - 1, len(a)) END AS n FROM b
+  SELECT *, coalesce(list_position(list_transform(range(1, greatest(len(a), len(r)) + 1), lambda i: a[i] IS NOT DISTINCT FROM r[i]), false) - 1, len(a)) AS n FROM b
 )
 SELECT pair_id, CAST(n AS BIGINT) AS n_prompt_turns,
-  coalesce(array_to_string(list_transform(a[1:n], lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), ''), '') AS prompt,
+  array_to_string(list_transform(a[1:n], lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), '') AS prompt,
   array_to_string(list_transform(a[n + 1:], lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), '') AS chosen,
   array_to_string(list_transform(a[n + 1:], lambda x: length('<|im_start|>' || x.role || chr(10)) || ':0,' || length(x.text || '<|im_end|>' || chr(10)) || ':' || CAST(x.role = 'assistant' AS INT)), ',') AS chosen_mask,
   array_to_string(list_transform(r[n + 1:], lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), '') AS rejected,

@@ -38,13 +38,20 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from loomfield.llm.secrets import BlobLedger
-
-    found = BlobLedger(spark).scan(table(spark, sf_dir, "documents"))
-    of = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    told = found.select(F.col("id").alias("doc_id"), of("assign"), of("access"), of("hex"), spans.alias("spans"))
-    return told.withColumn("base_sha256", F.sha2("spans", 256))
+    """The table arrives in two batches, by a hash of the id; the second scans only what the first has not
+    seen, and the report joins the findings to the paths of both."""
+    from loomfield.llm.secrets import RULES, BlobLedger
+
+    docs, ledger = table(spark, sf_dir, "documents"), BlobLedger(spark)
+    for batch in (0, 1):
+        ledger.scan(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == batch))
+    of = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    base = listed(F.filter("found", lambda x: x["rank"] < len(RULES)))
+    found = ledger.report().withColumnRenamed("spans", "found")
+    return found.select(
+        F.col("id").alias("doc_id"), of("assign"), of("access"), of("hex"), F.sha2(base, 256).alias("base_sha256"), listed(F.col("found")).alias("spans")
+    )
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,18 +82,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2n (chosen) and 2n + 1 (rejected) are pair n."""
-    from loomfield.llm.chat import mask_runs, preference_pairs, rendered
-
-    turns = table(spark, sf_dir, "conversations")
-    pair = F.floor(F.col("conv_id") / 2).cast("long")
-    pairs = (
-        turns.filter("conv_id IS NOT NULL")
-        .select(pair.alias("pair_id"))
-        .distinct()
-        .select("pair_id", (2 * F.col("pair_id")).alias("chosen_id"), (2 * F.col("pair_id") + 1).alias("rejected_id"))
-    )
-    found = preference_pairs(turns, pairs)
+    """The table has no preferences: each conversation is preferred to the one with another's reply in it."""
+    from loomfield.llm.chat import formatted, mask_runs, rendered, swapped_replies
+
+    found = formatted(swapped_replies(table(spark, sf_dir, "conversations")))
     return found.select(
         "pair_id",
         F.col("n_prompt_turns").cast("long").alias("n_prompt_turns"),

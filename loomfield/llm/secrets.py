@@ -1,11 +1,13 @@
 """Secret scans over an incremental blob ledger, with DataFrame functions only.
 
 Every version of every text is addressed by the SHA-256 of its content. The ledger remembers which
-(blob, rule, rule version) has been scanned; a scan runs only the pairs it has not seen, once for a
-blob however many paths hold it, and joins all findings of the blobs back to all their paths.
+(blob, rule, rule version) has been scanned, and which paths held which blobs; a scan runs only the pairs
+it has not seen, once for a blob however many paths hold it. Findings are joined back to the paths of
+one scan, or, in report(), to those of all scans.
 
-The ledger is two append-only Parquet tables. A batch writes its findings, then its scanned pairs;
-findings of a batch without scanned pairs are not read, so a scan that dies is simply scanned again.
+The ledger is four append-only Parquet tables. A batch writes its paths, its findings, its scanned
+pairs and last its name; of a batch without a name nothing is read, so a scan that dies is simply
+scanned again.
 
 Nulls, empties: a null text is the empty blob, which has no findings. Null ids are kept; repeated
 rows are returned each. Empty tables give empty results. Extra columns are ignored.
@@ -54,6 +56,16 @@ RULES = (
     Rule("hex", r"[0-9a-f]{24,}", least=24),
 )
 
+#: More kinds, whose spans come beside those of RULES.
+MORE_RULES = (
+    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("vendor", r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35,}|sk_live_[0-9a-zA-Z]{24,})"),
+    Rule("url", r"(?:https?|ftps?|ssh|git|mysql|postgres(?:ql)?|mongodb|redis|amqps?)://[^\x00-\x20/:@]+:[^\x00-\x20/@]+@"),
+)
+ALL_RULES = RULES + MORE_RULES
+
+_BATCHES = T.StructType([T.StructField("batch", T.StringType())])
 _SCANS = T.StructType([T.StructField(c, T.StringType()) for c in ("batch", "blob", "rule")])
 _FINDINGS = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("batch", "blob", "rule", "kind")]
@@ -127,44 +139,52 @@ class BlobLedger:
                 raise
             return self.spark.createDataFrame([], schema)
 
+    def _finished(self, name: str, schema: T.StructType) -> DataFrame:
+        """Rows of a table whose batch has run to its end."""
+        return self._read(name, schema).join(self._read("batches", _BATCHES), "batch", "left_semi").drop("batch")
+
     def scans(self) -> DataFrame:
-        return self._read("scans", _SCANS)
+        return self._finished("scans", _SCANS)
 
     def findings(self) -> DataFrame:
-        """Findings of all batches that were scanned to their end."""
-        done = self.scans().select("batch").distinct()
-        return self._read("findings", _FINDINGS).join(done, "batch", "left_semi").drop("batch")
+        return self._finished("findings", _FINDINGS)
 
     def scan(
-        self, versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES
+        self, versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = ALL_RULES
     ) -> DataFrame:
         """(id, blob, spans) for every row of versions: spans(start, rank, kind, end) of all rules,
         sorted by start, then by the order of rules; code points, end exclusive."""
         texts = versions.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn(
             "blob", F.sha2("text", 256)
         )
-        paths = materialize(texts.select("id", "blob"), "paths")
-        done = self.scans().groupBy("blob").agg(F.collect_set("rule").alias("done"))
+        batch = uuid.uuid4().hex
+        named = F.lit(batch).alias("batch")
+        form = T.StructType([T.StructField("batch", T.StringType()), T.StructField("id", versions.schema[id_col].dataType), T.StructField("blob", T.StringType())])
+        texts.select(named, "id", "blob").write.mode("append").parquet(f"{self.path}/paths")
+        paths = self._read("paths", form).filter(F.col("batch") == batch).drop("batch")
+        blobs = paths.groupBy("blob").agg(F.min("id").alias("id"))
+        done = self.scans().join(paths.select("blob"), "blob", "left_semi").groupBy("blob").agg(F.collect_set("rule").alias("done"))
         every = F.array(*[F.lit(r.key) for r in rules])
         todo = (
-            paths.groupBy("blob")
-            .agg(F.min("id").alias("id"))
-            .join(done, "blob", "left")
+            blobs.join(done, "blob", "left")
             .select("blob", "id", F.array_except(every, F.coalesce("done", F.array().cast("array<string>"))).alias("todo"))
             .filter(F.size("todo") > 0)
         )
         todo = materialize(todo, "unseen")
-        batch = uuid.uuid4().hex
         if todo.take(1):
             one = todo.withColumnRenamed("id", "at").withColumnRenamed("blob", "want").hint("shuffle_hash")
             unseen = texts.join(one, (F.col("blob") == F.col("want")) & F.col("id").eqNullSafe(F.col("at")))
             found = scan_texts(unseen.select("blob", "text", "todo"), rules)
-            found.select(F.lit(batch).alias("batch"), *_FINDINGS.names[1:]).write.mode("append").parquet(f"{self.path}/findings")
-            pairs = todo.select(F.lit(batch).alias("batch"), "blob", F.explode("todo").alias("rule"))
-            pairs.write.mode("append").parquet(f"{self.path}/scans")
+            found.select(named, *_FINDINGS.names[1:]).write.mode("append").parquet(f"{self.path}/findings")
+            todo.select(named, "blob", F.explode("todo").alias("rule")).write.mode("append").parquet(f"{self.path}/scans")
+        self.spark.range(1).select(named).write.mode("append").parquet(f"{self.path}/batches")
+        return self._told(paths, rules)
+
+    def _told(self, paths: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         rank = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(r.key), F.lit(k))])
         known = (
             self.findings()
+            .join(paths.select("blob"), "blob", "left_semi")
             .withColumn("rank", rank[F.col("rule")])
             .filter("rank IS NOT NULL")
             .groupBy("blob")
@@ -173,6 +193,11 @@ class BlobLedger:
         none = F.array().cast("array<struct<start: bigint, rank: int, kind: string, end: bigint>>")
         return paths.join(known, "blob", "left").select("id", "blob", F.coalesce("spans", none).alias("spans"))
 
+    def report(self, rules: tuple[Rule, ...] = ALL_RULES) -> DataFrame:
+        """What scan() gives, for the paths of all finished scans. Ids must have had one type."""
+        paths = self.spark.read.parquet(f"{self.path}/paths").join(self._read("batches", _BATCHES), "batch", "left_semi")
+        return self._told(paths.drop("batch"), rules)
+
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """text with every stretch that spans cover, overlapping ones together, replaced by mark."""

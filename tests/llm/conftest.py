@@ -1,7 +1,11 @@
 import hashlib
+import sys
+from pathlib import Path
 
 import pytest
 
+sys.path.insert(0, str(Path(__file__).parent))
+
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, score double, fp string, spans string"
 
 
