@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from loomfield.storage import stored
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> (node, root): every node of an edge between two nodes, with the least node it
     reaches. Alternating large-star and small-star steps: minima are pre-aggregated and joined back,
-    so no neighbourhood is gathered in one task; each round ends in a stored table."""
+    so no neighbourhood is gathered in one task; each round ends in a stored table. Rounds go on until the
+    edges no longer change, which takes about the logarithm of the longest path of them."""
     live = stored(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = live.union(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -28,7 +29,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             roots = live.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
             return live.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
         before = state
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def closed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
