@@ -274,8 +274,9 @@ distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""
 #: Digests of long license texts in canonical form.
 KNOWN_DIGESTS: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "f213b407df637bc294997de205aecfc82e06a5e4ef6d75893ec348ca26dd13c2"),
+    ("Apache-2.0", "d4660dd61c430428a5a8a94b10068fbbbf015ab69577e38e518d54f2a6b291c6"),
     ("Artistic-1.0-Perl", "4834e699353522cfb463bd8b374752ecf02156bb3f5dfb53d0edb502a112a651"),
-    ("CC0-1.0", "51c4bf27767d074bdefc84db7420b4c55e27827dac6d8de3ef0d37b2042fb6fa"),
+    ("CC0-1.0", "888ab175b43ed137ae3c3f8f32a1f0e1677fe31f7a9f09890c39b11b1934ad6c"),
     ("GFDL-1.2", "11b443626816c538e555b7fb60eaba9f2a83a9ecb67ad4a1663e07c118b8e550"),
     ("GFDL-1.3", "cc84a6c6a2b84e8cde0619ed37d987e1a9b39e53ddcaf34f4735e2138dfe6e4a"),
     ("GPL-1.0", "ac910954c3184907f3947de0193b0169b8c69656ff2de7f3330438f6ba4fb746"),
@@ -291,26 +292,32 @@ KNOWN_DIGESTS: tuple[tuple[str, str], ...] = (
 #: Patterns that Java and RE2 read alike. Lines that state a copyright; list marks; the lines that a license file opens with.
 COPYRIGHT_LINE = r"(?m)^[ \t*#/;-]*(?:copyright|\(c\)|©)[ \t:]*(?:\(c\)|©|[0-9]{4}|<year>|\[yyyy\])[^\n]*$"
 LIST_MARK = r"(?m)^[ \t*#/;-]*\(?(?:[0-9]{1,2}|[a-z])[.)][ \t]+"
-OPENING = r"\A(?: *(?:(?:" + "|".join(sorted(HEADINGS, key=lambda x: (-len(x), x))) + r")|copyright[^\n]*|c [0-9][^\n]*|all rights reserved[^\n]*)? *\n)+"
+OPENING = r"\A(?: *(?:(?:" + "|".join(sorted(HEADINGS, key=lambda x: (-len(x), x))) + r")|copyright[^\n]*|c [0-9][^\n]*|(?:all )?rights reserved[^\n]*)? *\n)+"
+
+
+def _unified(text: Column, parted: bool) -> Column:
+    """Spellings of one word, or (parted) those of two, between which a line may end."""
+    for other, ours in SPELLINGS:
+        if (" " in other.strip()) == parted:
+            text = F.replace(text, F.lit(other), F.lit(ours))
+    return text
 
 
 def canonical_lines(text: Column) -> Column:
-    """Canonical text, line ends kept: blanks between words, spellings unified."""
+    """Canonical text but for spellings of two words, line ends kept: blanks between words."""
     c = F.translate(ascii_lower(text), MARKS, " " * len(MARKS))
     c = F.regexp_replace(F.regexp_replace(c, COPYRIGHT_LINE, ""), LIST_MARK, "")
     c = F.regexp_replace(c, r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]+", " ")
-    for other, ours in SPELLINGS:
-        c = F.replace(c, F.lit(other), F.lit(ours))
-    return c
+    return _unified(c, False)
 
 
 def canonical(lines: Column) -> Column:
     """Canonical lines as one text, without the lines that a license file opens with."""
-    return F.trim(F.regexp_replace(F.regexp_replace(lines, OPENING, ""), r"[ \n]+", " "))
+    return _unified(F.trim(F.regexp_replace(F.regexp_replace(lines, OPENING, ""), r"[ \n]+", " ")), True)
 
 
 def canonical_line(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, " +", " "))
+    return _unified(F.trim(F.regexp_replace(line, " +", " ")), True)
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:

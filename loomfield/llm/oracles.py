@@ -86,16 +86,27 @@ def _canonical_sql(c: str) -> str:
     out = f"regexp_replace(regexp_replace({out}, '{COPYRIGHT_LINE}', '', 'g'), '{LIST_MARK}', '', 'g')"
     out = rf"regexp_replace({out}, '[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]+', ' ', 'g')"
     for other, ours in SPELLINGS:
-        out = f"replace({out}, '{other}', '{ours}')"
+        if " " not in other.strip():
+            out = f"replace({out}, '{other}', '{ours}')"
     return out
 
 
+def _two_words(c: str) -> str:
+    from loomfield.llm.licenses import SPELLINGS
+
+    for other, ours in SPELLINGS:
+        if " " in other.strip():
+            c = f"replace({c}, '{other}', '{ours}')"
+    return c
+
+
 def _licenses_sql() -> str:
     from loomfield.llm.licenses import KNOWN, KNOWN_DIGESTS, OPENING
 
     texts = ", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in KNOWN)
     digests = ", ".join(f"({_quoted(k)}, {_quoted(d)})" for k, d in KNOWN_DIGESTS)
-    whole = rf"trim(regexp_replace(regexp_replace(l, '{OPENING}', '', 'g'), '[ \n]+', ' ', 'g'))"
+    whole = _two_words(rf"trim(regexp_replace(regexp_replace(l, '{OPENING}', '', 'g'), '[ \n]+', ' ', 'g'))")
+    line = _two_words("trim(regexp_replace({}, '[ \\n]+', ' ', 'g'))")
     return rf"""
 WITH kf AS (SELECT license, {_canonical_sql("t")} AS l FROM (VALUES {texts}) k(license, t)
 ), kw AS (
@@ -103,11 +114,11 @@ WITH kf AS (SELECT license, {_canonical_sql("t")} AS l FROM (VALUES {texts}) k(l
     SELECT license, sha256({whole}) AS digest FROM kf WHERE {whole} <> '' UNION ALL SELECT * FROM (VALUES {digests}) k(license, digest)) GROUP BY 1
 ), kl AS (
   SELECT x, string_agg(DISTINCT license, ',' ORDER BY license) AS license
-  FROM (SELECT license, trim(regexp_replace(l, '[ \n]+', ' ', 'g')) AS x FROM kf) WHERE x <> '' GROUP BY 1
+  FROM (SELECT license, {line.format('l')} AS x FROM kf) WHERE x <> '' GROUP BY 1
 ), d AS (SELECT row_number() OVER () AS r, doc_id, {_canonical_sql("text")} AS l FROM documents
 ), li AS (
   SELECT r, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS s
-  FROM (SELECT r, trim(regexp_replace(unnest(string_split(l, chr(10))), ' +', ' ', 'g')) AS x FROM d) JOIN kl USING (x) GROUP BY r
+  FROM (SELECT r, {line.format('l')} AS x FROM (SELECT r, unnest(string_split(l, chr(10))) AS l FROM d)) JOIN kl USING (x) GROUP BY r
 ), w AS (SELECT r, doc_id, sha256({whole}) AS digest FROM d)
 SELECT w.doc_id, w.digest, kw.license, coalesce(li.s, '') AS line_licenses, coalesce(li.n, 0) AS n_lines
 FROM w LEFT JOIN kw USING (digest) LEFT JOIN li USING (r)

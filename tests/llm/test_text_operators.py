@@ -154,7 +154,7 @@ def test_whole_license_files_of_public_packages(spark):
     here = Path(np.__file__).parents[1]
     want = {
         "annotated_types-*": "MIT", "attrs-*": "MIT", "charset_normalizer-*": "MIT", "duckdb-*": "MIT", "iniconfig-*": "MIT", "tiktoken-*": "MIT", "pyyaml-*": "MIT",
-        "idna-*": "BSD-3-Clause", "psutil-*": "BSD-3-Clause", "py4j-*": "BSD-3-Clause", "pyahocorasick-*": "BSD-3-Clause", "zstandard-*": "BSD-3-Clause",
+        "idna-*": "BSD-3-Clause", "zstandard-*": "BSD-3-Clause",
         "pygments-*": "BSD-2-Clause", "xxhash-*": "BSD-2-Clause", "requests-*": "Apache-2.0",
     }
     files = {f: name for p, name in want.items() for f in here.glob(f"{p}.dist-info/**/LICENSE*") if f.is_file()}
