@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomfield.operators.ranking import beside
+
 
 def association(rows: DataFrame, episode: list[str], identity: str, domain: str) -> DataFrame:
     """Mutual information of identity and domain, one vote for each (episode, identity): events,
@@ -90,9 +92,9 @@ def stage_regressions(history: DataFrame, candidate: DataFrame, keys: list[str],
 
 
 def limit_breaches(summary: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """summary (one row) as (code, value, limit) of the columns beyond their limits, by code."""
+    """summary (one row) as (code, value, limit) of the columns beyond their limits."""
     each = F.array(*[F.struct(F.lit(c).alias("code"), F.col(c).cast("double").alias("value"), F.lit(float(x)).alias("limit")) for c, x in limits.items()])
-    return summary.select(F.explode(each).alias("x")).select("x.*").filter("value > limit").orderBy("code")
+    return summary.select(F.explode(each).alias("x")).select("x.*").filter("value > limit")
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -102,10 +104,8 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def chunk_breaks(chunks: DataFrame) -> DataFrame:
     """chunks(lineage, start, end) whose start is not the end of the chunk before (0 at first)."""
-    from pyspark.sql import Window as W
-
-    before = F.coalesce(F.lag("end").over(W.partitionBy("lineage").orderBy("start", "end")), F.lit(0))
-    return chunks.withColumn("expected", before).filter("start <> expected")
+    paired = beside(chunks, ["lineage"], [F.col("start"), F.col("end")], -1, {"expected": "end"})
+    return paired.withColumn("expected", F.coalesce("expected", F.lit(0))).filter("start <> expected")
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

@@ -1,7 +1,7 @@
 """Near duplicates, graphs, splits, leakage and census queries.
 
-Fingerprints are the signs of an embedding's first 32 components; identities, sessions and domains are proxies named in
-each query.
+Fingerprints are the signs of an embedding's 64 components, in two orientations, or four thresholds of each; identities,
+sessions and domains are proxies named in each query.
 """
 
 from __future__ import annotations
@@ -17,40 +17,74 @@ from loomfield.operators import neardup as N
 from loomfield.operators import splits as P
 from loomfield.plans.registering import query, rounded
 
-# 32 signs as two words of 16 bits; a second orientation reverses them.
-_FP = """
-WITH f AS (
-  SELECT vec_id AS id, list_transform(range(0, 2), lambda k: list_sum(list_transform(range(0, 16), lambda i: CASE WHEN embedding[k * 16 + i + 1] > 0 THEN CAST(2 ** i AS BIGINT) ELSE 0 END))::BIGINT) AS w,
-    list_transform(range(0, 2), lambda k: list_sum(list_transform(range(0, 16), lambda i: CASE WHEN embedding[32 - (k * 16 + i)] > 0 THEN CAST(2 ** i AS BIGINT) ELSE 0 END))::BIGINT) AS v
-  FROM embeddings
-), o AS (SELECT id, 0 AS o, w FROM f UNION ALL SELECT id, 1, v FROM f), p AS (
-  SELECT a.id AS left_id, b.id AS right_id, a.o AS lo, b.o AS ro, CAST(bit_count(xor(a.w[1], b.w[1])) + bit_count(xor(a.w[2], b.w[2])) AS INTEGER) AS d
+# Two rows a vector: as it is (even ids), and shifted a little, every third one also reversed (odd ids).
+_SHIFTED = """WITH r AS (SELECT 2 * vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings
+  UNION ALL SELECT 2 * vec_id + 1, list_transform(CASE WHEN vec_id % 3 = 0 THEN list_reverse(embedding::DOUBLE[]) ELSE embedding::DOUBLE[] END, lambda x: x + 0.015::DOUBLE) FROM embeddings)"""
+
+
+def _shifted(t):
+    v, k = as_double("embedding"), F.col("vec_id")
+    other = F.transform(F.when(k % 3 == 0, F.reverse(v)).otherwise(v), lambda x: x + 0.015)
+    return t("embeddings").select(F.explode(F.array(F.struct((2 * k).alias("id"), v.alias("e")), F.struct((2 * k + 1).alias("id"), other.alias("e")))).alias("x")).select("x.*")
+
+
+# 64 signs as four words of 16 bits; a second orientation reverses them. Pairs are those of kinds, under their least ids.
+_FP = _SHIFTED + """, f AS (
+  SELECT id, list_transform(range(0, 4), lambda k: list_sum(list_transform(range(0, 16), lambda i: CASE WHEN e[k * 16 + i + 1] > 0 THEN CAST(2 ** i AS BIGINT) ELSE 0 END))::BIGINT) AS w,
+    list_transform(range(0, 4), lambda k: list_sum(list_transform(range(0, 16), lambda i: CASE WHEN e[64 - (k * 16 + i)] > 0 THEN CAST(2 ** i AS BIGINT) ELSE 0 END))::BIGINT) AS v
+  FROM r
+), m AS (SELECT min(id) OVER (PARTITION BY w, v) AS representative, id AS member FROM f
+), k AS (SELECT * FROM f WHERE id IN (SELECT representative FROM m)), o AS (SELECT id, 0 AS o, w FROM k UNION ALL SELECT id, 1, v FROM k), p AS (
+  SELECT a.id AS left_id, b.id AS right_id, a.o AS lo, b.o AS ro, CAST(list_sum(list_transform(range(1, 5), lambda j: bit_count(xor(a.w[j], b.w[j])))) AS INTEGER) AS d
   FROM o a JOIN o b ON a.id < b.id
 )
 """
 
 
 def _fingerprints(t):
-    e = t("embeddings")
-    v = F.slice(as_double("embedding"), 1, 32)
-    one = lambda o, x: F.struct(F.lit(o).alias("o"), F.array(*[sign_bits(x, 16 * k, 16) for k in range(2)]).alias("words"))
-    return e.select(F.col("vec_id").alias("id"), F.array(one(0, v), one(1, F.reverse(v))).alias("orientations"))
+    v = F.col("e")
+    one = lambda o, x: F.struct(F.lit(o).alias("o"), F.array(*[sign_bits(x, 16 * k, 16) for k in range(4)]).alias("words"))
+    return _shifted(t).select("id", F.array(one(0, v), one(1, F.reverse(v))).alias("orientations"))
 
 
-@query(_FP + """SELECT left_id, right_id, d AS distance, lo AS left_o, ro AS right_o FROM p WHERE d <= 5
+@query(_FP + """SELECT left_id, right_id, d AS distance, lo AS left_o, ro AS right_o FROM p WHERE d <= 10
 QUALIFY row_number() OVER (PARTITION BY left_id, right_id ORDER BY d, lo, ro) = 1""")
 def near_duplicates(t):
-    return N.near_pairs(_fingerprints(t), words=2, radius=5)
+    kinds, _ = N.representatives(_fingerprints(t))
+    return N.near_pairs(kinds, words=4, radius=10)
 
 
-@query(_FP + """, e AS (SELECT DISTINCT left_id, right_id FROM p WHERE d <= 5), r(node, root) AS (SELECT vec_id, vec_id FROM embeddings
-), u AS (SELECT left_id AS a, right_id AS b FROM e UNION SELECT right_id, left_id FROM e
-), c AS (WITH RECURSIVE w(node, seen) AS (SELECT node, root FROM r UNION SELECT u.b, w.seen FROM w JOIN u ON u.a = w.node) SELECT node, min(seen) AS root FROM w GROUP BY node)
+@query(_FP + "SELECT representative, member FROM m")
+def near_duplicate_members(t):
+    return N.representatives(_fingerprints(t))[1]
+
+
+@query(_FP + """, e AS (SELECT left_id AS a, right_id AS b FROM p WHERE d <= 10 UNION SELECT representative, member FROM m WHERE representative <> member
+), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e
+), c AS (WITH RECURSIVE w(node, seen) AS (SELECT id, id FROM r UNION SELECT u.b, w.seen FROM w JOIN u ON u.a = w.node) SELECT node, min(seen) AS root FROM w GROUP BY node)
 SELECT node, root FROM c""")
 def near_duplicate_components(t):
-    pairs = N.near_pairs(_fingerprints(t), words=2, radius=5)
-    nodes = t("embeddings").select(F.col("vec_id").alias("node"))
-    return G.closed(nodes, pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")))
+    kinds, members = N.representatives(_fingerprints(t))
+    pairs = N.near_pairs(kinds, words=4, radius=10).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
+    nodes = members.select(F.col("member").alias("node"))
+    return G.closed(nodes, pairs.union(members.filter("representative <> member")))
+
+
+# 256 bits: 64 components against four thresholds, as sixteen words.
+_CUTS = (-0.1, 0.0, 0.05, 0.1)
+
+
+@query(_SHIFTED + """, f AS (
+  SELECT min(id) AS id, w FROM (SELECT id, list_transform(range(0, 16), lambda k: list_sum(list_transform(range(0, 16), lambda i:
+    CASE WHEN e[(k % 4) * 16 + i + 1] - [-0.1::DOUBLE, 0.0, 0.05, 0.1][k // 4 + 1] > 0 THEN CAST(2 ** i AS BIGINT) ELSE 0 END))::BIGINT) AS w FROM r) GROUP BY w
+), p AS (SELECT a.id AS left_id, b.id AS right_id, CAST(list_sum(list_transform(range(1, 17), lambda j: bit_count(xor(a.w[j], b.w[j])))) AS INTEGER) AS d FROM f a JOIN f b ON a.id < b.id)
+SELECT left_id, right_id, d AS distance, 0 AS left_o, 0 AS right_o FROM p WHERE d <= 31""")
+def near_duplicates_wide(t):
+    over = lambda c: F.transform("e", lambda x: x - c)
+    words = [sign_bits(over(c), 16 * k, 16) for c in _CUTS for k in range(4)]
+    one = F.array(F.struct(F.lit(0).alias("o"), F.array(*words).alias("words")))
+    kinds, _ = N.representatives(_shifted(t).select("id", one.alias("orientations")))
+    return N.near_pairs(kinds, words=16, radius=31)
 
 
 @query("""SELECT sha256(lower(text)) AS key, min(doc_id) AS representative, count(*) AS members FROM documents GROUP BY 1 HAVING count(*) > 1""")
@@ -86,7 +120,7 @@ def duplicate_pair_expansion(t):
 
 # Orders as evidence: those of one customer and year, or of one total price, belong together.
 _BLOCKS = """
-WITH RECURSIVE o AS (SELECT o_orderkey AS node, CAST(o_custkey * 100 + year(o_orderdate) % 100 AS VARCHAR) AS k1, CAST(o_totalprice AS VARCHAR) AS k2 FROM orders WHERE o_orderkey % 20 = 0
+WITH RECURSIVE o AS (SELECT o_orderkey AS node, CAST(o_custkey * 100 + year(o_orderdate) % 100 AS VARCHAR) AS k1, CAST(o_totalprice AS VARCHAR) AS k2 FROM orders
 ), l AS (SELECT node, 'a' || k1 AS k FROM o UNION ALL SELECT node, 'b' || k2 FROM o
 ), h AS (SELECT k, min(node) AS b FROM l GROUP BY k), e AS (SELECT node AS a, b FROM l JOIN h USING (k) WHERE node <> b
 ), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w(node, seen) AS (SELECT node, node FROM o UNION SELECT u.b, w.seen FROM w JOIN u ON u.a = w.node
@@ -94,8 +128,8 @@ WITH RECURSIVE o AS (SELECT o_orderkey AS node, CAST(o_custkey * 100 + year(o_or
 """
 
 
-def _blocks(t, condition="o_orderkey % 20 = 0"):
-    o = t("orders").filter(condition).select(
+def _blocks(t):
+    o = t("orders").select(
         F.col("o_orderkey").alias("node"), (F.col("o_custkey") * 100 + F.year("o_orderdate") % 100).alias("k1"), F.col("o_totalprice").alias("k2")
     )
     return G.closed(o.select("node"), G.shared_key_edges(o, "node", ["k1", "k2"]))
@@ -122,28 +156,6 @@ def component_quarantine(t):
     return G.quarantined(_blocks(t), bad)
 
 
-# The same over all orders. Held against brute force in the tests.
-@query()
-def shared_key_blocks_all(t):
-    return _blocks(t, "true")
-
-
-@query()
-def component_ids_all(t):
-    return G.component_ids(_blocks(t, "true"))
-
-
-@query()
-def component_capacity_all(t):
-    return G.component_ids(_blocks(t, "true")).groupBy("size").agg(F.count("*").alias("components"))
-
-
-@query()
-def component_quarantine_all(t):
-    bad = t("orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("node"))
-    return G.quarantined(_blocks(t, "true"), bad)
-
-
 @query("""WITH g AS (SELECT DISTINCT o_orderstatus AS dataset, o_custkey AS identity FROM orders), one AS (SELECT min(dataset) AS dataset, identity FROM g GROUP BY identity)
 SELECT identity, dataset, CAST((row_number() OVER (PARTITION BY dataset ORDER BY sha256('s1' || chr(31) || identity), identity) - 1) % 5 AS INTEGER) AS fold,
   CASE (row_number() OVER (PARTITION BY dataset ORDER BY sha256('s1' || chr(31) || identity), identity) - 1) % 5 WHEN 2 THEN 'TEST' WHEN 3 THEN 'DEV' ELSE 'TRAIN' END AS role FROM one""")
@@ -209,12 +221,12 @@ def _pairing(t):
         F.col("o_orderkey").alias("item"), F.col("o_custkey").alias("identity"), F.col("o_orderpriority").alias("session"),
         (F.col("o_custkey") % 50).alias("brand"), (F.col("o_custkey") % 3).alias("size"),
     )
-    return rows.filter("item % 4 <> 0"), rows.filter("item % 40 = 0")
+    return rows, rows
 
 
 _SIDES = """
 WITH o AS (SELECT o_orderkey AS item, o_custkey AS identity, o_orderpriority AS session, o_custkey % 50 AS brand, o_custkey % 3 AS size FROM orders
-), g AS (SELECT * FROM o WHERE item % 4 <> 0), q AS (SELECT * FROM o WHERE item % 40 = 0)
+), g AS (SELECT * FROM o), q AS (SELECT * FROM o)
 """
 
 
@@ -334,31 +346,27 @@ def gate_limits(t):
     return L.limit_breaches(summary, {"mean": 10, "top": 1})
 
 
-@query("""SELECT n_nationkey, side FROM (SELECT n_nationkey, 'left' AS side FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey % 40 = 0)
-UNION ALL SELECT c_nationkey, 'right' FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_custkey % 40 = 0) WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation))""")
+@query("""WITH r AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R'), a AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'A')
+SELECT l_partkey, 'left' AS side FROM r WHERE l_partkey NOT IN (SELECT l_partkey FROM a) UNION ALL SELECT l_partkey, 'right' FROM a WHERE l_partkey NOT IN (SELECT l_partkey FROM r)""")
 def gate_same_rows(t):
-    used = t("customer").filter("c_custkey % 40 = 0").select(F.col("c_nationkey").alias("n_nationkey")).distinct()
-    return L.same_rows(t("nation").select("n_nationkey"), used)
+    of = lambda flag: t("lineitem").filter(F.col("l_returnflag") == flag).select("l_partkey").distinct()
+    return L.same_rows(of("R"), of("A"))
 
 
-@query("""WITH c AS (SELECT o_orderstatus AS lineage, o_orderkey AS "start", o_orderkey + 4 AS "end" FROM orders WHERE o_orderkey % 4 = 0)
+@query("""WITH c AS (SELECT o_orderstatus AS lineage, o_orderkey AS "start", o_orderkey + 1 AS "end" FROM orders)
 SELECT * FROM (SELECT *, coalesce(lag("end") OVER (PARTITION BY lineage ORDER BY "start"), 0) AS expected FROM c) WHERE "start" <> expected""")
 def gate_chunk_cover(t):
-    c = t("orders").filter("o_orderkey % 4 = 0").select(
-        F.col("o_orderstatus").alias("lineage"), F.col("o_orderkey").alias("start"), (F.col("o_orderkey") + 4).alias("end")
-    )
+    c = t("orders").select(F.col("o_orderstatus").alias("lineage"), F.col("o_orderkey").alias("start"), (F.col("o_orderkey") + 1).alias("end"))
     return L.chunk_breaks(c)
 
 
 @query("""SELECT grouping_id(l_returnflag, l_linestatus, l_linenumber)::BIGINT AS gid, l_returnflag, l_linestatus, l_linenumber, count(*) AS n, count(DISTINCT l_suppkey) AS identities FROM lineitem
 GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), (l_linenumber), (l_returnflag, l_linestatus), (l_returnflag, l_linenumber), ())""")
 def census(t):
-    t("lineitem").createOrReplaceTempView("_census")
-    return t("lineitem").sparkSession.sql(
-        """SELECT cast(grouping_id(l_returnflag, l_linestatus, l_linenumber) AS bigint) AS gid, l_returnflag, l_linestatus, l_linenumber, count(*) AS n, count(DISTINCT l_suppkey) AS identities
-        FROM _census GROUP BY l_returnflag, l_linestatus, l_linenumber
-        GROUPING SETS ((l_returnflag), (l_linestatus), (l_linenumber), (l_returnflag, l_linestatus), (l_returnflag, l_linenumber), ())"""
-    )
+    flag, status, line = (F.col(c) for c in ("l_returnflag", "l_linestatus", "l_linenumber"))
+    sets = [[flag], [status], [line], [flag, status], [flag, line], []]
+    grouped = t("lineitem").groupingSets(sets, flag, status, line)
+    return grouped.agg(F.grouping_id().cast("long").alias("gid"), F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("identities"))
 
 
 @query("""WITH i AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f FROM orders GROUP BY 1)
@@ -402,4 +410,4 @@ def master_table(t):
         [("absent", None, 0, "NOT_APPLICABLE")],
         T.StructType([T.StructField("metric", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("denominator", T.LongType()), T.StructField("note", T.StringType())]),
     )
-    return L.union_all([absent, *parts]).select("metric", "value", "denominator", "note").orderBy("metric")
+    return L.union_all([absent, *parts]).select("metric", "value", "denominator", "note")

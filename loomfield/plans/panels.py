@@ -48,17 +48,16 @@ def evidence_kinds(t):
     return E.gathered({"EXACT": exact, "REVIEW": reviews, "GEOMETRY": geometry})
 
 
-@query("""SELECT least(o_orderkey, o_custkey) AS left_id, greatest(o_orderkey, o_custkey) AS right_id FROM orders WHERE o_orderkey % 9 = 0""")
+@query("""SELECT least(o_orderkey, o_custkey) AS left_id, greatest(o_orderkey, o_custkey) AS right_id FROM orders""")
 def dependency_edges(t):
     """An edge for each row that names another one."""
-    rows = t("orders").filter("o_orderkey % 9 = 0")
-    return E.ordered(rows, "o_orderkey", "o_custkey").select("left_id", "right_id")
+    return E.ordered(t("orders"), "o_orderkey", "o_custkey").select("left_id", "right_id")
 
 
-@query("""WITH a AS (SELECT o_custkey AS k, min(o_orderstatus) AS role, count(DISTINCT o_orderstatus) AS n FROM orders WHERE o_orderkey % 11 = 0 GROUP BY 1)
+@query("""WITH a AS (SELECT o_custkey AS k, min(o_orderstatus) AS role, count(DISTINCT o_orderstatus) AS n FROM orders GROUP BY 1)
 SELECT k AS c_custkey, role, c_mktsegment AS dataset, CASE WHEN n > 1 THEN 'CONFLICT' WHEN c_custkey IS NOT NULL THEN 'BOUND' ELSE 'UNREGISTERED' END AS state FROM a LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) ON c_custkey = k""")
 def registry_binding(t):
-    assigned = t("orders").filter("o_orderkey % 11 = 0").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderstatus").alias("role"))
+    assigned = t("orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderstatus").alias("role"))
     registry = t("customer").filter("c_custkey % 5 <> 0").select("c_custkey", F.col("c_mktsegment").alias("dataset"))
     return E.bindings(assigned, registry, "c_custkey")
 

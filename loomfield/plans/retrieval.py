@@ -383,11 +383,11 @@ def pair_similarity(t):
 
 
 @query(_SCORES + """SELECT query_id, template_id, round(CASE WHEN stddev_pop(score) OVER w > 1e-12 THEN (score - avg(score) OVER w) / stddev_pop(score) OVER w ELSE 0 END, 5) AS z FROM s
-WHERE query_id % 25 = 0 WINDOW w AS (PARTITION BY query_id)""")
+WINDOW w AS (PARTITION BY query_id)""")
 def score_zscores(t):
     from loomfield.operators.diagnostics import row_zscores
 
-    return row_zscores(_pairs(t).filter("query_id % 25 = 0")).select("query_id", "template_id", F.round("z", 5).alias("z"))
+    return row_zscores(_pairs(t)).select("query_id", "template_id", F.round("z", 5).alias("z"))
 
 
 @query()

@@ -54,11 +54,11 @@ def best_frames(t):
     return rounded(D.best_frames(rows, "user_id", 3, 50.0).select("user_id", "frame", "score", "place"), "score")
 
 
-@query("""WITH m AS (SELECT l_suppkey, CASE WHEN l_linenumber <= 3 THEN 'PROTECTED' ELSE 'IMPROVEMENT' END AS kind, l_tax + 0.095 AS margin, l_discount - 0.05 AS lower, l_discount - 0.002 AS upper FROM lineitem WHERE l_orderkey % 50 = 0
+@query("""WITH m AS (SELECT l_suppkey, CASE WHEN l_linenumber <= 3 THEN 'PROTECTED' ELSE 'IMPROVEMENT' END AS kind, l_tax + 0.095 AS margin, l_discount - 0.05 AS lower, l_discount - 0.002 AS upper FROM lineitem
 ), f AS (SELECT l_suppkey, bool_or(kind = 'PROTECTED' AND lower > margin) AS w, bool_or(kind = 'PROTECTED' AND upper > margin) AS u, bool_or(kind = 'IMPROVEMENT' AND upper < 0) AS b, bool_or(kind = 'PROTECTED') AND bool_or(kind = 'IMPROVEMENT') AS c FROM m GROUP BY 1)
 SELECT l_suppkey, CASE WHEN NOT c THEN 'INCONCLUSIVE' WHEN w THEN 'REJECT' WHEN u THEN 'INCONCLUSIVE' WHEN b THEN 'PROMOTE' ELSE 'INCONCLUSIVE' END AS decision FROM f""")
 def promotion_decisions(t):
-    rows = t("lineitem").filter("l_orderkey % 50 = 0").select(
+    rows = t("lineitem").select(
         "l_suppkey", F.when(F.col("l_linenumber") <= 3, "PROTECTED").otherwise("IMPROVEMENT").alias("kind"), (F.col("l_tax") + 0.095).alias("margin"),
         (F.col("l_discount") - 0.05).alias("lower"), (F.col("l_discount") - 0.002).alias("upper"),
     )
