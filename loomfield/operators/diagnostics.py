@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomfield.functions.vectors import as_double, dot, norm, unit
 from loomfield.operators.ranking import running_sums
+from loomfield.operators.search import pair_scores
+from loomfield.storage import stored
 
 
 def finite_summary(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -37,11 +43,12 @@ def dispersion(rows: DataFrame, vector: str, by: list[str]) -> DataFrame:
 
 
 def centroid_cosines(rows: DataFrame, vector: str, key: str) -> DataFrame:
-    """(a, b, cosine) of the mean unit vectors of each two keys, a < b; keys are a bounded list."""
+    """(a, b, cosine) of the mean unit vectors of each two keys (whole numbers), a < b, scored in blocks."""
     means = mean_vectors(rows.select(key, unit(as_double(vector)).alias("u")).filter("u IS NOT NULL"), "u", [key])
-    one = means.select(F.col(key).alias("a"), unit(F.col("mean")).alias("u"))
-    two = means.select(F.col(key).alias("b"), unit(F.col("mean")).alias("v"))
-    return one.join(two, F.col("a") < F.col("b")).select("a", "b", dot(F.col("u"), F.col("v")).alias("cosine"))
+    side = stored(means.select(F.col(key).cast("long").alias("id"), F.col("mean").alias("vector")), "means")
+    found = pair_scores(side, side, digits=9).filter("query_id < template_id")
+    kind = rows.schema[key].dataType
+    return found.select(F.col("query_id").cast(kind).alias("a"), F.col("template_id").cast(kind).alias("b"), F.col("score").alias("cosine"))
 
 
 def domain_shift(rows: DataFrame, vector: str, identity: str, domain: str) -> DataFrame:
@@ -59,18 +66,35 @@ def domain_shift(rows: DataFrame, vector: str, identity: str, domain: str) -> Da
 
 
 def gram(rows: DataFrame, vector: str) -> DataFrame:
-    """(i, j, cov): the population covariance of the components, i <= j; as many rows as component
-    pairs, whatever the table's size."""
-    v = rows.select(as_double(vector).alias("v"))
-    long = v.select("v", F.posexplode("v").alias("i", "x"))
-    cells = long.select("i", "x", F.posexplode("v").alias("j", "y")).filter("i <= j")
-    return cells.groupBy("i", "j").agg((F.avg(F.col("x") * F.col("y")) - F.avg("x") * F.avg("y")).alias("cov"))
+    """(i, j, cov): the population covariance of the components, i <= j. Each task adds up the matrix
+    products of its batches and hands on as many sums as there are component pairs, whatever the table's
+    size. Null vectors take no part."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            lists = batch.column(0)
+            if len(lists):
+                at = lists.offsets.to_numpy()
+                v = lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]].reshape(len(lists), -1)
+                v = np.hstack([v, np.ones((len(v), 1))])
+                total = v.T @ v if total is None else total + v.T @ v
+        if total is not None:
+            i, j = np.triu_indices(len(total))
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], names=["i", "j", "s"])
+
+    v = rows.select(as_double(vector).alias("v")).filter("v IS NOT NULL")
+    sums = stored(v.mapInArrow(run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")), "gram")
+    last = sums.agg(F.max("j").alias("d"))
+    whole = sums.join(F.broadcast(last), F.col("j") == F.col("d")).select(F.col("i").alias("_k"), F.col("s").alias("_s"), "d")
+    n = F.broadcast(whole.filter("_k = d").select("d", F.col("_s").alias("n")))  # one row
+    mean = lambda k: F.broadcast(whole.filter("_k < d").select(F.col("_k").alias(k), F.col("_s").alias(f"s_{k}")))  # noqa: E731  a row a component
+    cells = sums.crossJoin(n).filter("j < d").join(mean("i"), "i").join(mean("j"), "j")
+    return cells.select("i", "j", (F.col("s") / F.col("n") - F.col("s_i") / F.col("n") * (F.col("s_j") / F.col("n"))).alias("cov"))
 
 
 def spectrum(rows: DataFrame, vector: str) -> list[tuple[int, float]]:
     """Eigenvalues of the covariance, largest first. The matrix is as wide as a vector is long."""
-    import numpy as np
-
     cells = gram(rows, vector).collect()
     size = 1 + max((r.j for r in cells), default=-1)
     m = np.zeros((size, size))
@@ -144,11 +168,53 @@ def rank_drift(scores: DataFrame, ks: tuple[int, ...] = (1, 5)) -> DataFrame:
         *apart,
     )
     ties = scores.groupBy("query_id", "a").agg(F.count("*").alias("c")).groupBy("query_id").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).cast("long").alias("tied_pairs"))
-    # A query's candidates are a bounded panel; its pairs are counted where the query is.
-    panel = rows.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ra", "rb"))), lambda p: p["rb"]).alias("order"))
-    later = lambda i, x: F.size(F.filter(F.slice("order", i + 2, F.size("order")), lambda y: y < x))
-    crossed = F.aggregate(F.transform("order", lambda x, i: later(i, x)), F.lit(0), lambda s, n: s + n)
-    return base.join(ties, "query_id").join(panel.select("query_id", crossed.cast("long").alias("inversions")), "query_id")
+    return base.join(ties, "query_id").join(inversions(rows.select("query_id", "ra", "rb")), "query_id")
+
+
+def crossed(values: np.ndarray) -> np.ndarray:
+    """For each of distinct values in order, how many larger ones come before it: bit by bit from the
+    highest, values that agree so far are kept in order, and those with a zero count the ones before."""
+    out, order = np.zeros(len(values), np.int64), np.arange(len(values))
+    for bit in range(int(values.max(initial=0)).bit_length() - 1, -1, -1):
+        own = values[order]
+        one, above = (own >> bit) & 1, own >> (bit + 1)
+        ones = np.cumsum(one)
+        first = np.flatnonzero(np.append(True, above[1:] != above[:-1]))
+        base = np.repeat(ones[first] - one[first], np.diff(np.append(first, len(own))))
+        out[order] += np.where(one == 0, ones - base, 0)
+        order = order[np.lexsort((one, above))]
+    return out
+
+
+def inversions(ranks: DataFrame) -> DataFrame:
+    """ranks(query_id, ra, rb), both from 1 -> (query_id, inversions): pairs that the two order differently.
+    The candidates of a query meet in one task, in order; they are counted in n log n steps."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def solve(query: np.ndarray, rb: np.ndarray) -> pa.RecordBatch:
+            first = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+            number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(query))))
+            n = np.bincount(number, crossed(number * (int(rb.max()) + 1) + rb)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(query[first]), pa.array(n)], names=["query_id", "inversions"])
+
+        for batch in batches:
+            query, rb = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            if held is not None:
+                query, rb = np.concatenate([held[0], query]), np.concatenate([held[1], rb])
+            if not len(query):
+                continue
+            done = int(np.flatnonzero(np.append(True, query[1:] != query[:-1]))[-1])
+            if done:
+                yield solve(query[:done], rb[:done])
+            held = query[done:], rb[done:]
+        if held is not None and len(held[0]):
+            yield solve(*held)
+
+    kind = ranks.schema["query_id"].dataType.simpleString()
+    sorted_ = ranks.repartition("query_id").sortWithinPartitions("query_id", "ra").select("query_id", "rb")
+    return sorted_.mapInArrow(run, f"query_id {kind}, inversions long")
 
 
 def row_zscores(scores: DataFrame, floor: float = 1e-12) -> DataFrame:

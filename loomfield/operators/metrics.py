@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomfield.operators.ranking import numbered
+from loomfield.operators.ranking import numbered, running_sums
 
 
 def relevance_ranks(scores: DataFrame) -> DataFrame:
@@ -22,17 +22,21 @@ def relevance_ranks(scores: DataFrame) -> DataFrame:
 
 def query_outcomes(scores: DataFrame) -> DataFrame:
     """Per query: n_relevant, first_hit, ap (mean precision at the hits), inp (relevant by last hit)."""
-    hit = F.col("relevant")
-    return (
-        relevance_ranks(scores)
-        .groupBy("query_id")
-        .agg(
-            F.count(F.when(hit, 1)).alias("n_relevant"),
-            F.min(F.when(hit, F.col("rank"))).alias("first_hit"),
-            F.avg(F.when(hit, F.col("hits") / F.col("rank"))).alias("ap"),
-            (F.count(F.when(hit, 1)) / F.max(F.when(hit, F.col("rank")))).alias("inp"),
-        )
+    ranks = relevance_ranks(scores)
+    return placed_outcomes(ranks.filter("relevant").select("query_id", F.col("rank").alias("place")), scores.select("query_id").distinct())
+
+
+def placed_outcomes(places: DataFrame, queries: DataFrame) -> DataFrame:
+    """The same from places(query_id, place), the ranks of relevant templates, and queries(query_id)."""
+    order = W.partitionBy("query_id").orderBy("place")
+    hits = places.withColumn("hits", F.row_number().over(order))
+    found = hits.groupBy("query_id").agg(
+        F.count("*").alias("n_relevant"),
+        F.min("place").alias("first_hit"),
+        F.avg(F.col("hits") / F.col("place")).alias("ap"),
+        (F.count("*") / F.max("place")).alias("inp"),
     )
+    return queries.join(found, "query_id", "left").fillna(0, ["n_relevant"])
 
 
 def retrieval_summary(outcomes: DataFrame, by: list[str] | None = None, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
@@ -60,22 +64,17 @@ def score_counts(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def verification_curve(counts: DataFrame) -> DataFrame:
     """Accepts at every threshold (score >= threshold): threshold, tp, fp, tar, far; an infinite
-    threshold accepts nothing. Scores carry six digits, so there are at most two million counts."""
-    falling = W.orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
-    everything = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    top = counts.agg(F.lit(float("inf")).alias("score"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"))
-    rows = counts.select("score", "pos", "neg").union(top)
+    threshold accepts nothing. Sums run over ranges of the scores, so their number has no bound."""
+    total = counts.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("p"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n"))
+    none = F.lit(0).cast("long")
+    top = counts.agg(F.lit(float("inf")).alias("score"), none.alias("pos"), none.alias("neg"))
+    rows = counts.select("score", "pos", "neg").union(top).withColumnRenamed("score", "threshold")
+    summed = running_sums(rows, [F.col("threshold").desc()], {"tp": F.col("pos"), "fp": F.col("neg")})
     return (
-        rows.select(
-            F.col("score").alias("threshold"),
-            F.sum("pos").over(falling).alias("tp"),
-            F.sum("neg").over(falling).alias("fp"),
-            F.sum("pos").over(everything).alias("p"),
-            F.sum("neg").over(everything).alias("n"),
-        )
+        summed.crossJoin(F.broadcast(total))  # one row
         .withColumn("tar", F.when(F.col("p") > 0, F.col("tp") / F.col("p")))
         .withColumn("far", F.when(F.col("n") > 0, F.col("fp") / F.col("n")))
-        .drop("p", "n")
+        .select("threshold", "tp", "fp", "tar", "far")
     )
 
 
@@ -87,43 +86,37 @@ def threshold_at_far(curve: DataFrame, targets: DataFrame) -> DataFrame:
     return best.select("target_far", "b.threshold", "b.tar", "b.far").filter(F.col("threshold") < float("inf"))
 
 
-def verification_summary(pairs: DataFrame) -> DataFrame:
+def verification_summary(counts: DataFrame) -> DataFrame:
     """AUC (ties count half), equal error rate (least |FRR - FAR|, ties to the higher threshold),
-    d-prime and class moments of pairs(score, label)."""
-    counts = score_counts(pairs)
-    falling = W.orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, -1)
-    auc = counts.withColumn("above", F.coalesce(F.sum("pos").over(falling), F.lit(0))).agg(
-        (F.sum(F.col("neg") * (F.col("above") + F.col("pos") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc")
-    )
+    d-prime and class moments of counts(score, pos, neg)."""
+    curve = verification_curve(counts).join(counts, F.col("threshold") == F.col("score"), "left")
     gap = F.abs(1 - F.col("tar") - F.col("far"))
-    eer = verification_curve(counts).agg(F.max_by((1 - F.col("tar") + F.col("far")) / 2, F.struct(-gap, "threshold")).alias("eer"))
-    of = lambda c: F.when(F.col("label") == c, F.col("score"))
-    moments = pairs.agg(
-        F.avg(of(1)).alias("pos_mean"), F.avg(of(0)).alias("neg_mean"), F.stddev_pop(of(1)).alias("pos_std"), F.stddev_pop(of(0)).alias("neg_std")
-    ).withColumn(
+    ahead = F.col("tp") - F.col("pos") / 2
+    rates = curve.agg(
+        (F.sum(F.col("neg") * ahead) / (F.sum("pos") * F.sum("neg"))).alias("auc"),
+        F.max_by((1 - F.col("tar") + F.col("far")) / 2, F.struct(-gap, "threshold")).alias("eer"),
+    )
+    mean = lambda c: F.sum(F.col("score") * F.col(c)) / F.sum(c)
+    square = lambda c: F.sum(F.col("score") * F.col("score") * F.col(c)) / F.sum(c)
+    std = lambda c: F.sqrt(F.greatest(F.lit(0.0), square(c) - mean(c) * mean(c)))
+    moments = counts.agg(mean("pos").alias("pos_mean"), mean("neg").alias("neg_mean"), std("pos").alias("pos_std"), std("neg").alias("neg_std")).withColumn(
         "d_prime", (F.col("pos_mean") - F.col("neg_mean")) / F.sqrt((F.pow("pos_std", F.lit(2)) + F.pow("neg_std", F.lit(2))) / 2)
     )
-    return auc.crossJoin(eer).crossJoin(moments)  # one row each
+    return rates.crossJoin(moments)  # one row each
 
 
-def average_precision(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Step-wise average precision over distinct scores."""
-    keys = by or []
-    order = W.partitionBy(*keys).orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
-    curve = (
-        score_counts(pairs, by)
-        .withColumn("tp", F.sum("pos").over(order))
-        .withColumn("fp", F.sum("neg").over(order))
-    )
-    return curve.groupBy(*keys).agg((F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.sum("pos")).alias("ap"))
+def average_precision(counts: DataFrame) -> DataFrame:
+    """Step-wise average precision over the distinct scores of counts(score, pos, neg)."""
+    curve = verification_curve(counts).join(counts, F.col("threshold") == F.col("score"))
+    return curve.agg((F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.sum("pos")).alias("ap"))
 
 
-def confusion(pairs: DataFrame, threshold: float | Column) -> DataFrame:
-    """Counts and rates of pairs(score, label) accepted at score >= threshold."""
-    said, true = F.col("score") >= threshold, F.col("label") == 1
-    count = lambda c: F.count(F.when(c, 1))
-    rows = pairs.agg(
-        count(said & true).alias("tp"), count(said & ~true).alias("fp"), count(~said & true).alias("fn"), count(~said & ~true).alias("tn")
+def confusion(counts: DataFrame, threshold: float | Column) -> DataFrame:
+    """Counts and rates of counts(score, pos, neg) accepted at score >= threshold."""
+    said = F.col("score") >= threshold
+    count = lambda c, name: F.coalesce(F.sum(F.when(c, F.col(name))), F.lit(0))
+    rows = counts.agg(
+        count(said, "pos").alias("tp"), count(said, "neg").alias("fp"), count(~said, "pos").alias("fn"), count(~said, "neg").alias("tn")
     )
     rate = lambda a, b: F.try_divide(F.col(a), F.col(a) + F.col(b))
     return rows.withColumns({"tar": rate("tp", "fn"), "far": rate("fp", "tn"), "frr": rate("fn", "tp")})
@@ -266,9 +259,9 @@ def cluster_bootstrap(clusters: DataFrame, resamples: int = 200, confidence: flo
     clusters as there are, numbered by order of cluster; draws are joined to their clusters' sums."""
     spark = clusters.sparkSession
     sums = numbered(clusters, [F.col("cluster")], "k").withColumn("k", F.col("k") - 1)
-    n = sums.count()
+    n = max(1, sums.count())
     draws = (
-        spark.range(resamples).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))).alias("d"))
+        spark.range(resamples * n).select(F.floor(F.col("id") / n).alias("r"), (F.col("id") % n).alias("d"))
         .withColumn("k", hash_draw(seed, F.col("r"), F.col("d"), F.lit(n)))
     )
     rates = draws.join(sums, "k").groupBy("r").agg((F.sum("events") / F.sum("trials")).alias("rate"))

@@ -1,14 +1,16 @@
 """Exact vector search in blocks.
 
 Queries and gallery are packed into blocks of bounded size and every pair of blocks meets in some
-task, over a grid of groups that both sides are repeated for; scores are one matrix product a pair.
-A pair hands on no scores but, for each query and identity, the best of them and the template that
-has it, so the rows that move grow with queries times identities. Scores are rounded, and ranks,
-ties and winners follow the rounded values.
+task; scores are one matrix product a pair. Blocks are dealt over a grid with a few cells for each task
+that runs at once, and each side is repeated for the cells of the other: about as often as the root of
+the tasks, however many blocks there are. A pair hands on no scores but what the question needs: the best
+of each query and identity, the best k of a query, counts by score and label, or how many templates come
+before a query's relevant ones. Scores are rounded, and ranks, ties and winners follow the rounded values.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,23 +20,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomfield.functions.vectors import as_double
+from loomfield.storage import stored
 
 QUERY_ROWS, GALLERY_ROWS = 512, 4096
 
 
-def _blocks(rows: DataFrame, size: int, groups: int, own: str, other: str, n_other: int) -> DataFrame:
-    """rows(...) as arrays of up to size rows, with a group of their own and one of the other side."""
-    dealt = rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(groups)))
-    packed = dealt.groupBy(F.col("_b").alias(own)).agg(F.collect_list(F.struct(*rows.columns)).alias(f"rows_{own}"))
-    return packed.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))))
+def grid_shape(n_left: int, n_right: int, slots: int, most: int = 256) -> tuple[int, int]:
+    """Rows and columns of a grid of about four cells a slot, of at most `most` blocks of a side in a cell."""
+    side = math.isqrt(4 * slots - 1) + 1
+    rows = max(1, min(n_left, max(side, -(-n_left // most))))
+    return rows, max(1, min(n_right, max(-(-4 * slots // rows), -(-n_right // most))))
+
+
+def _blocks(rows: DataFrame, blocks: int, name: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+    """rows(...) as arrays of up to a block of rows, with a row or column of the grid, for all of the other side's."""
+    dealt = rows.withColumn("_b", F.pmod(F.xxhash64(rows.columns[0]), F.lit(blocks)))
+    packed = dealt.groupBy("_b").agg(F.collect_list(F.struct(*rows.columns)).alias(name))
+    return packed.withColumn(own, F.pmod(F.xxhash64("_b"), F.lit(n_own))).withColumn(
+        other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long")))
+    )
 
 
 def block_pairs(queries: DataFrame, gallery: DataFrame) -> DataFrame:
     """One row (rows_q, rows_g) for each pair of a query block and a gallery block."""
     nq = max(1, -(-queries.count() // QUERY_ROWS))
     ng = max(1, -(-gallery.count() // GALLERY_ROWS))
-    left = _blocks(queries, QUERY_ROWS, nq, "q", "g", ng)
-    return left.join(_blocks(gallery, GALLERY_ROWS, ng, "g", "q", nq), ["q", "g"]).select("rows_q", "rows_g")
+    rows, cols = grid_shape(nq, ng, queries.sparkSession.sparkContext.defaultParallelism)
+    left = _blocks(queries, nq, "rows_q", "q", rows, "g", cols).select("q", "g", "rows_q")
+    right = _blocks(gallery, ng, "rows_g", "g", cols, "q", rows).select("q", "g", "rows_g")
+    return left.join(right, ["q", "g"]).select("rows_q", "rows_g")
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -42,8 +56,30 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
 
 
+def _flat(lists: pa.Array) -> np.ndarray:
+    return lists.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+
+
 def _stack(block: pa.Array, name: str) -> np.ndarray:
-    return np.array(block.field(name).to_pylist(), np.float64)
+    """The vectors of a block, one a row; they are of one length and without nulls."""
+    lists = block.field(name)
+    at = lists.offsets.to_numpy()
+    return _flat(lists)[at[0] : at[-1]].reshape(len(lists), -1)
+
+
+def _channel(lists: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows have channel k, and these rows' vectors."""
+    inner, at = lists.values, lists.offsets.to_numpy()[:-1] + k
+    has = inner.is_valid().to_numpy(zero_copy_only=False)[at]
+    begin, size = inner.offsets.to_numpy(), inner.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    at = at[has]
+    if not len(at):
+        return has, np.empty((0, 0))
+    return has, _flat(inner)[begin[at][:, None] + np.arange(size[at[0]])[None, :]]
+
+
+def _ints(block: pa.Array, name: str) -> np.ndarray:
+    return block.field(name).to_numpy(zero_copy_only=False)
 
 
 def best_templates(
@@ -64,14 +100,12 @@ def best_templates(
         for batch in batches:
             for q, g in zip(batch.column(0), batch.column(1), strict=True):
                 q, g = q.values, g.values
-                qc, gc = q.field("channels").to_pylist(), g.field("channels").to_pylist()
-                total, weight = np.zeros((len(qc), len(gc))), np.zeros((len(qc), len(gc)))
-                for k in range(len(qc[0])):
-                    has_q, has_g = (np.array([c[k] is not None for c in x]) for x in (qc, gc))
+                total, weight = np.zeros((len(q), len(g))), np.zeros((len(q), len(g)))
+                for k in range(len(q.field("channels")[0])):
+                    (has_q, a), (has_g, b) = (_channel(x.field("channels"), k) for x in (q, g))
                     if not has_q.any() or not has_g.any():
                         continue
-                    a = _unit(np.array([c[k] for c in qc if c[k] is not None], np.float64))
-                    b = _unit(np.array([c[k] for c in gc if c[k] is not None], np.float64))
+                    a, b = _unit(a), _unit(b)
                     w = 1.0 if weights is None else weights[k]
                     at = np.ix_(has_q, has_g)
                     total[at] += w * (a @ b.T)
@@ -132,22 +166,101 @@ def rank_of(scores: DataFrame, asked: DataFrame) -> DataFrame:
     )
 
 
-def pair_scores(queries: DataFrame, gallery: DataFrame, digits: int = 6) -> DataFrame:
-    """queries(id, vector), gallery(id, vector) -> every (query_id, template_id, score): for metrics
-    that need all scores of a stated query set. Rows grow with queries times gallery."""
+def _per_pair(queries: DataFrame, gallery: DataFrame, schema: str, work, digits: int = 6) -> DataFrame:
+    """work(query block, gallery block, scores) -> columns, for each pair of blocks of rows(id, ..., vector)."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for q, g in zip(batch.column(0), batch.column(1), strict=True):
                 q, g = q.values, g.values
-                qi, gi = q.field("id").to_numpy(), g.field("id").to_numpy()
                 score = np.round(_unit(_stack(q, "vector")) @ _unit(_stack(g, "vector")).T, digits)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(qi, len(gi))), pa.array(np.tile(gi, len(qi))), pa.array(score.ravel())],
-                    names=["query_id", "template_id", "score"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in work(q, g, score)], names=names)
 
-    return block_pairs(queries, gallery).mapInArrow(run, "query_id long, template_id long, score double")
+    return block_pairs(queries, gallery).mapInArrow(run, schema)
+
+
+def pair_scores(queries: DataFrame, gallery: DataFrame, digits: int = 6) -> DataFrame:
+    """queries(id, vector), gallery(id, vector) -> every (query_id, template_id, score): for results that
+    are made of all scores of a stated query set. Rows grow with queries times gallery."""
+
+    def every(q: pa.Array, g: pa.Array, score: np.ndarray) -> list:
+        qi, gi = _ints(q, "id"), _ints(g, "id")
+        return [np.repeat(qi, len(gi)), np.tile(gi, len(qi)), score.ravel()]
+
+    return _per_pair(queries, gallery, "query_id long, template_id long, score double", every, digits)
+
+
+def score_counts(queries: DataFrame, gallery: DataFrame, digits: int = 6) -> DataFrame:
+    """queries and gallery(id, identity, vector) -> (score, pos, neg): pairs of one and of two identities at
+    each distinct score, counted where they are scored."""
+
+    def counted(q: pa.Array, g: pa.Array, score: np.ndarray) -> list:
+        own = np.array(q.field("identity").to_pylist())[:, None] == np.array(g.field("identity").to_pylist())[None, :]
+        value, at = np.unique(score.ravel(), return_inverse=True)
+        pos = np.bincount(at, own.ravel(), len(value)).astype(np.int64)
+        return [value, pos, np.bincount(at, minlength=len(value)) - pos]
+
+    parts = _per_pair(queries, gallery, "score double, pos long, neg long", counted, digits)
+    return parts.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def top_templates(queries: DataFrame, gallery: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """queries(id, vector), gallery(id, vector) -> (query_id, template_id, score, r), the k best templates of
+    each query but itself, ties to the smaller id. A pair of blocks hands on its k best."""
+
+    def best(q: pa.Array, g: pa.Array, score: np.ndarray) -> list:
+        qi, gi = _ints(q, "id"), _ints(g, "id")
+        by_id = np.argsort(gi, kind="stable")
+        score = np.where(qi[:, None] == gi[by_id][None, :], -np.inf, score[:, by_id])
+        top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        value = np.take_along_axis(score, top, 1)
+        i, j = np.nonzero(value > -np.inf)
+        return [qi[i], gi[by_id][top[i, j]], value[i, j]]
+
+    parts = _per_pair(queries, gallery, "query_id long, template_id long, score double", best, digits)
+    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "template_id")
+    return parts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
+
+
+def relevant_places(queries: DataFrame, gallery: DataFrame, digits: int = 6, at_once: int = 4096) -> DataFrame:
+    """queries and gallery(id, identity, vector) -> (query_id, template_id, score, place): of each query the
+    templates of its identity, and their place among all templates (score falling, ties to the smaller id).
+    A first pass scores all pairs and keeps the relevant ones; a second one counts, in each pair of blocks,
+    the templates before each of them, a query's up to at_once at a time."""
+
+    def relevant(q: pa.Array, g: pa.Array, score: np.ndarray) -> list:
+        own = np.array(q.field("identity").to_pylist())[:, None] == np.array(g.field("identity").to_pylist())[None, :]
+        i, j = np.nonzero(own)
+        return [_ints(q, "id")[i], _ints(g, "id")[j], score[i, j]]
+
+    def before(q: pa.Array, g: pa.Array, score: np.ndarray) -> list:
+        gi = _ints(g, "id")
+        order = np.lexsort(np.broadcast_arrays(gi[None, :], -score), axis=1)
+        hits = q.field("hits")
+        at = hits.offsets.to_numpy()
+        template, value = _ints(hits.values, "template_id"), _ints(hits.values, "score")
+        out: list[list] = [[], [], [], []]
+        for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+            own, ids = -score[i, order[i]], gi[order[i]]
+            lo, hi = (np.searchsorted(own, -value[a:b], side) for side in ("left", "right"))
+            n = lo.copy()
+            for k in np.flatnonzero(hi > lo):
+                n[k] += np.searchsorted(ids[lo[k] : hi[k]], template[a + k])
+            for column, x in zip(out, (np.full(b - a, _ints(q, "query_id")[i]), template[a:b], value[a:b], n), strict=True):
+                column.append(x)
+        return [np.concatenate(x) if x else np.empty(0) for x in out]
+
+    found = stored(_per_pair(queries, gallery, "query_id long, template_id long, score double", relevant, digits), "relevant")
+    sizes = found.groupBy("query_id").agg(F.ceil(F.count("*") / at_once).alias("parts"))
+    dealt = found.join(sizes, "query_id").withColumn("part", F.pmod(F.xxhash64("template_id"), F.col("parts")))
+    hits = dealt.groupBy("query_id", "part").agg(F.collect_list(F.struct("template_id", "score")).alias("hits"))
+    asked = hits.join(queries.select(F.col("id").alias("query_id"), "vector"), "query_id").select(
+        F.struct("query_id", "part").alias("id"), "query_id", "hits", "vector"
+    )
+    schema = "query_id long, template_id long, score double, before long"
+    parts = _per_pair(asked, gallery.select("id", "vector"), schema, before, digits)
+    return parts.groupBy("query_id", "template_id", "score").agg((F.sum("before") + 1).alias("place"))
 
 
 def template_aggregates(scores: DataFrame, top: int = 3, temperature: float = 0.1) -> DataFrame:

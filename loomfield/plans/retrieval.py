@@ -12,6 +12,7 @@ from loomfield.functions.vectors import as_double, cosine
 from loomfield.operators import metrics as M
 from loomfield.operators import search as X
 from loomfield.plans.registering import query, rounded
+from loomfield.storage import stored
 
 IS_QUERY = "vec_id % 5 = 0"
 
@@ -54,6 +55,16 @@ def _pairs(t):
     return scores.join(own, "query_id").join(other, "template_id")
 
 
+def _named(t):
+    side = lambda df: df.select(F.col("vec_id").alias("id"), F.col("label").alias("identity"), as_double("embedding").alias("vector"))
+    return side(t("embeddings").filter(IS_QUERY)), side(t("embeddings").filter(f"NOT ({IS_QUERY})"))
+
+
+def _outcomes(t):
+    q, g = _named(t)
+    return M.placed_outcomes(X.relevant_places(q, g), q.select(F.col("id").alias("query_id")))
+
+
 @query(_SCORES + "SELECT query_id, CAST(rank AS INTEGER) AS rank, identity, template_id, score FROM ranked WHERE rank <= 5")
 def search_topk(t):
     return X.top_identities(_best(t), 5).select("query_id", "rank", "identity", "template_id", "score")
@@ -143,18 +154,17 @@ _OUTCOMES = _SCORES + """, h AS (
   round(avg((f <= 1)::INT) FILTER (n > 0), 6) AS rank_1, round(avg((f <= 3)::INT) FILTER (n > 0), 6) AS rank_3, round(avg((f <= 5)::INT) FILTER (n > 0), 6) AS rank_5,
   round(avg(1 / f) FILTER (n > 0), 6) AS mrr, round(avg(coalesce(ap, 0)), 6) AS map, round(avg(inp) FILTER (n > 0), 6) AS minp FROM o GROUP BY 1""")
 def retrieval_cohorts(t):
-    scores = _pairs(t).withColumn("relevant", F.col("own") == F.col("identity"))
-    outcomes = M.query_outcomes(scores).withColumn("cohort", F.col("query_id") % 4)
+    outcomes = _outcomes(t).withColumn("cohort", F.col("query_id") % 4)
     return rounded(M.retrieval_summary(outcomes, ["cohort"]), "rank_1", "rank_3", "rank_5", "mrr", "map", "minp")
 
 
 @query(_OUTCOMES + "SELECT query_id, n AS n_relevant, f AS first_hit, round(ap, 6) AS ap, round(inp, 6) AS inp FROM o")
 def retrieval_outcomes(t):
-    return rounded(M.query_outcomes(_pairs(t).withColumn("relevant", F.col("own") == F.col("identity"))), "ap", "inp")
+    return rounded(_outcomes(t), "ap", "inp")
 
 
-def _labelled(t):
-    return _pairs(t).select("score", (F.col("own") == F.col("identity")).cast("int").alias("label"), "query_id", "own")
+def _counts(t):
+    return stored(X.score_counts(*_named(t)), "counts")
 
 
 _CURVE = _SCORES + """, c AS (
@@ -169,7 +179,7 @@ _CURVE = _SCORES + """, c AS (
 @query(_CURVE + """SELECT threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round(tar, 6) AS tar, round(far, 6) AS far FROM v
 UNION ALL SELECT 'inf'::DOUBLE, 0, 0, 0, 0""")
 def verification_curve(t):
-    return rounded(M.verification_curve(M.score_counts(_labelled(t))), "tar", "far")
+    return rounded(M.verification_curve(_counts(t)), "tar", "far")
 
 
 @query(_CURVE + """SELECT target_far, threshold, round(tar, 6) AS tar, round(far, 6) AS far FROM (VALUES (0.1::DOUBLE), (0.01), (0.001)) x(target_far) JOIN v ON far <= target_far
@@ -177,7 +187,7 @@ QUALIFY row_number() OVER (PARTITION BY target_far ORDER BY tar DESC, threshold
 def verification_thresholds(t):
     spark = t("embeddings").sparkSession
     targets = spark.createDataFrame([(0.1,), (0.01,), (0.001,)], "target_far double")
-    return rounded(M.threshold_at_far(M.verification_curve(M.score_counts(_labelled(t))), targets), "tar", "far")
+    return rounded(M.threshold_at_far(M.verification_curve(_counts(t)), targets), "tar", "far")
 
 
 @query(_CURVE + """, a AS (SELECT neg, pos, coalesce(sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM c),
@@ -186,7 +196,7 @@ m AS (SELECT avg(score) FILTER (own = identity) AS pm, avg(score) FILTER (own <>
 SELECT round((SELECT sum(neg * (above + pos / 2)) / (sum(pos) * sum(neg)) FROM a), 6) AS auc, round(eer, 6) AS eer, round(pm, 6) AS pos_mean, round(nm, 6) AS neg_mean,
   round(ps, 6) AS pos_std, round(ns, 6) AS neg_std, round((pm - nm) / sqrt((ps * ps + ns * ns) / 2), 6) AS d_prime FROM e, m""")
 def verification_summary(t):
-    return rounded(M.verification_summary(_labelled(t)), "auc", "eer", "pos_mean", "neg_mean", "pos_std", "neg_std", "d_prime")
+    return rounded(M.verification_summary(_counts(t)), "auc", "eer", "pos_mean", "neg_mean", "pos_std", "neg_std", "d_prime")
 
 
 @query(_SCORES + """SELECT count(*) FILTER (score >= 0.2 AND own = identity) AS tp, count(*) FILTER (score >= 0.2 AND own <> identity) AS fp,
@@ -195,12 +205,12 @@ def verification_summary(t):
   round(count(*) FILTER (score >= 0.2 AND own <> identity) / count(*) FILTER (own <> identity), 6) AS far,
   round(count(*) FILTER (score < 0.2 AND own = identity) / count(*) FILTER (own = identity), 6) AS frr FROM s""")
 def verification_confusion(t):
-    return rounded(M.confusion(_labelled(t), 0.2), "tar", "far", "frr")
+    return rounded(M.confusion(_counts(t), 0.2), "tar", "far", "frr")
 
 
 @query(_CURVE + "SELECT round(sum(pos * tp / (tp + fp)) / sum(pos), 6) AS ap FROM c JOIN v ON v.threshold = c.score")
 def verification_average_precision(t):
-    return rounded(M.average_precision(_labelled(t)), "ap")
+    return rounded(M.average_precision(_counts(t)), "ap")
 
 
 def _tops(t, unknown_from: int = 7):

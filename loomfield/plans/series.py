@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from loomfield.functions import scalars as S
 from loomfield.functions.vectors import as_double
@@ -70,8 +69,7 @@ def quality_spearman(t):
 def _neighbours(t, k: int = 5):
     e = t("embeddings")
     side = e.select(F.col("vec_id").alias("id"), as_double("embedding").alias("vector"))
-    scores = X.pair_scores(side.filter("id % 5 = 0"), side).filter("query_id <> template_id")
-    return scores.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "template_id"))).filter(F.col("r") <= k)
+    return X.top_templates(side.filter("id % 5 = 0"), side, k)
 
 
 @query("""WITH s AS (SELECT a.vec_id AS q, b.vec_id AS g, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 5 = 0 AND a.vec_id <> b.vec_id

@@ -246,7 +246,7 @@ def test_blocks_of_all_orders_match_brute_force(spark):
     for x in want.values():
         sizes[x] = sizes.get(x, 0) + 1
     run = lambda name: plans.queries()[name](spark, sf).collect()
-    assert {r.node: r.root for r in run("shared_key_blocks_all")} == want
-    assert {r.root: r["size"] for r in run("component_ids_all")} == sizes
-    assert {r["size"]: r.components for r in run("component_capacity_all")} == {n: list(sizes.values()).count(n) for n in sizes.values()}
-    assert {r.node: r.quarantined for r in run("component_quarantine_all")} == {n: x in bad for n, x in want.items()}
+    assert {r.node: r.root for r in run("shared_key_blocks")} == want
+    assert {r.root: r["size"] for r in run("component_ids")} == sizes
+    assert {r["size"]: r.components for r in run("component_capacity")} == {n: list(sizes.values()).count(n) for n in sizes.values()}
+    assert {r.node: r.quarantined for r in run("component_quarantine")} == {n: x in bad for n, x in want.items()}
