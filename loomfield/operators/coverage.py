@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from loomfield.operators.ranking import beside, running_sums
+from loomfield.storage import stored
 
 
 def held(rows: DataFrame, stream: str, time: str, max_hold: int, period: int) -> DataFrame:
@@ -92,13 +92,15 @@ def integral(rows: DataFrame, stream: str, time: str, value: str) -> DataFrame:
 
 
 def longest_cover(rows: DataFrame, stream: str, start: str, end: str) -> DataFrame:
-    """Length of the longest unbroken stretch of the union of intervals per stream."""
-    order = W.partitionBy(stream).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1))
-    island = rows.withColumn("_r", reach).withColumn(
-        "_i", F.sum(F.when(F.col("_r").isNull() | (F.col(start) > F.col("_r")), 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0))
-    )
-    return island.groupBy(stream, "_i").agg((F.max(end) - F.min(start)).alias("l")).groupBy(stream).agg(F.max("l").alias("longest"))
+    """Length of the longest unbroken stretch of the union of intervals per stream. Starts and ends are
+    events in order of time, starts first; a stretch begins where one interval is open after a start, and
+    ends where none is, and the two alternate."""
+    of = lambda c, d: rows.select(stream, F.col(c).alias("_t"), F.lit(d).alias("_d"))
+    events = of(start, 1).union(of(end, -1)).dropna()
+    opened = running_sums(events, [F.col(stream), F.col("_t"), F.col("_d").desc()], {"_open": F.col("_d")})
+    edges = opened.filter(((F.col("_open") == 1) & (F.col("_d") == 1)) | (F.col("_open") == 0))
+    paired = beside(edges, [stream], [F.col("_t"), F.col("_d").desc()], 1, {"_stop": "_t"})
+    return paired.filter("_d = 1").groupBy(stream).agg(F.max(F.col("_stop") - F.col("_t")).alias("longest"))
 
 
 def missing_kinds(rows: DataFrame, stream: str, kind: str, required: list[str]) -> DataFrame:
@@ -108,11 +110,14 @@ def missing_kinds(rows: DataFrame, stream: str, kind: str, required: list[str])
 
 
 def nearest_rank(rows: DataFrame, value: str, by: list[str], levels: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """min, max, mean and nearest-rank percentiles (the ceil(q * n)th value) of each group."""
-    own = W.partitionBy(*by)
-    placed = rows.withColumn("_r", F.row_number().over(own.orderBy(value))).withColumn("_n", F.count("*").over(own))
-    at = lambda q: F.max(F.when(F.col("_r") == F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("_n"))), F.col(value)))
+    """min, max, mean and nearest-rank percentiles (the ceil(q * n)th value) of each group, from the counts
+    of its distinct values; nulls take no part."""
+    counts = stored(rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c")), "values")
+    summed = running_sums(counts, [*[F.col(c) for c in by], F.col("_v")], {"_all": F.col("_c")})
+    base = summed.groupBy(*by).agg(F.min(F.col("_all") - F.col("_c")).alias("_base"), F.sum("_c").alias("n"))
+    placed = summed.join(base, by).withColumn("_upto", F.col("_all") - F.col("_base"))
+    at = lambda q: F.min(F.when(F.col("_upto") >= F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("n"))), F.col("_v")))
     return placed.groupBy(*by).agg(
-        F.count("*").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"),
+        F.max("n").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"),
         *[at(q).alias(f"p{round(100 * q)}") for q in levels],
     )

@@ -99,12 +99,24 @@ def call_reduction(idle: Column, busy: Column, share: Column) -> Column:
     return F.when(top == 0, F.lit(0.0)).otherwise(1 - ((1 - share) * idle + share * busy) / top)
 
 
+def encoded_bytes(megabits_per_second: Column, seconds: Column) -> Column:
+    return F.ceil(megabits_per_second * 1_000_000 / 8 * seconds)
+
+
+def unit_value(c: Column, name: str) -> Column:
+    """c, which must be from 0 to 1: anything else fails the query."""
+    return F.when((c >= 0) & (c <= 1), c).otherwise(F.raise_error(F.lit(f"{name} must be from 0 to 1")).cast("double"))
+
+
 def face_reliability(overall: Column, short_side: Column) -> Column:
+    overall = unit_value(overall, "overall")
     size = F.sqrt(F.least(F.lit(1.0), short_side / 64.0))
     return F.greatest(F.lit(0.02), F.least(F.lit(1.0), overall * (0.5 + 0.5 * size)))
 
 
 def nose_reliability(confidence: Column, frontality: Column, short_side: Column, blur: Column, contrast: Column) -> Column:
+    parts = {"confidence": confidence, "frontality": frontality, "blur": blur, "contrast": contrast}
+    confidence, frontality, blur, contrast = (unit_value(c, n) for n, c in parts.items())
     size = F.sqrt(F.least(F.lit(1.0), short_side / 32.0))
     product = confidence * (0.25 + 0.75 * blur) * (0.5 + 0.5 * contrast) * (0.35 + 0.65 * size) * (0.6 + 0.4 * frontality)
     return F.greatest(F.lit(0.02), F.least(F.lit(1.0), product))
@@ -131,6 +143,37 @@ def box_quality(confidence: Column, agreement: Column, truncated: Column, width:
     return (confidence + agreement + (1 - truncated.cast("double")) + native + 1 / F.greatest(boxes, F.lit(1)) + blur) / 6
 
 
+def face_quality(landmarks: Column, anchors: Column, offset: Column, longer_side: Column, truncated: Column, blur: Column) -> Column:
+    """The mean of six parts: confidence of all landmarks and of the anchors (arrays; none counts 0), how
+    near the nose is to the middle of the eyes (offset by the eyes' distance; 0.5 is nothing, unknown is 1),
+    native size (112 is full), completeness and blur."""
+    mean = lambda a: F.coalesce(F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.size(a)), F.lit(0.0))
+    yaw = F.coalesce(F.greatest(F.lit(0.0), 1 - offset / 0.5), F.lit(1.0))
+    size = F.coalesce(F.least(F.lit(1.0), longer_side / 112.0), F.lit(1.0))
+    return (mean(landmarks) + mean(anchors) + yaw + size + (1 - F.coalesce(truncated.cast("double"), F.lit(0.0))) + blur) / 6
+
+
+def nose_quality(agreement: Column, short_side: Column, blur: Column, specular: Column, truncated: Column, muzzle: Column, support: Column) -> Column:
+    """The mean of seven parts; a native size that is not known counts a half, 224 is full."""
+    native = F.when(short_side > 0, F.least(F.lit(1.0), short_side / 224.0)).otherwise(0.5)
+    return (agreement + native + blur + (1 - specular) + (1 - truncated.cast("double")) + (1 - muzzle) + support) / 7
+
+
+def frontality(left: Column, right: Column, root: Column, lower: Column) -> dict[str, Column]:
+    """Columns of four points (x, y, confidence), both eyes and both ends of the nose: symmetry, level,
+    their product, the least confidence, and both together; 0 but for the confidence if the eyes meet."""
+    dx, dy = right["x"] - left["x"], right["y"] - left["y"]
+    apart = F.sqrt(dx * dx + dy * dy)
+    far = apart > 1e-8
+    offset = F.abs((root["x"] + lower["x"]) / 2 - (left["x"] + right["x"]) / 2) / apart
+    part = lambda x: F.when(far, F.greatest(F.lit(0.0), 1 - x / 0.5)).otherwise(0.0)
+    zero = lambda x: F.when(x <= 1e-12, 0.0).otherwise(x)
+    symmetry, level = part(offset), part(F.abs(dy) / apart)
+    sure = F.least(left["c"], right["c"], root["c"], lower["c"])
+    geometry = zero(symmetry * level)
+    return {"symmetry": symmetry, "level": level, "geometric": geometry, "anchor": sure, "combined": zero(geometry * sure)}
+
+
 def consensus(rows: DataFrame, vector: str, quality: str, by: str, item: str, scale: float = 2.5, least: float = -1.0) -> DataFrame:
     """(by, n, accepted, mean, dispersion): unit vectors averaged by quality; those whose cosine to that
     mean is under the median by more than scale times the median absolute deviation (0.02 at least) are

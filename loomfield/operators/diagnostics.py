@@ -152,6 +152,22 @@ def element_drift(pairs: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
+def drift_by(pairs: DataFrame, a: str, b: str, by: str) -> DataFrame:
+    """pairs(by, id, a, b) -> (by, max_abs, mean_abs, pairs): element drift of each scenario."""
+    rows = pairs.select("id", by).join(element_drift(pairs, a, b), "id")
+    return rows.groupBy(by).agg(F.max("max_abs").alias("max_abs"), F.avg("mean_abs").alias("mean_abs"), F.count("*").alias("pairs"))
+
+
+def report(sections: dict[str, DataFrame]) -> DataFrame:
+    """Sections, tables of one row, as (section, metric, value)."""
+    out = None
+    for name, df in sections.items():
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.round(F.col(c).cast("double"), 6).alias("value")) for c in df.columns])).alias("x")
+        part = df.select(F.lit(name).alias("section"), each).select("section", "x.*")
+        out = part if out is None else out.union(part)
+    return out
+
+
 def rank_drift(scores: DataFrame, ks: tuple[int, ...] = (1, 5)) -> DataFrame:
     """scores(query_id, slot, a, b): two scorings of the same candidates. Per query the largest score
     gap and rank displacement, whether the best differs, top-k members not shared, tied pairs and

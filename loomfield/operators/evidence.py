@@ -57,6 +57,16 @@ def contradictions(adjudged: DataFrame, exact: DataFrame, reviews: DataFrame) ->
     return adjudged.join(exact.select(*key), key, "left_semi").join(reviews.filter("verdict = 'REJECT'"), key, "left_semi").select(*key)
 
 
+def review_queue(adjudications: DataFrame, locations: DataFrame, distances: DataFrame) -> DataFrame:
+    """adjudications(left_id, right_id, outcome) that are UNRESOLVED, with both sides' locations(id, location)
+    and their distance(left_id, right_id, distance), if there is one, for a reviewer. Nothing is decided;
+    near pairs come first when sorted by (distance nulls last, left_id, right_id)."""
+    at = lambda side: locations.select(F.col("id").alias(f"{side}_id"), F.col("location").alias(f"{side}_location"))
+    open_ = adjudications.filter("outcome = 'UNRESOLVED'").select("left_id", "right_id")
+    placed = open_.join(at("left"), "left_id").join(at("right"), "right_id")
+    return placed.join(distances, ["left_id", "right_id"], "left").select("left_id", "right_id", "left_location", "right_location", "distance")
+
+
 def bindings(assigned: DataFrame, registry: DataFrame, key: str) -> DataFrame:
     """assigned(key, role) against registry(key, dataset): each assigned key with its dataset and a
     state: BOUND, UNREGISTERED, or CONFLICT if it is assigned to more than one role."""

@@ -3,13 +3,13 @@ alike on every engine, and each choice is a window within a bounded group or a c
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomfield.functions.scalars import stable_rank
-from loomfield.operators.ranking import numbered
+from loomfield.operators.ranking import numbered, running_sums
+from loomfield.storage import stored
 
 
 def hash_folds(groups: DataFrame, key: str, folds: int, seed: str, by: list[str] | None = None) -> DataFrame:
@@ -87,10 +87,10 @@ def round_robin(rows: DataFrame, dataset: str, item: str, count: int, seed: str)
 
 def rotated(rows: DataFrame, by: str, item: str, seed: str) -> DataFrame:
     """Each group's items in order, rotated by a hash of the group; position from 0."""
-    own = W.partitionBy(by)
     shift = F.conv(F.substring(stable_rank(F.lit(seed), F.col(by).cast("string")), 1, 12), 16, 10).cast("long")
-    n = F.count("*").over(own)
-    return rows.withColumn("position", F.pmod(F.row_number().over(own.orderBy(item)) - 1 - F.pmod(shift, n), n))
+    sizes = rows.groupBy(by).agg(F.count("*").alias("_n"))
+    placed = numbered(rows, [F.col(item)], "_k", [by]).join(sizes, by)
+    return placed.withColumn("position", F.pmod(F.col("_k") - 1 - F.pmod(shift, F.col("_n")), F.col("_n"))).drop("_k", "_n")
 
 
 def first_and_last(rows: DataFrame, identity: str, order: list[str], k: int, least: int) -> DataFrame:
@@ -176,23 +176,53 @@ def subset_with_sum(ranked: list[tuple[str, int]], target: int) -> list[str] | N
 
 def farthest_in_time(rows: DataFrame, by: str, item: str, time: str, limit: int, separation: float) -> DataFrame:
     """Of each capture up to limit rows: the first, then each time the one farthest from all chosen
-    (ties: the earlier), while it keeps the separation. Captures are short; each is one group."""
-    kind = rows.select(by, item, time).schema
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([time, item], ignore_index=True)
-        t = group[time].to_numpy(float)
-        chosen = [0]
-        near = abs(t - t[0])
-        while len(chosen) < limit:
-            k = int(near.argmax())
-            if near[k] < separation or near[k] == 0:
-                break
-            chosen.append(k)
-            near = pd.concat([pd.Series(near), pd.Series(abs(t - t[k]))], axis=1).min(axis=1).to_numpy()
-        return group.iloc[sorted(chosen)]
-
-    return rows.select(by, item, time).groupBy(by).applyInPandas(pick, kind)
+    (ties: the earlier), while it keeps the separation. Equal times count once, for the least item. A round
+    joins a capture's few chosen times to its rows and pre-aggregates the farthest, so a capture may be long."""
+    once = stored(rows.groupBy(by, time).agg(F.min(item).alias(item)), "times")
+    chosen = once.groupBy(by).agg(F.array(F.min(time)).alias("_t"))
+    for _ in range(limit - 1):
+        near = F.array_min(F.transform("_t", lambda t: F.abs(F.col(time) - t)))
+        far = once.join(chosen, by).withColumn("_d", near).filter((F.col("_d") >= separation) & (F.col("_d") > 0))
+        best = far.groupBy(by).agg(F.max(F.struct("_d", (-F.col(time)).alias("_m"))).alias("_b")).select(by, (-F.col("_b._m")).alias("_next"))
+        chosen = chosen.join(best, by, "left").select(by, F.array_compact(F.concat("_t", F.array("_next"))).alias("_t"))
+        chosen = stored(chosen, "chosen")
+    picked = chosen.select(by, F.explode("_t").alias(time))
+    return once.join(picked, [by, time]).select(by, item, time)
+
+
+def eligible(samples: DataFrame, identity: str, unit: str, unsafe: str, least: int) -> DataFrame:
+    """Identities with two units or more that hold no unsafe sample, and `least` samples in them."""
+    units = samples.groupBy(identity, unit).agg(F.count("*").alias("_n"), F.bool_or(unsafe).alias("_bad")).filter("NOT _bad")
+    return units.groupBy(identity).agg(F.count("*").alias("units"), F.sum("_n").alias("samples")).filter((F.col("units") >= 2) & (F.col("samples") >= least))
+
+
+def assembled_split(members: DataFrame, bad: DataFrame, quotas: list[tuple[str, float]], seed: str) -> DataFrame:
+    """members(node, root), closed components, and bad(node) -> (node, root, role). Components with a bad
+    node are QUARANTINED whole; the others, in hash order of their roots, fill the roles' shares of all
+    their rows one after another, so a component never spans two roles."""
+    stained = members.join(bad, "node", "left_semi").select("root").distinct().withColumn("_bad", F.lit(True))
+    blocks = members.groupBy("root").agg(F.count("*").alias("_n")).join(stained, "root", "left").withColumn("_bad", F.coalesce("_bad", F.lit(False)))
+    blocks = stored(blocks, "blocks")
+    order = [stable_rank(F.lit(seed), F.col("root").cast("string")), F.col("root")]
+    placed = running_sums(blocks.filter("NOT _bad").select("root", "_n"), order, {"_upto": F.col("_n")})
+    whole = blocks.filter("NOT _bad").agg(F.sum("_n").alias("_all"))
+    begins = (F.col("_upto") - F.col("_n")) / F.col("_all")
+    role = F.lit(quotas[-1][0])
+    for k in range(len(quotas) - 2, -1, -1):
+        role = F.when(begins < round(sum(share for _, share in quotas[: k + 1]), 9), quotas[k][0]).otherwise(role)
+    roles = placed.crossJoin(F.broadcast(whole)).select("root", role.alias("role"))  # one row
+    held = blocks.filter("_bad").select("root", F.lit("QUARANTINED").alias("role"))
+    return members.join(roles.union(held), "root").select("node", "root", "role")
+
+
+def assembled_folds(members: DataFrame, folds: int, seed: str) -> DataFrame:
+    """members(node, root) -> (node, root, fold): components in falling size, ties in hash order, dealt to the
+    folds forth and back, which keeps the folds' sizes close without a pass on the driver."""
+    blocks = members.groupBy("root").agg(F.count("*").alias("_n"))
+    order = [F.col("_n").desc(), stable_rank(F.lit(seed), F.col("root").cast("string")), F.col("root")]
+    turn = F.pmod(F.col("_k") - 1, F.lit(2 * folds))
+    fold = F.when(turn < folds, turn).otherwise(2 * folds - 1 - turn).cast("int")
+    return members.join(numbered(blocks, order, "_k").select("root", fold.alias("fold")), "root").select("node", "root", "fold")
 
 
 def shares(rows: DataFrame, group: str, total: int) -> DataFrame:

@@ -155,3 +155,18 @@ def write_manifest(df: DataFrame, path: str, key: list[str]) -> None:
     """Rows as canonical JSON lines, columns by name, sorted within files; an existing path is refused."""
     line = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
     df.sortWithinPartitions(*key).select(line.alias("value")).write.mode("error").text(path)
+
+
+def write_csv(df: DataFrame, path: str, key: list[str]) -> None:
+    """A small table as one RFC 4180 file: header, CRLF, quotes where needed, rows by key, columns by name."""
+    rows = df.select(*sorted(df.columns)).coalesce(1).sortWithinPartitions(*key)
+    rows.write.mode("error").option("header", True).option("lineSep", "\r\n").option("escape", '"').option("emptyValue", "").csv(path)
+
+
+@reader("region_candidates")
+def region_candidates(spark: SparkSession, path: str) -> DataFrame:
+    """Candidate regions with their arrays (image, scores, boxes); arrays of different lengths fail."""
+    rows = spark.read.schema("image string, scores array<double>, boxes array<array<double>>").parquet(path)
+    even = (F.size("scores") == F.size("boxes")) & F.forall("boxes", lambda b: F.size(b) == 4)
+    zipped = F.when(even, F.arrays_zip("scores", "boxes")).otherwise(F.raise_error(F.lit("scores and boxes differ in shape")))
+    return rows.select("image", F.posexplode(zipped).alias("place", "r")).select("image", "place", F.col("r.scores").alias("score"), F.col("r.boxes").alias("box"))
