@@ -142,9 +142,12 @@ def rescues_and_breaks(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def stratified_blocks(blocks: list[tuple[str, dict[str, int]]], shares: dict[str, float]) -> dict[str, str]:
+def stratified_blocks(blocks: list[tuple[str, dict[str, int]]], shares: dict[str, float], most: int = 1_000_000) -> dict[str, str]:
     """Blocks (name, rows by stratum), largest first, each to the role that then comes nearest to its
-    share of every stratum: least total excess, then lowest fill, then the role's name."""
+    share of every stratum: least total excess, then lowest fill, then the role's name. For at most `most`
+    blocks, which the driver holds; splits.assembled_split() fills quotas of any number."""
+    if len(blocks) > most:
+        raise ValueError(f"{len(blocks)} blocks are over {most}: use splits.assembled_split()")
     totals: dict[str, int] = {}
     for _, rows in blocks:
         for s, n in rows.items():

@@ -148,8 +148,11 @@ def negative_pairs(gallery: DataFrame, queries: DataFrame, strata: list[tuple[st
     return out
 
 
-def greedy_folds(sizes: list[tuple[str, int]], folds: int) -> dict[str, int]:
-    """Blocks, largest first (ties by name), each to the fold with the least load (ties: the lower)."""
+def greedy_folds(sizes: list[tuple[str, int]], folds: int, most: int = 1_000_000) -> dict[str, int]:
+    """Blocks, largest first (ties by name), each to the fold with the least load (ties: the lower). For at
+    most `most` blocks, which the driver holds; assembled_folds() deals any number."""
+    if len(sizes) > most:
+        raise ValueError(f"{len(sizes)} blocks are over {most}: use assembled_folds()")
     loads, out = [0] * folds, {}
     for name, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
         k = min(range(folds), key=lambda f: (loads[f], f))

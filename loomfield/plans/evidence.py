@@ -254,7 +254,10 @@ def quota_shares(t):
     return P.shares(t("lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("grp")), "grp", 1000)
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT CAST(c_nationkey AS VARCHAR) AS block, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, CAST(c_nationkey AS VARCHAR)) AS k FROM customer GROUP BY 1
+), g(k, loads, block, fold) AS (SELECT 0, [0, 0, 0, 0]::BIGINT[], NULL::VARCHAR, NULL::INTEGER UNION ALL
+  SELECT n.k, list_transform(g.loads, lambda x, i: CASE WHEN i = list_position(g.loads, list_min(g.loads)) THEN x + n.n ELSE x END), n.block, CAST(list_position(g.loads, list_min(g.loads)) - 1 AS INTEGER) FROM g JOIN n ON n.k = g.k + 1)
+SELECT block, fold FROM g WHERE k > 0""")
 def greedy_block_folds(t):
     """Customers of a nation are a block; blocks (25) are placed greedily."""
     n = t("customer").groupBy("c_nationkey").count().collect()
@@ -262,7 +265,14 @@ def greedy_block_folds(t):
     return t("customer").sparkSession.createDataFrame(sorted(folds.items()), "block string, fold int")
 
 
-@query()
+@query("""WITH o AS (SELECT user_id, epoch_us(ts) AS tus, min(event_id) AS event_id FROM events GROUP BY ALL), c1 AS (SELECT user_id, [min(tus)] AS t FROM o GROUP BY 1
+), d1 AS (SELECT user_id, o.tus, list_min(list_transform(t, lambda x: abs(o.tus - x))) AS d FROM o JOIN c1 USING (user_id)), n1 AS (SELECT user_id, arg_min(tus, (-d, tus)) AS nx FROM d1 WHERE d >= 500000 AND d > 0 GROUP BY 1
+), c2 AS (SELECT user_id, CASE WHEN nx IS NULL THEN t ELSE list_append(t, nx) END AS t FROM c1 LEFT JOIN n1 USING (user_id)
+), d2 AS (SELECT user_id, o.tus, list_min(list_transform(t, lambda x: abs(o.tus - x))) AS d FROM o JOIN c2 USING (user_id)), n2 AS (SELECT user_id, arg_min(tus, (-d, tus)) AS nx FROM d2 WHERE d >= 500000 AND d > 0 GROUP BY 1
+), c3 AS (SELECT user_id, CASE WHEN nx IS NULL THEN t ELSE list_append(t, nx) END AS t FROM c2 LEFT JOIN n2 USING (user_id)
+), d3 AS (SELECT user_id, o.tus, list_min(list_transform(t, lambda x: abs(o.tus - x))) AS d FROM o JOIN c3 USING (user_id)), n3 AS (SELECT user_id, arg_min(tus, (-d, tus)) AS nx FROM d3 WHERE d >= 500000 AND d > 0 GROUP BY 1
+), c4 AS (SELECT user_id, CASE WHEN nx IS NULL THEN t ELSE list_append(t, nx) END AS t FROM c3 LEFT JOIN n3 USING (user_id)
+) SELECT o.user_id, event_id, o.tus AS "at" FROM o JOIN c4 USING (user_id) WHERE list_contains(t, o.tus)""")
 def capture_farthest_in_time(t):
     rows = t("events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     return P.farthest_in_time(rows, "user_id", "event_id", "at", 4, 500_000.0)

@@ -145,7 +145,15 @@ def channel_extraction(t):
     return out.select("doc_id", F.col("status")["letters"].alias("letters"), F.col("status")["lengths"].alias("lengths"), "admitted", F.col("vectors")["lengths"][0].cast("double").alias("chars"))
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS block, [count(*) FILTER (o_orderstatus = 'F'), count(*) FILTER (o_orderstatus = 'O'), count(*) FILTER (o_orderstatus = 'P')] AS r,
+    row_number() OVER (ORDER BY count(*) DESC, lpad(CAST(c_nationkey AS VARCHAR), 2, '0')) AS k FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1
+), t AS (SELECT [count(*) FILTER (o_orderstatus = 'F'), count(*) FILTER (o_orderstatus = 'O'), count(*) FILTER (o_orderstatus = 'P')] AS t FROM orders JOIN customer ON o_custkey = c_custkey
+), g(k, have, block, role) AS (SELECT 0, [[0, 0, 0], [0, 0, 0], [0, 0, 0]]::BIGINT[][], NULL::VARCHAR, NULL::BIGINT UNION ALL
+  SELECT k, list_transform(have, lambda h, j: CASE WHEN j = pick THEN list_transform(h, lambda x, i: x + r[i]) ELSE h END), block, pick FROM (
+    SELECT n.k, g.have, n.block, n.r, list_min(list_transform([1, 2, 3], lambda j: {
+      'e': round(list_sum(list_transform([1, 2, 3], lambda i: greatest(0.0, g.have[j][i] + n.r[i] - [0.15::DOUBLE, 0.15, 0.7][j] * t.t[i]))), 9), 'f': list_sum(g.have[j]) / [0.15::DOUBLE, 0.15, 0.7][j], 'j': j})).j AS pick
+    FROM g JOIN n ON n.k = g.k + 1, t))
+SELECT block, ['CAL', 'DEV', 'FIT'][role] AS role FROM g WHERE k > 0""")
 def block_allocation(t):
     """Nations as blocks, order states as strata, placed to hold every role to its share."""
     rows = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey", "o_orderstatus").count().collect()

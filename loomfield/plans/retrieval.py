@@ -400,7 +400,10 @@ def score_zscores(t):
     return row_zscores(_pairs(t)).select("query_id", "template_id", F.round("z", 5).alias("z"))
 
 
-@query()
+@query(_PROBABLE + """, d AS (SELECT probability AS score, count(*) AS w, sum(label) AS s, row_number() OVER (ORDER BY probability) AS i FROM p GROUP BY 1
+), c AS (SELECT *, sum(s) OVER (ORDER BY i) AS cs, sum(w) OVER (ORDER BY i) AS cw FROM d), m AS (SELECT a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS m FROM c a JOIN c b ON b.i >= a.i
+), n AS (SELECT b, min(m) OVER (PARTITION BY a ORDER BY b DESC ROWS UNBOUNDED PRECEDING) AS m FROM m)
+SELECT score, round(max(m), 6) AS probability FROM n JOIN c ON c.i = n.b GROUP BY score""")
 def calibrator_isotonic(t):
     """Isotonic calibration of a score by MLlib."""
     rows = _probable(t).select(F.col("probability").alias("score"), "label")

@@ -213,9 +213,10 @@ def registry_upsert(t):
     return R.with_ids(both, "key").drop("registered_id")
 
 
-@query()
+@query(f"""WITH k AS (SELECT 'nation:' || n_name AS key FROM nation), h AS (SELECT key, sha1(unhex('{R.NAMESPACE.replace("-", "")}') || key::BLOB) AS h FROM k)
+SELECT key, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || ['8', '9', 'a', 'b'][('0x' || substr(h, 17, 1))::INT % 4 + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS registered_id FROM h""")
 def registry_ids(t):
-    """RFC 4122 ids, which DuckDB has no function for."""
+    """RFC 4122 ids of version 5."""
     keys = t("nation").select(F.concat(F.lit("nation:"), F.col("n_name")).alias("key"), F.lit(1).alias("images"))
     return R.with_ids(keys, "key").select("key", "registered_id")
 
@@ -275,17 +276,45 @@ def box_fusion(t):
     return rounded(Z.fused_boxes(_boxes(t), ["image"]), *Z.BOX)
 
 
-@query()
+_OVERLAP = """greatest(0, least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1)) * greatest(0, least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1))"""
+_AREA = "(({a}.x2 - {a}.x1) * ({a}.y2 - {a}.y1))"
+
+
+def _iou_sql(a: str, b: str) -> str:
+    both = _OVERLAP.format(a=a, b=b)
+    return f"({both}) / greatest({_AREA.format(a=a)} + {_AREA.format(a=b)} - ({both}), 1e-6)"
+
+
+@query(_BOXES.replace("WITH b", "WITH RECURSIVE b") + f"""
+, o AS (SELECT *, {{'id': id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} AS x, row_number() OVER (PARTITION BY image ORDER BY confidence DESC, id) AS k FROM b
+), s(image, k, kept) AS (SELECT image, k, [x] FROM o WHERE k = 1 UNION ALL
+  SELECT o.image, o.k, CASE WHEN len(list_filter(s.kept, lambda q: {_iou_sql("q", "o.x")} >= 0.5 OR {_OVERLAP.format(a="q", b="o.x")} / least({_AREA.format(a="q")}, {_AREA.format(a="o.x")}) >= 0.9)) = 0 THEN list_append(s.kept, o.x) ELSE s.kept END
+  FROM s JOIN o ON o.image = s.image AND o.k = s.k + 1
+), f AS (SELECT image, unnest(list_transform(kept, lambda q: q.id)) AS id FROM s QUALIFY row_number() OVER (PARTITION BY image ORDER BY k DESC) = 1)
+SELECT b.* FROM b JOIN f USING (image, id)""")
 def box_suppression(t):
     return Z.suppressed(_boxes(t))
 
 
-@query()
+_MOVED = _BOXES.replace("WITH b", "WITH RECURSIVE b") + """, p AS (SELECT image, id, x1 + 1.5 AS x1, y1, x2 + 1.5 AS x2, y2, confidence FROM b)"""
+
+
+@query(_MOVED + f""", j AS (SELECT image, i, j, iou, row_number() OVER (PARTITION BY image ORDER BY iou DESC, i, j) AS k FROM (SELECT p.image, p.id AS i, b.id AS j, {_iou_sql("p", "b")} AS iou FROM p JOIN b ON p.image = b.image) WHERE iou >= 0.5
+), s(image, k, took) AS (SELECT image, k, [{{'i': i, 'j': j, 'iou': iou}}] FROM j WHERE k = 1 UNION ALL
+  SELECT j.image, j.k, CASE WHEN len(list_filter(s.took, lambda q: q.i = j.i OR q.j = j.j)) = 0 THEN list_append(s.took, {{'i': j.i, 'j': j.j, 'iou': j.iou}}) ELSE s.took END FROM s JOIN j ON j.image = s.image AND j.k = s.k + 1
+), f AS (SELECT image, unnest(took) AS q FROM s QUALIFY row_number() OVER (PARTITION BY image ORDER BY k DESC) = 1)
+SELECT image, q.i AS predicted, q.j AS truth, round(q.iou, 6) AS iou FROM f""")
 def box_matching(t):
     return rounded(Z.matched(_boxes(t, 1.5), _boxes(t).drop("confidence"), 0.5), "iou")
 
 
-@query()
+@query(_MOVED + f""", t AS (SELECT image, list({{'id': id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY id) AS free FROM b WHERE id % 3 <> 0 GROUP BY 1
+), o AS (SELECT p.*, row_number() OVER (PARTITION BY image ORDER BY confidence DESC, id) AS k FROM p
+), s(image, k, id, hit, free) AS (SELECT image, 0, NULL::BIGINT, false, free FROM t UNION ALL SELECT image, k, id, hit, CASE WHEN hit THEN list_filter(free, lambda q: q.id <> -best['n']) ELSE free END FROM (SELECT *, coalesce(best['iou'] >= 0.5, false) AS hit FROM (
+    SELECT o.image, o.k, o.id, s.free, list_max(list_transform(s.free, lambda q: {{'iou': {_iou_sql("o", "q")}, 'n': -q.id}})) AS best FROM s JOIN o ON o.image = s.image AND o.k = s.k + 1))
+), c AS (SELECT sum(coalesce(hit, false)::INT) OVER w AS tp, row_number() OVER w AS k FROM p LEFT JOIN (SELECT image, id, hit FROM s WHERE k > 0) USING (image, id) WINDOW w AS (ORDER BY confidence DESC, image, id)
+), z AS (SELECT tp / (SELECT count(*) FROM b WHERE id % 3 <> 0) AS recall, max(tp / k) AS precision FROM c GROUP BY tp), g AS (SELECT a, (SELECT max(precision) FROM z WHERE recall >= a / 100 - 1e-12) AS p FROM range(101) r(a))
+SELECT round(avg(coalesce(p, 0)), 6) AS ap FROM g""")
 def detection_quality(t):
     truth = _boxes(t).filter("id % 3 <> 0").drop("confidence")
     pairs = Z.matched(_boxes(t, 1.5), truth, 0.5, by_confidence=True)
