@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomfield.operators.ranking import with_least
 from loomfield.storage import stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> (node, root): every node of an edge between two nodes, with the least node it
-    reaches. Alternating large-star and small-star steps: minima are pre-aggregated and joined back,
-    so no neighbourhood is gathered in one task; each round ends in a stored table. Rounds go on until the
+    reaches. Alternating large-star and small-star steps: minima are pre-aggregated and joined back in
+    parts, so no neighbourhood meets in one task; each round ends in a stored table. Rounds go on until the
     edges no longer change, which takes about the logarithm of the longest path of them."""
     live = stored(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
@@ -19,10 +20,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = live.union(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        large = with_least(both, "u", "v", "m", "v").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        small = with_least(large, "u", "v", "m", "v").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         live = stored(small.filter("u <> v").distinct(), "edges")
         state = live.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:

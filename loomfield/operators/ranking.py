@@ -1,4 +1,5 @@
-"""Places and running sums over a whole table's order, without a single task that holds it.
+"""Places and running sums over a whole table's order, and minima of hot keys, without a single task that
+holds them.
 
 Rows are range-partitioned by the order and stored with their partition's number; within a partition
 a window adds up, and a partition's start follows from the sums of those before it, of which there are
@@ -46,3 +47,13 @@ def beside(rows: DataFrame, by: list[str], order: list[Column], step: int, colum
     placed = stored(numbered(rows.dropna(subset=by), order, "_place", by), "placed")
     other = placed.select(*by, (F.col("_place") - step).alias("_place"), *[F.col(c).alias(n) for n, c in columns.items()])
     return placed.join(other, [*by, "_place"], "left").drop("_place")
+
+
+def with_least(rows: DataFrame, key: str, value: str, out: str, spread: str, salts: int = 32) -> DataFrame:
+    """rows with the least value of their key. A key may hold most rows: they are dealt over salts by a hash
+    of `spread`, minima are taken of each (key, salt) and then of each key, and go back to the salts that
+    the key has, so the rows of a key are joined in as many parts."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    parts = dealt.groupBy(key, "_salt").agg(F.min(value).alias("_m"))
+    whole = parts.groupBy(key).agg(F.min("_m").alias(out), F.collect_list("_salt").alias("_salts"))
+    return dealt.join(whole.select(key, out, F.explode("_salts").alias("_salt")), [key, "_salt"]).drop("_salt")
