@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from loomfield.llm.common import materialize
 from loomfield.operators.graph import connected_components
+from loomfield.operators.ranking import with_least
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Row v holds the bits of byte v, lowest first.
@@ -246,8 +247,7 @@ def simhash_groups(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     grouped = materialize(grouped, "groups")
-    least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialize(grouped.join(least, "root").select("fp", "component_id"), "components")
+    named = materialize(with_least(grouped, "root", "first", "component_id", "fp").select("fp", "component_id"), "components")
     return own.join(named, "fp").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),

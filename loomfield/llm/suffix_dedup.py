@@ -34,7 +34,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -223,18 +223,22 @@ def _marks(rows: DataFrame, length: int, gram: int, part: int, whole: bool) -> D
     return rows.select("key", "text").mapInArrow(run, _MARKS + (", whole binary" if whole else ""))
 
 
-def _kinds(marks: DataFrame, grp: str) -> DataFrame:
-    """(grp, whole, copies, first, contexts, lone): each distinct context, with the count of its copies and
-    the first of them; and the distinct contexts of its group, all and those without a copy."""
-    kinds = materialize(marks.groupBy(grp, "whole").agg(F.count("*").alias("copies"), F.min(F.struct("key", "lo")).alias("first")), "kinds")
-    groups = kinds.groupBy(grp).agg(F.count("*").alias("contexts"), F.count(F.when(F.col("copies") == 1, 1)).alias("lone"))
-    return kinds.join(groups, grp)
+def _salt() -> Column:
+    return F.pmod(F.xxhash64("key"), F.lit(32)).alias("salt")
 
 
 def _counted(marks: DataFrame, grp: str) -> DataFrame:
-    """marks with copies, contexts, lone, and whether they are the first of their kind."""
+    """marks with the copies of their context, whether they are the first of them, and the distinct contexts
+    of their group, all and those without a copy (contexts, lone). Copies of one context may be most of the
+    marks: they are counted by salt, then whole, and the counts go back to the salts that they came from."""
+    marks = marks.withColumn("salt", _salt())
+    parts = marks.groupBy(grp, "whole", "salt").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo")).alias("f"))
+    kinds = parts.groupBy(grp, "whole").agg(F.sum("n").alias("copies"), F.min("f").alias("first"), F.collect_list("salt").alias("salts"))
+    kinds = materialize(kinds, "kinds")
+    groups = kinds.groupBy(grp).agg(F.count("*").alias("contexts"), F.count(F.when(F.col("copies") == 1, 1)).alias("lone"))
+    kinds = kinds.join(groups, grp).withColumn("salt", F.explode("salts")).drop("salts")
     first = (F.col("key") == F.col("first.key")) & (F.col("lo") == F.col("first.lo"))
-    return marks.join(_kinds(marks, grp), [grp, "whole"]).withColumn("is_first", first).drop("first")
+    return marks.join(kinds, [grp, "whole", "salt"]).withColumn("is_first", first).drop("first", "salt")
 
 
 def _finish(data: bytes, spans: np.ndarray, texts: bool) -> tuple:
@@ -268,8 +272,12 @@ def remove_repeats(
     else:
         rows = materialize(rows.withColumn("key", F.monotonically_increasing_id()), "snapshot")
 
-    repeated = _marks(rows, length, gram, part, False).groupBy("gram").count().filter("count > 1").select("gram")
-    repeated = materialize(_marks(rows, length, gram, part, True).join(repeated, "gram"), "repeated")
+    # A gram may be in most of the marks: it is counted, and looked up again, by salt.
+    counts = _marks(rows, length, gram, part, False).groupBy("gram", _salt()).count()
+    often = counts.groupBy("gram").agg(F.sum("count").alias("n"), F.collect_list("salt").alias("salts")).filter("n > 1")
+    often = often.select("gram", F.explode("salts").alias("salt"))
+    marks = _marks(rows, length, gram, part, True).withColumn("salt", _salt())
+    repeated = materialize(marks.join(often, ["gram", "salt"]).drop("salt"), "repeated")
     counted = materialize(_counted(repeated, "gram"), "counted")
     spans = lambda df: df.select("key", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
     copied = "copies > 1" if keep == "none" else "NOT is_first"

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomfield.llm.common import materialize
+from loomfield.operators.search import grid_shape
 
 _BLOCKS = "dim int, wide boolean, ids binary, vectors binary, reach double"
 
@@ -102,13 +103,6 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("id", "wide", "vector").mapInArrow(pack, _BLOCKS)
 
 
-def grid_shape(n_left: int, n_right: int, slots: int, most: int = 256) -> tuple[int, int]:
-    """Rows and columns of a grid of about four cells a slot, of at most `most` blocks of a side in a cell."""
-    side = math.isqrt(4 * slots - 1) + 1
-    rows = max(1, min(n_left, max(side, -(-n_left // most))))
-    return rows, max(1, min(n_right, max(-(-4 * slots // rows), -(-n_right // most))))
-
-
 def exact_topk(
     candidates: DataFrame,
     queries: DataFrame,
