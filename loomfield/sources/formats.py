@@ -158,7 +158,8 @@ def write_manifest(df: DataFrame, path: str, key: list[str]) -> None:
 
 
 def write_csv(df: DataFrame, path: str, key: list[str]) -> None:
-    """A small table as one RFC 4180 file: header, CRLF, quotes where needed, rows by key, columns by name."""
+    """A small table as one RFC 4180 file: header, CRLF, quotes where needed, rows by key, columns by
+    name. Line ends inside a value are written as CRLF too."""
     rows = df.select(*sorted(df.columns)).coalesce(1).sortWithinPartitions(*key)
     rows.write.mode("error").option("header", True).option("lineSep", "\r\n").option("escape", '"').option("emptyValue", "").csv(path)
 

@@ -37,6 +37,6 @@ def test_query_matches_sql(spark, duck, name):
     assert canonical(got) == canonical(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(ORACLES)))
-def test_query_without_sql_runs(spark, name):
-    assert plans.queries()[name](spark, SF).count() > 0
+def test_queries_without_sql_are_held_against_numpy():
+    """By test_integrity.py, over all rows."""
+    assert set(plans.queries()) - set(ORACLES) == {"consensus_vectors", "covariance_spectrum"}
