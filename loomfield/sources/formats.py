@@ -33,8 +33,9 @@ def load(spark: SparkSession, name: str, path: str) -> DataFrame:
 
 @reader("coco_keypoints")
 def coco_keypoints(spark: SparkSession, path: str, category: int = 8) -> DataFrame:
-    """COCO-style JSON (images, annotations): one row for each annotation of a category, its xywh box
-    as corners, its visible keypoints as name -> (x, y, confidence = visibility / 2)."""
+    """COCO-style JSON documents (images, annotations, categories, which agree between documents): one row
+    for each annotation of a category, its xywh box as corners, its visible keypoints as name -> (x, y,
+    confidence = visibility / 2)."""
     schema = (
         "images array<struct<id: bigint, file_name: string, width: int, height: int>>, "
         "annotations array<struct<id: bigint, image_id: bigint, category_id: int, bbox: array<double>, keypoints: array<double>>>, "
@@ -42,7 +43,7 @@ def coco_keypoints(spark: SparkSession, path: str, category: int = 8) -> DataFra
     )
     doc = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
     images = doc.select(F.inline("images")).withColumnRenamed("id", "image_id")
-    names = doc.select(F.inline("categories")).filter(F.col("id") == category).select(F.col("id").alias("category_id"), F.col("keypoints").alias("names"))
+    names = doc.select(F.inline("categories")).filter(F.col("id") == category).select(F.col("id").alias("category_id"), F.col("keypoints").alias("names")).distinct()
     notes = doc.select(F.inline("annotations")).join(F.broadcast(names), "category_id")  # one row a category
     point = lambda i: F.struct(
         F.element_at("keypoints", 3 * i + 1).alias("x"), F.element_at("keypoints", 3 * i + 2).alias("y"), (F.element_at("keypoints", 3 * i + 3) / 2).alias("c")
