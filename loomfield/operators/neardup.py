@@ -14,6 +14,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomfield.storage import stored
+
 
 def neighbours(width: int, radius: int) -> list[int]:
     """All masks of up to radius of width bits."""
@@ -46,16 +48,26 @@ def representatives(fingerprints: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kinds.select(F.col("representative").alias("id"), "orientations"), members
 
 
-def near_pairs(fingerprints: DataFrame, words: int, radius: int, width: int = 16) -> DataFrame:
+def near_pairs(fingerprints: DataFrame, words: int, radius: int, width: int = 16, max_fragment: int = 4096) -> DataFrame:
     """fingerprints(id, orientations array<struct<o, words array<long>>>): `words` blocks of `width`
     bits in each orientation. Returns (left_id, right_id, distance, left_o, right_o), left_id <
-    right_id: pairs within radius, the least distance over orientations, and its least witness."""
+    right_id: pairs within radius, the least distance over orientations, and its least witness.
+    A block value that many fingerprints share is cut into fragments of about max_fragment of them, and
+    what probes it meets them fragment by fragment."""
     long = fingerprints.select("id", F.explode("orientations").alias("f")).select("id", "f.o", "f.words")
-    left = _probed(long, words, radius, width, True).alias("l")
-    right = _probed(long, words, radius, width, False).alias("r")
+    left, right = _probed(long, words, radius, width, True), _probed(long, words, radius, width, False)
+    sizes = right.groupBy("block", "value").agg(F.ceil(F.count("*") / max_fragment).alias("cols")).filter("cols > 1")
+    sizes = stored(sizes, "hot-blocks")
+    if sizes.take(1):
+        cols = F.coalesce("cols", F.lit(1))
+        left = left.join(sizes, ["block", "value"], "left").withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), cols - 1)))
+        right = right.join(sizes, ["block", "value"], "left").withColumn("cell", F.pmod(F.xxhash64("id", "o"), cols))
+    else:
+        left, right = left.withColumn("cell", F.lit(0).cast("long")), right.withColumn("cell", F.lit(0).cast("long"))
+    left, right = left.alias("l"), right.alias("r")
     d = distance(F.col("l.words"), F.col("r.words"), words)
     found = left.join(
-        right, (F.col("l.block") == F.col("r.block")) & (F.col("l.value") == F.col("r.value")) & (F.col("l.id") < F.col("r.id")) & (d <= radius)
+        right, (F.col("l.block") == F.col("r.block")) & (F.col("l.value") == F.col("r.value")) & (F.col("l.cell") == F.col("r.cell")) & (F.col("l.id") < F.col("r.id")) & (d <= radius)
     )
     best = found.groupBy(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id")).agg(
         F.min(F.struct(d.alias("d"), F.col("l.o").alias("lo"), F.col("r.o").alias("ro"))).alias("b")

@@ -166,3 +166,44 @@ def source_region_candidates(t):
     path = _place(rows, "regions")
     rows.write.parquet(path)
     return S.load(rows.sparkSession, "region_candidates", path).select("image", "place", F.round("score", 6).alias("score"), F.col("box")[0].alias("x"))
+
+
+@query("""SELECT 'v' || vec_id AS image, CASE WHEN vec_id % 9 = 0 THEN NULL ELSE CASE WHEN vec_id % 4 = 0 THEN 45 ELSE 46 END END AS points, CASE WHEN vec_id % 9 > 0 AND vec_id % 5 > 0 AND vec_id % 11 > 0 THEN (vec_id % 50)::DOUBLE END AS x1,
+  CASE WHEN vec_id % 9 = 0 THEN 'POINTS' WHEN vec_id % 11 = 0 THEN 'BOX' END AS rule FROM embeddings WHERE vec_id % 9 = 0 OR vec_id % 11 > 0
+UNION ALL SELECT 'v' || vec_id, NULL, NULL, 'BOX' FROM embeddings WHERE vec_id % 9 > 0 AND vec_id % 11 = 0""")
+def source_landmark_labels(t):
+    """Some documents lack a point (45 are left), have one too few, an empty value in the box, or no box."""
+    k = F.col("vec_id")
+    points = F.transform(F.sequence(F.lit(1), F.when(k % 9 == 0, 45).otherwise(46)), lambda i: F.array(F.when((k % 4 == 0) & (i == 3), float("nan")).otherwise(i.cast("double")), F.lit(1.0)))
+    box = F.when(k % 11 != 0, F.array(F.when(k % 5 == 0, "").otherwise((k % 50).cast("string")), F.lit("1"), F.lit("60"), F.lit("2")))
+    rows = t("embeddings").select(F.concat(F.lit("v"), k).alias("image"), points.alias("landmarks"), box.alias("bounding_boxes"))
+    path = _place(rows, "landmarks")
+    rows.write.json(path)
+    out = S.load(rows.sparkSession, "landmark_labels", path)
+    return out.select("image", F.size("landmarks").cast("long").alias("points"), "x1", "rule").withColumn("points", F.when(F.col("rule").isNull(), F.col("points")))
+
+
+@query("""SELECT 'part_' || p_partkey || '.jpg' AS name, CASE WHEN p_partkey % 8 > 0 THEN 'dog' END AS kind, (p_partkey % 60)::DOUBLE AS x1, CASE WHEN p_partkey % 8 > 0 THEN CASE WHEN p_partkey % 60 + p_size > 90 THEN 'BOX' END ELSE 'OBJECTS' END AS rule FROM part WHERE p_partkey % 8 > 0
+UNION ALL SELECT 'part_' || p_partkey || '.jpg', NULL, NULL, 'OBJECTS' FROM part WHERE p_partkey % 8 = 0""")
+def source_head_boxes(t):
+    """One file for each brand."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    box = F.concat(F.lit("<object><name>dog</name><pose>Frontal</pose><bndbox><xmin>"), k % 60, F.lit("</xmin><ymin>1</ymin><xmax>"), k % 60 + size, F.lit("</xmax><ymax>9</ymax></bndbox></object>"))
+    text = F.concat(F.lit("<annotation><filename>part_"), k, F.lit(".jpg</filename><size><width>90</width><height>48</height></size>"), F.when(k % 8 > 0, box).otherwise(""), F.lit("</annotation>"))
+    files = t("part").groupBy("p_brand").agg(F.concat(F.lit("<all>"), F.array_join(F.collect_list(text), ""), F.lit("</all>")).alias("value"))
+    path = _place(files, "heads")
+    files.repartition("p_brand").write.partitionBy("p_brand").text(path)
+    return S.load(files.sparkSession, "head_boxes", path).select("name", "kind", "x1", "rule")
+
+
+@query("""WITH r AS (SELECT o_orderkey, lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS identity, CASE WHEN o_orderkey % 31 = 0 THEN 'x' ELSE CAST(o_custkey AS VARCHAR) END AS label, o_orderkey - CASE WHEN o_orderkey % 29 = 1 THEN 1 ELSE 0 END AS n FROM orders
+), f AS (SELECT identity || '/' || n || '.png' AS filename, identity, label FROM r), c AS (SELECT *, count(*) OVER (PARTITION BY filename) AS n FROM f)
+SELECT filename, identity, CASE WHEN label = 'x' THEN 'LABEL' WHEN n > 1 THEN 'REPEATED' END AS rule FROM c""")
+def source_split_list(t):
+    o, k = t("orders"), F.col("o_orderkey")
+    folder = F.lpad(F.col("o_custkey").cast("string"), 6, "0")
+    name = F.concat(folder, F.lit("/"), k - F.when(k % 29 == 1, 1).otherwise(0), F.lit(".png"))
+    rows = o.select(name.alias("filename"), F.when(k % 31 == 0, "x").otherwise(F.col("o_custkey").cast("string")).alias("label"))
+    path = _place(rows, "split")
+    rows.write.option("header", True).csv(path)
+    return S.load(rows.sparkSession, "split_list", path)

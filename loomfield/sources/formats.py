@@ -172,3 +172,54 @@ def region_candidates(spark: SparkSession, path: str) -> DataFrame:
     even = (F.size("scores") == F.size("boxes")) & F.forall("boxes", lambda b: F.size(b) == 4)
     zipped = F.when(even, F.arrays_zip("scores", "boxes")).otherwise(F.raise_error(F.lit("scores and boxes differ in shape")))
     return rows.select("image", F.posexplode(zipped).alias("place", "r")).select("image", "place", F.col("r.scores").alias("score"), F.col("r.boxes").alias("box"))
+
+
+@reader("landmark_labels")
+def landmark_labels(spark: SparkSession, path: str, points: int = 46, prefix: str = "face46", multi_line: bool = False) -> DataFrame:
+    """Label documents (image, landmarks, bounding_boxes), one a line or, with multi_line, one a file, which
+    then may leave out the image for the file's own name. Rows (image, landmarks name -> (x, y, 1), x1, y1,
+    x2, y2, rule): points that are not finite are left out, a box with an empty value is null, and rule says
+    POINTS or BOX where their number is wrong."""
+    schema = "image string, landmarks array<array<double>>, bounding_boxes array<string>"
+    doc = spark.read.schema(schema).option("multiLine", multi_line).option("allowNonNumericNumbers", True).json(path).withColumn("_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    fine = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    named = F.transform("landmarks", lambda p, i: F.struct(F.concat(F.lit(f"{prefix}."), i).alias("k"), F.struct(p[0].alias("x"), p[1].alias("y"), F.lit(1.0).alias("c")).alias("v")))
+    box = F.transform("bounding_boxes", lambda x: x.try_cast("double"))
+    whole = F.forall(box, lambda v: F.coalesce(fine(v), F.lit(False)))
+    even = (F.size("landmarks") == points) & F.forall("landmarks", lambda p: F.size(p) == 2)
+    rule = F.when(F.coalesce(~even, F.lit(True)), "POINTS").when(F.coalesce(F.size("bounding_boxes") != 4, F.lit(True)), "BOX")
+    return doc.select(
+        F.coalesce("image", F.regexp_replace("_file", r"\.[^.]*$", "")).alias("image"),
+        F.when(rule.isNull(), F.map_from_entries(F.filter(named, lambda e: fine(e["v"]["x"]) & fine(e["v"]["y"])))).alias("landmarks"),
+        *[F.when(rule.isNull() & whole, box[k]).alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))],
+        rule.alias("rule"),
+    )
+
+
+@reader("head_boxes")
+def head_boxes(spark: SparkSession, path: str) -> DataFrame:
+    """XML annotations (filename, size, one object with a box): (name, kind, pose, x1, y1, x2, y2, rule).
+    rule says OBJECTS where there is not one object, BOX where its box is missing, empty or beyond the size."""
+    schema = (
+        "filename string, size struct<width: double, height: double>, object array<struct<name: string, pose: string, truncated: string, "
+        "bndbox: struct<xmin: double, ymin: double, xmax: double, ymax: double>>>"
+    )
+    doc = spark.read.format("xml").option("rowTag", "annotation").schema(schema).load(path).withColumn("_o", F.try_element_at("object", F.lit(1)))
+    b, size = F.col("_o.bndbox"), F.col("size")
+    inside = (b["xmin"] >= 0) & (b["xmin"] < b["xmax"]) & (b["xmax"] <= size["width"]) & (b["ymin"] >= 0) & (b["ymin"] < b["ymax"]) & (b["ymax"] <= size["height"])
+    rule = F.when(F.coalesce(F.size("object") != 1, F.lit(True)), "OBJECTS").when(F.coalesce(~inside, F.lit(True)), "BOX")
+    return doc.select(
+        F.col("filename").alias("name"), F.col("_o.name").alias("kind"), F.col("_o.pose").alias("pose"), b["xmin"].alias("x1"), b["ymin"].alias("y1"), b["xmax"].alias("x2"), b["ymax"].alias("y2"), rule.alias("rule")
+    )
+
+
+@reader("split_list")
+def split_list(spark: SparkSession, path: str) -> DataFrame:
+    """CSV (filename, label) of a split, whose label is the number of the file's folder: (filename, identity,
+    rule); another header fails, and rule says LABEL where they differ, REPEATED where a file comes twice."""
+    rows = spark.read.schema("filename string, label string").option("header", True).option("enforceSchema", False).csv(path)
+    folder = F.regexp_extract("filename", r"(?:^|/)([0-9]+)/[^/]+$", 1)
+    n = rows.groupBy(F.col("filename").alias("_f")).agg(F.count("*").alias("_n"))
+    wrong = (folder == "") | ~F.col("label").rlike("^[0-9]+$") | (folder.try_cast("long") != F.col("label").try_cast("long"))
+    rule = F.when(F.coalesce(wrong, F.lit(True)), "LABEL").when(F.col("_n") > 1, "REPEATED")
+    return rows.join(n, F.col("filename") == F.col("_f"), "left").select("filename", folder.alias("identity"), rule.alias("rule"))

@@ -197,3 +197,27 @@ def test_consensus_over_all_rows(spark):
         want[label] = (len(own), int(keep.sum()), round(float((q[keep] * (1 - u[keep] @ last)).sum() / q[keep].sum()), 5))
     got = {r.label: (r.n, r.accepted, round(r.dispersion, 5)) for r in plans.queries()["consensus_vectors"](spark, sf).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("fragment", [4096, 3])
+def test_near_pairs_with_hot_blocks_match_brute_force(spark, fragment):
+    from loomfield.operators import neardup as N
+
+    rng = np.random.default_rng(6)
+    base = [int(x) for x in rng.integers(0, 1 << 16, 4)]
+    rows = []
+    for k in range(60):
+        w = list(base) if k % 2 else [base[0], *(int(x) for x in rng.integers(0, 1 << 16, 3))]
+        for b in rng.integers(0, 64, int(rng.integers(0, 9))):
+            w[int(b) // 16] ^= 1 << (int(b) % 16)
+        rows.append((k, [(0, w), (1, w[::-1])]))
+    df = spark.createDataFrame(rows, "id int, orientations array<struct<o: int, words: array<long>>>")
+    want = {}
+    for i, a in rows:
+        for j, b in rows:
+            if i < j:
+                d, lo, ro = min((sum((x ^ y).bit_count() for x, y in zip(p, q, strict=True)), lo, ro) for lo, p in a for ro, q in b)
+                if d <= 10:
+                    want[i, j] = (d, lo, ro)
+    got = N.near_pairs(df, words=4, radius=10, max_fragment=fragment).collect()
+    assert {(r.left_id, r.right_id): (r.distance, r.left_o, r.right_o) for r in got} == want and len(want) > 100
