@@ -105,6 +105,19 @@ def first_and_last(rows: DataFrame, identity: str, order: list[str], k: int, lea
     return placed.withColumn("role", F.when(F.col("_a") <= k, "GALLERY").otherwise("QUERY")).drop("_n", "_a", "_z")
 
 
+def identity_batches(rows: DataFrame, identity: str, item: str, identities: int, per_identity: int, seed: str) -> DataFrame:
+    """(batch, identity, item, place): batches of so many identities in hash order with so many items each, the
+    first of theirs in hash order. Identities with fewer items take no part; the last batch may be smaller."""
+    own = W.partitionBy(identity)
+    order = own.orderBy(stable_rank(F.lit(seed), F.col(item).cast("string")), item)
+    some = rows.select(identity, item).withColumn("place", F.row_number().over(order)).withColumn("_n", F.count("*").over(own))
+    some = some.filter((F.col("_n") >= per_identity) & (F.col("place") <= per_identity)).drop("_n")
+    keys = some.filter("place = 1").select(identity)
+    placed = numbered(keys, [stable_rank(F.lit(seed), F.col(identity).cast("string")), F.col(identity)], "_k")
+    batches = placed.select(identity, F.floor((F.col("_k") - 1) / identities).alias("batch"))
+    return some.join(batches, identity).select("batch", identity, item, "place")
+
+
 def positive_pairs(gallery: DataFrame, queries: DataFrame, per_query: int, seed: str) -> DataFrame:
     """gallery and queries(item, identity, session) -> (query, reference): references of the query's
     identity from other sessions, the first per_query in hash order."""

@@ -270,3 +270,26 @@ def scenario_drift(t):
     v = as_double("embedding")
     pairs = t("embeddings").select((F.col("vec_id") % 3).alias("scenario"), F.col("vec_id").alias("id"), v.alias("a"), F.transform(v, lambda x: F.round(x, 2)).alias("b"))
     return rounded(G.drift_by(pairs, "a", "b", "scenario"), "max_abs", "mean_abs")
+
+
+@query("""WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY sha256('pk' || chr(31) || o_orderkey), o_orderkey) AS place, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders
+), b AS (SELECT o_custkey, (row_number() OVER (ORDER BY sha256('pk' || chr(31) || o_custkey), o_custkey) - 1) // 16 AS batch FROM (SELECT DISTINCT o_custkey FROM r WHERE n >= 4))
+SELECT batch, o_custkey, o_orderkey, CAST(place AS INTEGER) AS place FROM r JOIN b USING (o_custkey) WHERE place <= 4""")
+def identity_batches(t):
+    return P.identity_batches(t("orders"), "o_custkey", "o_orderkey", 16, 4, "pk")
+
+
+@query("""WITH RECURSIVE n AS (SELECT CAST(c_nationkey AS VARCHAR) AS block, count(*) AS n, row_number() OVER (ORDER BY sha256('subset' || chr(31) || c_nationkey), CAST(c_nationkey AS VARCHAR)) AS k FROM customer GROUP BY c_nationkey
+), m AS (SELECT count(*) AS m, CAST(sum(n) // 2 AS BIGINT) AS target FROM n
+), r(k, reach) AS (SELECT m + 1, [0]::BIGINT[] FROM m UNION ALL SELECT n.k, list_distinct(list_concat(reach, list_transform(reach, lambda x: x + n.n))) FROM r JOIN n ON n.k = r.k - 1
+), g(k, rest, block, took) AS (SELECT 0, target, NULL::VARCHAR, false FROM m UNION ALL
+  SELECT k, CASE WHEN ok THEN rest - n ELSE rest END, block, ok FROM (SELECT n.k, g.rest, n.n, n.block, g.rest >= n.n AND list_contains(r.reach, g.rest - n.n) AS ok FROM g JOIN n ON n.k = g.k + 1 JOIN r ON r.k = n.k + 1))
+SELECT block FROM g WHERE took AND (SELECT list_contains(reach, target) FROM r, m WHERE r.k = 1)""")
+def blocks_with_sum(t):
+    """Nations whose customers are half of all, the earliest in hash order preferred; nations (25) are blocks."""
+    from loomfield.functions.scalars import stable_rank
+
+    rows = t("customer").groupBy(F.col("c_nationkey").cast("string").alias("block")).count()
+    ranked = rows.orderBy(stable_rank(F.lit("subset"), F.col("block")), "block").collect()
+    chosen = P.subset_with_sum([(r.block, r["count"]) for r in ranked], sum(r["count"] for r in ranked) // 2)
+    return t("customer").sparkSession.createDataFrame([(x,) for x in chosen or []], "block string")

@@ -321,6 +321,19 @@ def detection_quality(t):
     return rounded(Z.average_precision_101(_boxes(t, 1.5), pairs, truth.count()), "ap")
 
 
+@query(_MOVED + f""", j AS (SELECT image, i, j, iou, row_number() OVER (PARTITION BY image ORDER BY iou DESC, i, j) AS k FROM (SELECT p.image, p.id AS i, b.id AS j, {_iou_sql("p", "b")} AS iou FROM p JOIN b ON p.image = b.image AND b.id % 3 <> 0) WHERE iou >= 0.3
+), s(image, k, took) AS (SELECT image, k, [{{'i': i, 'j': j, 'iou': iou}}] FROM j WHERE k = 1 UNION ALL
+  SELECT j.image, j.k, CASE WHEN len(list_filter(s.took, lambda q: q.i = j.i OR q.j = j.j)) = 0 THEN list_append(s.took, {{'i': j.i, 'j': j.j, 'iou': j.iou}}) ELSE s.took END FROM s JOIN j ON j.image = s.image AND j.k = s.k + 1
+), f AS (SELECT unnest(took).iou AS iou FROM s QUALIFY row_number() OVER (PARTITION BY image ORDER BY k DESC) = 1
+), c AS (SELECT t AS threshold, count(iou) AS tp, (SELECT count(*) FROM b) AS p, (SELECT count(*) FROM b WHERE id % 3 <> 0) AS r FROM (VALUES (0.5::DOUBLE), (0.75), (0.95)) x(t) LEFT JOIN f ON iou >= t GROUP BY t)
+SELECT threshold, tp, round(tp / p, 6) AS precision, round(tp / r, 6) AS recall, round(2 * (tp / p) * (tp / r) / (tp / p + tp / r), 6) AS f1 FROM c""")
+def detection_rates(t):
+    truth = _boxes(t).filter("id % 3 <> 0").drop("confidence")
+    pairs = Z.matched(_boxes(t, 1.5), truth, 0.3)
+    rates = Z.detection_summary(pairs, t("part").count(), truth.count(), (0.5, 0.75, 0.95))
+    return rounded(rates, "precision", "recall", "f1")
+
+
 @query("""WITH p AS (SELECT p_brand AS g, (p_partkey * 37 % 60)::DOUBLE AS x, (p_partkey * 53 % 40)::DOUBLE AS y, (p_partkey % 9 + 1)::DOUBLE AS w FROM part), f AS (SELECT g, sum(x * w) / sum(w) AS mx, sum(y * w) / sum(w) AS my FROM p GROUP BY g
 ), d AS (SELECT p.*, sqrt((x - mx) ** 2 + (y - my) ** 2) AS d FROM p JOIN f USING (g)), m AS (SELECT g, quantile_cont(d, 0.5) AS m FROM d GROUP BY g)
 SELECT g, round(sum(x * w) / sum(w), 6) AS x, round(sum(y * w) / sum(w), 6) AS y, count(*) AS points FROM d JOIN m USING (g) WHERE d <= 1.5 * m + 1e-9 GROUP BY g""")
