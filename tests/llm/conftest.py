@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).parent))
+sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parents[1])]
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, score double, fp string, spans string"
 
