@@ -38,3 +38,9 @@ def sign_bits(v: Column, start: int, size: int) -> Column:
         F.lit(0.0),
         lambda s, x: s + x,
     ).cast("long")
+
+
+def usable(vector: Column) -> Column:
+    """Whether a vector is there and all its components are finite numbers; never null."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x) < float("inf")))
+    return F.coalesce(finite, F.lit(False))

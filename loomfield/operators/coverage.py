@@ -94,9 +94,11 @@ def integral(rows: DataFrame, stream: str, time: str, value: str) -> DataFrame:
 def longest_cover(rows: DataFrame, stream: str, start: str, end: str) -> DataFrame:
     """Length of the longest unbroken stretch of the union of intervals per stream. Starts and ends are
     events in order of time, starts first; a stretch begins where one interval is open after a start, and
-    ends where none is, and the two alternate."""
-    of = lambda c, d: rows.select(stream, F.col(c).alias("_t"), F.lit(d).alias("_d"))
-    events = of(start, 1).union(of(end, -1)).dropna()
+    ends where none is, and the two alternate. Rows with a null in the stream or a bound, and those that
+    end before they start, are no intervals; a stream of such rows alone is absent."""
+    whole = rows.dropna(subset=[stream, start, end]).filter(F.col(start) <= F.col(end))
+    of = lambda c, d: whole.select(stream, F.col(c).alias("_t"), F.lit(d).alias("_d"))
+    events = of(start, 1).union(of(end, -1))
     opened = running_sums(events, [F.col(stream), F.col("_t"), F.col("_d").desc()], {"_open": F.col("_d")})
     edges = opened.filter(((F.col("_open") == 1) & (F.col("_d") == 1)) | (F.col("_open") == 0))
     paired = beside(edges, [stream], [F.col("_t"), F.col("_d").desc()], 1, {"_stop": "_t"})

@@ -41,8 +41,8 @@ def shared_key_edges(rows: DataFrame, node: str, keys: list[str]) -> DataFrame:
     long = rows.select(
         F.col(node).alias("node"), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).cast("string").alias("v")) for k in keys])).alias("x")
     ).select("node", "x.k", "x.v").filter("v IS NOT NULL")
-    hub = long.groupBy("k", "v").agg(F.min("node").alias("b"))
-    return long.join(hub, ["k", "v"]).select(F.col("node").alias("a"), "b").filter("a <> b").distinct()
+    hubs = with_least(long.select("node", F.struct("k", "v").alias("key")), "key", "node", "b", "node")
+    return hubs.select(F.col("node").alias("a"), "b").filter("a <> b").distinct()
 
 
 def component_ids(members: DataFrame) -> DataFrame:

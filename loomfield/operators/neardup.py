@@ -14,6 +14,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomfield.operators.ranking import with_least
 from loomfield.storage import stored
 
 
@@ -42,9 +43,10 @@ def _keys(k: int, masks: Column) -> Column:
 
 def representatives(fingerprints: DataFrame) -> tuple[DataFrame, DataFrame]:
     """fingerprints(id, orientations) of each kind once, under its least id, and (representative,
-    member) of all."""
+    member) of all, where one kind may hold most rows."""
     kinds = fingerprints.groupBy("orientations").agg(F.min("id").alias("representative"))
-    members = fingerprints.join(kinds, "orientations").select("representative", F.col("id").alias("member"))
+    dealt = with_least(fingerprints.select("id", "orientations"), "orientations", "id", "representative", "id")
+    members = dealt.select("representative", F.col("id").alias("member"))
     return kinds.select(F.col("representative").alias("id"), "orientations"), members
 
 

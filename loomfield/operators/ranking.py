@@ -1,5 +1,5 @@
-"""Places and running sums over a whole table's order, and minima of hot keys, without a single task that
-holds them.
+"""Places and running sums over a whole table's order, and minima and joins of hot keys, without a single
+task that holds them.
 
 Rows are range-partitioned by the order and stored with their partition's number; within a partition
 a window adds up, and a partition's start follows from the sums of those before it, of which there are
@@ -8,6 +8,8 @@ as many as partitions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -31,13 +33,19 @@ def running_sums(rows: DataFrame, order: list[Column], sums: dict[str, Column])
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str, by: list[str] | None = None) -> DataFrame:
-    """rows with their place from 1 in the order, or in the order of each group of `by`, however large
-    a group is."""
+    """rows with their place from 1 in the order, or in the order of each group of `by`. A group may hold
+    most rows: it lies in several ranges then, and what comes before a range of it is joined by (group,
+    range), a key that has one range's rows at most. Rows with a null in `by` are left out."""
     if not by:
         return running_sums(rows, order, {name: F.lit(1)})
-    placed = running_sums(rows, [F.col(c) for c in by] + order, {"_n": F.lit(1)})
-    first = placed.groupBy(*by).agg(F.min("_n").alias("_first"))
-    return placed.join(first, by).withColumn(name, F.col("_n") - F.col("_first") + 1).drop("_n", "_first")
+    whole = rows.dropna(subset=by)
+    placed = whole.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("_part", F.spark_partition_id())
+    placed = stored(placed, "ranged")
+    before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each range of a group
+    starts = placed.groupBy(*by, "_part").agg(F.count("*").alias("_c")).withColumn("_s", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    within = placed.withColumn("_w", F.row_number().over(W.partitionBy(*by, "_part").orderBy(*order)))
+    joined = within.join(starts.drop("_c"), [*by, "_part"])
+    return joined.withColumn(name, F.col("_w") + F.col("_s")).select(*rows.columns, name)
 
 
 def beside(rows: DataFrame, by: list[str], order: list[Column], step: int, columns: dict[str, str]) -> DataFrame:
@@ -49,11 +57,39 @@ def beside(rows: DataFrame, by: list[str], order: list[Column], step: int, colum
     return placed.join(other, [*by, "_place"], "left").drop("_place")
 
 
-def with_least(rows: DataFrame, key: str, value: str, out: str, spread: str, salts: int = 32) -> DataFrame:
-    """rows with the least value of their key. A key may hold most rows: they are dealt over salts by a hash
-    of `spread`, minima are taken of each (key, salt) and then of each key, and go back to the salts that
-    the key has, so the rows of a key are joined in as many parts."""
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
-    parts = dealt.groupBy(key, "_salt").agg(F.min(value).alias("_m"))
-    whole = parts.groupBy(key).agg(F.min("_m").alias(out), F.collect_list("_salt").alias("_salts"))
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_least(rows: DataFrame, key: str, value: str, out: str, spread: str, extreme: Callable[[str], Column] = F.min) -> DataFrame:
+    """rows with the least value of their key (or the largest: extreme=F.max). A key may hold most rows:
+    they are dealt over as many salts as there are shuffle partitions by a hash of `spread`, extremes are
+    taken of each (key, salt) and then of each key, and go back to the salts that the key has, so the rows
+    of a key are joined in as many parts. Rows with a null key are left out."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(max(32, _parts(rows)))))
+    parts = dealt.groupBy(key, "_salt").agg(extreme(value).alias("_m"))
+    whole = parts.groupBy(key).agg(extreme("_m").alias(out), F.collect_list("_salt").alias("_salts"))
     return dealt.join(whole.select(key, out, F.explode("_salts").alias("_salt")), [key, "_salt"]).drop("_salt")
+
+
+def salted_join(rows: DataFrame, other: DataFrame, keys: list[str], spread: list[str], how: str = "inner") -> DataFrame:
+    """rows joined (inner, left, left_semi or left_anti) with other by equal keys, where a key may hold most
+    of rows. Rows of each key are counted first; a key with more than an even share of a shuffle partition
+    is dealt over as many salts as it has shares, by a hash of `spread`, and other's rows of it are repeated
+    for each. There are fewer such keys than partitions, and they are known by a hash, so the table of them
+    that is broadcast is that small; keys that share a hash are dealt alike. AQE cannot do this where a
+    side has no exchange of its own (it was just grouped by the key). Null keys match nothing, and are
+    dealt in the same way. rows is read twice, its keys alone the first time: store it where it is dear."""
+    spark, n = rows.sparkSession, _parts(rows)
+    hashed = lambda df: df.withColumn("_h", F.xxhash64(*keys))
+    counts = hashed(rows.select(*keys)).groupBy("_h").agg(F.count("*").alias("n"))
+    total, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    share = max(1, -(-total // n))
+    if most <= share:
+        return rows.join(other, keys, how)
+    hot = [(r["_h"], -(-r["n"] // share)) for r in counts.filter(F.col("n") > share).collect()]  # fewer than n rows
+    salts = F.broadcast(spark.createDataFrame(hot, "_h long, _salts long"))
+    left = hashed(rows).join(salts, "_h", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")), F.lit(0)))
+    right = hashed(other).join(salts, "_h", "left")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
+    return left.drop("_h", "_salts").join(right.drop("_h", "_salts"), [*keys, "_salt"], how).drop("_salt")

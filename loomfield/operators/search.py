@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomfield.functions.vectors import as_double
+from loomfield.functions.vectors import as_double, usable
 from loomfield.storage import stored
 
 QUERY_ROWS, GALLERY_ROWS = 512, 4096
@@ -33,22 +33,27 @@ def grid_shape(n_left: int, n_right: int, slots: int, most: int = 256) -> tuple[
 
 
 def _blocks(rows: DataFrame, blocks: int, name: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-    """rows(...) as arrays of up to a block of rows, with a row or column of the grid, for all of the other side's."""
-    dealt = rows.withColumn("_b", F.pmod(F.xxhash64(rows.columns[0]), F.lit(blocks)))
-    packed = dealt.groupBy("_b").agg(F.collect_list(F.struct(*rows.columns)).alias(name))
+    """rows(...) as arrays of up to a block of rows, with a row or column of the grid, for all of the other side's.
+    Vectors of a block have one length, _d."""
+    length = F.size("vector") if "vector" in rows.columns else F.lit(0)
+    dealt = rows.withColumn("_b", F.pmod(F.xxhash64(rows.columns[0]), F.lit(blocks))).withColumn("_d", length)
+    packed = dealt.groupBy("_b", "_d").agg(F.collect_list(F.struct(*rows.columns)).alias(name))
     return packed.withColumn(own, F.pmod(F.xxhash64("_b"), F.lit(n_own))).withColumn(
         other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long")))
     )
 
 
 def block_pairs(queries: DataFrame, gallery: DataFrame) -> DataFrame:
-    """One row (rows_q, rows_g) for each pair of a query block and a gallery block."""
+    """One row (rows_q, rows_g) for each pair of a query block and a gallery block. Rows whose `vector` is null
+    or has null or non-finite components take no part, and vectors meet those of their own length."""
+    if "vector" in queries.columns:
+        queries, gallery = queries.filter(usable(F.col("vector"))), gallery.filter(usable(F.col("vector")))
     nq = max(1, -(-queries.count() // QUERY_ROWS))
     ng = max(1, -(-gallery.count() // GALLERY_ROWS))
     rows, cols = grid_shape(nq, ng, queries.sparkSession.sparkContext.defaultParallelism)
-    left = _blocks(queries, nq, "rows_q", "q", rows, "g", cols).select("q", "g", "rows_q")
-    right = _blocks(gallery, ng, "rows_g", "g", cols, "q", rows).select("q", "g", "rows_g")
-    return left.join(right, ["q", "g"]).select("rows_q", "rows_g")
+    left = _blocks(queries, nq, "rows_q", "q", rows, "g", cols).select("q", "g", "_d", "rows_q")
+    right = _blocks(gallery, ng, "rows_g", "g", cols, "q", rows).select("q", "g", "_d", "rows_g")
+    return left.join(right, ["q", "g", "_d"]).select("rows_q", "rows_g")
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -67,15 +72,13 @@ def _stack(block: pa.Array, name: str) -> np.ndarray:
     return _flat(lists)[at[0] : at[-1]].reshape(len(lists), -1)
 
 
-def _channel(lists: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows have channel k, and these rows' vectors."""
+def _channel(lists: pa.Array, k: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: which rows have a channel k of that length, and their vectors."""
     inner, at = lists.values, lists.offsets.to_numpy()[:-1] + k
     has = inner.is_valid().to_numpy(zero_copy_only=False)[at]
-    begin, size = inner.offsets.to_numpy(), inner.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    at = at[has]
-    if not len(at):
-        return has, np.empty((0, 0))
-    return has, _flat(inner)[begin[at][:, None] + np.arange(size[at[0]])[None, :]]
+    begin, size = inner.offsets.to_numpy()[:-1][at], inner.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)[at]
+    rows = {n: np.flatnonzero(has & (size == n)) for n in np.unique(size[has]).tolist() if n}
+    return {n: (own, _flat(inner)[begin[own][:, None] + np.arange(n)[None, :]]) for n, own in rows.items()}
 
 
 def _ints(block: pa.Array, name: str) -> np.ndarray:
@@ -87,29 +90,34 @@ def best_templates(
     gallery: DataFrame,
     weights: list[float] | None = None,
     digits: int = 6,
+    k: int | None = None,
 ) -> DataFrame:
     """queries(id, channels, excluded), gallery(id, identity, channels, group) ->
-    (query_id, identity, template_id, score): each identity's best template for each query.
+    (query_id, identity, template_id, score): each identity's best template for each query, or with k only
+    those of each query's k best identities (ties to the smaller identity). A pair of blocks then hands on
+    its k best identities a query, so what is shuffled follows queries times k: an identity that k others
+    pass in its own best block is passed by them overall.
 
     channels is an array of channel vectors, null where a channel is not available. The score is the
     weighted mean of the cosines of the channels that both have, weights scaled to them. A template
     whose id or group is in excluded takes no part, nor does a pair without a common channel. Ties
-    of the rounded score go to the smaller template id."""
+    of the rounded score go to the smaller template id. A channel that holds a null or a non-finite
+    component is not available, and channels of two lengths are not common; rows without channels take no
+    part, and all others have the same number of them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for q, g in zip(batch.column(0), batch.column(1), strict=True):
                 q, g = q.values, g.values
                 total, weight = np.zeros((len(q), len(g))), np.zeros((len(q), len(g)))
-                for k in range(len(q.field("channels")[0])):
-                    (has_q, a), (has_g, b) = (_channel(x.field("channels"), k) for x in (q, g))
-                    if not has_q.any() or not has_g.any():
-                        continue
-                    a, b = _unit(a), _unit(b)
-                    w = 1.0 if weights is None else weights[k]
-                    at = np.ix_(has_q, has_g)
-                    total[at] += w * (a @ b.T)
-                    weight[at] += w
+                for c in range(len(q.field("channels")[0])):
+                    left, right = (_channel(x.field("channels"), c) for x in (q, g))
+                    w = 1.0 if weights is None else weights[c]
+                    for n in left.keys() & right.keys():
+                        (own_q, a), (own_g, b) = left[n], right[n]
+                        at = np.ix_(own_q, own_g)
+                        total[at] += w * (_unit(a) @ _unit(b).T)
+                        weight[at] += w
                 ids = g.field("id").to_numpy(zero_copy_only=False)
                 live = weight > 0
                 score = np.round(np.divide(total, weight, out=np.zeros_like(total), where=live), digits)
@@ -125,6 +133,9 @@ def best_templates(
                 best = np.maximum.reduceat(score[:, order], first, axis=1)
                 own = np.repeat(best, np.diff(np.append(first, len(order))), axis=1)
                 winner = np.minimum.reduceat(np.where(score[:, order] == own, ids[order], np.iinfo(np.int64).max), first, axis=1)
+                if k is not None and best.shape[1] > k:
+                    passed = np.argsort(-best, axis=1, kind="stable")[:, k:]  # identities are in order
+                    np.put_along_axis(best, passed, -np.inf, axis=1)
                 i, j = np.nonzero(best > -np.inf)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -137,11 +148,16 @@ def best_templates(
                 )
 
     kind = gallery.schema["identity"].dataType.simpleString()
-    partial = block_pairs(queries, gallery).mapInArrow(run, f"query_id long, identity {kind}, template_id long, score double")
+    sides = [
+        df.filter("channels IS NOT NULL").withColumn("channels", F.transform("channels", lambda v: F.when(usable(v), v)))
+        for df in (queries, gallery)
+    ]
+    partial = block_pairs(*sides).mapInArrow(run, f"query_id long, identity {kind}, template_id long, score double")
     best = partial.groupBy("query_id", "identity").agg(
         F.max(F.struct("score", (-F.col("template_id")).alias("t"))).alias("b")
     )
-    return best.select("query_id", "identity", (-F.col("b.t")).alias("template_id"), F.col("b.score").alias("score"))
+    out = best.select("query_id", "identity", (-F.col("b.t")).alias("template_id"), F.col("b.score").alias("score"))
+    return out if k is None else top_identities(out, k).drop("rank")
 
 
 def ranked(scores: DataFrame) -> DataFrame:

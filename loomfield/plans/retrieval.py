@@ -67,7 +67,7 @@ def _outcomes(t):
 
 @query(_SCORES + "SELECT query_id, CAST(rank AS INTEGER) AS rank, identity, template_id, score FROM ranked WHERE rank <= 5")
 def search_topk(t):
-    return X.top_identities(_best(t), 5).select("query_id", "rank", "identity", "template_id", "score")
+    return X.top_identities(X.best_templates(*_sides(t), k=5), 5).select("query_id", "rank", "identity", "template_id", "score")
 
 
 @query("""
@@ -87,7 +87,7 @@ def search_filtered(t):
     group = lambda c: -1 - F.col(c) % 7
     q = q.withColumn("excluded", F.array(F.col("id") + 1, group("id")))
     g = g.filter(F.col("identity").isin(1, 3, 5, 7)).withColumn("group", group("id"))
-    return X.top_identities(X.best_templates(q, g), 3).select("query_id", "rank", "identity", "template_id", "score")
+    return X.top_identities(X.best_templates(q, g, k=3), 3).select("query_id", "rank", "identity", "template_id", "score")
 
 
 @query(_SCORES + "SELECT query_id, identity, score, rank FROM ranked WHERE identity = own")
@@ -99,7 +99,8 @@ def search_own_rank(t):
 @query(_SCORES + "SELECT query_id, template_id, score FROM ranked WHERE identity = 3")
 def search_explain(t):
     """The template that speaks best for one identity."""
-    return _best(t).filter("identity = 3").select("query_id", "template_id", "score")
+    q, g = _sides(t)
+    return X.best_templates(q, g.filter("identity = 3")).select("query_id", "template_id", "score")
 
 
 @query("""
@@ -124,7 +125,7 @@ def search_channels(t):
         F.lit(None).cast("array<long>").alias("excluded"),
     )
     e = t("embeddings")
-    found = X.best_templates(side(e.filter(IS_QUERY)), side(e.filter(f"NOT ({IS_QUERY})")), weights=[0.4, 0.3, 0.2, 0.1])
+    found = X.best_templates(side(e.filter(IS_QUERY)), side(e.filter(f"NOT ({IS_QUERY})")), weights=[0.4, 0.3, 0.2, 0.1], k=5)
     return X.top_identities(found, 5).select("query_id", "rank", "identity", "template_id", "score")
 
 
@@ -217,7 +218,7 @@ def _tops(t, unknown_from: int = 7):
     """Best identity of each query; labels from unknown_from on are not enrolled."""
     e = t("embeddings")
     q, g = _sides(t)
-    top = X.top_identities(X.best_templates(q, g.filter(F.col("identity") < unknown_from)), 2)
+    top = X.top_identities(X.best_templates(q, g.filter(F.col("identity") < unknown_from), k=2), 2)
     own = e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
     return top.join(own, "query_id").withColumn("known", F.col("own") < unknown_from).withColumn("correct", F.col("own") == F.col("identity"))
 

@@ -15,6 +15,7 @@ from loomfield.operators import graph as G
 from loomfield.operators import leakage as L
 from loomfield.operators import metrics as M
 from loomfield.operators import neardup as N
+from loomfield.operators import ranking as K
 from loomfield.operators import registry as R
 from loomfield.operators import search as X
 from loomfield.operators import splits as P
@@ -250,3 +251,89 @@ def test_blocks_of_all_orders_match_brute_force(spark):
     assert {r.root: r["size"] for r in run("component_ids")} == sizes
     assert {r["size"]: r.components for r in run("component_capacity")} == {n: list(sizes.values()).count(n) for n in sizes.values()}
     assert {r.node: r.quarantined for r in run("component_quarantine")} == {n: x in bad for n, x in want.items()}
+
+
+def hot(spark, n=4000):
+    """One key in 9 of 10 rows, nulls among the others."""
+    rows = [(k, "hot" if k % 10 else (None if k % 100 == 0 else f"k{k % 7}")) for k in range(n)]
+    return spark.createDataFrame(rows, "node long, key string").repartition(4)
+
+
+def largest_task(spark, df):
+    """Rows of the largest partition that a join hands on, broadcasts off."""
+    tasks = df.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count("*").alias("n"), F.max(F.xxhash64(*df.columns)))
+    return max(r.n for r in tasks.collect())
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_hot_keys_are_dealt(spark, no_broadcast):
+    rows = hot(spark)
+    other = rows.dropna().groupBy("key").agg(F.count("*").alias("size"))
+    plain = rows.join(other, "key", "left")
+    assert largest_task(spark, plain) > 3000
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        dealt, want = K.salted_join(rows, other, ["key"], ["node"], how), rows.join(other, ["key"], how)
+        assert sorted(map(str, dealt.collect())) == sorted(map(str, want.collect())) and dealt.columns == want.columns
+        if how != "left_anti":
+            assert largest_task(spark, dealt) < 1000
+    twice = other.union(other)
+    assert K.salted_join(rows, twice, ["key"], ["node"]).count() == 2 * rows.dropna().count()
+    assert K.salted_join(rows.limit(0), other, ["key"], ["node"]).count() == 0
+    least = K.with_least(rows, "key", "node", "least", "node")
+    assert largest_task(spark, least) < 1000 and {r.least for r in least.filter("key = 'hot'").collect()} == {1}
+    most = K.with_least(rows, "key", "node", "most", "node", extreme=F.max)
+    assert {r.most for r in most.filter("key = 'hot'").collect()} == {3999}
+    placed = K.numbered(rows, [F.col("node").desc()], "place", ["key"])
+    assert largest_task(spark, placed) < 1000
+    want = {}
+    for node, key in sorted(((r.node, r.key) for r in rows.dropna().collect()), reverse=True):
+        want.setdefault(key, []).append(node)
+    assert {(r.key, r.place, r.node) for r in placed.collect()} == {(k, i + 1, n) for k, v in want.items() for i, n in enumerate(v)}
+    edges = G.shared_key_edges(rows, "node", ["key"])
+    assert edges.count() == rows.dropna().count() - rows.dropna().select("key").distinct().count()
+    prints = rows.select(F.col("node").alias("id"), F.array(F.struct(F.lit(0).alias("o"), F.array(F.length("key").cast("long")).alias("words"))).alias("orientations"))
+    kinds, members = N.representatives(prints)
+    assert largest_task(spark, members) < 1000 and members.count() == 4000 and kinds.count() == 3
+
+
+def test_longest_cover_leaves_out_what_is_no_interval(spark):
+    rows = [("a", 0, 5), ("a", 6, None), ("b", 0, 7), ("b", 10, 11), ("c", 9, 2), (None, 0, 99), ("d", 1, 1), ("d", 1, 3), ("e", None, 4)]
+    got = C.longest_cover(spark.createDataFrame(rows, "s string, lo int, hi int"), "s", "lo", "hi").collect()
+    assert {r.s: r.longest for r in got} == {"a": 5, "b": 7, "d": 2}
+
+
+def test_search_defines_odd_vectors(spark):
+    nan = float("nan")
+    rows = [(1, "a", [1.0, 0.0]), (2, "a", None), (3, "b", [nan, 1.0]), (4, "b", [None, 1.0]), (5, "c", [1.0]), (6, "c", [0.5, 0.5]), (7, "d", [float("inf"), 0.0]), (8, "d", [2.0]), (9, "e", [])]
+    df = spark.createDataFrame(rows, "id long, identity string, vector array<double>")
+    got = {(r.query_id, r.template_id): r.score for r in X.top_templates(df, df, 9).collect()}
+    half = round(0.5**0.5, 6)
+    assert got == {(1, 6): half, (6, 1): half, (5, 8): 1.0, (8, 5): 1.0}
+    assert {(r.score, r.pos, r.neg) for r in X.score_counts(df.filter("id < 5"), df.filter("id = 6")).collect()} == {(half, 0, 1)}
+    side = df.select("id", "identity", F.array("vector", F.array(F.lit(1.0))).alias("channels"), F.lit(None).cast("long").alias("group"), F.lit(None).cast("array<long>").alias("excluded"))
+    side = side.union(spark.createDataFrame([(10, "z")], "id long, identity string").selectExpr("*", "null", "null", "null"))
+    best = {(r.query_id, r.identity): r.score for r in X.best_templates(side.filter("id = 1"), side).collect()}
+    assert best == {(1, "a"): 1.0, (1, "b"): 1.0, (1, "c"): 1.0, (1, "d"): 1.0, (1, "e"): 1.0}
+    two = X.best_templates(side.filter("id = 1"), side, weights=[1.0, 0.5], k=2).collect()
+    assert sorted((r.identity, r.template_id, r.score) for r in two) == [("a", 1, 1.0), ("b", 3, 1.0)]
+
+
+def test_search_hands_on_k_identities_a_block(spark, monkeypatch):
+    monkeypatch.setattr(X, "QUERY_ROWS", 6)
+    monkeypatch.setattr(X, "GALLERY_ROWS", 11)
+    rng = np.random.default_rng(5)
+    vec = [[float(x) for x in np.round(rng.normal(size=2), 1)] for _ in range(150)]
+    q, g = sides(spark, [(k, 0, [v], None, None) for k, v in enumerate(vec[:20])], [(100 + k, k % 37, [v], None, None) for k, v in enumerate(vec[20:])])
+    for k in (1, 3, 36, 50):
+        want = X.top_identities(X.best_templates(q, g), k).drop("rank").collect()
+        assert sorted(map(tuple, X.best_templates(q, g, k=k).collect())) == sorted(map(tuple, want)) and len(want) == 20 * min(k, 37)
