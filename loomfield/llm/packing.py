@@ -3,9 +3,11 @@
 Documents are tokenized once into a stored table of pieces. Pieces are dealt into partitions of
 bounded size by a hash of their key, and each partition is packed best-fit decreasing. Dual-feasible
 functions bound the bins that a partition needs from below; a partition that meets its bound is done.
-The others release the pieces of their bins that are not full, exchange them across partitions by a
-new hash, and pack again; a repacking is kept if it takes fewer bins. Rounds go on, however many, until
-all gaps are closed or a round saves nothing; each saves a sequence at least, so they end.
+The others exchange the documents of their bins that are not full: whole bins are dealt over partitions by a
+new hash of their number, so that each is released and packed again in one place, and a repacking is
+kept if it takes fewer bins than came in. A bin settles when it is full, when its partition meets its
+bound, or after `patience` rounds in a row that saved nothing in its partition. Rounds that save end, as bins
+do. certificate() holds the outcome against the bound of the whole table.
 
 Nulls, empties: a null text is an empty one, which is its end-of-document id alone. Null ids and
 repeated rows are kept, each row packed by itself. An empty table gives an empty result. Extra
@@ -94,10 +96,11 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, n
 
 
-def lower_bound(lengths: np.ndarray, capacity: int, depth: int = 32) -> int:
-    """The largest bound on the bin count that these dual-feasible functions give: the identity,
-    the staircase functions for k up to depth, and the threshold functions for every threshold."""
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+def lower_bound(count: np.ndarray, depth: int = 32) -> int:
+    """The largest bound on the bins that count[size] pieces of each size need (the last size is the
+    capacity) which these dual-feasible functions give: the identity, the staircase functions for k up to
+    depth, and the threshold functions for every threshold."""
+    capacity = len(count) - 1
     size = np.arange(capacity + 1)
     total = int((count * size).sum())
     best = -(-total // capacity)
@@ -116,63 +119,60 @@ def lower_bound(lengths: np.ndarray, capacity: int, depth: int = 32) -> int:
     return int(best)
 
 
-_ASSIGNED = "key long, length long, sequence_id long, offset long, open boolean, bins long, bound long"
+_ASSIGNED = "key long, length long, sequence_id long, offset long, open boolean, tries int"
 
 
-def _packer(capacity: int, level: int, again: bool):
+def _packer(capacity: int, level: int, patience: int):
+    """Packs a partition's pieces. At level 0 they are new; later they make up whole sequences, which are
+    replaced all together or stay as they are."""
+
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("key", kind="stable", ignore_index=True)
         lengths = rows["length"].to_numpy(np.int64)
         bins, offsets, n = best_fit_decreasing(lengths, capacity)
-        before = rows["sequence_id"].nunique() if again else n + 1
-        if n < before:
-            sequence = (level << 44) + (int(key[0]) << 20) + bins
-        else:
+        sequence, tries = (level << 44) + (int(key[0]) << 20) + bins, np.zeros(len(rows), np.int32)
+        if level and n >= (before := rows["sequence_id"].nunique()):
             sequence, offsets, n = rows["sequence_id"].to_numpy(), rows["offset"].to_numpy(), before
-        bound = lower_bound(lengths, capacity)
-        fill = rows["length"].groupby(sequence).transform("sum")
-        return pd.DataFrame(
-            {
-                "key": rows["key"],
-                "length": lengths,
-                "sequence_id": sequence,
-                "offset": offsets,
-                "open": (fill < capacity) & (n > bound),
-                "bins": n,
-                "bound": bound,
-            }
-        )
+            tries = rows["tries"].to_numpy(np.int32) + 1
+        gap = n > lower_bound(np.bincount(lengths, minlength=capacity + 1).astype(np.int64))
+        fill = rows["length"].groupby(sequence).transform("sum").to_numpy()
+        go_on = (fill < capacity) & gap & (tries < patience)
+        return pd.DataFrame({"key": rows["key"], "length": lengths, "sequence_id": sequence, "offset": offsets, "open": go_on, "tries": tries})
 
     return pack
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, partition_pieces: int = 20_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, partition_pieces: int = 20_000, patience: int = 3) -> DataFrame:
     """(key, sequence_id, offset) for pieces(key, length), lengths from 1 to capacity."""
     own = pieces.select("key", "length")
-    n = own.count()
-    dealt = lambda df, n, level: df.withColumn(
-        "part", F.pmod(F.xxhash64("key", F.lit(level)), F.lit(max(1, -(-n // partition_pieces))))
-    )
-    first = dealt(own, n, 0).groupBy("part").applyInPandas(_packer(capacity, 0, False), _ASSIGNED)
-    now = materialize(first, "packed")
+    parts = lambda n: max(1, -(-n // partition_pieces))
+    dealt = lambda df, by, n, level: df.withColumn("part", F.pmod(F.xxhash64(by, F.lit(level)), F.lit(n)))
+    fixed = parts(own.count())
+    now = materialize(dealt(own, "key", fixed, 0).groupBy("part").applyInPandas(_packer(capacity, 0, patience), _ASSIGNED), "packed")
     settled, level = [], 0
-    while True:
+    while fixed > 1:  # one partition has nothing to exchange with
         loose = now.filter("open")
-        n_loose, bins = loose.agg(F.count("*"), F.count_distinct("sequence_id")).first()
-        if not n_loose:
+        if not (n := loose.count()):
             break
-        level += 1
+        level, fixed = level + 1, parts(n)
         settled.append(now.filter("NOT open"))
-        repack = dealt(loose.select("key", "length", "sequence_id", "offset"), n_loose, level)
-        now = materialize(repack.groupBy("part").applyInPandas(_packer(capacity, level, True), _ASSIGNED), "packed")
-        if now.agg(F.count_distinct("sequence_id")).first()[0] >= bins:
-            break
+        again = dealt(loose.drop("open"), "sequence_id", fixed, level).groupBy("part")
+        now = materialize(again.applyInPandas(_packer(capacity, level, patience), _ASSIGNED), "packed")
     out = now
     for done in settled:
         out = out.unionByName(done)
     return out.select("key", "sequence_id", "offset")
 
 
+def certificate(packed: DataFrame, capacity: int = 4096) -> tuple[int, int]:
+    """Sequences that packed(sequence_id, length) takes, and the bound that no packing of all its pieces can
+    undercut; one row for each length, of which there are capacity at most, comes to the driver."""
+    count = np.zeros(capacity + 1, np.int64)
+    for length, n in packed.groupBy("length").count().collect():
+        count[length] = n
+    return packed.select("sequence_id").distinct().count(), lower_bound(count)
+
+
 def placed(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """pieces(key, length, ...) with sequence_id and offset in place of the key; the other columns
     are carried through the join, so leave out what is not wanted."""

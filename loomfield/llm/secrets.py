@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from loomfield.llm.common import materialize, shared_dir
+from loomfield.operators.ranking import salted_join
 
 
 @dataclass(frozen=True)
@@ -191,7 +192,8 @@ class BlobLedger:
             .agg(F.array_sort(F.collect_set(F.struct("start", "rank", "kind", "end"))).alias("spans"))
         )
         none = F.array().cast("array<struct<start: bigint, rank: int, kind: string, end: bigint>>")
-        return paths.join(known, "blob", "left").select("id", "blob", F.coalesce("spans", none).alias("spans"))
+        # Copies of one blob may hold most paths, and findings have just been grouped by blob.
+        return salted_join(paths, known, ["blob"], ["id"], "left").select("id", "blob", F.coalesce("spans", none).alias("spans"))
 
     def report(self, rules: tuple[Rule, ...] = ALL_RULES) -> DataFrame:
         """What scan() gives, for the paths of all finished scans. Ids must have had one type."""
