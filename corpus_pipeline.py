@@ -20,6 +20,7 @@ from loomfield.llm.language import fit, tagged
 from loomfield.llm.queries import packing_digests
 from loomfield.llm.secrets import BlobLedger, redacted
 from loomfield.llm.simhash import simhash_groups
+from loomfield.operators.ranking import salted_join
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +68,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = BlobLedger(spark).scan(docs).filter(F.size("spans") > 0)
     marks = found.select(F.col("blob").alias(blob), F.col("spans").alias(spans)).dropDuplicates([blob])
     text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col(spans)))
-    # Hashed, not sorted: whole texts are not held for a sort.
-    joined = docs.join(marks.hint("shuffle_hash"), F.sha2("text", 256) == F.col(blob), "left").withColumn("text", text)
+    # Copies of one text, and null texts, may be most rows. Hashed, not sorted: whole texts are not held for a sort.
+    keyed = docs.withColumn(blob, F.sha2("text", 256))
+    joined = salted_join(keyed, marks.hint("shuffle_hash"), [blob], [blob, "doc_id"], "left").withColumn("text", text)
     return joined.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
