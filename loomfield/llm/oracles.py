@@ -151,3 +151,11 @@ SELECT pair_id, CAST(n AS BIGINT) AS n_prompt_turns,
   array_to_string(list_transform(r[n + 1:], lambda x: length('<|im_start|>' || x.role || chr(10)) || ':0,' || length(x.text || '<|im_end|>' || chr(10)) || ':' || CAST(x.role = 'assistant' AS INT)), ',') AS rejected_mask
 FROM n
 """
+
+SQL["op13_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+w AS (SELECT html, max(page_id) AS first FROM p WHERE strlen(html) >= 1000 GROUP BY html)
+SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN w USING (html)
+"""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfield.llm import oracles
-from loomfield.llm.common import bounded_batches
+from loomfield.llm.common import bounded_batches, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,6 +128,31 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as an archive in the shared folder, and what is read back from it."""
+    from loomfield.llm.warc import WarcSource, payload_sha1, with_revisits
+
+    scheme = "urn:page:"
+    number = lambda c: F.substring(c, len(scheme) + 1, 99).try_cast("long")
+    records = table(spark, sf_dir, "pages").select(
+        F.concat(F.lit(scheme), F.coalesce(F.col("page_id").cast("string"), F.lit(""))).alias("record_id"),
+        F.col("url").alias("uri"),
+        F.lit(None).cast("string").alias("date"),
+        F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"),
+        "page_id",
+    )
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    spark.dataSource.register(WarcSource)
+    with_revisits(records, rank="page_id").write.format("warc").mode("append").save(folder)
+    return spark.read.format("warc").load(folder).select(
+        number("record_id").alias("page_id"),
+        F.col("payload_length").alias("payload_bytes"),
+        payload_sha1().alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        number("refers_to").alias("refers_to"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
