@@ -1,4 +1,4 @@
-"""Polynomial hashes of all substrings of a byte string, modulo 2**64."""
+"""Polynomial hashes of all substrings of a byte string or of a run of code points, modulo 2**64."""
 
 from __future__ import annotations
 
@@ -35,9 +35,13 @@ _BYTES = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """H, one longer than data (bytes); substring_hashes() takes it."""
-    power, _ = _tables(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * power[:-1], dtype=np.uint64, out=out[1:])
+    return _summed(_BYTES[data])
+
+
+def _summed(values: np.ndarray) -> np.ndarray:
+    power, _ = _tables(len(values) + 1)
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * power[:-1], dtype=np.uint64, out=out[1:])
     return out
 
 
@@ -52,3 +56,23 @@ def substring_hashes(prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.nda
     """Hashes of data[a:b], element by element; equal strings have equal hashes wherever they are."""
     _, inverse = _tables(len(prefix))
     return mixed((prefix[b] - prefix[a]) * inverse[a] + (b - a).astype(np.uint64))
+
+
+def deletion_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of points[starts[k]:ends[k]] (code points), each of them whole and without each one of its
+    points, and k for each: equal strings have equal hashes. Of neighbours that are equal one is left out,
+    as all give the same string. Takes time in proportion to the points, however long a string is."""
+    prefix = _summed(mixed(points.astype(np.uint64) + np.uint64(1)))
+    _, inverse = _tables(len(prefix))
+    size = ends - starts
+    owner = np.repeat(np.arange(len(starts)), size)
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + starts[owner]
+    same = np.zeros(len(points) + 1, bool)
+    same[1:-1] = points[1:] == points[:-1]
+    keep = ~same[at] | (at == starts[owner])
+    owner, at = owner[keep], at[keep]
+    a, b = starts[owner], ends[owner]
+    left = (prefix[at] - prefix[a]) * inverse[a] + (prefix[b] - prefix[at + 1]) * inverse[a + 1]
+    less = mixed(left + (b - a - 1).astype(np.uint64))
+    whole = substring_hashes(prefix, starts, ends)
+    return np.concatenate([np.arange(len(starts)), owner]), np.concatenate([whole, less])

@@ -128,6 +128,57 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) with one text in ten made periodic from some word on, as the contract says; a null
+    id counts as an empty one. Words are listed in a step of their own, so that they are found once."""
+    listed = docs.select("doc_id", "text", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"))
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    g = F.floor(h / 10).cast("long")
+    rows = listed.withColumn("n", F.size("words")).withColumn("g", F.when((h % 10 == 0) & (F.col("n") > 0), g))
+    rows = rows.withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    text = F.array_join(F.concat(F.slice("words", 1, F.col("a")), F.slice(again, 1, rest)), " ")
+    return rows.select("doc_id", F.when(F.col("g").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomfield.llm.periods import periodic_runs
+
+    found = periodic_runs(planted_periods(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    key = lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))
+    best = F.array_min(F.transform("runs", key))
+    rows = found.select("id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.array_join(lines, "").alias("lines"), "collapsed")
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        "n_runs",
+        F.col("b.start").alias("start"),
+        (-F.col("b.less")).alias("length"),
+        F.col("b.period").alias("period"),
+        F.floor(1000 * -F.col("b.less") / F.col("b.period")).alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def planted_misspellings(runs: DataFrame) -> DataFrame:
+    """runs(doc_id, word), about one in 97 without one of its letters, as the contract says; a null id counts
+    as an empty one."""
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "word"))
+    at = (h % F.length("word")).cast("int")
+    less = F.concat(F.substring("word", F.lit(1), at), F.substring("word", at + 2, F.length("word")))
+    return runs.select(F.when(h % 97 == 0, less).otherwise(F.col("word")).alias("word"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomfield.llm.spelling import spelling_variants, word_counts, word_runs
+
+    runs = word_runs(table(spark, sf_dir, "documents"), "doc_id")
+    return spelling_variants(word_counts(planted_misspellings(runs)))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as an archive in the shared folder, and what is read back from it."""
     from loomfield.llm.warc import WarcSource, payload_sha1, with_revisits
