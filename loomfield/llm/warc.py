@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from loomfield.llm.common import fresh, materialize
+from loomfield.llm.common import fresh, has_repeats, materialize
 from loomfield.operators.ranking import with_least
 
 #: Fixed values of the format.
@@ -347,10 +347,15 @@ def with_revisits(records: DataFrame, rank: str, least_bytes: int = 1000) -> Dat
     """records(record_id, payload, ...) with refers_to: of records with equal payloads of least_bytes or
     more, the one with the largest rank stays as it is (of ties the one with the larger record_id, and of equal
     rows any one), and the others refer to it. Payloads are told apart by SHA-256, and copies of one may be
-    most rows: they are dealt over salts."""
+    most rows: they are dealt over salts. Rows are told apart by record_id, or, where it is null or repeats,
+    by a stored number of their own."""
     own, top, key, row = fresh(records, "own", "top", "key", "row")
-    rows = records.withColumn(row, F.monotonically_increasing_id()).withColumn(key, F.sha2("payload", 256))
-    rows = materialize(rows.withColumn(own, F.struct(F.col(rank).alias("rank"), F.col("record_id").alias("id"), F.col(row).alias("row"))), "records")
+    if has_repeats(records, "record_id"):
+        rows = materialize(records.withColumn(row, F.monotonically_increasing_id()), "records")
+    else:
+        rows = records.withColumn(row, F.col("record_id"))
+    rows = rows.withColumn(key, F.sha2("payload", 256))
+    rows = rows.withColumn(own, F.struct(F.col(rank).alias("rank"), F.col("record_id").alias("id"), F.col(row).alias("row")))
     long = F.length("payload") >= least_bytes
     found = with_least(rows.filter(long).select(row, key, own), key, own, top, row, extreme=F.max)
     copies = found.filter(F.col(f"{own}.row") != F.col(f"{top}.row")).select(row, F.col(f"{top}.id").alias("refers_to"))

@@ -125,3 +125,13 @@ def test_revisits(spark):
             first = [r for r in own if r.refers_to is None]
             assert len(first) == 1 and first[0].page_id == top and {r.refers_to for r in own} == {None, f"u{top}"}
     assert warc.with_revisits(df.limit(0), "page_id").count() == 0
+    once = df.dropna(subset=["page_id"]).dropDuplicates(["page_id"])
+    told = {r.page_id: r for r in warc.with_revisits(once, "page_id").collect()}
+    tops = {}
+    for r in once.collect():
+        if len(r.payload or b"") >= 1000:
+            tops[bytes(r.payload)] = max(tops.get(bytes(r.payload), -1), r.page_id)
+    assert len(told) == once.count()
+    for r in told.values():
+        top = tops.get(bytes(r.payload or b""), r.page_id)
+        assert r.refers_to == (None if top == r.page_id else f"u{top}")
