@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomfield.operators.ranking import numbered, running_sums
+from loomfield.operators.ranking import running_sums
 
 
 def relevance_ranks(scores: DataFrame) -> DataFrame:
@@ -20,12 +18,6 @@ def relevance_ranks(scores: DataFrame) -> DataFrame:
     )
 
 
-def query_outcomes(scores: DataFrame) -> DataFrame:
-    """Per query: n_relevant, first_hit, ap (mean precision at the hits), inp (relevant by last hit)."""
-    ranks = relevance_ranks(scores)
-    return placed_outcomes(ranks.filter("relevant").select("query_id", F.col("rank").alias("place")), scores.select("query_id").distinct())
-
-
 def placed_outcomes(places: DataFrame, queries: DataFrame) -> DataFrame:
     """The same from places(query_id, place), the ranks of relevant templates, and queries(query_id)."""
     order = W.partitionBy("query_id").orderBy("place")
@@ -54,6 +46,15 @@ def retrieval_summary(outcomes: DataFrame, by: list[str] | None = None, ks: tupl
     )
 
 
+def outcome_values(outcomes: DataFrame, ks: tuple[int, ...] = (1, 5)) -> DataFrame:
+    """outcomes with one column for each metric of retrieval_summary(), to be averaged or resampled: rank_k,
+    mrr and minp are null for queries without relevant templates, map is zero for them."""
+    known = F.col("n_relevant") > 0
+    ranks = {f"rank_{k}": F.when(known, (F.col("first_hit") <= k).cast("double")) for k in ks}
+    rest = {"mrr": F.when(known, 1 / F.col("first_hit")), "map": F.coalesce("ap", F.lit(0.0)), "minp": F.when(known, F.col("inp"))}
+    return outcomes.withColumns(ranks | rest)
+
+
 def score_counts(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """pairs(score, label) -> counts of positives and negatives at each distinct score: all curves are
     built from these, so what is sorted is as long as there are distinct scores."""
@@ -247,34 +248,6 @@ def interpolated(rows: DataFrame, knots: DataFrame) -> DataFrame:
     return joined.withColumn("y", y).drop("k", "lo", "up")
 
 
-def hash_draw(seed: int, resample: Column, draw: Column, n: Column) -> Column:
-    """A uniform cluster number in [0, n) from SHA-256, alike on every engine."""
-    text = F.concat_ws("|", F.lit(str(seed)), resample.cast("string"), draw.cast("string"))
-    return F.pmod(F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("long"), n)
-
-
-def cluster_bootstrap(clusters: DataFrame, resamples: int = 200, confidence: float = 0.95, seed: int = 7, interpolate: bool = False) -> DataFrame:
-    """clusters(cluster, events, trials): whole clusters drawn with replacement; estimate, lo, hi of
-    the rate. Bounds are order statistics, or interpolated quantiles. Each resample draws as many
-    clusters as there are, numbered by order of cluster; draws are joined to their clusters' sums."""
-    spark = clusters.sparkSession
-    sums = numbered(clusters, [F.col("cluster")], "k").withColumn("k", F.col("k") - 1)
-    n = max(1, sums.count())
-    draws = (
-        spark.range(resamples * n).select(F.floor(F.col("id") / n).alias("r"), (F.col("id") % n).alias("d"))
-        .withColumn("k", hash_draw(seed, F.col("r"), F.col("d"), F.lit(n)))
-    )
-    rates = draws.join(sums, "k").groupBy("r").agg((F.sum("events") / F.sum("trials")).alias("rate"))
-    tail = (1 - confidence) / 2
-    if interpolate:
-        bounds = rates.agg(F.expr(f"percentile(rate, {tail})").alias("lo"), F.expr(f"percentile(rate, {1 - tail})").alias("hi"))
-    else:
-        order = rates.withColumn("i", F.row_number().over(W.orderBy("rate")))
-        at = lambda q: F.max(F.when(F.col("i") == max(1, math.ceil(round(q * resamples, 9))), F.col("rate")))
-        bounds = order.agg(at(tail).alias("lo"), at(1 - tail).alias("hi"))
-    return clusters.agg((F.sum("events") / F.sum("trials")).alias("estimate")).crossJoin(bounds)  # one row each
-
-
 def isotonic(rows: DataFrame):
     """An MLlib isotonic model of rows(score, label)."""
     from pyspark.ml.regression import IsotonicRegression

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from loomfield.functions import scalars as S
 from loomfield.functions.vectors import as_double, cosine
+from loomfield.operators import fusion as U
 from loomfield.operators import metrics as M
+from loomfield.operators import resampling as B
 from loomfield.operators import search as X
+from loomfield.operators import splits as P
 from loomfield.plans.registering import query, rounded
 from loomfield.storage import stored
 
@@ -306,6 +309,47 @@ def fusion_simplex(t):
     return best.select(text.alias("weights"), F.round("loss", 6).alias("loss"))
 
 
+_OOF = """WITH k AS (SELECT doc_id, CAST((row_number() OVER (ORDER BY sha256('oof' || chr(31) || doc_id), doc_id) - 1) % 3 AS BIGINT) AS fold FROM labels
+), r AS (SELECT doc_id, fold, quality AS y, (doc_id * 7919 % 1000) / 1000.0::DOUBLE AS s1, (doc_id * 104729 % 1000) / 1000.0::DOUBLE AS s2, toxic::DOUBLE AS s3,
+  CASE WHEN doc_id % 50 = 0 THEN 0 ELSE greatest((doc_id % 11) / 10.0::DOUBLE, 0.05) END AS e1, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END AS e2, CASE WHEN doc_id % 50 = 0 THEN 0 ELSE 0.5 END AS e3
+  FROM labels JOIN k USING (doc_id)
+), g AS (SELECT a / 10.0::DOUBLE AS a, b / 10.0::DOUBLE AS b, (10 - a - b) / 10.0::DOUBLE AS c FROM range(11) x(a), range(11) y(b) WHERE a + b <= 10
+), p AS (SELECT fold, y, a, b, c, a * e1 + b * e2 + c * e3 AS t, (a * e1 * s1 + b * e2 * s2 + c * e3 * s3) AS v FROM r, g WHERE e1 + e2 + e3 > 0
+), l AS (SELECT f, a, b, c, (avg((v / t - y) ** 2) FILTER (y = 1) + avg((v / t - y) ** 2) FILTER (y = 0)) / 2 AS brier,
+    count(*) AS n, (a - 1 / 3) ** 2 + (b - 1 / 3) ** 2 + (c - 1 / 3) ** 2 AS away
+  FROM p, (SELECT 0::BIGINT AS f UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT NULL) WHERE fold IS DISTINCT FROM f GROUP BY f, a, b, c HAVING min(t) > 0
+), w AS (SELECT f AS fold, a, b, c, round(brier + 1e-3 * away, 9) AS loss, brier, n FROM l
+  QUALIFY row_number() OVER (PARTITION BY f ORDER BY round(brier + 1e-3 * away, 9), round(away, 12), a, b, c) = 1)
+"""
+
+
+def _oof(t):
+    """Three channels with gaps: quality of the first, none of the second for every fifth row, no channel for
+    every fiftieth."""
+    score = lambda k: (F.col("doc_id") * k % 1000) / 1000
+    every = lambda k: F.col("doc_id") % k == 0
+    rows = P.hash_folds(t("labels"), "doc_id", 3, "oof").select(
+        "doc_id", F.col("fold").cast("long").alias("fold"), F.col("quality").alias("label"),
+        F.array(score(7919), F.when(~every(5), score(104729)), F.col("toxic").cast("double")).alias("scores"),
+        F.array(~every(50), F.lit(True), ~every(50)).alias("available"),
+        F.array(F.col("doc_id") % 11 / 10, F.lit(1.0), F.lit(0.5)).alias("quality"),
+    )
+    return rows, U.oof_weights(rows, 3, resolution=10, l2=1e-3, floor=0.05, balanced=True)
+
+
+@query(_OOF + "SELECT fold, concat_ws(',', CAST(round(a * 10) AS INT), CAST(round(b * 10) AS INT), CAST(round(c * 10) AS INT)) AS weights, round(loss, 7) AS loss, round(brier, 7) AS brier, n AS rows FROM w")
+def oof_fusion_weights(t):
+    """Weights of each fold fitted on the others, classes weighing the same, and of all folds."""
+    text = F.array_join(F.transform("weights", lambda w: F.round(w * 10).cast("int").cast("string")), ",")
+    return rounded(_oof(t)[1].withColumn("weights", text), "loss", "brier", digits=7)
+
+
+@query(_OOF + "SELECT doc_id, r.fold, round(CASE WHEN a * e1 + b * e2 + c * e3 > 0 THEN (a * e1 * s1 + b * e2 * s2 + c * e3 * s3) / (a * e1 + b * e2 + c * e3) END, 6) AS fused FROM r JOIN w USING (fold)")
+def oof_fusion_scores(t):
+    """Every row by the weights of the fold that did not see it; null where no channel is left."""
+    return rounded(U.oof_scores(*_oof(t), floor=0.05), "fused").select("doc_id", "fold", "fused")
+
+
 @query("""SELECT doc_id, round(CASE WHEN w > 0 THEN v / w END, 6) AS fused FROM (
   SELECT doc_id, 0.5 * greatest((doc_id % 11) / 10.0, 0.05) * s1 + CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 0.5 * greatest((doc_id % 7) / 10.0, 0.05) * s2 END AS v,
     0.5 * greatest((doc_id % 11) / 10.0, 0.05) + CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 0.5 * greatest((doc_id % 7) / 10.0, 0.05) END AS w
@@ -333,6 +377,68 @@ def calibrator_interpolation(t):
     return rounded(M.interpolated(rows, knots), "y").select("doc_id", "channel", "x", "y")
 
 
+_RETRIEVAL_VALUES = _OUTCOMES + """, m AS (
+  SELECT query_id, label AS cluster, unnest(['rank_1', 'rank_5', 'mrr', 'map', 'minp']) AS metric,
+    unnest([CASE WHEN n > 0 THEN (f <= 1)::INT::DOUBLE END, CASE WHEN n > 0 THEN (f <= 5)::INT::DOUBLE END, CASE WHEN n > 0 THEN 1 / f END, coalesce(ap, 0), CASE WHEN n > 0 THEN inp END]) AS v
+  FROM o JOIN embeddings ON vec_id = query_id
+)"""
+
+_INTERVALS = """, c AS (SELECT cluster, metric, sum(v) AS s, count(v) AS n FROM m GROUP BY ALL
+), k AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS k FROM (SELECT DISTINCT cluster FROM m)
+), rates AS (SELECT r, metric, sum(s) / sum(n) AS rate FROM d JOIN k USING (k) JOIN c USING (cluster) GROUP BY ALL
+), i AS (SELECT metric, rate, row_number() OVER (PARTITION BY metric ORDER BY rate) AS i FROM rates WHERE rate IS NOT NULL
+), b AS (SELECT metric, {} FROM i GROUP BY metric)
+SELECT metric, round(sum(s) / sum(n), 7) AS estimate, CAST(sum(n) AS BIGINT) AS rows, round(any_value(lo), 7) AS lo, round(any_value(hi), 7) AS hi, count(*) AS clusters
+FROM c JOIN b USING (metric) GROUP BY metric"""
+
+_DRAWS = ", d AS (SELECT r, ('0x' || substr(sha256('7|' || r || '|' || i), 1, 12))::BIGINT % (SELECT count(DISTINCT cluster) FROM m) AS k FROM range({0}) x(r), range((SELECT count(DISTINCT cluster) FROM m)) y(i))"
+
+
+@query(_RETRIEVAL_VALUES + _DRAWS.format(200) + _INTERVALS.format("max(rate) FILTER (i = 5) AS lo, max(rate) FILTER (i = 195) AS hi"))
+def bootstrap_retrieval(t):
+    """Intervals of rank-1, rank-5, MRR, mAP and mINP: whole identities are drawn."""
+    own = t("embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("cluster"))
+    rows = M.outcome_values(_outcomes(t)).join(own, "query_id")
+    return rounded(B.bootstrap_intervals(rows, "cluster", ["rank_1", "rank_5", "mrr", "map", "minp"]), "estimate", "lo", "hi", digits=7)
+
+
+@query("""WITH m AS (SELECT o_custkey AS cluster, unnest(['open', 'price']) AS metric,
+    unnest([(o_orderstatus = 'O')::INT::DOUBLE, CASE WHEN o_orderkey % 7 > 0 THEN o_totalprice::DOUBLE END]) AS v FROM orders
+), z AS (SELECT count(DISTINCT cluster) AS z FROM m
+), f AS (SELECT r, ('0x' || substr(sha256('7|' || r || '|' || i), 1, 12))::BIGINT % z // 64 AS b FROM z, range(50) x(r), range((SELECT z FROM z)) y(i)
+), g AS (SELECT r, b, unnest(range(count(*))) AS j FROM f GROUP BY r, b
+), d AS (SELECT r, b * 64 + ('0x' || substr(sha256('7|' || r || '|' || b || '|' || j), 1, 12))::BIGINT % least(64, z - b * 64) AS k FROM g, z)"""
+       + _INTERVALS.format("max(rate) FILTER (i = 2) AS lo, max(rate) FILTER (i = 49) AS hi"))
+def bootstrap_in_blocks(t):
+    """Customers drawn in blocks of 64: draws are counted by block, then made within each."""
+    price = F.when(F.col("o_orderkey") % 7 > 0, F.col("o_totalprice").cast("double"))
+    rows = t("orders").select(F.col("o_custkey").alias("cluster"), (F.col("o_orderstatus") == "O").cast("double").alias("open"), price.alias("price"))
+    return rounded(B.bootstrap_intervals(rows, "cluster", ["open", "price"], resamples=50, block=64), "estimate", "lo", "hi", digits=7)
+
+
+def _halves(part: str) -> str:
+    cosine_ = "round(list_cosine_similarity(list_slice(q.embedding::DOUBLE[], {0}), list_slice(g.embedding::DOUBLE[], {0})), 6)"
+    return f"""s{part} AS (SELECT q.vec_id AS query_id, q.label = g.label AS rel, g.vec_id AS template_id, {cosine_.format("1, 32" if part == "l" else "33, 64")} AS score
+  FROM embeddings q JOIN embeddings g ON q.vec_id % 5 = 0 AND g.vec_id % 5 <> 0
+), h{part} AS (SELECT query_id, rel, row_number() OVER w AS rank, sum(rel::INT) OVER (w ROWS UNBOUNDED PRECEDING) AS hits FROM s{part} WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, template_id)
+), out_{part} AS (SELECT query_id, count(*) FILTER (rel) AS n, min(rank) FILTER (rel) AS f, avg(hits / rank) FILTER (rel) AS ap FROM h{part} GROUP BY query_id)"""
+
+
+@query(f"WITH {_halves('l')}, {_halves('r')}" + """, m AS (SELECT label AS cluster, unnest(['rank_1', 'map']) AS metric,
+    unnest([CASE WHEN l.n > 0 AND r.n > 0 THEN (l.f <= 1)::INT - (r.f <= 1)::INT END, coalesce(l.ap, 0) - coalesce(r.ap, 0)]) AS v FROM out_l l JOIN out_r r USING (query_id) JOIN embeddings ON vec_id = query_id
+)""" + _DRAWS.format(200) + _INTERVALS.format("quantile_cont(rate, 0.025) AS lo, quantile_cont(rate, 0.975) AS hi"))
+def paired_retrieval_delta(t):
+    """What the first half of the vectors gains over the second, query by query, on the same draws."""
+    own = t("embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("cluster"))
+
+    def values(begin):
+        q, g = (x.withColumn("vector", F.slice("vector", begin, 32)) for x in _named(t))
+        return M.outcome_values(M.placed_outcomes(X.relevant_places(q, g), q.select(F.col("id").alias("query_id")))).join(own, "query_id")
+
+    found = B.paired_intervals(values(1), values(33), "query_id", "cluster", ["rank_1", "map"], resamples=200)
+    return rounded(found, "estimate", "lo", "hi", digits=7)
+
+
 def _bootstrap_sql(bounds: str) -> str:
     return f"""
 WITH c AS (SELECT l_suppkey % 50 AS cluster, count(*) FILTER (l_returnflag = 'R') AS events, count(*) AS trials FROM lineitem GROUP BY 1
@@ -350,12 +456,12 @@ def _clusters(t):
 
 @query(_bootstrap_sql("round((SELECT rate FROM o WHERE i = 5), 9) AS lo, round((SELECT rate FROM o WHERE i = 195), 9) AS hi"))
 def bootstrap_order_statistic(t):
-    return rounded(M.cluster_bootstrap(_clusters(t)), "estimate", "lo", "hi", digits=9)
+    return rounded(B.cluster_bootstrap(_clusters(t)), "estimate", "lo", "hi", digits=9)
 
 
 @query(_bootstrap_sql("round((SELECT quantile_cont(rate, 0.025) FROM rates), 9) AS lo, round((SELECT quantile_cont(rate, 0.975) FROM rates), 9) AS hi"))
 def bootstrap_quantile(t):
-    return rounded(M.cluster_bootstrap(_clusters(t), interpolate=True), "estimate", "lo", "hi", digits=9)
+    return rounded(B.cluster_bootstrap(_clusters(t), interpolate=True), "estimate", "lo", "hi", digits=9)
 
 
 @query("""
@@ -401,6 +507,25 @@ def score_zscores(t):
     return row_zscores(_pairs(t)).select("query_id", "template_id", F.round("z", 5).alias("z"))
 
 
+@query("""WITH p AS (SELECT doc_id % 2 AS channel, (doc_id * 7919 % 100) / 100.0::DOUBLE AS x, quality AS y FROM labels
+), d AS (SELECT channel, x, count(*) AS w, sum(y) AS s, row_number() OVER (PARTITION BY channel ORDER BY x) AS i FROM p GROUP BY channel, x
+), c AS (SELECT *, sum(s) OVER v AS cs, sum(w) OVER v AS cw FROM d WINDOW v AS (PARTITION BY channel ORDER BY i)
+), m AS (SELECT a.channel, a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS m FROM c a JOIN c b ON b.channel = a.channel AND b.i >= a.i
+), n AS (SELECT channel, b, min(m) OVER (PARTITION BY channel, a ORDER BY b DESC ROWS UNBOUNDED PRECEDING) AS m FROM m
+), k AS (SELECT n.channel, x AS kx, max(m) AS ky FROM n JOIN c ON c.channel = n.channel AND c.i = n.b GROUP BY n.channel, x
+), r AS (SELECT doc_id, doc_id % 2 AS channel, (doc_id * 104729 % 1200) / 1000.0::DOUBLE - 0.1 AS x FROM documents
+), j AS (SELECT doc_id, r.channel, x, arg_max(kx, kx) FILTER (kx <= x) AS lx, arg_max(ky, kx) FILTER (kx <= x) AS ly, arg_min(kx, kx) FILTER (kx > x) AS ux, arg_min(ky, kx) FILTER (kx > x) AS uy
+  FROM r JOIN k USING (channel) GROUP BY ALL)
+SELECT doc_id, channel, round(CASE WHEN lx IS NULL THEN uy WHEN ux IS NULL THEN ly ELSE ly + (x - lx) * (uy - ly) / (ux - lx) END, 6) AS calibrated FROM j""")
+def calibrator_channels(t):
+    """One isotonic calibrator a channel, and scores of all documents through it, beyond its ends too."""
+    knots = U.channel_calibrators(
+        t("labels").select((F.col("doc_id") % 2).alias("channel"), (F.col("doc_id") * 7919 % 100 / 100).alias("score"), F.col("quality").alias("label"))
+    )
+    rows = t("documents").select("doc_id", (F.col("doc_id") % 2).alias("channel"), (F.col("doc_id") * 104729 % 1200 / 1000 - 0.1).alias("x"))
+    return U.calibrated(rows, knots).select("doc_id", "channel", F.round("y", 6).alias("calibrated"))
+
+
 @query(_PROBABLE + """, d AS (SELECT probability AS score, count(*) AS w, sum(label) AS s, row_number() OVER (ORDER BY probability) AS i FROM p GROUP BY 1
 ), c AS (SELECT *, sum(s) OVER (ORDER BY i) AS cs, sum(w) OVER (ORDER BY i) AS cw FROM d), m AS (SELECT a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS m FROM c a JOIN c b ON b.i >= a.i
 ), n AS (SELECT b, min(m) OVER (PARTITION BY a ORDER BY b DESC ROWS UNBOUNDED PRECEDING) AS m FROM m)
