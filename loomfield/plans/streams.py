@@ -1,5 +1,6 @@
-"""Streaming forms, run to the end of what has arrived: events are written as files, streamed once, and the last state of
-each stream is the result."""
+"""Streaming forms, run to the end of what has arrived. Events are written as files of five days each, every fourth
+event a file too late; the files are streamed one by one, a last one moves the watermark past all of them, and
+the last totals of each stream are the result."""
 
 from __future__ import annotations
 
@@ -10,38 +11,57 @@ from pyspark.sql import functions as F
 
 from loomfield.plans.registering import query
 from loomfield.storage import shared_dir
-from loomfield.streaming import coverage as V
+from loomfield.streaming import ordered as O
+from loomfield.streaming.sessions import sessions
 
 
-def _streamed(rows: DataFrame, work) -> DataFrame:
-    """All updates that work(stream of rows) gives until the rows that are there have been read."""
+DAY = 86_400_000
+
+
+def _streamed(rows: DataFrame, fold) -> DataFrame:
+    """Last totals of fold over rows(stream, time, seq, ...) that arrive out of order."""
     spark, at = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/stream-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{at}/in")
-    told = work(spark.readStream.schema(rows.schema).parquet(f"{at}/in"))
+    slot = F.floor(F.unix_micros("time") / (5000 * DAY)) + (F.pmod(F.xxhash64("seq"), F.lit(4)) == 0).cast("int")
+    first, last = rows.agg(F.min(slot), F.max(slot)).first()
+    dealt = rows.withColumn("slot", slot)
+    for k in range(first, last + 1) if first is not None else []:
+        dealt.filter(F.col("slot") == k).drop("slot").orderBy(F.xxhash64("seq")).coalesce(2).write.mode("append").parquet(f"{at}/in")
+    end = rows.agg((F.max("time") + F.expr("INTERVAL 400 DAYS")).alias("time"), F.lit("~").alias("stream"))
+    others = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name not in ("stream", "time")]
+    end.select("stream", "time", *others).select(*rows.columns).write.mode("append").parquet(f"{at}/in")
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+    told = O.in_order(arriving, fold, "time", "11 days", 60 * DAY)
     write = told.writeStream.foreachBatch(lambda df, _: df.write.mode("append").parquet(f"{at}/out"))
     write.outputMode("update").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(told.schema).parquet(f"{at}/out")
+    return O.latest_totals(spark.read.schema(told.schema).parquet(f"{at}/out")).filter("stream <> '~'")
 
 
-def _events(t, late: bool = False):
-    k = F.col("event_id")
-    at = F.unix_micros(F.col("ts").cast("timestamp")) - (k % 7 * 3_000_000_000 if late else 0)
-    return t("events").select(F.col("user_id").cast("string").alias("stream"), k.alias("seq"), at.alias("at"), (F.col("value") >= 20).alias("usable"), F.col("event_type").alias("run_key"))
+def _events(t, *columns):
+    return t("events").select(F.col("user_id").cast("string").alias("stream"), F.col("ts").cast("timestamp").alias("time"), F.col("event_id").alias("seq"), *columns)
 
 
 @query("""WITH o AS (SELECT CAST(user_id AS VARCHAR) AS stream, value, event_type, epoch_us(ts) AS tus FROM events), g AS (SELECT *, coalesce(lead(tus) OVER (PARTITION BY stream ORDER BY tus) - tus, 0) AS d FROM o
 ), h AS (SELECT *, least(d, 3600000000) AS held FROM g)
 SELECT stream, CAST(sum(held) AS BIGINT) AS observed, CAST(sum(d - held) AS BIGINT) AS unobserved, CAST(coalesce(sum(held) FILTER (value >= 20 AND event_type IS NOT NULL), 0) AS BIGINT) AS usable FROM h GROUP BY 1""")
 def stream_coverage(t):
-    told = _streamed(_events(t).drop("seq"), lambda s: V.coverage_updates(s, 3_600_000_000, 1_200_000_000))
-    return told.groupBy("stream").agg(*[F.max(c).alias(c) for c in ("observed", "unobserved", "usable")])
+    rows = _events(t, (F.col("value") >= 20).alias("usable"), F.col("event_type").alias("run_key"))
+    return _streamed(rows, O.CoverageFold(3_600_000_000, 1_200_000_000)).select("stream", "observed", "unobserved", "usable")
 
 
-@query("""WITH o AS (SELECT CAST(user_id AS VARCHAR) AS stream, event_id, epoch_us(ts) - event_id % 7 * 3000000000 AS tus FROM events), g AS (SELECT stream, tus - lag(tus) OVER (PARTITION BY stream ORDER BY event_id) AS g FROM o)
+@query("""WITH o AS (SELECT CAST(user_id AS VARCHAR) AS stream, ts, event_id, epoch_us(ts) - event_id % 7 * 3000000000 AS tus FROM events), g AS (SELECT stream, tus - lag(tus) OVER (PARTITION BY stream ORDER BY ts, event_id) AS g FROM o)
 SELECT stream, count(*) AS frames, count(*) FILTER (g < 0) AS inversions, count(*) FILTER (g = 0) AS duplicates, CAST(coalesce(sum(greatest(0, (g + 300000000) // 600000000 - 1)) FILTER (g > 0), 0) AS BIGINT) AS missing FROM g GROUP BY 1""")
 def stream_audit(t):
-    told = _streamed(_events(t, late=True).select("stream", "seq", "at"), lambda s: V.timestamp_updates(s, 600_000_000))
-    return told.groupBy("stream").agg(*[F.max(c).alias(c) for c in ("frames", "inversions", "duplicates", "missing")])
+    claimed = F.unix_micros(F.col("ts").cast("timestamp")) - F.col("event_id") % 7 * 3_000_000_000
+    return _streamed(_events(t, claimed.alias("claimed")), O.AuditFold(600_000_000)).select("stream", "frames", "inversions", "duplicates", "missing")
+
+
+@query("""WITH g AS (SELECT CAST(user_id AS VARCHAR) AS stream, value, lag(value) OVER w AS v, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS d, CASE WHEN event_id % 9 > 0 THEN value END AS x,
+  lag(CASE WHEN event_id % 9 > 0 THEN value END) OVER w AS y FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+SELECT stream, count(*) AS samples, count(x) AS valid, round(avg(x), 6) AS mean, max(x) AS peak, round(coalesce(sum((x + y) / 2 * d), 0) / 1e9, 5) AS integral FROM g GROUP BY stream""")
+def stream_energy(t):
+    """Sampled energy of each stream; every ninth sample has no value."""
+    told = _streamed(_events(t, F.when(F.col("event_id") % 9 > 0, F.col("value").cast("double")).alias("value")), O.EnergyFold())
+    return told.select("stream", "samples", "valid", F.round(F.col("total") / F.col("valid"), 6).alias("mean"), "peak", F.round(F.col("integral") / 1e9, 5).alias("integral"))
 
 
 @query("""WITH o AS (SELECT user_id, epoch_us(ts) AS tus FROM events), n AS (SELECT *, CASE WHEN tus - lag(tus) OVER (PARTITION BY user_id ORDER BY tus) < 3600000000 THEN 0 ELSE 1 END AS new FROM o
@@ -49,5 +69,5 @@ def stream_audit(t):
 SELECT user_id, min(tus) AS start_us, max(tus) + 3600000000 AS end_us, count(*) AS rows FROM s GROUP BY user_id, k""")
 def sessions_by_pause(t):
     rows = t("events").select("user_id", F.col("ts").cast("timestamp").alias("at"))
-    out = V.sessions(rows, "user_id", "at", "1 hour", "1 day")
+    out = sessions(rows, "user_id", "at", "1 hour", "1 day")
     return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "rows")

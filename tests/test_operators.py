@@ -19,7 +19,7 @@ from loomfield.operators import ranking as K
 from loomfield.operators import registry as R
 from loomfield.operators import search as X
 from loomfield.operators import splits as P
-from loomfield.streaming import coverage as V
+from loomfield.streaming.sessions import sessions
 
 
 def test_association_literals(spark):
@@ -149,39 +149,9 @@ def test_three_valued(spark):
     assert [r.x for r in got] == [None, None, False, True]
 
 
-def test_streams_agree_with_batches(spark, tmp_path):
-    rng = np.random.default_rng(9)
-    rows = []
-    for s in "ab":
-        at = np.cumsum(rng.integers(50, 400, 80))
-        rows += [(s, k, int(t), bool(rng.random() < 0.8), str(k // 9)) for k, t in enumerate(at)]
-    table = pd.DataFrame(rows, columns=["stream", "seq", "at", "usable", "run_key"])
-    for k in range(4):
-        part = table[table.seq // 20 == k]
-        spark.createDataFrame(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    batch = spark.read.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-
-    def final(df, name):
-        q = df.writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-        return spark.table(name)
-
-    audit = final(V.timestamp_updates(stream, 100), "audit").groupBy("stream").agg(F.max("frames").alias("frames"), F.max("missing").alias("missing"), F.max("max_gap").alias("max_gap"))
-    want = C.gap_audit(batch, "stream", "seq", "at", 100)
-    assert {tuple(r) for r in audit.collect()} == {tuple(r) for r in want.select("stream", "frames", "missing", "max_gap").collect()}
-    seen = final(V.coverage_updates(stream, 200, 300), "seen").groupBy("stream").agg(*[F.max(c).alias(c) for c in ("observed", "unobserved", "usable", "runs")])
-    held = C.held(batch, "stream", "at", 200, 0)
-    total = C.durations(held, {"usable": F.col("usable")}, ["stream"])
-    assert {tuple(r) for r in seen.select("stream", "observed", "unobserved", "usable").collect()} == {tuple(r) for r in total.select("stream", "observed", "unobserved", "usable").collect()}
-    runs = {r.stream: r["n"] for r in C.runs(held, "stream", "at", F.col("usable"), F.col("run_key"), 300).groupBy("stream").agg(F.count("*").alias("n")).collect()}
-    for r in seen.collect():
-        assert runs[r.stream] - 1 <= r.runs <= runs[r.stream]  # the last run is still open on the stream
-
-
 def test_sessions(spark):
     df = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:00:30"), ("a", "2024-01-01 00:05:00")], "s string, at string").withColumn("at", F.to_timestamp("at"))
-    assert [r["rows"] for r in V.sessions(df, "s", "at", "1 minute", "1 hour").orderBy("start").collect()] == [2, 1]
+    assert [r["rows"] for r in sessions(df, "s", "at", "1 minute", "1 hour").orderBy("start").collect()] == [2, 1]
 
 
 def test_matching_and_suppression(spark):
