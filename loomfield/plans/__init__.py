@@ -6,7 +6,7 @@ from loomfield.plans.registering import ORACLES, QUERIES
 
 
 def _load() -> None:
-    from loomfield.plans import evidence, integrity, panels, retrieval, rules, series, sources, streams  # noqa: F401
+    from loomfield.plans import arrays, evidence, integrity, panels, retrieval, rules, series, sources, streams  # noqa: F401
 
 
 def queries() -> dict:

@@ -38,5 +38,7 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_queries_without_sql_are_held_against_numpy():
-    """By test_integrity.py, over all rows."""
-    assert set(plans.queries()) - set(ORACLES) == {"consensus_vectors", "covariance_spectrum"}
+    """By test_integrity.py and test_arrays.py, over all rows."""
+    assert set(plans.queries()) - set(ORACLES) == {
+        "consensus_vectors", "covariance_spectrum", "luma_near_pairs", "luma_near_members", "texture_patterns", "verified_matches", "principal_coordinates",
+    }
