@@ -1,4 +1,4 @@
-"""Registries as tables: idempotent upserts, conflicts, state changes, and published generations."""
+"""Registries as tables: idempotent upserts, conflicts, and state changes."""
 
 from __future__ import annotations
 
@@ -49,50 +49,3 @@ def illegal_changes(changes: DataFrame, legal: list[tuple[str, str]]) -> DataFra
     """changes(id, was, now) that are not among the legal ones."""
     table = changes.sparkSession.createDataFrame(legal, "was string, now string")
     return changes.join(F.broadcast(table), ["was", "now"], "left_anti")  # legal is a fixed list
-
-
-def rows_digest(df: DataFrame) -> str:
-    """SHA-256 of a table's rows, whatever their order: sums of parts of their own digests."""
-    row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
-    parts = df.agg(F.count("*").alias("n"), *[F.sum(F.conv(F.substring(row, 1 + 12 * k, 12), 16, 10).cast("decimal(38,0)")).alias(f"s{k}") for k in range(5)])
-    return parts.select(F.sha2(F.concat_ws("|", *parts.columns), 256)).first()[0]
-
-
-def publish(df: DataFrame, folder: str, name: str, key: list[str]) -> str:
-    """Write df as an immutable generation named by a digest of its rows, then add it to the manifest;
-    a generation that exists is kept as it is. Returns the digest. Readers follow the manifest, so a
-    write that dies half-way is never read."""
-    spark = df.sparkSession
-    digest = rows_digest(df)
-    known = generations(spark, folder)
-    if known is None or not known.filter((F.col("name") == name) & (F.col("digest") == digest)).take(1):
-        df.sortWithinPartitions(*key).write.mode("overwrite").parquet(f"{folder}/{name}/{digest}")
-        line = spark.range(1).select(F.lit(name).alias("name"), F.lit(digest).alias("digest"), F.current_timestamp().alias("at"))
-        line.coalesce(1).write.mode("append").json(f"{folder}/_manifest")
-    return digest
-
-
-def migrate(spark, folder: str, name: str, to: str, change, key: list[str]) -> str:
-    """Publish change(newest generation of name) under another name; the old generations stay as they are."""
-    return publish(change(latest(spark, folder, name)), folder, to, key)
-
-
-def generations(spark, folder: str) -> DataFrame | None:
-    """The manifest (name, digest, at), or None before the first generation."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.schema("name string, digest string, at timestamp").json(f"{folder}/_manifest")
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return None
-
-
-def latest(spark, folder: str, name: str, verify: bool = True) -> DataFrame:
-    """The newest published generation of a name; unless verify is off, its rows must have its digest."""
-    digest = generations(spark, folder).filter(F.col("name") == name).agg(F.max_by("digest", "at")).first()[0]
-    out = spark.read.parquet(f"{folder}/{name}/{digest}")
-    if verify and (found := rows_digest(out)) != digest:
-        raise ValueError(f"generation {digest} of {name!r} has rows with the digest {found}")
-    return out

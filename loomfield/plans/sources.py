@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomfield.functions.vectors import as_double
 from loomfield.operators import integrity as I
-from loomfield.operators import registry as R
+from loomfield.operators import snapshots as G
 from loomfield.plans.registering import query, rounded
 from loomfield.sources import formats as S
 from loomfield.storage import shared_dir
@@ -135,10 +135,35 @@ def source_decode_report(t):
 def source_generations(t):
     """Published, published again without effect, migrated to another name, read back with its digest checked."""
     rows, at = t("nation").select("n_nationkey", "n_name"), _place(t("nation"), "store")
-    if R.publish(rows, at, "old", ["n_nationkey"]) != R.publish(rows, at, "old", ["n_nationkey"]):
-        raise ValueError("equal rows were published as two generations")
-    R.migrate(rows.sparkSession, at, "old", "new", lambda df: df.withColumn("version", F.lit(2)), ["n_nationkey"])
-    return R.latest(rows.sparkSession, at, "new")
+    if G.publish(rows, at, "old", ["n_nationkey"]) != G.publish(rows, at, "old", ["n_nationkey"]):
+        raise ValueError("equal rows were published as two snapshots")
+    G.migrate(rows.sparkSession, at, "old", "new", lambda df: df.withColumn("version", F.lit(2)), ["n_nationkey"])
+    return G.latest(rows.sparkSession, at, "new")
+
+
+@query("""SELECT number, base, reads, n_suppkey, s_acctbal FROM (SELECT s_suppkey AS n_suppkey, s_acctbal FROM supplier) s, (VALUES (1, 0, 'all'), (2, 1, 'even'), (3, 2, 'all'), (4, 3, 'even')) v(number, base, reads)
+WHERE reads = 'all' OR n_suppkey % 2 = 0""")
+def source_snapshots(t):
+    """All suppliers, those of even number, all again, and a rollback to the second: each snapshot read by its number. A
+    writer that started from the first is refused."""
+    spark, at, key = t("supplier").sparkSession, _place(t("supplier"), "snapshots"), ["n_suppkey"]
+    rows = t("supplier").select(F.col("s_suppkey").alias("n_suppkey"), "s_acctbal")
+    even = rows.filter("n_suppkey % 2 = 0")
+    G.publish(rows, at, "supplier", key, base=0)
+    G.publish(even, at, "supplier", key, base=1)
+    try:
+        G.publish(rows.limit(1), at, "supplier", key, base=1)
+        raise ValueError("a writer that started from an old snapshot was not refused")
+    except G.Conflict:
+        pass
+    G.publish(rows, at, "supplier", key, base=2)
+    G.rollback(spark, at, "supplier", 2)
+    out = None
+    for s in G.snapshots(spark, at, "supplier"):
+        reads = "all" if s.number % 2 else "even"
+        own = G.latest(spark, at, "supplier", number=s.number).select(F.lit(s.number).alias("number"), F.lit(s.base).alias("base"), F.lit(reads).alias("reads"), "n_suppkey", "s_acctbal")
+        out = own if out is None else out.union(own)
+    return out
 
 
 @query("""WITH d AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '{"a":1,"a":2}' WHEN 1 THEN '{"a":' || o_orderkey || '}' WHEN 2 THEN '[1,2' WHEN 3 THEN repeat('[', 40) || repeat(']', 40) ELSE '[NaN]' END AS body FROM orders)

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from loomfield.operators import registry as R
+from loomfield.operators import snapshots as G
 from loomfield.sources import formats as S
 
 
@@ -67,8 +67,8 @@ def test_manifest_is_not_overwritten(spark, tmp_path):
 
 def test_generations(spark, tmp_path):
     a = spark.createDataFrame([(1, "a"), (2, None)], "id int, name string")
-    first = R.publish(a, str(tmp_path / "g"), "gallery", ["id"])
-    assert R.publish(a.orderBy(F.desc("id")), str(tmp_path / "g"), "gallery", ["id"]) == first
-    assert R.generations(spark, str(tmp_path / "g")).count() == 1
-    second = R.publish(a.filter("id = 1"), str(tmp_path / "g"), "gallery", ["id"])
-    assert second != first and R.latest(spark, str(tmp_path / "g"), "gallery").count() == 1
+    first = G.publish(a, str(tmp_path / "g"), "gallery", ["id"])
+    assert G.publish(a.orderBy(F.desc("id")), str(tmp_path / "g"), "gallery", ["id"]) == first
+    assert len(G.snapshots(spark, str(tmp_path / "g"), "gallery")) == 1
+    second = G.publish(a.filter("id = 1"), str(tmp_path / "g"), "gallery", ["id"])
+    assert second != first and G.latest(spark, str(tmp_path / "g"), "gallery").count() == 1
