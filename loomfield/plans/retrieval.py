@@ -480,14 +480,35 @@ def binomial_intervals(t):
 
 
 @query("""
-WITH RECURSIVE n AS (SELECT unnest([30, 100, 300]) AS trials), t(trials, k, term, total) AS (
-  SELECT trials, 0, 0.9::DOUBLE ** trials, 0.9::DOUBLE ** trials FROM n
-  UNION ALL SELECT trials, k + 1, term * (trials - k) / (k + 1) / 9, total + term * (trials - k) / (k + 1) / 9 FROM t WHERE k < 40 AND k < trials)
-SELECT CAST(n.trials AS BIGINT) AS trials, CAST(coalesce(max(k), -1) AS BIGINT) AS allowed FROM n LEFT JOIN t ON t.trials = n.trials AND total <= 0.05 GROUP BY 1
+WITH RECURSIVE n AS (SELECT c_nationkey AS nation, count(*) AS trials FROM customer GROUP BY 1), t(nation, trials, k, term, total) AS (
+  SELECT nation, trials, 0, 0.9::DOUBLE ** trials, 0.9::DOUBLE ** trials FROM n
+  UNION ALL SELECT nation, trials, k + 1, term * (trials - k) / (k + 1) / 9, total + term * (trials - k) / (k + 1) / 9 FROM t WHERE k < trials)
+SELECT n.nation, n.trials, CAST(coalesce(max(k), -1) AS BIGINT) AS allowed FROM n LEFT JOIN t ON t.nation = n.nation AND total <= 0.05 GROUP BY 1, 2
 """)
 def binomial_allowed_accepts(t):
-    rows = t("region").sparkSession.createDataFrame([(30,), (100,), (300,)], "trials long")
-    return rows.select("trials", S.allowed_accepts(F.col("trials"), 0.1, 0.05).cast("long").alias("allowed"))
+    """For each nation's count of customers as trials."""
+    rows = t("customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("trials"))
+    return rows.select("nation", "trials", S.allowed_accepts(F.col("trials"), 0.1, 0.05).cast("long").alias("allowed"))
+
+
+@query("""WITH n AS (SELECT s_nationkey AS nation, count(*) AS suppliers, 0.001 * (1 + s_nationkey) AS rate FROM supplier GROUP BY 1)
+SELECT nation, suppliers, CAST(ceil(round(ln(0.05) / ln(1 - rate), 9)) AS BIGINT) AS needed FROM n""")
+def zero_event_trials(t):
+    """Trials without an event that bound each nation's rate with 95 % confidence."""
+    rows = t("supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("suppliers"))
+    return rows.select("nation", "suppliers", S.trials_for_zero_events(0.001 * (1 + F.col("nation"))).cast("long").alias("needed"))
+
+
+@query("""WITH b AS (SELECT o_orderkey, o_custkey % 500 AS x, o_orderkey % 300 AS y, 10 + o_orderkey % 200 AS w, 5 + o_custkey % 150 AS h FROM orders),
+c AS (SELECT *, x + w / 2 AS cx, y + h / 2 AS cy, greatest(w, h) * 0.75 AS r FROM b)
+SELECT o_orderkey, CAST(trunc(greatest(0, least(640, cx - r))) AS INTEGER) AS x1, CAST(trunc(greatest(0, least(480, cy - r))) AS INTEGER) AS y1,
+  CAST(trunc(greatest(0, least(640, cx + r))) AS INTEGER) AS x2, CAST(trunc(greatest(0, least(480, cy + r))) AS INTEGER) AS y2 FROM c""")
+def square_boxes(t):
+    """Boxes widened by half to squares within an image of 640 by 480."""
+    x, y = F.col("o_custkey") % 500, F.col("o_orderkey") % 300
+    box = (x, y, x + 10 + F.col("o_orderkey") % 200, y + 5 + F.col("o_custkey") % 150)
+    square = S.square_box(box, 1.5, 640, 480)
+    return t("orders").select("o_orderkey", *[c.alias(n) for c, n in zip(square, ("x1", "y1", "x2", "y2"), strict=True)])
 
 
 @query("""SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity

@@ -72,12 +72,14 @@ def _neighbours(t, k: int = 5):
     return X.top_templates(side.filter("id % 5 = 0"), side, k)
 
 
-@query("""WITH s AS (SELECT a.vec_id AS q, b.vec_id AS g, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 5 = 0 AND a.vec_id <> b.vec_id
+@query("""WITH s AS (SELECT a.vec_id AS q, b.vec_id AS g, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
 ), k AS (SELECT g FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, g) <= 5), d AS (SELECT vec_id, count(g) AS d FROM embeddings LEFT JOIN k ON g = vec_id GROUP BY vec_id
 ), o AS (SELECT d, row_number() OVER (ORDER BY d DESC, vec_id) AS r, count(*) OVER () AS n, avg(d) OVER () AS mu FROM d)
 SELECT count(*) AS items, round(avg((d - mu) ** 3) / avg((d - mu) ** 2) ** 1.5, 6) AS skewness, round(avg((d = 0)::INT), 6) AS never, round(sum(d) FILTER (r <= ceil(n * 0.1)) / sum(d), 6) AS top_tenth, round(sum(d * d) / sum(d) ** 2, 6) AS concentration FROM o""")
 def neighbour_hubness(t):
-    found = _neighbours(t).select(F.col("template_id").alias("vec_id"))
+    """Neighbours of every vector among all others."""
+    side = t("embeddings").select(F.col("vec_id").alias("id"), as_double("embedding").alias("vector"))
+    found = X.top_templates(side, side, 5).select(F.col("template_id").alias("vec_id"))
     return rounded(D.hubness(found, t("embeddings"), "vec_id"), "skewness", "never", "top_tenth", "concentration")
 
 

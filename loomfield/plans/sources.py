@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomfield.functions.vectors import as_double
@@ -12,6 +14,7 @@ from loomfield.operators import integrity as I
 from loomfield.operators import snapshots as G
 from loomfield.plans.registering import query, rounded
 from loomfield.sources import formats as S
+from loomfield.sources.archives import ArchiveSource
 from loomfield.storage import shared_dir
 
 
@@ -232,3 +235,90 @@ def source_split_list(t):
     path = _place(rows, "split")
     rows.write.option("header", True).csv(path)
     return S.load(rows.sparkSession, "split_list", path)
+
+
+def _zipped(rows: DataFrame, folder: str) -> None:
+    """rows(archive, name, content) as one zip file for each archive, with a part of it as an archive in the archive."""
+    def write(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
+        import io
+        import zipfile
+
+        from loomfield.sources.archives import opened
+
+        system, at = opened(folder)
+        outer, inner = io.BytesIO(), io.BytesIO()
+        with zipfile.ZipFile(outer, "w", zipfile.ZIP_DEFLATED) as z, zipfile.ZipFile(inner, "w", zipfile.ZIP_DEFLATED) as y:
+            for name, content in members.sort_values("name")[["name", "content"]].itertuples(index=False):
+                (y if name.startswith("inner/") else z).writestr(name, content)
+            y.close()
+            z.writestr("inner.zip", inner.getvalue())
+        system.create_dir(at, recursive=True)
+        draft = f"{at}/draft-{uuid.uuid4().hex}"
+        with system.open_output_stream(draft) as out:
+            out.write(outer.getvalue())
+        system.move(draft, f"{at}/{key[0]}.zip")
+        return pd.DataFrame({"archive": [key[0]], "members": [len(members)]})
+
+    rows.groupBy("archive").applyInPandas(write, "archive string, members long").write.format("noop").mode("overwrite").save()
+
+
+_MEMBERS = """WITH m AS (SELECT 'part' || c_custkey // 1000 AS archive, CASE WHEN c_custkey % 3 = 0 THEN 'inner/' ELSE 'outer/' END || lower(c_mktsegment) || '/' || c_custkey || '_' || c_custkey % 7 || '.txt' AS name,
+  c_name || chr(10) || repeat(c_mktsegment, CAST(c_custkey % 50 AS INT)) AS content FROM customer)
+"""
+
+
+def _members(t) -> DataFrame:
+    k = F.col("c_custkey")
+    folder = F.when(k % 3 == 0, "inner/").otherwise("outer/")
+    name = F.concat(folder, F.lower("c_mktsegment"), F.lit("/"), k.cast("string"), F.lit("_"), (k % 7).cast("string"), F.lit(".txt"))
+    content = F.concat("c_name", F.lit("\n"), F.repeat(F.col("c_mktsegment"), (k % 50).cast("int")))
+    return t("customer").select(F.concat(F.lit("part"), F.floor(k / 1000).cast("string")).alias("archive"), name.alias("name"), content.alias("content"))
+
+
+def _archives(t):
+    spark, at = t("customer").sparkSession, _place(t("customer"), "archives")
+    _zipped(_members(t), at)
+    spark.dataSource.register(ArchiveSource)
+    return spark.read.format("archive").option("entries", 100), at
+
+
+def _archive():
+    return F.regexp_extract("archive", r"([^/]+)\.zip$", 1).alias("archive")
+
+
+@query(_MEMBERS + "SELECT archive, name, strlen(content) AS size, sha256(content) AS sha256 FROM m WHERE name LIKE 'outer/%'")
+def source_archive_members(t):
+    """Members of zip files, a range of each directory a task."""
+    reader, at = _archives(t)
+    found = reader.option("members", "outer/*").load(at)
+    return found.select(_archive(), "name", "size", F.sha2("content", 256).alias("sha256"))
+
+
+@query(_MEMBERS + r"""SELECT archive, name, split_part(name, '/', 2) AS segment, CAST(regexp_extract(name, '/(\d+)_', 1) AS BIGINT) AS customer,
+  regexp_extract(name, '_(\d+)\.', 1) AS frame, sha256(content) AS sha256 FROM m WHERE name LIKE 'inner/%'""")
+def source_nested_archives(t):
+    """Members of archives within archives, with the fields of their names."""
+    reader, at = _archives(t)
+    found = reader.option("inner", "inner.zip").option("inner_tasks", 2).load(at)
+    rows, _ = S.named(found, "name", r"inner/(\w+)/(\d+)_(\d)\.txt", ["segment", "customer", "frame"])
+    return rows.select(_archive(), "name", "segment", F.col("customer").cast("long").alias("customer"), "frame", F.sha2("content", 256).alias("sha256"))
+
+
+@query(_MEMBERS + """SELECT archive AS identity, split_part(name, '/', 3) AS name, strlen(content) AS bytes FROM m""")
+def source_image_folders(t):
+    """A folder for each identity, a file for each row, written as text and read without its contents."""
+    at = _place(t("customer"), "folders")
+    rows = _members(t)
+
+    def write(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
+        from loomfield.sources.archives import opened
+
+        system, folder = opened(f"{at}/{key[0]}")
+        system.create_dir(folder, recursive=True)
+        for name, content in members[["name", "content"]].itertuples(index=False):
+            with system.open_output_stream(f"{folder}/{name.rsplit('/', 1)[-1]}") as out:
+                out.write(content.encode())
+        return pd.DataFrame({"archive": [key[0]], "members": [len(members)]})
+
+    rows.groupBy("archive").applyInPandas(write, "archive string, members long").write.format("noop").mode("overwrite").save()
+    return S.load(t("customer").sparkSession, "image_folders", at).select("identity", "name", "bytes")
