@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from loomfield.llm.common import ascii_lower, materialize
 
-#: Spellings that mean the same, second form used (after those before it).
+#: Spellings that mean the same, second form used (after those before it), wherever they occur, so
+#: that other forms of a word change with it.
 SPELLINGS = (
     ("acknowledgement", "acknowledgment"),
     ("analogue", "analog"),
@@ -29,14 +30,16 @@ SPELLINGS = (
     ("artefact", "artifact"),
     ("authorisation", "authorization"),
     ("authorised", "authorized"),
+    ("calibre", "caliber"),
     ("cancelled", "canceled"),
+    ("capitalisation", "capitalization"),
     ("catalogue", "catalog"),
+    ("categorise", "categorize"),
     ("centre", "center"),
     ("copyright owner", "copyright holder"),
     ("emphasised", "emphasized"),
     ("favour", "favor"),
     ("fulfilment", "fulfillment"),
-    ("https ", "http "),
     ("initialise", "initialize"),
     ("judgement", "judgment"),
     ("labelling", "labeling"),
@@ -44,22 +47,29 @@ SPELLINGS = (
     ("licence", "license"),
     ("maximise", "maximize"),
     ("merchantibility", "merchantability"),
+    ("modelled", "modeled"),
     ("modelling", "modeling"),
     ("non commercial", "noncommercial"),
     ("non infringement", "noninfringement"),
     ("offence", "offense"),
     ("optimise", "optimize"),
     ("organisation", "organization"),
+    ("organise", "organize"),
     ("per cent", "percent"),
-    ("programme ", "program "),
+    ("practise", "practice"),
+    ("programmes", "programs"),
     ("realise", "realize"),
     ("recognise", "recognize"),
+    ("signalling", "signaling"),
     ("sub license", "sublicense"),
     ("utilisation", "utilization"),
     ("whilst", "while"),
-    ("wilful ", "willful "),
+    ("wilful", "willful"),
 )
 
+#: The same for whole words alone, as longer words (programmed, fulfills) begin with them.
+WHOLE_WORDS = (("fulfil", "fulfill"), ("https", "http"), ("programme", "program"))
+
 #: Headings that license files open with, in canonical form.
 HEADINGS = (
     "mit license", "the mit license", "the mit license mit", "mit license mit", "expat license", "mit no attribution",
@@ -300,6 +310,8 @@ def _unified(text: Column, parted: bool) -> Column:
     for other, ours in SPELLINGS:
         if (" " in other.strip()) == parted:
             text = F.replace(text, F.lit(other), F.lit(ours))
+    for other, ours in () if parted else WHOLE_WORDS:
+        text = F.regexp_replace(text, rf"\b{other}\b", ours)
     return text
 
 

@@ -80,7 +80,7 @@ def _quoted(x: str) -> str:
 
 
 def _canonical_sql(c: str) -> str:
-    from loomfield.llm.licenses import COPYRIGHT_LINE, LIST_MARK, MARKS, SPELLINGS
+    from loomfield.llm.licenses import COPYRIGHT_LINE, LIST_MARK, MARKS, SPELLINGS, WHOLE_WORDS
 
     out = f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ{MARKS}', 'abcdefghijklmnopqrstuvwxyz{' ' * len(MARKS)}')"
     out = f"regexp_replace(regexp_replace({out}, '{COPYRIGHT_LINE}', '', 'g'), '{LIST_MARK}', '', 'g')"
@@ -88,6 +88,8 @@ def _canonical_sql(c: str) -> str:
     for other, ours in SPELLINGS:
         if " " not in other.strip():
             out = f"replace({out}, '{other}', '{ours}')"
+    for other, ours in WHOLE_WORDS:
+        out = rf"regexp_replace({out}, '\b{other}\b', '{ours}', 'g')"
     return out
 
 

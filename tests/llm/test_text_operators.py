@@ -150,6 +150,24 @@ def test_licenses(spark, odd, nothing):
     assert {(r.doc_id, r.digest) for r in L.license_scan(odd).collect() if r.doc_id in (0, 1)} == {(0, None), (1, hashlib.sha256(b"").hexdigest())}
 
 
+def test_spellings_do_not_hang_on_line_ends(spark):
+    """Every pair of spellings at a line's start, middle and end, and at the end of the text."""
+    pairs = [*L.SPELLINGS, *L.WHOLE_WORDS]
+    text = lambda k: " and ".join(f"some {p[k].strip()} for all {p[k].strip()}" for p in pairs) + f" no {pairs[-1][k]}"
+    known = spark.createDataFrame([("US", text(1)), ("Own", "no wilful misconduct under the programme"), ("Long", "the programmed fulfilled programmers")], "license string, text string")
+    british = text(0)
+    cases = {
+        "US": [british, british.replace(" ", "\n"), british.replace(" for", "\nfor"), british.replace("some ", "some\r\n"), british.upper().replace(" ", " \n  "), text(1).replace(" ", "\n")],
+        "Own": ["no wilful\nmisconduct under the program", "no willful misconduct\nunder the programme", "NO WILFUL MISCONDUCT UNDER THE\nPROGRAMME\n", "no willful misconduct under the program."],
+        "Long": ["the programmed\nfulfilled programmers"],
+        None: ["no wilful misconduct under the programmed", "the programd fulfilled programmers"],
+    }
+    rows = [(k, n) for k, (n, t) in enumerate((n, t) for n, own in cases.items() for t in own)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(t for own in cases.values() for t in own)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in L.license_scan(docs, known, digests=(("none", "0"),)).collect()}
+    assert got == dict(rows)
+
+
 def test_whole_license_files_of_public_packages(spark):
     here = Path(np.__file__).parents[1]
     want = {
