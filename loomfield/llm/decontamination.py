@@ -170,30 +170,34 @@ class _Segment:
     def doc_of(self, position: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, position, "right") - 1
 
-    def proximity(self, terms: list[int], within: int) -> list[tuple[int, int, int]]:
-        """Document number and smallest word span (start, end) of at most `within` words that
-        holds every term; the leftmost of the smallest ones, at most one for a document."""
+    def proximity(self, terms: list[int], within: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document numbers and word spans (start, end exclusive) of all minimal spans of at most `within` words
+        that hold every term: spans of which no part does."""
+        none = np.empty(0, np.int64)
         if not terms or min(self.count[t] for t in terms) == 0:
-            return []
+            return none, none, none
         lists = [self.positions[self.first[t] : self.first[t + 1]] for t in terms]
         rarest = min(lists, key=len)
-        near = [x[self._near(x, rarest, within)] for x in lists]
-        place = np.concatenate(near)
-        which = np.repeat(np.arange(len(near)), [len(x) for x in near])
+        lists = [x[self._near(x, rarest, within)] for x in lists]
+        if not all(map(len, lists)):
+            return none, none, none
+        place = np.concatenate(lists)
         order = np.argsort(place, kind="stable")
-        last: dict[int, int] = {}
-        best: dict[int, tuple[int, int]] = {}
-        for p, t in zip(place[order].tolist(), which[order].tolist(), strict=True):
-            last[t] = p
-            if len(last) < len(lists):
-                continue
-            lo = min(last.values())
-            doc = int(self.doc_of(np.array([lo]))[0])
-            if p - lo < within and p < self.starts[doc] + self.lengths[doc]:
-                old = best.get(doc)
-                if old is None or p - lo < old[1] - old[0]:
-                    best[doc] = (lo, p)
-        return [(d, a - int(self.starts[d]), b + 1 - int(self.starts[d])) for d, (a, b) in sorted(best.items())]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        # Where the term of each place comes next, by rank; a place is its term's last one until then.
+        cuts, place = np.cumsum([len(x) for x in lists]), place[order]
+        following = np.append(rank[1:], len(order))
+        following[cuts - 1] = len(order)
+        until = np.maximum.accumulate(following[order])
+        b = np.arange(max(int(rank[c - len(x)]) for c, x in zip(cuts, lists, strict=True)), len(order))  # all terms have come
+        a = np.searchsorted(until, b, "right")
+        new = np.append(True, a[1:] > a[:-1])
+        lo, hi = place[a[new]], place[b[new]]
+        doc = self.doc_of(lo)
+        fits = (hi - lo < within) & (hi < self.starts[doc] + self.lengths[doc])
+        doc, lo, hi = doc[fits], lo[fits], hi[fits]
+        return doc, lo - self.starts[doc], hi + 1 - self.starts[doc]
 
     @staticmethod
     def _near(x: np.ndarray, anchors: np.ndarray, within: int) -> np.ndarray:
@@ -202,8 +206,9 @@ class _Segment:
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, max_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
-    """The test items, in blocks that hold about max_words words; each is collected and broadcast alone."""
-    rows = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    """The distinct test items, in blocks that hold about max_words words (or one item); each is collected and
+    broadcast alone."""
+    rows = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // (6 * max_words)))
     for b in range(n):
@@ -230,10 +235,13 @@ def phrase_matches(
     item_text: str = "text",
     window: int = 13,
     max_block_words: int = 500_000,
+    placed: bool = False,
 ) -> DataFrame:
     """Every indexed row with its exact phrase matches: id, n_words, n_hit (words inside any
     occurrence of a window of `window` consecutive item words; a shorter item is one window),
-    items (ids as strings, sorted), spans (hit word ranges, end exclusive, merged)."""
+    items (ids as strings, sorted), spans (hit word ranges, end exclusive, merged); placed: with its
+    segment and ordinal, which tell rows of one id apart."""
+    place = ["segment", "ordinal"] if placed else []
     spark = index.sparkSession
     id_type = index.schema["ids"].dataType.elementType
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -295,7 +303,7 @@ def phrase_matches(
         for block in _blocks(items, item_id, item_text, max_block_words)
     ]
     if len(parts) == 1:
-        return parts[0].drop("segment", "ordinal")
+        return parts[0] if placed else parts[0].drop("segment", "ordinal")
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
@@ -313,7 +321,7 @@ def phrase_matches(
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
             merged.alias("spans"),
         )
-        .select("id", "n_words", F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.start)").alias("n_hit"), "items", "spans")
+        .select(*place, "id", "n_words", F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.start)").alias("n_hit"), "items", "spans")
     )
 
 
@@ -325,12 +333,15 @@ def proximity_matches(
     item_text: str = "text",
     max_block_words: int = 500_000,
 ) -> DataFrame:
-    """Rows (id, item, start, end): documents that hold every distinct word of an item within
-    `within` consecutive words, with the smallest such span."""
+    """Rows (segment, ordinal, id, item, start, end): all minimal spans of at most `within` words of a document
+    that hold every distinct word of an item; those of one item may overlap, none holds another. segment and
+    ordinal tell documents of one id apart. Items that repeat count once."""
     spark = index.sparkSession
     id_type = index.schema["ids"].dataType.elementType
     schema = T.StructType(
         [
+            T.StructField("segment", T.StringType()),
+            T.StructField("ordinal", T.IntegerType()),
             T.StructField("id", id_type),
             T.StructField("item", T.StringType()),
             T.StructField("start", T.LongType()),
@@ -348,9 +359,9 @@ def proximity_matches(
                 for row in batch.to_pylist():
                     seg = _Segment(row, terms)
                     out = [
-                        {"id": seg.ids[d], "item": item, "start": a, "end": b}
+                        {"segment": row["segment"], "ordinal": d, "id": seg.ids[d], "item": item, "start": a, "end": b}
                         for item, own in queries
-                        for d, a, b in seg.proximity(own, within)
+                        for d, a, b in zip(*(x.tolist() for x in seg.proximity(own, within)), strict=True)
                     ]
                     yield pa.RecordBatch.from_pylist(out, schema=form)
 
@@ -365,10 +376,17 @@ def proximity_matches(
     return out
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def contamination(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", within: int | None = None, **options
+) -> DataFrame:
     """phrase_matches() of all docs, with the contaminated flag: some words hit, and they are at
-    least a twentieth of the document's words."""
-    found = phrase_matches(build_index(docs, id_col, text_col), items, **options)
+    least a twentieth of the document's words. With `within` also n_near, the document's proximity_matches()
+    within so many words."""
+    index = build_index(docs, id_col, text_col)
+    found = phrase_matches(index, items, placed=within is not None, **options)
+    if within is not None:
+        near = proximity_matches(index, items, within).groupBy("segment", "ordinal").agg(F.count("*").alias("n_near"))
+        found = found.join(near, ["segment", "ordinal"], "left").fillna(0, ["n_near"]).drop("segment", "ordinal")
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).withColumnRenamed(
         "id", id_col
     )

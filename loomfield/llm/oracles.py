@@ -24,10 +24,23 @@ WITH dw AS (
 ), its AS (
   SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS s
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hits) GROUP BY doc_id
+), bt AS (SELECT DISTINCT item_id, unnest(w) AS t FROM bw
+), dp AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS p FROM dw
+), pairs AS (
+  SELECT doc_id, item_id, m FROM (SELECT DISTINCT doc_id, t FROM dp) JOIN bt USING (t) JOIN (SELECT item_id, count(*) AS m FROM bt GROUP BY item_id) USING (item_id)
+  GROUP BY doc_id, item_id, m HAVING count(*) = m
+), pos AS (
+  SELECT doc_id, item_id, m, p, lead(p) OVER (PARTITION BY doc_id, item_id, t ORDER BY p) AS following FROM pairs JOIN bt USING (item_id) JOIN dp USING (doc_id, t)
+), span AS (
+  SELECT b.doc_id, b.item_id, b.p AS hi, CASE WHEN count(*) = any_value(b.m) THEN min(a.p) END AS lo FROM pos b
+  JOIN pos a ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND a.p <= b.p AND a.p > b.p - 64 AND coalesce(a.following > b.p, true) GROUP BY b.doc_id, b.item_id, b.p
+), near AS (
+  SELECT doc_id, count(*) AS n_near FROM (SELECT *, lag(lo) OVER (PARTITION BY doc_id, item_id ORDER BY hi) AS before FROM span)
+  WHERE lo IS NOT NULL AND (before IS NULL OR lo > before) GROUP BY doc_id
 )
-SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+SELECT dw.doc_id, coalesce(n_near, 0) AS n_near, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 SQL["op2_secrets"] = r"""

@@ -27,7 +27,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomfield.llm.decontamination import contamination
 
-    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), within=64)
     return found.select(
         "doc_id",
         "n_words",
@@ -35,6 +35,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
+        "n_near",
     )
 
 

@@ -14,7 +14,7 @@ from loomfield.llm import language as G
 from loomfield.llm import licenses as L
 from loomfield.llm import secrets as S
 from loomfield.llm import suffix_dedup as R
-from plain import plain_hits, plain_secrets
+from plain import plain_hits, plain_secrets, plain_words
 
 @pytest.mark.parametrize("block_words", [500_000, 5])
 def test_phrases_match_brute_force(spark, odd, sample, block_words):
@@ -35,11 +35,35 @@ def test_spans_cover_the_hits(spark, odd):
         assert sum(s.end - s.start for s in r.spans) == r.n_hit
 
 
-def test_proximity(spark, odd):
-    items = spark.createDataFrame([(1, "bear dog"), (2, "fox absent")], "item_id long, text string")
-    index = D.build_index(odd)
-    assert {(r.item, r.end - r.start) for r in D.proximity_matches(index, items, 12).collect()} == {("1", 9)}
-    assert D.proximity_matches(index, items, 8).count() == 0
+def plain_near(text, item, within):
+    """All minimal spans by trying every one."""
+    w, need = plain_words(text), set(plain_words(item))
+    holds = lambda a, b: need <= set(w[a:b])
+    return {(a, b) for a in range(len(w)) for b in range(a + 1, min(len(w), a + within) + 1) if need and holds(a, b) and not holds(a + 1, b) and not holds(a, b - 1)}
+
+
+@pytest.mark.parametrize("segment_words", [20, 1 << 19])
+def test_proximity_finds_all_minimal_spans(spark, odd, segment_words):
+    rng = np.random.default_rng(segment_words)
+    texts = [" ".join(rng.choice(list("abcdefg"), rng.integers(0, 60))) for _ in range(60)] + [r.text for r in odd.limit(9).collect()]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    items = [(1, "bear dog"), (2, "fox absent"), (3, "a b"), (4, "a b c b a"), (5, "g"), (6, "a b c d e f g"), (7, ""), (8, None), (3, "a b")]
+    df = spark.createDataFrame(items, "item_id long, text string")
+    index = D.build_index(docs, segment_words=segment_words)
+    for within in (1, 5, 12):
+        found = D.proximity_matches(index, df, within).collect()
+        want = {(k, str(i), a, b) for k, t in enumerate(texts) for i, item in items for a, b in plain_near(t, item, within)}
+        assert {(r.id, r.item, r.start, r.end) for r in found} == want and len(found) == len(want)
+    counts = {r.doc_id: r.n_near for r in D.contamination(docs, df, within=5).collect()}
+    assert counts == {k: sum(len(plain_near(t, item, 5)) for _, item in set(items)) for k, t in enumerate(texts)}
+
+
+def test_items_that_repeat_count_once(spark, sample):
+    """One item ten thousand times, beside others: the block holds it once."""
+    base = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").limit(5)
+    many = base.union(base.limit(1).crossJoin(spark.range(10_000)).select(*base.columns))
+    block = next(D._blocks(many, "item_id", "text", 500_000))
+    assert len(block) == 5 and sorted(map(str, D.contamination(sample, many).collect())) == sorted(map(str, D.contamination(sample, base).collect()))
 
 
 def test_no_documents_no_items(spark, odd, nothing):
