@@ -32,7 +32,8 @@ def _streamed(rows: DataFrame, fold) -> DataFrame:
     arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
     told = O.in_order(arriving, fold, "time", "11 days", 60 * DAY)
     write = told.writeStream.foreachBatch(lambda df, _: df.write.mode("append").parquet(f"{at}/out"))
-    write.outputMode("update").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    with O.rocksdb_state(spark):
+        write.outputMode("update").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return O.latest_totals(spark.read.schema(told.schema).parquet(f"{at}/out")).filter("stream <> '~'")
 
 
@@ -57,11 +58,11 @@ def stream_audit(t):
 
 @query("""WITH g AS (SELECT CAST(user_id AS VARCHAR) AS stream, value, lag(value) OVER w AS v, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS d, CASE WHEN event_id % 9 > 0 THEN value END AS x,
   lag(CASE WHEN event_id % 9 > 0 THEN value END) OVER w AS y FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))
-SELECT stream, count(*) AS samples, count(x) AS valid, round(avg(x), 6) AS mean, max(x) AS peak, round(coalesce(sum((x + y) / 2 * d), 0) / 1e9, 5) AS integral FROM g GROUP BY stream""")
+SELECT stream, count(*) AS samples, count(x) AS valid, round(avg(x), 10) AS mean, max(x) AS peak, round(coalesce(sum((x + y) / 2 * d), 0) / 1e9, 5) AS integral FROM g GROUP BY stream""")
 def stream_energy(t):
     """Sampled energy of each stream; every ninth sample has no value."""
     told = _streamed(_events(t, F.when(F.col("event_id") % 9 > 0, F.col("value").cast("double")).alias("value")), O.EnergyFold())
-    return told.select("stream", "samples", "valid", F.round(F.col("total") / F.col("valid"), 6).alias("mean"), "peak", F.round(F.col("integral") / 1e9, 5).alias("integral"))
+    return told.select("stream", "samples", "valid", F.round(F.col("total") / F.col("valid"), 10).alias("mean"), "peak", F.round(F.col("integral") / 1e9, 5).alias("integral"))
 
 
 @query("""WITH o AS (SELECT user_id, epoch_us(ts) AS tus FROM events), n AS (SELECT *, CASE WHEN tus - lag(tus) OVER (PARTITION BY user_id ORDER BY tus) < 3600000000 THEN 0 ELSE 1 END AS new FROM o

@@ -10,17 +10,19 @@ makes no difference. Where there is no state, rows further behind the watermark
 Totals are running ones, from `opened`, the time of the first row since the stream (re)opened (null for a
 stream that late rows alone came to). Of an opening's updates the one with the most rows is its state
 so far, whatever order sinks see them in. Restarts go on from the checkpoint. Rows without a stream or time take
-no part.
+no part. The session's state store must be RocksDB's (rocksdb_state() sets it for a while): Spark keeps
+several states of a key in no other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
@@ -223,6 +225,18 @@ class InOrder(StatefulProcessor):
         pass
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in RocksDB; the session's own setting is put back."""
+    key, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    old = spark.conf.get(key)
+    spark.conf.set(key, store)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def in_order(rows: DataFrame, fold, time: str, delay: str, idle_ms: int) -> DataFrame:
     """rows(stream string, time timestamp, seq long, the fold's columns), a stream -> running totals of each
     stream: (stream, the fold's totals, rows, late, opened, closed). Rows wait for `delay`; a stream closes after

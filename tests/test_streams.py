@@ -40,7 +40,8 @@ def streamed(spark, folder, parts, fold, delay="200 seconds", idle=10_000_000, s
         rows = spark.readStream.schema(SHAPE).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
         told = O.in_order(rows, fold, "time", delay, idle)
         q = told.writeStream.foreachBatch(lambda df, _: df.write.mode("append").parquet(f"{folder}/out"))
-        q.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+        with O.rocksdb_state(spark):
+            q.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
 
     for k, part in enumerate(parts):
         arrive(part)
