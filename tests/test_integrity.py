@@ -14,7 +14,7 @@ from loomfield.operators import diagnostics as G
 from loomfield.operators import integrity as I
 from loomfield.operators import metrics as M
 from loomfield.operators import ranking
-from loomfield.operators import snapshots as G
+from loomfield.operators import snapshots
 from loomfield.operators import search as X
 from loomfield.operators import splits as P
 from loomfield.operators import views as V
@@ -56,14 +56,14 @@ def test_pairs_records_and_reports(spark):
 
 def test_generations_are_verified_and_migrated(spark, tmp_path):
     at, df = str(tmp_path / "store"), spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
-    digest = G.publish(df, at, "old", ["id"])
-    assert G.publish(df, at, "old", ["id"]) == digest and G.latest(spark, at, "old").count() == 2
-    G.migrate(spark, at, "old", "new", lambda rows: rows.withColumn("version", F.lit(4)), ["id"])
-    assert G.latest(spark, at, "new").columns == ["id", "name", "version"] and G.latest(spark, at, "old").columns == ["id", "name"]
-    df.filter("id = 1").write.mode("overwrite").parquet(G.last_snapshot(spark, at, "old").path)
+    digest = snapshots.publish(df, at, "old", ["id"])
+    assert snapshots.publish(df, at, "old", ["id"]) == digest and snapshots.latest(spark, at, "old").count() == 2
+    snapshots.migrate(spark, at, "old", "new", lambda rows: rows.withColumn("version", F.lit(4)), ["id"])
+    assert snapshots.latest(spark, at, "new").columns == ["id", "name", "version"] and snapshots.latest(spark, at, "old").columns == ["id", "name"]
+    df.filter("id = 1").write.mode("overwrite").parquet(snapshots.last_snapshot(spark, at, "old").path)
     with pytest.raises(ValueError, match="digest"):
-        G.latest(spark, at, "old")
-    assert G.latest(spark, at, "old", verify=False).count() == 1
+        snapshots.latest(spark, at, "old")
+    assert snapshots.latest(spark, at, "old", verify=False).count() == 1
 
 
 def test_csv_sink_and_region_reader(spark, tmp_path):
@@ -105,10 +105,8 @@ def test_inversions_of_batches_of_queries(spark):
 
 def test_channels_of_sliced_blocks():
     lists = pa.array([[[9.0, 9.0], None], [[1.0, 2.0], [3.0]], [None, [4.0]]], pa.list_(pa.list_(pa.float64()))).slice(1)
-    has, v = X._channel(lists, 0)
-    assert has.tolist() == [True, False] and v.tolist() == [[1.0, 2.0]]
-    has, v = X._channel(lists, 1)
-    assert has.tolist() == [True, True] and v.tolist() == [[3.0], [4.0]]
+    told = lambda k: {n: (rows.tolist(), v.tolist()) for n, (rows, v) in X._channel(lists, k).items()}
+    assert told(0) == {2: ([0], [[1.0, 2.0]])} and told(1) == {1: ([0, 1], [[3.0], [4.0]])}
     block = pa.StructArray.from_arrays([pa.array([[0.0, 0.0], [1.0, 2.0], [3.0, 4.0]])], names=["vector"]).slice(1)
     assert X._stack(block, "vector").tolist() == [[1.0, 2.0], [3.0, 4.0]]
 
@@ -227,19 +225,19 @@ def test_an_older_state_can_be_published_again(spark, tmp_path):
     at = str(tmp_path / "store")
     a, b = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string"), spark.createDataFrame([(3, "c")], "id int, name string")
     with pytest.raises(LookupError):
-        G.latest(spark, at, "t")
+        snapshots.latest(spark, at, "t")
     for rows in (a, b, a):
-        G.publish(rows, at, "t", ["id"])
-    assert {r.id for r in G.latest(spark, at, "t").collect()} == {1, 2}
-    told = G.snapshots(spark, at, "t")
+        snapshots.publish(rows, at, "t", ["id"])
+    assert {r.id for r in snapshots.latest(spark, at, "t").collect()} == {1, 2}
+    told = snapshots.snapshots(spark, at, "t")
     assert [(s.number, s.base) for s in told] == [(1, 0), (2, 1), (3, 2)] and told[0].path == told[2].path != told[1].path
-    assert {r.id for r in G.latest(spark, at, "t", number=2).collect()} == {3}
-    assert G.rollback(spark, at, "t", 2).number == 4 and {r.id for r in G.latest(spark, at, "t").collect()} == {3}
+    assert {r.id for r in snapshots.latest(spark, at, "t", number=2).collect()} == {3}
+    assert snapshots.rollback(spark, at, "t", 2).number == 4 and {r.id for r in snapshots.latest(spark, at, "t").collect()} == {3}
     with pytest.raises(LookupError):
-        G.rollback(spark, at, "t", 9)
-    with pytest.raises(G.Conflict):
-        G.rollback(spark, at, "t", 1, base=2)
-    assert G.snapshots(spark, at, "other") == []
+        snapshots.rollback(spark, at, "t", 9)
+    with pytest.raises(snapshots.Conflict):
+        snapshots.rollback(spark, at, "t", 1, base=2)
+    assert snapshots.snapshots(spark, at, "other") == []
 
 
 def test_of_two_writers_from_one_base_one_wins(spark, tmp_path):
@@ -248,32 +246,32 @@ def test_of_two_writers_from_one_base_one_wins(spark, tmp_path):
 
     at = str(tmp_path / "store")
     of = lambda k: spark.createDataFrame([(k,)], "id int")
-    G.publish(of(0), at, "t", ["id"])
-    last, gate = G.last_snapshot(spark, at, "t"), Barrier(8)
+    snapshots.publish(of(0), at, "t", ["id"])
+    last, gate = snapshots.last_snapshot(spark, at, "t"), Barrier(8)
 
     def write(k):
         gate.wait()
         try:
-            return G._append(spark, at, last, "t", f"digest-{k}", f"{at}/t/none").number
-        except G.Conflict:
+            return snapshots._append(spark, at, last, "t", f"digest-{k}", f"{at}/t/none").number
+        except snapshots.Conflict:
             return None
 
     with ThreadPoolExecutor(8) as pool:
         won = [x for x in pool.map(write, range(8)) if x is not None]
-    assert won == [2] and [s.number for s in G.snapshots(spark, at, "t")] == [1, 2]
-    with pytest.raises(G.Conflict, match="at 2, not at 1"):
-        G.publish(of(5), at, "t", ["id"], base=1)
+    assert won == [2] and [s.number for s in snapshots.snapshots(spark, at, "t")] == [1, 2]
+    with pytest.raises(snapshots.Conflict, match="at 2, not at 1"):
+        snapshots.publish(of(5), at, "t", ["id"], base=1)
     assert not [f for f in (tmp_path / "store/_log/t").iterdir() if "draft" in f.name]
 
 
 def test_a_write_that_dies_is_never_read(spark, tmp_path, monkeypatch):
     at = str(tmp_path / "store")
     of = lambda k: spark.createDataFrame([(k,)], "id int")
-    G.publish(of(1), at, "t", ["id"])
-    monkeypatch.setattr(G, "_append", lambda *a: (_ for _ in ()).throw(OSError("died")))
+    snapshots.publish(of(1), at, "t", ["id"])
+    monkeypatch.setattr(snapshots, "_append", lambda *a: (_ for _ in ()).throw(OSError("died")))
     with pytest.raises(OSError):
-        G.publish(of(2), at, "t", ["id"])
+        snapshots.publish(of(2), at, "t", ["id"])
     monkeypatch.undo()
-    assert [r.id for r in G.latest(spark, at, "t").collect()] == [1]
-    G.publish(of(2), at, "t", ["id"])
-    assert [r.id for r in G.latest(spark, at, "t").collect()] == [2]
+    assert [r.id for r in snapshots.latest(spark, at, "t").collect()] == [1]
+    snapshots.publish(of(2), at, "t", ["id"])
+    assert [r.id for r in snapshots.latest(spark, at, "t").collect()] == [2]
