@@ -132,6 +132,39 @@ def test_places_of_relevant_templates_match_the_ranks(spark, monkeypatch):
         assert [top[i, k + 1] for k in range(4)] == [t for _, t in own]
 
 
+def test_rows_of_scores_are_judged_where_they_are_scored(spark, monkeypatch):
+    """As by ranks over all pairs, and nothing is shuffled after the scores are there."""
+    monkeypatch.setattr(X, "GALLERY_ROWS", 7)
+    rng = np.random.default_rng(4)
+    rows = [(k, k % 3 if k % 11 else None, [float(x) for x in np.round(rng.normal(size=2 + (k % 10 == 0)), 1)]) for k in range(60)]
+    df = spark.createDataFrame([*rows, (90, 1, None), (91, 9, [1.0, 2.0])], "id long, identity int, vector array<double>")
+    q = df.filter("id < 20 OR id > 89")
+    name = lambda c, i: df.select(F.col("id").alias(c), F.col("identity").alias(i))
+    pairs = X.pair_scores(q.drop("identity"), df.drop("identity")).join(name("query_id", "a"), "query_id").join(name("template_id", "b"), "template_id")
+    for itself in (True, False):
+        own = pairs if itself else pairs.filter("query_id <> template_id")
+        ranks = M.relevance_ranks(own.withColumn("relevant", F.coalesce(F.col("a") == F.col("b"), F.lit(False)))).filter("relevant")
+        want = {r.query_id: r for r in M.placed_outcomes(ranks.select("query_id", F.col("rank").alias("place")), q.select(F.col("id").alias("query_id"))).collect()}
+        for r in X.relevance_outcomes(q, df, itself=itself).collect():
+            w = want.pop(r.query_id)
+            assert (r.n_relevant, r.first_hit, r.inp) == (w.n_relevant, w.first_hit, w.inp) and (r.ap == w.ap or abs(r.ap - w.ap) < 1e-12)
+        assert not want
+    told = X.score_zscores(q, df)
+    z = {(r.query_id, r.template_id): r.z for r in told.collect()}
+    want = {(r.query_id, r.template_id): r.z for r in G.row_zscores(pairs).collect()}
+    assert z.keys() == want.keys() and all(abs(z[k] - want[k]) < 1e-9 for k in z)
+    plan = told._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange") == 1 and "CartesianProduct" in plan  # the one that deals the queries
+
+
+@pytest.mark.parametrize("most", [6, 2**45])
+def test_places_of_marked_scores(most):
+    rng = np.random.default_rng(5)
+    scores, own = rng.integers(-most, most, 3000), rng.random(3000) < 0.1
+    want = np.flatnonzero(own[np.argsort(-scores, kind="stable")]) + 1
+    assert X._places(scores, own).tolist() == want.tolist() and X._places(scores[:0], own[:0]).tolist() == []
+
+
 def test_longest_cover_and_nearest_rank_of_long_streams(spark):
     rows = spark.createDataFrame([("a", 0, 5), ("a", 5, 7), ("a", 8, 9), ("a", 1, 2), ("b", 3, 3), ("b", 4, 6), (None, 0, 9)], "s string, x long, y long")
     assert {r.s: r.longest for r in C.longest_cover(rows, "s", "x", "y").collect()} == {"a": 7, "b": 2}
