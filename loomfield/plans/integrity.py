@@ -217,11 +217,7 @@ WITH s AS (SELECT q.vec_id AS query_id, q.label = g.label AS rel, g.vec_id AS te
 def transfer_scores(t):
     e = t("embeddings")
     side = e.select(F.col("vec_id").alias("id"), F.col("label").alias("identity"), as_double("embedding").alias("vector"))
-    # The query itself is among its templates: it is left out, and those behind it move up.
-    places = X.relevant_places(side, side)
-    own = places.filter("query_id = template_id").select("query_id", F.col("place").alias("_own"))
-    rest = places.filter("query_id <> template_id").join(own, "query_id").withColumn("place", F.col("place") - (F.col("place") > F.col("_own")).cast("long"))
-    outcomes = M.placed_outcomes(rest.select("query_id", "place"), side.select(F.col("id").alias("query_id")))
+    outcomes = X.relevance_outcomes(side, side, itself=False)
     return rounded(M.retrieval_summary(outcomes, ks=(1, 5)).select("queries", "evaluated", "rank_1", "rank_5", "map"), "rank_1", "rank_5", "map")
 
 
