@@ -3,7 +3,8 @@
 Axes come from block power iteration: a pass multiplies the centred table with a few directions and back,
 X'(XQ), where each task adds up its batches, so that a row for each component leaves it. The driver
 holds as many numbers as components times directions, and makes the directions orthonormal. Passes go on
-until the variances along the wanted axes settle.
+until the variances along the wanted axes settle; variances too close to tell apart get more directions, and with
+as many as components one pass is exact.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from loomfield.functions.vectors import as_double, usable
 from loomfield.storage import stored
 
 
+WIDEST = 1024  # directions at once: the driver holds components times directions, twice
+
+
 @dataclass(frozen=True)
 class Axes:
     """Axes as rows of `directions`, largest variance first, each with its component of largest size
@@ -64,8 +68,9 @@ def principal_axes(rows: DataFrame, vector: str, k: int, scaled: bool = False, s
     """The k axes of largest variance of the vectors (all of one length; null ones and those with components
     that are null or not finite take no part); scaled: of components divided by their standard deviation (those
     that do not vary by one). Iterates k + spare directions until no variance changes by more than tolerance of
-    the largest, `most` passes at most, which is an error: then directions are too close to tell apart, and more
-    spare ones help. Variances are of the sample (n - 1); shares are of all variance."""
+    the largest, and twice as many after each 20 passes that did not settle, up to WIDEST. Vectors of up to twice k + spare
+    components take all of them at once: one pass is exact then. `most` passes are an error: more than WIDEST
+    directions are too close to tell apart. Variances are of the sample (n - 1); shares are of all variance."""
     v = stored(rows.select(as_double(vector).alias("v")).filter(usable(F.col("v"))), "vectors")
     first = v.select(F.size("v").alias("n")).first()
     if first is None or not first["n"] or k < 1:
@@ -80,18 +85,21 @@ def principal_axes(rows: DataFrame, vector: str, k: int, scaled: bool = False, s
     deviation = np.sqrt(second / n)
     scale = np.where(deviation > 1e-12 * (1 + np.abs(mean)), deviation, 1.0) if scaled else np.ones(size)
     total = float((second / scale**2).sum())
-    width = min(size, k + spare)
-    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, width)))[0]
+    width = size if size <= 2 * (k + spare) else k + spare
+    rng = np.random.default_rng(seed)
+    q = np.linalg.qr(rng.normal(size=(size, width)))[0]
     before = np.full(width, np.inf)
     for done in range(1, most + 1):
         z = _sums(v, size, width, lambda x, q=q: ((y := (x - mean) / scale).T @ (y @ q)))
         turned, value, _ = np.linalg.svd(q.T @ z, hermitian=True)
         found = q @ turned
-        if np.abs(value[:k] - before[:k]).max() <= tolerance * max(value[0], 1e-300):
+        if width == size or np.abs(value[:k] - before[:k]).max() <= tolerance * max(value[0], 1e-300):
             break
-        before, q = value, np.linalg.qr(z @ turned)[0]
+        more = min(size, 2 * width, WIDEST) - width if done % 20 == 0 else 0
+        before, width = value, width + max(0, more)
+        q = np.linalg.qr(np.hstack([z @ turned, rng.normal(size=(size, max(0, more))) * value[0]]))[0]
     else:
-        raise ValueError(f"the variances did not settle in {most} passes; take more spare directions")
+        raise ValueError(f"the variances did not settle in {most} passes with {width} directions")
     axes = found[:, : min(k, size)].T
     largest = np.argmax(np.round(np.abs(axes), 9), axis=1)
     axes = axes * np.where(axes[np.arange(len(axes)), largest] < 0, -1.0, 1.0)[:, None]

@@ -222,6 +222,18 @@ def test_principal_axes_match_numpy(spark, scaled):
             J.principal_axes(bad, "v", k)
 
 
+@pytest.mark.parametrize("size, k, spare", [(12, 4, 4), (30, 2, 1)])
+def test_axes_of_variances_too_close_for_few_directions(spark, size, k, spare):
+    """Directions as good as alike: power iteration with few of them takes thousands of passes."""
+    rng = np.random.default_rng(8)
+    x = np.linalg.qr(rng.normal(size=(200, size)) - 0.0)[0]
+    x = np.vstack([x, -x]) * (1 + np.arange(size)[::-1] * 1e-3)
+    axes = J.principal_axes(spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>"), "v", k, spare=spare)
+    _, value, vt = np.linalg.svd(x - x.mean(axis=0))
+    want = vt[:k] * np.sign(vt[np.arange(k), np.abs(vt[:k]).argmax(axis=1)])[:, None]
+    assert np.allclose(axes.directions, want, atol=1e-6) and np.allclose(axes.variance, value[:k] ** 2 / 399)
+
+
 def vectors(spark):
     return {r.vec_id: np.array(r.embedding, np.float64) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
 
