@@ -121,3 +121,38 @@ def test_folds_do_not_hang_on_how_rows_are_cut():
             for k in range(0, len(frame), step):
                 state = fold.fold(state, frame.iloc[k : k + step])
             assert all(a == b or abs(a - b) < 1e-6 for a, b in zip(state, whole)), fold
+
+
+def test_streams_of_a_bucket_share_the_calls_to_the_state_store():
+    calls, kept, timers = [], {}, set()
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return kept.get("v")
+
+        def update(self, v):
+            calls.append("update")
+            kept["v"] = v
+
+        def clear(self):
+            calls.append("clear")
+            kept.clear()
+
+    class Handle:
+        getValueState = staticmethod(lambda name, schema: Value())  # noqa: N815
+        registerTimer = staticmethod(timers.add)  # noqa: N815
+        deleteTimer = staticmethod(timers.discard)  # noqa: N815
+
+    class Clock:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    processor = O.InOrder(O.EnergyFold(), 10_000)
+    processor.init(Handle())
+    rows = pd.DataFrame([(0, str(s), 1_000_000 * k, k, float(s)) for s in range(200) for k in (3, 1, 2)], columns=["bucket", "stream", "at", "seq", "value"])
+    assert not list(processor.handleInputRows((0,), iter([rows]), Clock(0))) and calls == ["get", "update"] and timers == {1000}
+    told = pd.concat(processor.handleExpiredTimer((0,), Clock(2500), None))
+    assert (told["samples"] == 2).all() and len(told) == 200 and len(calls) == 4 and timers == {3000}
+    told = pd.concat(processor.handleExpiredTimer((0,), Clock(90_000), None)).set_index("stream")
+    assert told["closed"].all() and (told["samples"] == 3).all() and told.loc["7", "total"] == 21.0 and not kept and not timers
