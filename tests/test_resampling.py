@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomfield.functions import scalars as S
 from loomfield.operators import fusion as U
 from loomfield.operators import metrics as M
 from loomfield.operators import resampling as B
@@ -152,3 +153,18 @@ def test_fusion_refuses_what_it_cannot_fit(spark):
     knots = U.channel_calibrators(scores([("a", 0.1, 0), ("a", 0.2, 1), ("b", 1.0, 1), ("b", 2.0, 0), ("b", None, 1)]))
     rows = spark.createDataFrame([("a", 0.15), ("a", 9.0), ("b", -1.0), ("c", 1.0)], "channel string, x double")
     assert sorted((r.channel, r.x, round(r.y, 9)) for r in U.calibrated(rows, knots).collect()) == [("a", 0.15, 0.5), ("a", 9.0, 1.0), ("b", -1.0, 0.5)]
+
+
+def test_allowed_accepts_of_many_trials_match_whole_numbers(spark):
+    """Beyond 7,000 trials 0.9 ** trials is zero in doubles; terms in logarithms are not."""
+
+    def exact(n):
+        term, total, k = 9**n, 9**n, 0
+        while 20 * total <= 10**n:
+            term = term * (n - k) // ((k + 1) * 9)
+            total, k = total + term, k + 1
+        return k - 1
+
+    trials = [0, 28, 29, 600, 8000, 36000]
+    rows = spark.createDataFrame([(n,) for n in trials], "n long").select("n", S.allowed_accepts(F.col("n"), 0.1, 0.05).alias("k"))
+    assert {r.n: r.k for r in rows.collect()} == {n: exact(n) for n in trials}
