@@ -198,7 +198,7 @@ def verification_summary(t):
   round(count(*) FILTER (score >= 0.2 AND own <> identity) / count(*) FILTER (own <> identity), 6) AS far,
   round(count(*) FILTER (score < 0.2 AND own = identity) / count(*) FILTER (own = identity), 6) AS frr FROM s""")
 def verification_confusion(t):
-    return rounded(M.confusion(_counts(t), 0.2), "tar", "far", "frr")
+    return rounded(M.confusion(X.score_counts(*_named(t), cuts=[0.2]), 0.2), "tar", "far", "frr")
 
 
 @query(_CURVE + "SELECT round(sum(pos * tp / (tp + fp)) / sum(pos), 6) AS ap FROM c JOIN v ON v.threshold = c.score")

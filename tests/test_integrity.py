@@ -157,6 +157,17 @@ def test_rows_of_scores_are_judged_where_they_are_scored(spark, monkeypatch):
     assert plan.count("Exchange") == 1 and "CartesianProduct" in plan  # the one that deals the queries
 
 
+def test_counts_at_cuts_are_those_of_all_scores(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(k, k % 3, [float(x) for x in np.round(rng.normal(size=2), 1)]) for k in range(40)], "id long, identity int, vector array<double>")
+    cuts = [0.5, -0.2]
+    want = {}
+    for r in X.score_counts(df, df).collect():
+        at = max((c for c in cuts if r.score >= c), default=-np.inf)
+        want[at] = tuple(np.add(want.get(at, (0, 0)), (r.pos, r.neg)))
+    assert {r.score: (r.pos, r.neg) for r in X.score_counts(df, df, cuts=cuts).collect()} == want
+
+
 @pytest.mark.parametrize("most", [6, 2**45])
 def test_places_of_marked_scores(most):
     rng = np.random.default_rng(5)
