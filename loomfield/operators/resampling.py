@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomfield.operators.ranking import numbered
+from loomfield.storage import stored
 
 BLOCK = 65_536
 
@@ -89,14 +90,18 @@ def bootstrap_intervals(
     metric (a query without relevant templates has no rank); a null cluster, a value that is not finite, and
     fewer than two clusters are errors."""
     number = lambda v: F.col(v).cast("double")
-    odd = [F.count(F.when(F.isnan(number(v)) | (F.abs(number(v)) == float("inf")), 1)) for v in values]
-    unnamed, *infinite = rows.agg(F.count(F.when(F.col(cluster).isNull(), 1)), *odd).first()
-    if unnamed or any(infinite):
-        raise ValueError(f"{unnamed} rows without a cluster, values that are not finite: {dict(zip(values, infinite, strict=True))}")
+    odd = [F.count(F.when(F.isnan(number(v)) | (F.abs(number(v)) == float("inf")), 1)).alias(f"o{k}") for k, v in enumerate(values)]
+    # Stored: read several times, and rows may be dear.
     sums = rows.groupBy(cluster).agg(
+        F.count("*").alias("_rows"),
+        *odd,
         *[F.coalesce(F.sum(number(v)), F.lit(0.0)).alias(f"s{k}") for k, v in enumerate(values)],
         *[F.count(v).cast("double").alias(f"n{k}") for k, v in enumerate(values)],
     )
+    sums = stored(sums, "clusters")
+    unnamed, *infinite = sums.agg(F.coalesce(F.sum(F.when(F.col(cluster).isNull(), F.col("_rows"))), F.lit(0)), *[F.coalesce(F.sum(f"o{k}"), F.lit(0)) for k in range(len(values))]).first()
+    if unnamed or any(infinite):
+        raise ValueError(f"{unnamed} rows without a cluster, values that are not finite: {dict(zip(values, infinite, strict=True))}")
     clusters = sums.count()
     if clusters < 2:
         raise ValueError("resampling clusters takes at least two of them")
@@ -123,6 +128,7 @@ def paired_intervals(
         (count(1) != 1).alias("_l"), (count(-1) != 1).alias("_r"), F.min("cluster").alias("cluster"),
         (F.min("cluster") != F.max("cluster")).alias("_apart"), *[(of(1, v) - of(-1, v)).alias(v) for v in values],
     )
+    both = stored(both, "paired")  # read more than once, and either side may be dear
     wrong = lambda c: F.count(F.when(F.col(c), 1))
     found = both.agg(wrong("_l"), wrong("_r"), wrong("_apart")).first()
     if any(found):

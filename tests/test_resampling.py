@@ -168,3 +168,20 @@ def test_allowed_accepts_of_many_trials_match_whole_numbers(spark):
     trials = [0, 28, 29, 600, 8000, 36000]
     rows = spark.createDataFrame([(n,) for n in trials], "n long").select("n", S.allowed_accepts(F.col("n"), 0.1, 0.05).alias("k"))
     assert {r.n: r.k for r in rows.collect()} == {n: exact(n) for n in trials}
+
+
+def test_rows_are_worked_out_once(spark):
+    """Scores behind the rows of a comparison may be dear."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(k, k % 4, float(k % 3)) for k in range(20)], "q long, c long, v double")
+    dear = rows.mapInArrow(told, rows.schema)
+    B.paired_intervals(dear, rows, "q", "c", ["v"], 20).collect()
+    assert seen.value == 20
+    B.bootstrap_intervals(dear, "c", ["v"], 20).collect()
+    assert seen.value == 40
