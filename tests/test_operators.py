@@ -123,6 +123,25 @@ def test_wide_fingerprints_with_orientations(spark):
     assert {(r.left_id, r.right_id): r.distance for r in N.near_pairs(df, words=16, radius=31).collect()} == want and want
 
 
+def shuffled_rows(spark) -> int:
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_near_pairs_are_probed_where_they_arrive(spark):
+    """A fingerprint is sent to the cells in reach, not to each of the 4 * 137 values in reach."""
+    rng = np.random.default_rng(8)
+    rows = [(k, [(0, [int(x) for x in rng.integers(0, 1 << 16, 4)])]) for k in range(300)]
+    df = spark.createDataFrame(rows, "id int, orientations array<struct<o: int, words: array<long>>>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_rows(spark)
+        N.near_pairs(df, words=4, radius=10).collect()
+        assert shuffled_rows(spark) - before < 300 * 4 * 137 / 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(1, 40)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.root for r in G.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
