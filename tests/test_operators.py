@@ -142,6 +142,20 @@ def test_near_pairs_are_probed_where_they_arrive(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_rows_meet_the_minima_of_their_keys_in_one_shuffle(spark):
+    rows = spark.range(20000).selectExpr("if(id % 50 = 0, null, id % 9000) AS key", "id AS v")
+    before = shuffled_rows(spark)
+    got = {(r.key, r.v): r.least for r in K.least_of_key(rows, "key", "v", "least", "v").collect()}
+    assert shuffled_rows(spark) - before < 1.1 * 20000
+    least = {}
+    for key, v in got:
+        least[key] = min(v, least.get(key, v))
+    assert len(got) == 19600 and all(m == least[key] for (key, _), m in got.items())
+    hot = spark.range(30000).selectExpr("if(id % 10 > 0, 7, id) AS key", "30000 - id AS v")
+    plain = K.with_least(hot, "key", "v", "least", "v")
+    assert sorted(K.least_of_key(hot, "key", "v", "least", "v").collect()) == sorted(plain.select("key", "v", "least").collect())
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(1, 40)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.root for r in G.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
