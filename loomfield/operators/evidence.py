@@ -17,11 +17,12 @@ def ordered(rows: DataFrame, a: str, b: str) -> DataFrame:
 def gathered(parts: dict[str, DataFrame]) -> DataFrame:
     """parts(left_id, right_id) by kind of evidence -> (left_id, right_id, kinds): each pair once, with
     the sorted kinds that speak for it."""
-    out = None
+    out, kinds = None, sorted(parts)
     for kind, df in parts.items():
-        one = df.select("left_id", "right_id", F.lit(kind).alias("kind"))
+        one = df.select("left_id", "right_id", *[F.lit(k == kind).alias(f"_{i}") for i, k in enumerate(kinds)])
         out = one if out is None else out.union(one)
-    return out.groupBy("left_id", "right_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+    flags = out.groupBy("left_id", "right_id").agg(*[F.max(f"_{i}").alias(f"_{i}") for i in range(len(kinds))])
+    return flags.select("left_id", "right_id", F.concat_ws(",", *[F.when(F.col(f"_{i}"), k) for i, k in enumerate(kinds)]).alias("kinds"))
 
 
 def adjudicated(pairs: DataFrame, exact: DataFrame, identities: DataFrame, reviews: DataFrame, geometry: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomfield.functions import scalars as S
 from loomfield.operators import coverage as C
+from loomfield.operators import evidence as E
 from loomfield.operators import geometry as Z
 from loomfield.operators import graph as G
 from loomfield.operators import leakage as L
@@ -170,6 +171,14 @@ def test_positive_pairs_are_not_shuffled(spark, no_broadcast, at_once):
     assert set(got) == want and len(got) == len(want) and shuffled_rows(spark) - before < 4000  # there are about 5,000 pairs
 
 
+def test_kinds_of_evidence_are_flags_and_not_sets(spark):
+    """A set a pair is an object on the heap; flags lie in the aggregate's own pages."""
+    of = lambda *pairs: spark.createDataFrame(list(pairs), "left_id long, right_id long")
+    found = E.gathered({"B": of((1, 2), (1, 2), (3, 4)), "A": of((1, 2)), "C": of((5, 6), (3, 4))})
+    assert {tuple(r) for r in found.collect()} == {(1, 2, "A,B"), (3, 4, "B,C"), (5, 6, "C")}
+    assert "ObjectHashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(1, 40)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.root for r in G.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
