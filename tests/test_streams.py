@@ -156,3 +156,29 @@ def test_streams_of_a_bucket_share_the_calls_to_the_state_store():
     assert (told["samples"] == 2).all() and len(told) == 200 and len(calls) == 4 and timers == {3000}
     told = pd.concat(processor.handleExpiredTimer((0,), Clock(90_000), None)).set_index("stream")
     assert told["closed"].all() and (told["samples"] == 3).all() and told.loc["7", "total"] == 21.0 and not kept and not timers
+
+
+def test_streams_are_folded_at_once_as_one_by_one():
+    frames, calls = [], []
+    for k in range(40):
+        own = pd.DataFrame(made()[3 * k % 60 : 3 * k % 60 + k], columns=["stream", "at", "seq", "usable", "run_key", "claimed", "value"]).sort_values(["at", "seq"])
+        frames.append(pd.concat([own, own.iloc[:1]]).sort_values(["at", "seq"]))
+    for fold in (O.CoverageFold(20, 30), O.AuditFold(10_000_000), O.EnergyFold()):
+        alone, together = [fold.start] * 40, [fold.start] * 40
+        for part in (lambda f: f.iloc[: len(f) // 2], lambda f: f.iloc[len(f) // 2 :]):
+            alone = [fold.fold(s, part(f)) for s, f in zip(alone, frames)]
+            own = np.repeat(np.arange(40), [len(part(f)) for f in frames])
+            together = fold.folds(together, own, pd.concat([part(f) for f in frames]))
+        assert together[0] == fold.start and all(a == b or abs(a - b) < 1e-6 for x, y in zip(alone, together) for a, b in zip(x, y)), fold
+
+    class Counted(O.EnergyFold):
+        def folds(self, states, own, rows):
+            calls.append(len(states))
+            return super().folds(states, own, rows)
+
+    streams = {str(s): (dict(zip(O._CLOCK, (None, None, None, 0, 0, 0))), O.EnergyFold.start) for s in range(200)}
+    processor = O.InOrder(Counted(), 10_000)
+    # Every stream opens twice, the second time after a pause.
+    rows = pd.DataFrame([(str(s), at, None, float(s)) for s in range(200) for at in (0, 1000, 90_000_000)], columns=["stream", "at", "seq", "value"])
+    told, waiting = processor._released(streams, processor._frame(rows), 90_001)
+    assert calls == [200, 200] and not len(waiting) and len(told) == 400 and sum(t[-1] for t in told) == 200
