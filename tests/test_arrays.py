@@ -293,3 +293,20 @@ def test_registered_projection(spark):
     want = centred @ (vt * np.sign(vt[np.arange(4), np.abs(vt).argmax(axis=1)])[:, None]).T
     got = {r.vec_id: r.coordinates for r in queries()["principal_coordinates"](spark, SF).collect()}
     assert np.allclose([got[k] for k in sorted(own)], want, atol=2e-5)
+
+
+def test_minimal_sets_in_closed_form_are_those_by_singular_vectors(spark):
+    rng = np.random.default_rng(9)
+    source, target = rng.uniform(0, 640, (50, 4, 2)), rng.uniform(0, 480, (50, 4, 2))
+    a, b = H.exact(source, target), H.fitted(source, target)
+    b /= np.linalg.norm(b, axis=(1, 2))[:, None, None]
+    assert np.abs(a * np.sign((a * b).sum(axis=(1, 2)))[:, None, None] - b).max() < 1e-6
+    for wrong in (0.0, 0.3, 1.0):
+        m = np.array(planted(rng, 40, wrong)[0])
+        at = H.drawn_sets("x", 1, 300, 40)
+        count, h, _ = H._best(at, m[:, :2], m[:, 2:], 800.0, 800.0, 0.004)
+        reach, _ = H._in_reach(at, m[:, :2], m[:, 2:], 800.0, 800.0, 0.004)
+        again = H._best(reach, m[:, :2], m[:, 2:], 800.0, 800.0, 0.004)
+        assert (len(reach) < 100 or wrong == 1) and again[0] == count and (again[1] == h).all()  # if all are wrong, sets fit themselves alone
+    one = spark.createDataFrame([(k, 640, 480, 640, 480, []) for k in range(40)], f"pair_id int, left_width int, left_height int, right_width int, right_height int, matches {H.MATCHES}").coalesce(1)
+    assert H.verified_pairs(one).rdd.getNumPartitions() > 1
