@@ -26,30 +26,44 @@ def matched(predicted: DataFrame, truth: DataFrame, threshold: float, by_confide
     iou), one to one. Pairs of at least threshold in order of IoU, ties by ids; or predictions in order
     of confidence, each taking the free target with the best IoU (ties: the least id)."""
 
+    def taken(iou: np.ndarray) -> list[tuple[int, int]]:
+        free, out = np.ones(iou.shape[1], bool), []
+        if by_confidence:
+            for i in range(len(iou)):
+                j = int(np.where(free, iou[i], -1).argmax())
+                if free[j] and iou[i, j] >= threshold:
+                    free[j] = False
+                    out.append((i, j))
+        else:
+            i, j = np.nonzero(iou >= threshold)
+            left = np.ones(len(iou), bool)
+            for k in np.lexsort((j, i, -iou[i, j])):
+                if left[i[k]] and free[j[k]]:
+                    left[i[k]] = free[j[k]] = False
+                    out.append((i[k], j[k]))
+        return out
+
     def pick(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["confidence", "id"], ascending=[False, True], ignore_index=True) if by_confidence else p.sort_values("id", ignore_index=True)
+        t = t.sort_values("id", ignore_index=True)
+        code = pd.factorize(np.concatenate([p.image.to_numpy(), t.image.to_numpy()]), use_na_sentinel=False)[0]
+        images = np.arange(code.max(initial=-1) + 2)
+        (rows, at), (targets, to) = ((o, np.searchsorted(c[o], images)) for c in (code[: len(p)], code[len(p) :]) for o in [np.argsort(c, kind="stable")])
+        box, other = p[BOX].to_numpy(float)[rows], t[BOX].to_numpy(float)[targets]
         out: list[tuple] = []
-        if len(p) and len(t):
-            p = p.sort_values(["confidence", "id"], ascending=[False, True], ignore_index=True) if by_confidence else p.sort_values("id", ignore_index=True)
-            t = t.sort_values("id", ignore_index=True)
-            iou = _overlap(p[BOX].to_numpy(float), t[BOX].to_numpy(float))[1]
-            free = np.ones(len(t), bool)
-            if by_confidence:
-                for i in range(len(p)):
-                    j = int(np.where(free, iou[i], -1).argmax())
-                    if free[j] and iou[i, j] >= threshold:
-                        free[j] = False
-                        out.append((i, j))
-            else:
-                i, j = np.nonzero(iou >= threshold)
-                left = np.ones(len(p), bool)
-                for k in np.lexsort((j, i, -iou[i, j])):
-                    if left[i[k]] and free[j[k]]:
-                        left[i[k]] = free[j[k]] = False
-                        out.append((i[k], j[k]))
-        return pd.DataFrame([(p.image[i], p.id[i], t.id[j], float(iou[i, j])) for i, j in out], columns=["image", "predicted", "truth", "iou"])
-
-    truth = truth.select(*[F.col(c).alias(c) for c in truth.columns])  # apart from predicted, should both come from one table
-    return predicted.groupBy("image").cogroup(truth.groupBy("image")).applyInPandas(pick, "image long, predicted long, truth long, iou double")
+        for g in np.flatnonzero((np.diff(at) > 0) & (np.diff(to) > 0)):
+            iou = _overlap(box[at[g] : at[g + 1]], other[to[g] : to[g + 1]])[1]
+            out += [(rows[at[g] + i], targets[to[g] + j], iou[i, j]) for i, j in taken(iou)]
+        i, j, iou = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [])
+        return pd.DataFrame({"image": p.image.to_numpy()[i] if i else [], "predicted": p.id.to_numpy()[i] if i else [], "truth": t.id.to_numpy()[j] if j else [], "iou": iou})
+
+    # Images meet in buckets of some 10,000 boxes: handing a group to pandas costs as much as hundreds of boxes.
+    spark = predicted.sparkSession
+    buckets = max(4 * spark.sparkContext.defaultParallelism, -(-predicted.count() // 10_000))
+    bucket = F.when(F.col("image").isNull(), -1).otherwise(F.pmod(F.xxhash64("image"), F.lit(buckets)))
+    columns = lambda df, more: df.select(bucket.alias("_b"), *[F.col(c).alias(c) for c in ("image", "id", *BOX, *more)])  # noqa: E731  apart, should both come from one table
+    sides = columns(predicted, ["confidence"] if by_confidence else []), columns(truth, [])
+    return sides[0].groupBy("_b").cogroup(sides[1].groupBy("_b")).applyInPandas(pick, "image long, predicted long, truth long, iou double")
 
 
 def suppressed(boxes: DataFrame, threshold: float = 0.5, containment: float = 0.9) -> DataFrame:

@@ -363,3 +363,26 @@ def test_search_hands_on_k_identities_a_block(spark, monkeypatch):
     for k in (1, 3, 36, 50):
         want = X.top_identities(X.best_templates(q, g), k).drop("rank").collect()
         assert sorted(map(tuple, X.best_templates(q, g, k=k).collect())) == sorted(map(tuple, want)) and len(want) == 20 * min(k, 37)
+
+
+def test_boxes_of_many_images_meet_in_buckets(spark):
+    rng = np.random.default_rng(5)
+    rows = [(None if k % 50 == 0 else k % 60, k, *map(float, (x, y, x + 10, y + 12)), float(k * 7 % 13)) for k, (x, y) in enumerate(rng.integers(0, 12, (400, 2)).tolist())]
+    df = spark.createDataFrame(rows, "image long, id long, x1 double, y1 double, x2 double, y2 double, confidence double")
+    other = df.filter("id % 3 > 0").drop("confidence")
+    iou = lambda a, b: (o := max(0, min(a[4], b[4]) - max(a[2], b[2])) * max(0, min(a[5], b[5]) - max(a[3], b[3]))) / (240 - o)
+    want = {}
+    for image in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == image]
+        pairs = sorted((-iou(a, b), a[1], b[1]) for a in own for b in own if b[1] % 3 and iou(a, b) >= 0.3)
+        p, t = set(), set()
+        for s, i, j in pairs:
+            if i not in p and j not in t:
+                p.add(i), t.add(j)
+                want[i, j] = (image, -s)
+    found = Z.matched(df, other, 0.3)
+    got = {(r.predicted, r.truth): (r.image, r.iou) for r in found.collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
+    assert not Z.matched(df.limit(0), other, 0.3).collect() and not Z.matched(df, other, 2.0, by_confidence=True).collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas [_b" in plan  # not a group for each image
