@@ -6,11 +6,15 @@ reader never drops what it cannot parse without saying so.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomfield.sources.archives import opened
+
 Reader = Callable[[SparkSession, str], DataFrame]
 _READERS: dict[str, Reader] = {}
 
@@ -58,10 +62,31 @@ def coco_keypoints(spark: SparkSession, path: str, category: int = 8) -> DataFra
 
 @reader("image_folders")
 def image_folders(spark: SparkSession, path: str) -> DataFrame:
-    """A folder for each identity: (path, identity, name, bytes), file contents unread."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-    parts = F.split("path", "/")
-    return files.select("path", F.element_at(parts, -2).alias("identity"), F.element_at(parts, -1).alias("name"), F.col("length").alias("bytes"))
+    """A folder for each identity: (path, identity, name, bytes), file contents unread. The driver lists the folders in
+    path, tasks what is in them; as with Spark's own readers, names that begin with . or _ are left out. path is one
+    that pyarrow.fs reaches."""
+    system, root = opened(path)
+    root = root.rstrip("/")
+    prefix = "file:" if isinstance(system, fs.LocalFileSystem) else path.rstrip("/").removesuffix(root)
+
+    def rows(infos: Iterable[fs.FileInfo]) -> Iterator[pa.RecordBatch]:
+        seen = [f for f in infos if f.type == fs.FileType.File and not any(x[:1] in "._" for x in f.path[len(root) + 1 :].split("/"))]
+        for k in range(0, len(seen), 10_000):
+            part = seen[k : k + 10_000]
+            folders, names = zip(*((("/" + f.path).rsplit("/", 2)[1:]) for f in part), strict=True)
+            columns = [f"{prefix}{f.path}" for f in part], folders, names, [f.size for f in part]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["path", "identity", "name", "bytes"])
+
+    def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = opened(path)[0]
+        for batch in batches:
+            for folder, deep in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield from rows(there.get_file_info(fs.FileSelector(folder, recursive=deep)))
+
+    folders = [(f.path, True) for f in system.get_file_info(fs.FileSelector(root)) if f.type == fs.FileType.Directory]
+    asked = spark.createDataFrame([(root, False), *folders], "folder string, deep boolean")
+    tasks = min(len(folders) + 1, 4 * spark.sparkContext.defaultParallelism)
+    return asked.repartition(tasks).mapInArrow(listed, "path string, identity string, name string, bytes long")
 
 
 def named(rows: DataFrame, column: str, pattern: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:

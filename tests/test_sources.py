@@ -72,3 +72,17 @@ def test_generations(spark, tmp_path):
     assert len(G.snapshots(spark, str(tmp_path / "g"), "gallery")) == 1
     second = G.publish(a.filter("id = 1"), str(tmp_path / "g"), "gallery", ["id"])
     assert second != first and G.latest(spark, str(tmp_path / "g"), "gallery").count() == 1
+
+
+def test_image_folders_are_listed_in_tasks(spark, tmp_path):
+    for name in ("a/1.png", "a/2 x.png", "b/deep/3.png", "b/.hidden", "b/_tmp/4.png", "_c/5.png", "root.png"):
+        at = tmp_path / "set" / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(b"x" * len(name))
+    (tmp_path / "set" / "empty").mkdir()
+    for path in (f"{tmp_path}/set", f"file:{tmp_path}/set/", f"file://{tmp_path}/set"):
+        found = S.load(spark, "image_folders", path)
+        got = {(r.identity, r.name): (r.bytes, r.path) for r in found.collect()}
+        want = {("a", "1.png"): "a/1.png", ("a", "2 x.png"): "a/2 x.png", ("deep", "3.png"): "b/deep/3.png", ("set", "root.png"): "root.png"}
+        assert got == {k: (len(n), f"file:{tmp_path}/set/{n}") for k, n in want.items()}
+    assert "binaryFile" not in found._jdf.queryExecution().executedPlan().toString()  # whose files the driver lists one by one
