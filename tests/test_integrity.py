@@ -157,6 +157,25 @@ def test_rows_of_scores_are_judged_where_they_are_scored(spark, monkeypatch):
     assert plan.count("Exchange") == 1 and "CartesianProduct" in plan  # the one that deals the queries
 
 
+def test_all_scores_leave_their_task_sorted_over_its_queries(spark, monkeypatch):
+    """So equal values follow each other in a column file, over some blocks of templates at a time; none is lost."""
+    monkeypatch.setattr(X, "GALLERY_ROWS", 7)
+    monkeypatch.setattr(X, "BATCH_ROWS", 50)
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(k, k % 3, [float(x) for x in np.round(rng.normal(size=3), 1)]) for k in range(300)], "id long, identity int, vector array<double>")
+    q = df.filter("id < 80")
+    rows = X.score_zscores(q, df).withColumn("p", F.spark_partition_id()).collect()
+    want = {(r.query_id, r.template_id): r.z for r in G.row_zscores(X.pair_scores(q.drop("identity"), df.drop("identity"))).collect()}
+    assert len(rows) == len(want) == 80 * 300 and all(abs(r.z - want[r.query_id, r.template_id]) < 1e-9 for r in rows)
+    tiles = -(-(-(-300 // 7)) // X.SORTED_BLOCKS)
+    for p in {r.p for r in rows}:
+        own = [r for r in rows if r.p == p]
+        falls = [k for k in range(1, len(own)) if own[k].z < own[k - 1].z]
+        assert len(falls) < tiles
+        for a, b in zip([0, *falls], [*falls, len(own)], strict=True):
+            assert len({r.query_id for r in own[a:b]}) == len({r.query_id for r in own})
+
+
 def test_counts_at_cuts_are_those_of_all_scores(spark):
     rng = np.random.default_rng(6)
     df = spark.createDataFrame([(k, k % 3, [float(x) for x in np.round(rng.normal(size=2), 1)]) for k in range(40)], "id long, identity int, vector array<double>")
