@@ -11,6 +11,7 @@ from loomfield.operators import images as I
 from loomfield.operators import neardup as N
 from loomfield.operators import projection as J
 from loomfield.plans.registering import query
+from loomfield.storage import stored
 
 
 @query("""WITH v AS (SELECT l_returnflag, l_linestatus, unnest([1e16::DECIMAL(38, 4), l_quantity::DECIMAL(38, 4) / 4, -1e16::DECIMAL(38, 4)]::DECIMAL(38, 4)[]) AS x FROM lineitem)
@@ -34,9 +35,10 @@ def pictures(t) -> DataFrame:
 
 @query()
 def luma_near_pairs(t):
-    """Pictures that are near duplicates, mirrored or not, from their luma values on."""
-    kinds, _ = N.representatives(I.luma_fingerprints(pictures(t), "id", "luma"))
-    return N.near_pairs(kinds, 4, 10)
+    """Pictures that are near duplicates, mirrored or not, from their luma values on: pairs of kinds of fingerprint, and
+    the other pictures of a kind beside its first one."""
+    kinds, members = N.representatives(stored(I.luma_fingerprints(pictures(t), "id", "luma"), "luma"))
+    return N.with_members(N.near_pairs(kinds, 4, 10), members)
 
 
 @query()

@@ -13,6 +13,7 @@ from loomfield.operators import homography as H
 from loomfield.operators import images as I
 from loomfield.operators import neardup as N
 from loomfield.operators import projection as J
+from loomfield.plans import arrays as A
 from loomfield.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -270,6 +271,27 @@ def test_registered_fingerprints_and_textures(spark):
         assert got[k][0] == pixels and np.allclose(got[k][1], shares, atol=1e-9)
 
 
+def test_registered_pairs_reach_pictures_of_one_fingerprint(spark, tmp_path):
+    """Copies and pictures that differ by less than a fingerprint tells are linked, as their kind is to others."""
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id < 40")
+    again = e.filter("vec_id % 4 = 0").withColumn("vec_id", F.col("vec_id") + 1000)
+    lighter = e.filter("vec_id % 10 = 0").withColumns({"vec_id": F.col("vec_id") + 2000, "embedding": F.transform("embedding", lambda x: (x + 1 / 300).cast("float"))})
+    turned = e.filter("vec_id < 2").withColumns({"vec_id": F.col("vec_id") + 3000, "embedding": F.transform("embedding", lambda x, k: (x + k % 3 / 300).cast("float"))})
+    e.union(again).union(lighter).union(turned).write.parquet(f"{tmp_path}/embeddings.parquet")
+    luma = {r.id: r.luma for r in A.pictures(lambda name: spark.read.parquet(f"{tmp_path}/{name}.parquet")).collect()}
+    prints = {k: tuple(sum(1 << i for i, b in enumerate(bits) if b) for bits in plain_bits(p)) for k, p in luma.items()}
+    rows = queries()["luma_near_pairs"](spark, str(tmp_path)).collect()
+    kind = {r.right_id: r.left_id for r in rows if r.same_kind}
+    near = {(r.left_id, r.right_id): r.distance for r in rows if not r.same_kind}
+    assert all(r.distance == 0 for r in rows if r.same_kind) and len(rows) == len(kind) + len(near)
+    of = lambda a, b: 0 if a == b else near.get((min(a, b), max(a, b)), 99)
+    far = lambda a, b: min((x ^ y).bit_count() for x in prints[a] for y in prints[b])
+    ids = sorted(prints)
+    want = {(a, b): far(a, b) for a in ids for b in ids if a < b and far(a, b) <= 10}
+    assert {(a, b): d for a in ids for b in ids if a < b and (d := of(kind.get(a, a), kind.get(b, b))) <= 10} == want
+    assert (0, 2000) in want and sum(luma[a] != luma[b] for b, a in kind.items()) > 0
+
+
 def test_registered_verification(spark):
     """Planted inliers of every pair are found; pairs of wrong matches alone are left open."""
     found = {r.pair_id: r for r in queries()["verified_matches"](spark, SF).collect()}
