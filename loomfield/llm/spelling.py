@@ -8,7 +8,8 @@ word of n letters emits n numbers and not n words; a collision only adds a pair
 A key is shared by at most as many words as there are letters to insert at its places, so groups of a join
 are bounded by the alphabet, not by the text. Counts are summed before they are shuffled. Forms point to a
 word of at least `ratio` times the count, so they have no cycle, and pointers are doubled until they end.
-What many words point to is joined over salts.
+What many words point to is joined over salts. All joins are sort-merge ones: Spark sizes keys as the words that they
+come from, and words as their packed files, so a table of some 100 MB and more would pass for one to be broadcast.
 
 Nulls, empties: null texts have no words, and rows without a word take no part. Repeated rows of words are an
 error of the caller (counts are per word); repeated documents count as often as they come. Empty tables give
@@ -73,8 +74,8 @@ def near_words(words: DataFrame) -> DataFrame:
     """(a, b) for words(id, word), a < b: ids of all pairs of words with one letter inserted, deleted or
     replaced, each once. Words are distinct and not null."""
     keys = words.select("id", "word").mapInArrow(_keys, "key long, id long")
-    pairs = keys.select("key", F.col("id").alias("a")).join(keys.select("key", F.col("id").alias("b")), "key").filter("a < b")
-    named = lambda c, w: words.select(F.col("id").alias(c), F.col("word").alias(w))
+    pairs = keys.select("key", F.col("id").alias("a")).join(keys.select("key", F.col("id").alias("b")).hint("merge"), "key").filter("a < b")
+    named = lambda c, w: words.select(F.col("id").alias(c), F.col("word").alias(w)).hint("merge")
     both = pairs.select("a", "b").distinct().join(named("a", "_w"), "a").join(named("b", "_x"), "b")
     return both.filter(F.levenshtein("_w", "_x", 1) == 1).select("a", "b")
 
@@ -88,9 +89,9 @@ def spelling_variants(counts: DataFrame, ratio: int = 2) -> DataFrame:
     words = counts.filter("word IS NOT NULL").select("word", F.col("n").cast("long").alias("n"))
     words = materialize(words.withColumn("id", F.monotonically_increasing_id()), "words")
     pairs = near_words(words).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"))
-    told = pairs.select(F.col("p.a").alias("a"), F.col("p.b").alias("id")).join(words, "id")
+    told = pairs.select(F.col("p.a").alias("a"), F.col("p.b").alias("id")).join(words.hint("merge"), "id")
     best = told.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n")).alias("less"), "word", F.col("id").alias("to"))).alias("b"))
-    joined = words.join(best, "id", "left").withColumn("form_n", -F.col("b.less"))
+    joined = words.join(best.hint("merge"), "id", "left").withColumn("form_n", -F.col("b.less"))
     taken = F.col("form_n") >= ratio * F.col("n")
     forms = joined.select(
         "id", "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(taken, F.col("b.word")).alias("form"),
@@ -98,8 +99,8 @@ def spelling_variants(counts: DataFrame, ratio: int = 2) -> DataFrame:
     )
     forms = materialize(forms, "forms")
     roots = _ends(forms.filter("to IS NOT NULL").select("id", "to"))
-    named = salted_join(roots, words.select(F.col("id").alias("to"), F.col("word").alias("root")), ["to"], ["id"])
-    out = forms.drop("to").join(named.select("id", "root"), "id", "left")
+    named = salted_join(roots, words.select(F.col("id").alias("to"), F.col("word").alias("root")), ["to"], ["id"], hint="merge")
+    out = forms.drop("to").join(named.select("id", "root").hint("merge"), "id", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
@@ -109,7 +110,7 @@ def _ends(links: DataFrame) -> DataFrame:
     links = materialize(links, "links")
     while True:
         further = links.select(F.col("id").alias("to"), F.col("to").alias("_next"))
-        doubled = materialize(salted_join(links, further, ["to"], ["id"], "left"), "links")
+        doubled = materialize(salted_join(links, further, ["to"], ["id"], "left", "merge"), "links")
         moved = bool(doubled.filter("_next IS NOT NULL").take(1))
         links = doubled.select("id", F.coalesce("_next", "to").alias("to"))
         if not moved:

@@ -195,6 +195,25 @@ def plain_words_of(rows):
     return {w: n for w, n in counts.items() if len(w) >= 5 and n >= 3}
 
 
+def test_spelling_broadcasts_nothing(spark, monkeypatch):
+    """Keys are many times the words that Spark sizes them by, and words many times their packed file."""
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+
+    def kept(df, name):
+        plan(df)
+        return stored(df, name)
+
+    stored = spelling.materialize
+    monkeypatch.setattr(spelling, "materialize", kept)
+    rows = [(f"word{k:04d}".translate(str.maketrans("0123456789", "abcdefghij")) * 3, 9) for k in range(200)]
+    df = spark.createDataFrame([*rows, *[(w[:-1], 3) for w, _ in rows]], "word string, n long")
+    out = spelling.spelling_variants(df)
+    plan(out)
+    assert out.filter("root <> word").count() == 200
+    assert sum(p.count("SortMergeJoin") for p in plans) == 8 and not any("Broadcast" in p for p in plans)
+
+
 def test_registered_spelling(spark, sample, odd, nothing, tmp_path):
     extra = spark.createDataFrame([(k, "Straße STRASSE Überfluß überfluss ÀÉÎ× naïve Naïve naive × ÷÷÷÷÷÷ " * 4) for k in range(40)], "doc_id long, text string")
     for name, docs in (("sample", sample), ("odd", odd), ("none", nothing), ("extra", extra.withColumn("word", F.lit("w")))):
