@@ -157,6 +157,47 @@ def test_rows_of_scores_are_judged_where_they_are_scored(spark, monkeypatch):
     assert plan.count("Exchange") == 1 and "CartesianProduct" in plan  # the one that deals the queries
 
 
+def test_a_gallery_goes_to_a_task_once_however_many_scores_it_holds(spark, monkeypatch):
+    """Blocks of a few scores each are met in the same tasks where the gallery's vectors may be kept there, with the same results."""
+    monkeypatch.setattr(X, "GALLERY_ROWS", 40)
+    rng = np.random.default_rng(5)
+    rows = [(k, "abc"[k % 3] if k % 11 else None, [float(x) for x in np.round(rng.normal(size=2 + (k % 10 == 0)), 1)]) for k in range(150)]
+    df = spark.createDataFrame(rows, "id long, identity string, vector array<double>")
+
+    def work(ids, names, parts):
+        for k, (i, name) in enumerate(zip(ids.tolist(), names, strict=True)):
+            yield [[i], pa.array([name], pa.string()), [int(sum(p[0][k].sum() for p in parts))], [sum(len(p[1]) for p in parts)], [len(ids)]]
+
+    found, tasks = [], []
+    for held in (1 << 29, 0):
+        monkeypatch.setattr(X, "VECTORS_HELD", held)
+        out = X._per_block(df, df, "id long, identity string, total long, templates long, block long", work, scores_held=300)
+        tasks.append(out.rdd.getNumPartitions())
+        got = out.collect()
+        assert all(r.block * r.templates <= 300 for r in got) or not held
+        found.append({r.id: (r.identity, r.total, r.templates) for r in got})
+    assert found[0] == found[1] and len(found[0]) == 150
+    assert tasks == [2 * spark.sparkContext.defaultParallelism, 75]
+
+
+@pytest.mark.parametrize("spread", [2, 400, 100_000, 1_000_000])
+def test_places_by_short_keys_are_those_of_a_whole_sort(spread):
+    """Ties within a range of ids, beyond it, with the template that is left out, and where most scores are tied."""
+    rng = np.random.default_rng(spread)
+    n, ids = 5000, rng.permutation(20_000)[:5000]
+    names, scores = rng.integers(0, 4, n), rng.integers(-spread, spread + 1, (6, n)).astype(np.int32)
+    cuts = [slice(0, 1700), slice(1700, 1701), slice(1701, n)]
+    parts = [(scores[:, c], ids[c], names[c]) for c in cuts]
+    order = np.argsort(ids)
+    for top in (1_000_000, 1_000_001):  # the latter sorts all
+        placed = X._placed(parts, top)
+        for k, (identity, without) in enumerate([(1, None), (1, int(ids[7])), (2, int(ids[np.flatnonzero(names == 2)[0]])), (9, None), (None, None), (0, -5)]):
+            left = order[ids[order] != without] if without is not None else order
+            fall = left[np.lexsort((ids[left], -scores[k, left]))]
+            want = np.flatnonzero(names[fall] == identity) + 1 if identity is not None else []
+            assert placed([p[0] for p in parts], k, identity, without).tolist() == list(want)
+
+
 def test_all_scores_leave_their_task_sorted_over_its_queries(spark, monkeypatch):
     """So equal values follow each other in a column file, over some blocks of templates at a time; none is lost."""
     monkeypatch.setattr(X, "GALLERY_ROWS", 7)
